@@ -6,10 +6,15 @@ keeps the least value of each slot.  Ranks are drawn round by round for all elem
 rounds stop as soon as every slot holds a value below the next rank.  Equal bands of slots make candidates; a link
 counts only if the full sets say so.
 
-Documents with equal sets form one class; classes, not documents, are banded.  In each bucket the most central class
-is compared with all others; classes that this leaves outside the bucket's largest component are then compared
-with all classes of other components.  So no candidate pair that could join two components is left out, and a group of
-copies costs about its size, not its square.
+Documents with equal sets form one class; classes, not documents, are banded.  In each bucket all classes are compared
+with one of them, the hub (the class with the most neighbours).  What else a bucket links is found without making its
+pairs.  Let d be the size of a set's difference from the hub's set and f = d - c * size, c = (100 - percent) / (100 +
+percent).  Two sets are linked if and only if their differences from the hub have (f1 + f2) / 2 elements or more in
+common, and a set is linked with the hub if f is at most c times the hub's size.  So two sets of which one isn't linked with
+the hub must share a difference, and by the prefix principle one among the first few of each, if the differences of a
+hub's sets are ordered by how many have them, rarest first: only sets of different components that do share one are
+compared.  No candidate that could join two components is left out, and a group of copies costs about its size,
+not its square.
 
 Edge cases: null, empty and blank texts have the empty set, are linked with nothing and are kept.  A row without an id
 counts as one with an id above all real ones (component_id is null if no member has an id).  Rows that share an id count
@@ -23,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
@@ -109,24 +114,57 @@ def _sets(df: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "rid long, items array<long>")
 
 
+def _paired(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("items").alias("x")), "a")
+    return both.join(sets.select(F.col("rid").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
+
+
+def _sides(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    sides = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in batch.columns[2:]]
+    for i in range(batch.num_rows):
+        yield tuple(v[o[i] : o[i + 1]] for v, o in sides)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b whose sets' similarity is percent or more."""
-    both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("items").alias("x")), "a")
-    both = both.join(sets.select(F.col("rid").alias("b"), F.col("items").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            sides = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in batch.columns[2:]]
-            for i in range(batch.num_rows):
-                x, y = (v[o[i] : o[i + 1]] for v, o in sides)
-                # both sorted (as unsigned): equal neighbours in the merged run are common elements
-                run_ = np.sort(np.concatenate([x, y]))
-                same = int((run_[1:] == run_[:-1]).sum())
+            for x, y in _sides(batch):
+                merged = np.sort(np.concatenate([x, y]))
+                same = int((merged[1:] == merged[:-1]).sum())
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return _paired(pairs, sets).mapInArrow(run, "a long, b long")
+
+
+def _against_hubs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, hub, linked, apart (the differences), and how many of the rarest matter against sets not linked and linked with the hub."""
+    c = (100 - percent) / (100 + percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked, every, short, long = [], [], [], []
+            for x, hub in _sides(batch):
+                merged = np.sort(np.concatenate([x, hub]))
+                twin = np.zeros(len(merged) + 1, bool)
+                twin[1:-1] = merged[1:] == merged[:-1]
+                apart = merged[~(twin[1:] | twin[:-1])]
+                d, f, at = len(apart), len(apart) - c * len(x), c * len(hub)
+                linked.append((100 - percent) * (len(x) + len(hub)) >= (100 + percent) * d)
+                first = lambda common: max(0, d - max(1, int(np.ceil(common / 2 - 1e-9))) + 1)  # noqa: B023, E731 - used at once
+                short.append(first(f + at))
+                long.append(short[-1] if linked[-1] else first(f - at))
+                every.append(apart)
+            ends = np.concatenate([[0], np.cumsum([len(v) for v in every])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *every])))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), lists, pa.array(short, pa.int32()), pa.array(long, pa.int32())], names=["a", "hub", "linked", "apart", "short", "long"]
+            )
+
+    return _paired(pairs, sets).mapInArrow(run, "a long, hub long, linked boolean, apart array<long>, short int, long int")
 
 
 def groups(
@@ -148,32 +186,31 @@ def groups(
     central = buckets.groupBy("rid").agg(F.sum("size").alias("weight"))
     buckets = stage(buckets.join(central, "rid"), "weighted")
     # the most central class of each bucket; the smaller id if two are equally central
-    hubs = buckets.groupBy("band").agg(F.max(F.struct("weight", (-F.col("rid")).alias("minus"), "n")).alias("h"))
-    hubs = hubs.select("band", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n"))
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    first = (
-        buckets.join(hubs, "band")
-        .filter((F.col("rid") != F.col("hub")) & fits(F.col("n"), F.col("hub_n")))
-        .select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b"))
-        .distinct()
-    )
+    hubs = buckets.groupBy("band").agg(F.max(F.struct("weight", (-F.col("rid")).alias("minus"))).alias("h")).select("band", (-F.col("h.minus")).alias("b"))
+    first = buckets.join(hubs, "band").filter("rid <> b").select(F.col("rid").alias("a"), "b").distinct()
     sets = stage(_sets(named.select("rid", "text"), words, buckets.select("rid").distinct()), "sets")
-    links = stage(_linked(first, sets, percent), "links")
+    seen = stage(_against_hubs(first, sets, percent), "hubs")
+    links = seen.filter("linked").select("a", F.col("hub").alias("b"))
     label = components(links)
 
-    # what a bucket's largest component doesn't hold meets every other component of the bucket
-    inside = buckets.join(label, F.col("rid") == F.col("node"), "left").select("band", "rid", "n", F.coalesce("component", "rid").alias("comp"))
-    inside = stage(inside, "inside")
-    parts = inside.groupBy("band", "comp").agg(F.count("*").alias("size"))
-    largest = parts.groupBy("band").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-    split = stage(inside.join(largest.select("band", F.col("top.comp").alias("top")), "band"), "split")
-    outside = split.filter("comp <> top").select("band", F.col("rid").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
+    # classes of different components at one hub, of which one isn't linked with it, that share a difference
+    label = stage(label, "label")
+    inside = seen.join(label.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("comp", F.coalesce("component", "a")).drop("component")
+    inside = stage(inside.join(label.select(F.col("node").alias("hub"), "component"), "hub", "left").withColumn("hub_comp", F.coalesce("component", "hub")).drop("component"), "inside")
+    mixed = inside.groupBy("hub").agg((F.min(F.least("comp", "hub_comp")) != F.max(F.greatest("comp", "hub_comp"))).alias("mixed")).filter("mixed").select("hub")
+    each = stage(inside.join(mixed, "hub", "left_semi").select("hub", "a", "comp", "linked", "short", "long", F.explode("apart").alias("item")), "apart")
+    often = each.groupBy("hub", "item").agg(F.count("*").alias("times"), (F.min("comp") != F.max("comp")).alias("across"))
+    place = F.row_number().over(Window.partitionBy("hub", "a").orderBy("times", "item"))
+    each = each.join(often, ["hub", "item"]).withColumn("place", place).filter("across and place <= `long`").drop("times", "across")
+    each = stage(each, "shared")
+    outside = each.filter("not linked").select("hub", "item", F.col("a").alias("b"), F.col("comp").alias("other"), F.col("place").alias("place_b"), F.col("short").alias("short_b"))
+    near = F.col("linked") | ((F.col("place") <= F.col("short")) & (F.col("place_b") <= F.col("short_b")))
     rest = (
-        outside.join(split, "band")
-        .filter((F.col("comp") != F.col("ac")) & fits(F.col("n"), F.col("an")))
-        .select(F.least("rid", "a").alias("a"), F.greatest("rid", "a").alias("b"))
+        outside.join(each, ["hub", "item"])
+        .filter((F.col("comp") != F.col("other")) & near)
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
-        .join(first, ["a", "b"], "left_anti")
+        .join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
     )
     more = stage(_linked(rest, sets, percent), "more")
     label = components(links.unionByName(more))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -94,7 +95,15 @@ def test_near_dedup(spark, small):
         w[k + 5] = f"changed{k}"
         planted.append((100 + k, " ".join(w)))
     planted.append((200, " ".join(f"w{j}" for j in range(60))))
-    for df, rows in [*both(spark, small), (frame(spark, planted), planted)]:
+    rng, crowd = random.Random(5), []
+    for k in range(90):  # copies around the threshold of two bases that share most words; the bases aren't there
+        w = [f"v{j}" for j in range(100)]
+        if k % 3 == 0:
+            w[:6] = [f"u{j}" for j in range(6)]
+        for j in rng.sample(range(100), rng.randint(1, 4)):
+            w[j] = f"edit{k}x{j}" if j % 2 else "same"
+        crowd.append((300 + k, " ".join(w)))
+    for df, rows in [*both(spark, small), (frame(spark, planted), planted), (frame(spark, crowd), crowd)]:
         got = near_dedup.groups(df, percent=85).collect()
         assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute_groups(rows, 85)
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["component_id"] is not None)
