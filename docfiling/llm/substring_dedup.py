@@ -31,6 +31,16 @@ from .common import BLANK, SAME, binary, chunks, gram_hashes, mix, row_id, slot_
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Bytes of a word's hash that a segment carries (its names h1 and h2 are made of all eight).
+KEPT_BYTES = 5
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // KEPT_BYTES, 8), np.uint8)
+    out[:, :KEPT_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, KEPT_BYTES)
+    return out.view(np.uint64).ravel()
+
+
 def segments(words: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, first window, number of windows and anchor of each segment of a slice of rows.
 
@@ -208,7 +218,7 @@ def repeated_windows(df: DataFrame, window: int, gram: int, shard_words: int) ->
                         if len(sent) > 1_000_000:
                             sent.clear()
                         sent.add((p, q))
-                        texts.append(part.tobytes())
+                        texts.append(part.view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES].tobytes())
                 take = pa.array(a + row)
                 as_long = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
@@ -221,10 +231,11 @@ def repeated_windows(df: DataFrame, window: int, gram: int, shard_words: int) ->
     texts = found.filter(F.col("words").isNotNull()).select("h1", "h2", "anchor", "words").dropDuplicates(["h1", "h2"])
     distinct = stage(texts.join(times, ["h1", "h2"]), "segments")
     total = distinct.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    shards = max(1, -(-total // (8 * shard_words)))
+    shards = max(1, -(-total // (KEPT_BYTES * shard_words)))
     # an anchor with more distinct segments than a part of a shard can take is dealt by windows
     wide = max(1, shard_words // (8 * window))
     crowds = distinct.groupBy("anchor").agg(F.count("*").alias("crowd")).filter(F.col("crowd") > wide).select("anchor", F.lit(True).alias("hot"))
+    crowds = stage(crowds, "crowds")  # written, so that Spark knows its size before it chooses the join
     marked = distinct.join(crowds, "anchor", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,9 +243,9 @@ def repeated_windows(df: DataFrame, window: int, gram: int, shard_words: int) ->
         for batch in batches:
             out = []
             for h1, h2, raw, times_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = np.frombuffer(raw, np.uint64)
+                words = unpacked(raw)
                 for k, name in enumerate(gram_hashes(words, window).view(np.int64).tolist()):
-                    out.append((h1, h2, k, name, words[k : k + window].tobytes(), times_))
+                    out.append((h1, h2, k, name, raw[k * KEPT_BYTES : (k + window) * KEPT_BYTES], times_))
             cols = list(zip(*out, strict=True)) or [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["h1", "h2", "k", "name", "words", "times"])
@@ -245,20 +256,27 @@ def repeated_windows(df: DataFrame, window: int, gram: int, shard_words: int) ->
     n_windows = single.groupBy("name").agg(F.min("words").alias("words"), F.sum("times").alias("times"))
     unit = marked.filter(F.col("hot").isNull()).select("h1", "h2", F.lit(-1).alias("k"), "anchor", "words", "times")
     window_unit = n_windows.select(F.col("name").alias("h1"), F.lit(0).cast("long").alias("h2"), F.lit(0).alias("k"), F.col("name").alias("anchor"), "words", "times")
-    more = max(1, -(-(single.count() * window) // shard_words))
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards + more))
-
-    def search(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_py(), np.uint64) for x in table["words"]]
+    more = -(-(single.count() * window) // shard_words)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of one partition, dealt by anchor, are one shard."""
+        found = [b for b in batches if b.num_rows]
+        if not found:
+            return
+        table = pa.Table.from_batches(found)
+        parts = [unpacked(x.as_py()) for x in table["words"]]
         often = table["times"].to_numpy() > 1
         own = np.arange(len(parts))
         index = FMIndex(parts + [parts[i] for i in np.flatnonzero(often)], 64)
         sizes = np.array([len(p) for p in parts])
         mask = np.concatenate([index.repeated(sizes, q, window) for q in np.array_split(own, max(1, len(own) // 50_000))])
         keep = np.flatnonzero(mask)
-        return pa.table({"h1": table["h1"].take(pa.array(keep)), "h2": table["h2"].take(pa.array(keep)), "k": table["k"].take(pa.array(keep)), "bits": pa.array(mask[keep].view(np.int64))})
+        found = table.select(["h1", "h2", "k"]).take(pa.array(keep)).append_column("bits", pa.array(mask[keep].view(np.int64)))
+        yield from found.to_batches()
 
-    masks = unit.unionByName(window_unit).withColumn("shard", shard).groupBy("shard").applyInArrow(search, "h1 long, h2 long, k int, bits long")
+    # a partition is a shard: its number is set, so that none grows with the input
+    shard = unit.unionByName(window_unit).select("h1", "h2", "k", "words", "times", "anchor").repartition(shards + more, "anchor").drop("anchor")
+    masks = shard.mapInArrow(search, "h1 long, h2 long, k int, bits long")
     masks = stage(masks, "masks")
     of_windows = single.join(masks.filter("k = 0").select(F.col("h1").alias("name")), "name").groupBy("h1", "h2").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k"))).alias("bits"))
     every = masks.filter("k < 0").select("h1", "h2", "bits").unionByName(of_windows)
