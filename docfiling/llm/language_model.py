@@ -9,7 +9,8 @@ A text is one left-to-right walk: at each token fail until there is an arc, take
 The model grows with the corpus, so it is never in one place.  Texts are dealt into blocks of about `block_bytes`;
 a block sends the hashes of its distinct n-grams with its own counts, by ranges of the hash, and gets back the corpus
 counts of those that are known elsewhere too.  So each block builds just the part of the automaton that its texts
-walk through.  Counts cover all training rows of the corpus.
+walk through.  Counts cover all training rows of the corpus.  Words are told apart by 64 bits of hash, pairs by as many
+as gram_bits says.
 
 Edge cases: null and empty texts are one end token.  A row without an id is a training row.  Repeated rows count
 each time.  Without training rows N and V are 0 and each token has probability 1 (1 / (0 + 0 + 1)).  An empty table gives an
@@ -62,10 +63,29 @@ def grams(column: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     return out, ends
 
 
+def gram_bits(size: int) -> int:
+    """Bits of a hash of two words or more that count, for a corpus of so many bytes.
+
+    48 at least, and so many that about one n-gram in a million shares its hash with another.  Words have all 64.
+    """
+    return min(64, max(48, (size // 6 + 1).bit_length() + 20))
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Whole numbers in the least bytes (1, 2, 4, 8) that hold them all, after a byte that says how many."""
+    most = int(values.max(initial=0))
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 def _packed(sorted_hashes: np.ndarray) -> bytes:
-    """Sorted hashes as their differences, in six bytes each where these suffice."""
+    """Sorted hashes as their differences, in the least bytes that hold them all."""
     step = np.diff(sorted_hashes, prepend=np.uint64(0))
-    width = 6 if len(step) and int(step[1:].max(initial=0)) < 1 << 48 else 8
+    width = max(1, (int(step[1:].max(initial=0)).bit_length() + 7) // 8)
     head = sorted_hashes[:1].tobytes() + bytes([width])
     return head + step.view(np.uint8).reshape(-1, 8)[1:, :width].tobytes()
 
@@ -78,12 +98,17 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.cumsum(step.view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def _asked(column: pa.Array, training: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _cut(hashes: np.ndarray, n: int, bits: int) -> np.ndarray:
+    return hashes >> np.uint64(64 - bits) if n > 1 else hashes
+
+
+def _asked(column: pa.Array, training: np.ndarray, order: int, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Order, distinct hashes (sorted) and the counts of them in training rows."""
     found, ends = grams(column, order)
     learn = np.repeat(training, np.diff(ends))
     for n, hashes in enumerate(found, 1):
         there = hashes != 0
+        hashes = _cut(hashes, n, bits)
         # a pair of sorts is cheaper than unique with an inverse
         names = np.unique(hashes[there])
         known, times = np.unique(hashes[there & learn], return_counts=True)
@@ -131,18 +156,19 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: fl
 
     # written once: a block must hold the same texts whenever a task is run again
     blocks = narrow.mapInArrow(dealt, "doc_id long, held boolean, text string, block long")
-    path_df = stage(blocks, "blocks")
+    path_df = stage(blocks, "blocks", compression="zstd")
     size = path_df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = 1 << max(0, (-(-size // (6 * range_items)) - 1).bit_length())
-    shift = np.uint64(64 - ranges.bit_length() + 1) if ranges > 1 else None
+    bits = gram_bits(size)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(block: int, held: list, texts: list) -> Iterator[pa.RecordBatch]:
             column, training = pa.concat_arrays(texts), ~np.concatenate(held)
-            for n, names, counts in _asked(column, training, order):
-                cut = np.searchsorted(names, np.arange(1, ranges, dtype=np.uint64) << shift) if shift is not None else np.zeros(0, np.int64)
+            for n, names, counts in _asked(column, training, order, bits):
+                shift = np.uint64((bits if n > 1 else 64) - ranges.bit_length() + 1)
+                cut = np.searchsorted(names, np.arange(1, ranges, dtype=np.uint64) << shift) if ranges > 1 else np.zeros(0, np.int64)
                 cut = np.concatenate([[0], cut, [len(names)]])
-                out = [(k, _packed(names[x:y]), counts[x:y].astype(np.int32).tobytes()) for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+                out = [(k, _packed(names[x:y]), _narrow(counts[x:y])) for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in out], pa.int64()), pa.array([block] * len(out), pa.int64()), pa.array([n] * len(out), pa.int32()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())],
                     names=["range", "block", "n", "names", "counts"],
@@ -172,8 +198,8 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: fl
             if not part.num_rows:
                 continue
             names = [_unpacked(x.as_py()) for x in part["names"]]
-            own = [np.frombuffer(x.as_py(), np.int32) for x in part["counts"]]
-            every, sums = np.concatenate(names), np.concatenate(own).astype(np.int64)
+            own = [_wide(x.as_py()) for x in part["counts"]]
+            every, sums = np.concatenate(names), np.concatenate(own)
             order_ = np.argsort(every, kind="stable")
             every, sums = every[order_], sums[order_]
             first = np.flatnonzero(np.diff(every, prepend=every[:1] - np.uint64(1)))
@@ -191,7 +217,7 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: fl
                 total = sums[np.searchsorted(every, name)]
                 new = total != mine
                 if new.any():
-                    out["block"].append(block), out["n"].append(n), out["names"].append(_packed(name[new])), out["counts"].append(total[new].tobytes())
+                    out["block"].append(block), out["n"].append(n), out["names"].append(_packed(name[new])), out["counts"].append(_narrow(total[new]))
                     out["total"].append(0), out["distinct"].append(0)
             if n == 1:
                 out["block"].append(-1), out["n"].append(0), out["names"].append(b""), out["counts"].append(b"")
@@ -210,11 +236,11 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: fl
         learn = ~np.repeat(held, np.diff(ends))
         counts, places = [], []
         for n, hashes in enumerate(found, 1):
-            names, place = np.unique(hashes, return_inverse=True)
+            names, place = np.unique(_cut(hashes, n, bits), return_inverse=True)
             own = np.bincount(place[learn], minlength=len(names)).astype(np.int64)
             part = known.filter(pa.compute.equal(known["n"], n))
             for name, count in zip(part["names"], part["counts"], strict=True):
-                own[np.searchsorted(names, _unpacked(name.as_py()))] = np.frombuffer(count.as_py(), np.int64)
+                own[np.searchsorted(names, _unpacked(name.as_py()))] = _wide(count.as_py())
             counts.append(own)
             places.append(place)
         words, pairs = places
