@@ -13,7 +13,9 @@ Very long texts are cut as a whole; memory follows the longest text and the boun
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +23,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary
-
 #: Pieces whose ids a worker keeps; beyond that it starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 600_000
 MATRIX_CELLS = 1 << 20
+#: White space beside a blank.
+_BESIDE = re.compile(r" \s|\s ").search
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -83,6 +85,26 @@ class PairTable:
         return out
 
 
+class _Numbers(dict):
+    """Units to numbers; one that is new gets the next number and goes to the owner's `fresh`, with the blank that stood before it."""
+
+    def __init__(self, owner: Codec, before: str) -> None:
+        super().__init__()
+        self.owner, self.before = owner, before
+
+    def __missing__(self, unit: str) -> int:
+        n = self[unit] = self.owner.count
+        self.owner.count = n + 1
+        self.owner.fresh.append(self.before + unit)
+        return n
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of flat from start on, one after another, and where each begins (one longer)."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return flat[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])], ends
+
+
 class Codec:
     """Encodes and decodes by one vocabulary."""
 
@@ -94,11 +116,20 @@ class Codec:
         self.cut = regex.compile(pattern).findall
         self.pairs = PairTable(self.tokens)
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
-        self.known: dict[str, list[int]] = {}
-
-    def _merge(self, table: np.ndarray, size: np.ndarray) -> list[list[int]]:
-        """Ids of each row of a padded matrix of the ids of single bytes."""
-        out: list[list[int]] = [[]] * len(table)
+        self.token_size = np.array([len(t) for t in self.tokens], np.int64)
+        self.token_start = np.cumsum(self.token_size) - self.token_size
+        self.token_bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty cache: numbers of units that begin a text or follow a blank; by number where a unit's ids start in `flat`, and how many they are."""
+        self.count, self.fresh = 0, []
+        self.bare, self.spaced = _Numbers(self, ""), _Numbers(self, " ")
+        self.flat, self.start, self.size = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _merge(self, table: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows in the order in which they end, their numbers of ids, and all ids, of a padded matrix of the ids of single bytes."""
+        rows, sizes, flat = [], [], []
         row, none = np.arange(len(table)), self.pairs.none
         ranks = self.pairs(table[:, :-1], table[:, 1:])
         ranks[np.arange(1, table.shape[1]) >= size[:, None]] = none
@@ -106,8 +137,11 @@ class Codec:
             best = ranks.argmin(axis=1)
             least = ranks[np.arange(len(row)), best]
             done = np.flatnonzero(least == none)
-            for i in done:
-                out[row[i]] = table[i, : size[i]].tolist()
+            if len(done):
+                own = size[done]
+                rows.append(row[done])
+                sizes.append(own)
+                flat.append(table[done][np.arange(table.shape[1]) < own[:, None]])
             live = np.flatnonzero(least != none)
             if not len(live):
                 break
@@ -123,56 +157,87 @@ class Codec:
             if not len(at):
                 ranks = np.full((len(row), 1), none, np.int32)
                 continue
-            for shift in (-1, 0):  # only the pairs beside the merged token are new
-                p = best + shift
-                ok = np.flatnonzero((p >= 0) & (p + 1 < size))
-                ranks[ok, p[ok]] = self.pairs(table[ok, p[ok]], table[ok, p[ok] + 1])
-                off = np.flatnonzero((p >= 0) & (p + 1 >= size) & (p < len(at)))
-                ranks[off, p[off]] = none
-        return out
-
-    def learn(self, pieces: set[str]) -> None:
-        """Put the ids of new pieces into the cache."""
-        buckets: dict[int, list[tuple[str, bytes]]] = {}
-        for piece in pieces:
+            # only the pairs beside the merged token are new
+            two, p = np.concatenate([k, k]), np.concatenate([best - 1, best])
+            ok = np.flatnonzero((p >= 0) & (p + 1 < np.concatenate([size, size])))
+            r, p = two[ok], p[ok]
+            ranks[r, p] = self.pairs(table[r, p], table[r, p + 1])
+            off = np.flatnonzero((best + 1 >= size) & (best < len(at)))
+            ranks[off, best[off]] = none
+        return np.concatenate(rows), np.concatenate(sizes), np.concatenate(flat)
+
+    def _ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of distinct pieces; by piece where they start, and how many they are."""
+        size, start, flat = np.ones(len(pieces), np.int64), np.zeros(len(pieces), np.int64), [np.zeros(0, np.int32)]
+        length = 0
+        whole: list[tuple[int, int]] = []
+        buckets: dict[int, list[tuple[int, bytes]]] = {}
+        for k, piece in enumerate(pieces):
             raw = piece.encode()
-            whole = self.rank.get(raw)
-            if whole is not None:
-                self.known[piece] = [whole]
+            token = self.rank.get(raw)
+            if token is not None:
+                whole.append((k, token))
             else:
-                buckets.setdefault((len(raw) - 1).bit_length(), []).append((piece, raw))
+                buckets.setdefault((len(raw) - 1).bit_length(), []).append((k, raw))
+        if whole:
+            k, tokens = np.array(whole, np.int64).T
+            start[k] = np.arange(len(k))
+            flat.append(tokens.astype(np.int32))
+            length = len(k)
         for found in buckets.values():
-            width = max(len(raw) for _, raw in found)
-            step = max(1, MATRIX_CELLS // width)
+            step = max(1, MATRIX_CELLS // max(len(raw) for _, raw in found))
             for a in range(0, len(found), step):
                 part = found[a : a + step]
-                size = np.array([len(raw) for _, raw in part])
-                table = np.zeros((len(part), int(size.max())), np.int32)
-                table[np.arange(table.shape[1]) < size[:, None]] = self.byte[np.frombuffer(b"".join(raw for _, raw in part), np.uint8)]
-                for (piece, _), ids in zip(part, self._merge(table, size), strict=True):
-                    self.known[piece] = ids
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        out = []
-        for text in texts:
-            pieces = self.cut(text)
-            new = set(pieces).difference(self.known)
-            if new:
-                if len(self.known) + len(new) > CACHE_PIECES:
-                    self.known.clear()
-                    new = set(pieces)
-                self.learn(new)
-            known, ids = self.known, []
-            for piece in pieces:
-                ids += known[piece]
-            out.append(np.array(ids, np.int32))
-        return out
-
-    def decode(self, ids: np.ndarray) -> bytes:
+                wide = np.array([len(raw) for _, raw in part])
+                table = np.zeros((len(part), int(wide.max())), np.int32)
+                table[np.arange(table.shape[1]) < wide[:, None]] = self.byte[np.frombuffer(b"".join(raw for _, raw in part), np.uint8)]
+                rows, own, ids = self._merge(table, wide)
+                k = np.array([k for k, _ in part])[rows]
+                size[k], start[k] = own, length + np.cumsum(own) - own
+                flat.append(ids)
+                length += len(ids)
+        return np.concatenate(flat), start, size
+
+    def learn(self) -> None:
+        """Find the ids of the units that are numbered, but not known."""
+        units, self.fresh = self.fresh, []
+        pieces = [self.cut(u) for u in units]
+        number: dict[str, int] = {}
+        order = np.array([number.setdefault(p, len(number)) for ps in pieces for p in ps], np.int64)
+        flat, start, size = self._ids_of(list(number))
+        ids, ends = _gather(flat, start[order], size[order])
+        ends = ends[np.cumsum([0, *map(len, pieces)])]
+        self.start, self.size, self.flat = np.concatenate([self.start, len(self.flat) + ends[:-1]]), np.concatenate([self.size, np.diff(ends)]), np.concatenate([self.flat, ids])
+
+    def _numbers(self, text: str) -> np.ndarray:
+        """Numbers of a text's units.
+
+        A blank between two characters that are no white space always begins a piece, so the text may be cut there first,
+        and each word with its blank is a unit that is cut by the pattern once.  A text with other white space beside a blank
+        is cut by the pattern as a whole; its pieces are the units.
+        """
+        if _BESIDE(text):
+            return np.fromiter(map(self.bare.__getitem__, self.cut(text)), np.int64)
+        first, *rest = text.split(" ")
+        return np.fromiter(chain((self.bare[first],), map(self.spaced.__getitem__, rest)), np.int64, 1 + len(rest))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, and where each text's begin (one longer)."""
+        if self.count > CACHE_PIECES:
+            self._forget()
+        found = [self._numbers(text) for text in texts]
+        if self.fresh:
+            self.learn()
+        unit = np.concatenate([np.zeros(0, np.int64), *found])
+        ids, ends = _gather(self.flat, self.start[unit], self.size[unit])
+        return ids, ends[np.cumsum([0, *map(len, found)])]
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All bytes of texts whose ids begin at ends (one longer), and where each text's bytes begin (one longer)."""
         if len(ids) and (ids.min() < 0 or ids.max() >= len(self.tokens)):
             raise ValueError("an id that the vocabulary lacks")
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+        raw, at = _gather(self.token_bytes, self.token_start[ids], self.token_size[ids])
+        return raw, at[ends]
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -200,9 +265,8 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
         for batch in batches:
             for a in range(0, batch.num_rows, 200):
                 part = batch.slice(a, 200)
-                ids = codec.encode([x or "" for x in part.column(1).to_pylist()])
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+                ids, ends = codec.encode([x or "" for x in part.column(1).to_pylist()])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "ids"])
 
     return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
@@ -218,8 +282,9 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
             for a in range(0, batch.num_rows, 200):
                 part = batch.slice(a, 200)
                 lists = part.column(1).fill_null([]) if part.column(1).null_count else part.column(1)
-                values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-                raw = [codec.decode(values[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), binary(pa.array(raw, pa.binary()))], names=["id", "ids", "decoded"])
+                ends = lists.offsets.to_numpy()
+                raw, at = codec.decode(lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], ends - ends[0])
+                texts = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], names=["id", "ids", "decoded"])
 
     return df.select(id_col, ids_col).mapInArrow(run, f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id_col).withColumnRenamed("ids", ids_col)
