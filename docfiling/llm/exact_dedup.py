@@ -26,19 +26,22 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return stage(df.select(F.col(id_col).cast("long").alias("doc_id"), sha.alias("sha")).withColumn("key", F.xxhash64("sha")), "fingerprints")
 
 
-def groups(prints: DataFrame, most_bytes: int = 1 << 25) -> tuple[DataFrame, DataFrame]:
-    """The prints with a flag `again` (false: surely alone), and for each hash of flagged rows its largest id and size."""
+def _filter(prints: DataFrame, most_bytes: int) -> tuple[DataFrame, int]:
+    """Pass one: the filter of keys that occur twice, and its number of segments."""
     segments = slot_count(prints.count(), most_bytes=most_bytes)
-    filters = bloom.build(prints.select("key"), lambda b: [b.column(0).to_numpy().astype(np.uint64)], segments)
-    flagged = bloom.maybe_twice(prints, "key", filters, segments, "again")
-    flagged = stage(flagged, "flagged")
-    sizes = flagged.filter("again").groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return flagged, stage(sizes, "groups")
+    return stage(bloom.build(prints.select("key"), lambda b: [b.column(0).to_numpy().astype(np.uint64)], segments), "filter"), segments
+
+
+def _groups(again: DataFrame) -> DataFrame:
+    """For each hash of the rows that may be repeated its largest id and its size."""
+    return stage(again.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
 
 
 def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = 1 << 25) -> DataFrame:
     """A row for each row of df: doc_id, keep_id, group_size, kept, text_sha256."""
-    flagged, sizes = groups(fingerprints(df, id_col, text_col), most_bytes)
+    prints = fingerprints(df, id_col, text_col)
+    flagged = stage(bloom.maybe_twice(prints, "key", *_filter(prints, most_bytes), "again"), "flagged")
+    sizes = _groups(flagged.filter("again"))
     alone = flagged.filter(~F.col("again")).select("doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     again = flagged.filter("again").select("doc_id", "sha").join(sizes, "sha").select("doc_id", "sha", "keep_id", "group_size")
     return alone.unionByName(again).select(
@@ -48,10 +51,13 @@ def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most
 
 def unique(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = 1 << 25) -> DataFrame:
     """df without rows whose text another row with a larger id has; of rows equal in id and text one stays."""
-    _, sizes = groups(fingerprints(df, id_col, text_col), most_bytes)
-    repeats = sizes.filter("group_size > 1").select(F.col("sha").alias("_sha"), F.col("keep_id").alias("_keep"))
-    marked = df.withColumn("_sha256", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
-    marked = marked.join(repeats, F.col("_sha256") == F.col("_sha"), "left")
-    alone = marked.filter(F.col("_sha").isNull())
-    first = marked.filter(F.col("_sha").isNotNull() & F.col(id_col).cast("long").eqNullSafe(F.col("_keep"))).dropDuplicates(["_sha256"])
-    return alone.unionByName(first).select(*(F.col(f"`{c}`") for c in df.columns))
+    prints = fingerprints(df, id_col, text_col)
+    filters, segments = _filter(prints, most_bytes)
+    sizes = _groups(bloom.maybe_twice(prints, "key", filters, segments, "again").filter("again"))
+    keyed = df.withColumn("_sha", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))).withColumn("_key", F.xxhash64("_sha"))
+    flagged = bloom.maybe_twice(keyed, "_key", filters, segments, "_again")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    alone = flagged.filter(~F.col("_again")).select(*columns)
+    again = flagged.filter("_again").join(sizes.select(F.col("sha").alias("_sha"), F.col("keep_id").alias("_keep")), "_sha")
+    first = again.filter(F.col(id_col).cast("long").eqNullSafe(F.col("_keep"))).dropDuplicates(["_sha"])
+    return alone.unionByName(first.select(*columns))
