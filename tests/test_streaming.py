@@ -51,7 +51,7 @@ def test_claims(spark, sf_dir, tmp_path):
 
 
 def test_stability(spark, sf_dir, tmp_path):
-    scans = corpus.scans(reader(spark, sf_dir))
+    scans = corpus.scans(reader(spark, sf_dir)).filter(F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(12)) == 0)  # the state costs a call for each key
     got = replay(spark, scans, "scan_no", tmp_path, S.stable_files, "append")
     assert sorted(got) == sorted((r["path"], r["scan_no"], r["size"], r["modified_secs"]) for r in I.stable(scans).filter("stable").collect())
 
