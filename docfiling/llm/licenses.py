@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 #: label | keyword | names, as regular expressions over words.  Longer, more exact names stand first.
+#: Every text that a name fits has a word that starts with its keyword.
 NAMES = """
 agpl-3|affero|gnu affero general public license(?: version 3| v3)?
 agpl-3|agpl|agpl(?: ?v?3)?(?: 0)?
@@ -37,10 +38,12 @@ apache-1|apache|apache (?:software )?license(?: version)? 1 0
 mit|mit|(?:the )?mit licen[cs]e
 mit|expat|expat licen[cs]e
 isc|isc|isc licen[cs]e
-bsd-2|bsd|(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)(?: licen[cs]e)?
+bsd-2|bsd|(?:simplified bsd|bsd 2 clause|2 clause bsd)(?: licen[cs]e)?
+bsd-2|freebsd|freebsd(?: licen[cs]e)?
 bsd-3|bsd|(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd)(?: licen[cs]e)?
 bsd-4|bsd|(?:original bsd|bsd 4 clause|4 clause bsd)(?: licen[cs]e)?
-0bsd|bsd|(?:zero clause bsd|bsd zero clause|0bsd)(?: licen[cs]e)?
+0bsd|bsd|(?:zero clause bsd|bsd zero clause)(?: licen[cs]e)?
+0bsd|0bsd|0bsd(?: licen[cs]e)?
 bsd|bsd|bsd(?: style)? licen[cs]e
 mpl-2|mozilla|mozilla public license(?: version| v)? 2(?: 0)?
 mpl-1.1|mozilla|mozilla public license(?: version| v)? 1 1
@@ -60,7 +63,8 @@ zlib|zlib|zlib(?: libpng)? license
 libpng|libpng|libpng license
 openssl|openssl|openssl license
 php-3|php|php license(?: version)?(?: 3 01?)?
-python-2|python|(?:python software foundation|psf) license(?: version)?(?: 2)?
+python-2|python|python software foundation license(?: version)?(?: 2)?
+python-2|psf|psf license(?: version)?(?: 2)?
 ruby|ruby|ruby license
 postgresql|postgresql|postgresql license
 unlicense|unlicense|(?:the )?unlicense
@@ -99,9 +103,10 @@ FORMS = [
     ("{}", 10, 0.6),
 ]
 
+#: Fits every text that a name or a phrase fits; between its words there is whatever keeps words apart.
 GATE = (
-    "licen[cs]|apache|copyright|spdx|gpl|bsd|mozilla|eclipse|cddl|cecill|artistic|zlib|openssl|wtfpl|cc0|creative commons|unlicense|"
-    "public domain|rights reserved|(?:^|[^0-9a-z])cc[^0-9a-z]+by|(?:^|[^0-9a-z])(?:mpl|ofl|expat)(?:[^0-9a-z]|$)|what the"
+    "licen[cs]|apache|copyright|spdx|gpl|bsd|mozilla|eclipse|cddl|cecill|artistic|zlib|openssl|wtfpl|cc0|creative[^0-9a-z]+commons|unlicense|"
+    "public[^0-9a-z]+domain|rights[^0-9a-z]+reserved|(?:^|[^0-9a-z])cc[^0-9a-z]+by|(?:^|[^0-9a-z])(?:mpl|ofl|expat)(?:[^0-9a-z]|$)|what the"
 )
 _APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 

@@ -306,6 +306,50 @@ def test_licenses(spark, sf_dir):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def examples(parsed):
+    """Every text that a parsed regular expression fits; one letter for a repeated class."""
+    texts = [""]
+    for op, av in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            found = [chr(av)]
+        elif op == "IN":
+            found = [chr(c) for kind, v in av for c in ([v] if str(kind) == "LITERAL" else [v[0]])]
+        elif op == "BRANCH":
+            found = [x for branch in av[1] for x in examples(branch)]
+        elif op == "SUBPATTERN":
+            found = examples(av[3])
+        else:
+            assert op == "MAX_REPEAT", op
+            found = ([""] if av[0] == 0 else []) + examples(av[2])
+        texts = [a + b for a in texts for b in found]
+    return texts
+
+
+def brute_licenses(text, rules):
+    """All rules run over all words, without gate or keywords."""
+    w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if x]
+    line = f" {' '.join(w)} "
+    found = []
+    for label, pattern, priority in rules:
+        for m in pattern.finditer(line):
+            start = line[: m.start()].count(" ") - 1
+            found.append((label, start, start + m[0].count(" ") + 1, priority))
+    hides = lambda e, d: e[1] <= d[1] and e[2] >= d[2] and (e[3] > d[3] or (e[3] == d[3] and e[2] - e[1] > d[2] - d[1]))
+    return sorted(d for d in found if not any(hides(e, d) for e in found))
+
+
+def test_licenses_prefilters(spark):
+    rules = [(label, re.compile(pattern), priority) for label, _, pattern, priority, _ in licenses.rules()]
+    names = [(line.split("|", 2)[0], x) for line in licenses.NAMES for x in examples(re._parser.parse(line.split("|", 2)[2]))]
+    texts = [x.replace(" ", apart) for _, x in names for apart in (" ", "\n", " - ")]
+    texts += ["SPDX-License-Identifier: 0BSD", "Creative\nCommons Attribution", "public-domain", "All rights\nreserved", "See the FreeBSD-licence", "under the PSF\tlicense", "PUBLIC\u00a0DOMAIN", "publicdomain"]
+    want = [brute_licenses(t, rules) for t in texts]
+    assert all(label in {d[0] for d in w} for (label, x), w in zip(names, want[: 3 * len(names) : 3], strict=True))
+    got = {r["doc_id"]: sorted((d["label"], d["start"], d["end"], d["priority"]) for d in r["detections"]) for r in licenses.scan(frame(spark, list(enumerate(texts)))).collect()}
+    assert [(t, got[k]) for k, t in enumerate(texts)] == list(zip(texts, want, strict=True))
+
+
 def brute_passages(rows, window=35):
     seen = Counter(tuple(w[i : i + window]) for _, t in rows for w in [words(t)] for i in range(len(w) - window + 1))
     out = []
