@@ -1,7 +1,7 @@
 """URL filter by rules and link-graph propagation, in DataFrame functions only.
 
 Rules of host and path decide what they fit.  For all other pages, trust flows from the hosts of allowed pages along
-host edges, and distrust from the hosts of blocked pages against them (personalised PageRank each); a host whose
+host edges, and distrust from the hosts of blocked pages against them (personalised PageRank each, until it has settled); a host whose
 distrust outweighs its trust is blocked.  Host edges are the links in the pages' HTML, counted by pair of hosts, and
 those of a host to its parent domain and back.
 
@@ -25,6 +25,7 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
+ROUNDS_TOGETHER = 8
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -56,21 +57,31 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(tree).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """kind, host, rank after some rounds; seeds: kind, host, seed (adding up to 1 for a kind).
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = 1e-6, damping: float = 0.85) -> DataFrame:
+    """kind, host, rank, as settled; seeds: kind, host, seed (adding up to 1 for a kind).
 
-    Edges: kind, src, dst, share (adding up to 1 for a kind and src).  Each round is one join and one sum and is written to
-    the shared folder, so lost executors cost a round at most.
+    Edges: kind, src, dst, share (adding up to 1 for a kind and src).  Rounds go on until none changes a rank by more than
+    tolerance times itself, so no host is newly reached either (ranks below 1e-300 count as none).  Each round is one join
+    and one sum; some rounds are written to the shared folder together, so lost executors cost these at most.
     """
+    seeds = seeds.select("kind", "host", "seed")
+    ends = edges.select("kind", F.col("src").alias("host")).unionByName(edges.select("kind", F.col("dst").alias("host")))
+    own = ends.withColumn("seed", F.lit(0.0)).unionByName(seeds).groupBy("kind", "host").agg(F.sum("seed").alias("seed"))
+    # a step of each host to itself carries its seed and its rank before
+    own = own.select("kind", F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(0.0).alias("share"), F.lit(1.0).alias("keep"), ((1 - damping) * F.col("seed")).alias("base"))
+    steps = stage(edges.select("kind", "src", "dst", (damping * F.col("share")).alias("share"), F.lit(0.0).alias("keep"), F.lit(0.0).alias("base")).unionByName(own), "steps")
     rank = seeds.select("kind", "host", F.col("seed").alias("rank"))
-    for _ in range(rounds):
-        flow = edges.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (damping * F.col("share") * F.col("rank")).alias("r"))
-        base = seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("r"))
-        rank = stage(flow.unionByName(base).groupBy("kind", "host").agg(F.sum("r").alias("rank")), "rank")
-    return rank
+    while True:
+        for _ in range(ROUNDS_TOGETHER):
+            flow = rank.select("kind", F.col("host").alias("src"), "rank").join(steps, ["kind", "src"])
+            flow = flow.select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") + F.col("base")).alias("r"), (F.col("rank") * F.col("keep")).alias("b"))
+            rank = flow.groupBy("kind", "host").agg(F.sum("r").alias("rank"), F.sum("b").alias("before"))
+        rank = stage(rank, "rank")
+        if rank.filter(F.abs(F.col("rank") - F.col("before")) > tolerance * F.col("rank") + 1e-300).isEmpty():
+            return rank.select("kind", "host", "rank")
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, rounds: int = 10, damping: float = 0.85, ratio: float = 1.0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, tolerance: float = 1e-6, damping: float = 0.85, ratio: float = 1.0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for each row of pages.
 
     A page without a rule is blocked if its host's distrust exceeds ratio times its trust.
@@ -93,7 +104,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, rounds:
     sizes = {r["kind"]: r["n"] for r in seeds.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     share = F.when(F.col("kind") == "trust", F.col("n") / max(1, sizes.get("trust", 0))).otherwise(F.col("n") / max(1, sizes.get("distrust", 0)))
     seeds = stage(seeds.select("kind", "host", share.alias("seed")), "seeds")
-    rank = propagate(both, seeds, rounds, damping)
+    rank = propagate(both, seeds, tolerance, damping)
     of_host = rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))).alias("distrust"))
     of_host = stage(of_host, "hosts")
     out = seen.select("page_id", "host", "path", "rule", "by_rule").join(of_host, "host", "left").fillna(0.0, ["trust", "distrust"])

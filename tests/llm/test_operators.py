@@ -431,3 +431,16 @@ def test_url_filter(spark, sf_dir):
         got = url_filter.judged(pages_).collect()
         assert sorted(str((str(r["page_id"]), r["host"], r["path"], r["rule"], r["verdict"])) for r in got) == brute_hosts(rows, url_filter.RULES)
     assert url_filter.judged(df.limit(0)).count() == 0
+
+
+def test_url_filter_far(spark):
+    """Hosts of chains of 15 to a blocked host, one of them trusted at its start, and a two-way ring, against a converged brute force."""
+    to = lambda host: f'<a href="http://{host}/">'
+    rows = [(k, f"http://c{k}.org/", to(f"c{k + 1}.org" if k < 14 else "bad.net")) for k in range(15)]
+    rows += [(20 + k, f"http://d{k}.org/", to(f"d{k + 1}.org" if k < 14 else "bad.net")) for k in range(15)]
+    rows += [(40 + k, f"http://e{k}.org/", to(f"e{(k + 1) % 20}.org") + to(f"e{(k + 19) % 20}.org")) for k in range(20)]
+    rows += [(70, "http://good.com/", to("d0.org") + to("e0.org")), (71, "http://bad.net/fr/", ""), (72, "http://e9.org/", to("bad.net"))]
+    got = url_filter.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(str((str(r["page_id"]), r["host"], r["path"], r["rule"], r["verdict"])) for r in got) == brute_hosts(rows, url_filter.RULES, rounds=400)
+    verdict = {r["page_id"]: r["verdict"] for r in got}
+    assert {verdict[k] for k in range(15)} == {"block"} and {verdict[20], verdict[34]} == {"allow", "block"}
