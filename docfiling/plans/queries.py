@@ -397,7 +397,7 @@ def a09_origins(t):
 
 
 def _decided(t) -> DataFrame:
-    files = C.scans(t).filter("scan_no % 2 = 0").select(F.concat_ws("#", "path", F.col("scan_no").cast("string")).alias("key"), F.col("path").alias("relative_path"), "modified_secs")
+    files = C.scans(t).select(F.concat_ws("#", "path", F.col("scan_no").cast("string")).alias("key"), F.col("path").alias("relative_path"), "modified_secs")
     n = F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(6))
     claims = files.filter(n < 2).select("key", F.when(n == 0, "m1").otherwise("m2").alias("machine_id"), F.when(F.col("modified_secs") % 2 == 0, "done").otherwise("claimed").alias("state"))
     origins = files.filter(n.isin(2, 3)).select("key", F.when(n == 2, "m1").otherwise("m2").alias("machine_id"))
