@@ -115,12 +115,20 @@ def latency(scored: DataFrame) -> DataFrame:
 
 
 # E11
+def _named(scored: DataFrame) -> DataFrame:
+    return scored.filter(F.col("ready") & F.col("date_correct").isNotNull())
+
+
 def date_when_named(scored: DataFrame) -> DataFrame:
-    """pipeline, rate, n, wrong (files) among ready rows with a date flag; rate 1 without any."""
-    named = scored.filter(F.col("ready") & F.col("date_correct").isNotNull())
-    found = named.groupBy("pipeline").agg(F.count_if("date_correct").alias("good"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(~F.col("date_correct"), F.col("file")))).alias("wrong"))
+    """pipeline, rate, n, n_wrong among ready rows with a date flag; rate 1 without any."""
+    found = _named(scored).groupBy("pipeline").agg(F.count_if("date_correct").alias("good"), F.count("*").alias("n"), F.count_if(~F.col("date_correct")).alias("n_wrong"))
     df = scored.select("pipeline").distinct().join(found, "pipeline", "left")
-    return df.select("pipeline", F.coalesce(F.col("good") / F.col("n"), F.lit(1.0)).alias("rate"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("wrong", F.array().cast("array<string>")).alias("wrong"))
+    return df.select("pipeline", F.coalesce(F.col("good") / F.col("n"), F.lit(1.0)).alias("rate"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_wrong", F.lit(0)).alias("n_wrong"))
+
+
+def wrong_when_named(scored: DataFrame) -> DataFrame:
+    """pipeline, file of the rows that date_when_named counts as wrong."""
+    return _named(scored).filter(~F.col("date_correct")).select("pipeline", "file")
 
 
 # E12

@@ -103,7 +103,7 @@ def per_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], check
 # C05
 def evaluate(results: DataFrame, gold: DataFrame) -> dict[str, DataFrame]:
     scored = E.scores(results, gold)
-    return {"records": scored, "flags": E.by_flag(scored), "review": E.review_rate(scored), "latency": E.latency(scored), "named": E.date_when_named(scored), "failures": E.gate_failures(scored)}
+    return {"records": scored, "flags": E.by_flag(scored), "review": E.review_rate(scored), "latency": E.latency(scored), "named": E.date_when_named(scored), "named_wrong": E.wrong_when_named(scored), "failures": E.gate_failures(scored)}
 
 
 # X18

@@ -239,7 +239,7 @@ def e10_latency(t):
 
 @query
 def e11_named(t):
-    return E.date_when_named(_scored(t)).select("pipeline", F.round("rate", 6).alias("rate"), "n", F.size("wrong").cast("long").alias("n_wrong"))
+    return E.date_when_named(_scored(t)).select("pipeline", F.round("rate", 6).alias("rate"), "n", "n_wrong")
 
 
 @query
