@@ -3,16 +3,20 @@
 Texts are cut by the tokenizer's pattern; the distinct pieces of a batch that are new are sorted into buckets by their
 length in bytes, each bucket one matrix of token ids padded at the right.  In every round each row looks all its
 neighbouring pairs up in a hash table, merges its leftmost pair of the least rank, and is compacted; rows without a
-pair leave the matrix.  Pieces that are tokens themselves need no merging, as in tiktoken.
+pair leave the matrix.  A piece of over LONG bytes (a text of one endless word) takes its merges in the same order from a
+heap instead, as one round a merge over the whole row would cost the square of its length.  Pieces that are tokens
+themselves need no merging, as in tiktoken.
 
 Edge cases: a null or empty text has no tokens and decodes to no bytes.  A null list of ids decodes as an empty one.
 Ids that the vocabulary lacks raise ValueError.  Only the id and the text are read, so no further column can clash.
-Very long texts are cut as a whole; memory follows the longest text and the bounded cache of pieces.
+Very long texts are cut as a whole; memory follows the longest text and the cache of pieces, which is bounded in
+bytes and ends with its task.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -23,9 +27,17 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces whose ids a worker keeps; beyond that it starts anew.
-CACHE_PIECES = 600_000
-MATRIX_CELLS = 1 << 20
+from .common import chunks
+
+#: Bytes, about, of the pieces and ids that a task keeps; beyond that it starts anew.
+CACHE_BYTES = 48 << 20
+#: What a piece takes in the cache beside its characters and ids.
+PIECE_BYTES = 220
+#: Bytes of text that are encoded together.
+BATCH_BYTES = 1 << 19
+MATRIX_CELLS = 1 << 19
+#: Bytes from which a piece is merged by a heap.
+LONG = 2048
 #: White space beside a blank.
 _BESIDE = re.compile(r" \s|\s ").search
 
@@ -105,8 +117,25 @@ def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.n
     return flat[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])], ends
 
 
+class Decoder:
+    """Decodes by one vocabulary."""
+
+    def __init__(self, path: str):
+        tokens = read_ranks(path)
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.raw = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All bytes of texts whose ids begin at ends (one longer), and where each text's bytes begin (one longer)."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size)):
+            raise ValueError("an id that the vocabulary lacks")
+        raw, at = _gather(self.raw, self.start[ids], self.size[ids])
+        return raw, at[ends]
+
+
 class Codec:
-    """Encodes and decodes by one vocabulary."""
+    """Encodes by one vocabulary."""
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -116,14 +145,11 @@ class Codec:
         self.cut = regex.compile(pattern).findall
         self.pairs = PairTable(self.tokens)
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
-        self.token_size = np.array([len(t) for t in self.tokens], np.int64)
-        self.token_start = np.cumsum(self.token_size) - self.token_size
-        self.token_bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         """Empty cache: numbers of units that begin a text or follow a blank; by number where a unit's ids start in `flat`, and how many they are."""
-        self.count, self.fresh = 0, []
+        self.count, self.fresh, self.used = 0, [], 0
         self.bare, self.spaced = _Numbers(self, ""), _Numbers(self, " ")
         self.flat, self.start, self.size = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
@@ -166,17 +192,45 @@ class Codec:
             ranks[off, best[off]] = none
         return np.concatenate(rows), np.concatenate(sizes), np.concatenate(flat)
 
+    def _merge_long(self, raw: bytes) -> list[int]:
+        """Ids of one long piece: the leftmost pair of the least rank is merged first, as in a matrix."""
+        none, tokens, rank_of, n = self.pairs.none, self.tokens, self.rank.get, len(raw)
+        ids = self.byte[np.frombuffer(raw, np.uint8)]
+        ranks = [*self.pairs(ids[:-1], ids[1:]).tolist(), none]
+        ids, before, after = ids.tolist(), list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, k) for k, r in enumerate(ranks) if r != none]
+        heapq.heapify(heap)
+        while heap:
+            r, k = heapq.heappop(heap)
+            if ranks[k] != r:
+                continue
+            gone = after[k]
+            ids[k], ids[gone], ranks[gone] = r, -1, none
+            after[k] = after[gone]
+            if after[k] < n:
+                before[after[k]] = k
+            for a in (before[k], k):
+                b = after[a] if a >= 0 else n
+                if a >= 0:
+                    ranks[a] = none if b >= n else rank_of(tokens[ids[a]] + tokens[ids[b]], none)
+                    if ranks[a] != none:
+                        heapq.heappush(heap, (ranks[a], a))
+        return [x for x in ids if x >= 0]
+
     def _ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids of distinct pieces; by piece where they start, and how many they are."""
         size, start, flat = np.ones(len(pieces), np.int64), np.zeros(len(pieces), np.int64), [np.zeros(0, np.int32)]
         length = 0
         whole: list[tuple[int, int]] = []
+        long: list[tuple[int, list[int]]] = []
         buckets: dict[int, list[tuple[int, bytes]]] = {}
         for k, piece in enumerate(pieces):
             raw = piece.encode()
             token = self.rank.get(raw)
             if token is not None:
                 whole.append((k, token))
+            elif len(raw) > LONG:
+                long.append((k, self._merge_long(raw)))
             else:
                 buckets.setdefault((len(raw) - 1).bit_length(), []).append((k, raw))
         if whole:
@@ -184,6 +238,10 @@ class Codec:
             start[k] = np.arange(len(k))
             flat.append(tokens.astype(np.int32))
             length = len(k)
+        for k, ids in long:
+            size[k], start[k] = len(ids), length
+            flat.append(np.array(ids, np.int32))
+            length += len(ids)
         for found in buckets.values():
             step = max(1, MATRIX_CELLS // max(len(raw) for _, raw in found))
             for a in range(0, len(found), step):
@@ -207,6 +265,7 @@ class Codec:
         flat, start, size = self._ids_of(list(number))
         ids, ends = _gather(flat, start[order], size[order])
         ends = ends[np.cumsum([0, *map(len, pieces)])]
+        self.used += PIECE_BYTES * len(units) + sum(map(len, units)) + 4 * len(ids)
         self.start, self.size, self.flat = np.concatenate([self.start, len(self.flat) + ends[:-1]]), np.concatenate([self.size, np.diff(ends)]), np.concatenate([self.flat, ids])
 
     def _numbers(self, text: str) -> np.ndarray:
@@ -223,8 +282,8 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and where each text's begin (one longer)."""
-        if self.count > CACHE_PIECES:
-            self._forget()
+        if self.used > CACHE_BYTES:
+            self.forget()
         found = [self._numbers(text) for text in texts]
         if self.fresh:
             self.learn()
@@ -232,15 +291,10 @@ class Codec:
         ids, ends = _gather(self.flat, self.start[unit], self.size[unit])
         return ids, ends[np.cumsum([0, *map(len, found)])]
 
-    def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All bytes of texts whose ids begin at ends (one longer), and where each text's bytes begin (one longer)."""
-        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.tokens)):
-            raise ValueError("an id that the vocabulary lacks")
-        raw, at = _gather(self.token_bytes, self.token_start[ids], self.token_size[ids])
-        return raw, at[ends]
-
 
+#: The worker's vocabularies, without what tasks cache.
 _codecs: dict[tuple[str, str], Codec] = {}
+_decoders: dict[str, Decoder] = {}
 
 
 def _codec(name: str, pattern: str) -> Codec:
@@ -250,6 +304,12 @@ def _codec(name: str, pattern: str) -> Codec:
     return _codecs[key]
 
 
+def _decoder(name: str) -> Decoder:
+    if name not in _decoders:
+        _decoders[name] = Decoder(SparkFiles.get(name))
+    return _decoders[name]
+
+
 def _file(df: DataFrame, path: str) -> str:
     """Send the vocabulary to the executors; its name there."""
     df.sparkSession.sparkContext.addFile(path)
@@ -262,12 +322,15 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name, pattern)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 200):
-                part = batch.slice(a, 200)
-                ids, ends = codec.encode([x or "" for x in part.column(1).to_pylist()])
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "ids"])
+        try:
+            for batch in batches:
+                for a, b, _, _ in chunks(batch.column(1), BATCH_BYTES):
+                    part = batch.slice(a, b - a)
+                    ids, ends = codec.encode([x or "" for x in part.column(1).to_pylist()])
+                    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+                    yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "ids"])
+        finally:
+            codec.forget()  # the worker may be used for other stages
 
     return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
@@ -277,13 +340,13 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     name, kind = _file(df, path), df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(name, ".")
+        decoder = _decoder(name)
         for batch in batches:
             for a in range(0, batch.num_rows, 200):
                 part = batch.slice(a, 200)
                 lists = part.column(1).fill_null([]) if part.column(1).null_count else part.column(1)
                 ends = lists.offsets.to_numpy()
-                raw, at = codec.decode(lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], ends - ends[0])
+                raw, at = decoder.decode(lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], ends - ends[0])
                 texts = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], names=["id", "ids", "decoded"])
 
