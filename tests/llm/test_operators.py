@@ -103,7 +103,15 @@ def test_near_dedup(spark, small):
         for j in rng.sample(range(100), rng.randint(1, 4)):
             w[j] = f"edit{k}x{j}" if j % 2 else "same"
         crowd.append((300 + k, " ".join(w)))
-    for df, rows in [*both(spark, small), (frame(spark, planted), planted), (frame(spark, crowd), crowd)]:
+    base, bulk = [f"b{j}" for j in range(80)], []
+    for k in range(120):  # one base with one to six random edits each: some share an edit, most are apart from each other
+        w = list(base)
+        for j in rng.sample(range(80), 1 + k % 6):
+            w[j] = f"new{rng.randint(0, 2)}at{j}"
+        bulk.append((500 + k, " ".join(w)))
+    chain = [(700 + k, " ".join(f"c{j}" for j in range(3 * k, 120 - 2 * k))) for k in range(16)]  # cut at both ends, each a little more
+    shared = [(5, PROSE), (5, PROSE + " more"), (5, MANY), (6, MANY + " x"), (5, PROSE)]  # an id of several texts
+    for df, rows in [*both(spark, small), *((frame(spark, x), x) for x in (planted, crowd, bulk, chain, shared))]:
         got = near_dedup.groups(df, percent=85).collect()
         assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute_groups(rows, 85)
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["component_id"] is not None)
@@ -112,6 +120,13 @@ def test_near_dedup(spark, small):
     assert kept.columns == frame(spark, []).columns
     # blank rows and singles stay, one id of each group stays
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 5, 6, None, 9, 10, 11, 13]))
+    # rows that repeat an id, or share it with another text, and columns named as those used inside
+    repeats = frame(spark, [(5, PROSE), (5, PROSE), (5, MANY), (6, PROSE), (7, MANY + " x"), (None, "a b c"), (None, "a b c"), (8, ""), (8, "")])
+    repeats = repeats.withColumns({c: F.lit(3) for c in ("_dropped", "a", "first", "set_hash", "kept", "component")})
+    left = near_dedup.unique(repeats, percent=85)
+    assert left.columns == repeats.columns
+    assert sorted(f"{r['doc_id']} {r['text'][:5]}" for r in left.collect()) == ["5 the q", "5 word0", "8 ", "8 ", "None a b c"]
+    assert {r["_dropped"] for r in left.collect()} == {3} and near_dedup.unique(frame(spark, [])).count() == 0
 
 
 def brute_hits(rows, items, window=10):
