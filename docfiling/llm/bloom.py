@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, small_batches
+
 SEGMENT_BITS = 65536
 SCHEMA = "seg int, once binary, twice binary"
 
@@ -61,6 +63,8 @@ def build(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterable[np.ndarray
     Each task counts its own keys in at most 64 MiB, sends its non-empty segments, and these are merged as they arrive.
     """
 
+    small_batches(df)
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(segments)
         for batch in batches:
@@ -92,9 +96,10 @@ def maybe_twice(df: DataFrame, key: str, filters: DataFrame, segments: int, flag
     one = F.shiftrightunsigned(k, 16).bitwiseAND(F.lit(0xFFFF))
     two = F.shiftrightunsigned(k, 32).bitwiseAND(F.lit(0xFFFF))
     two = F.when(two == one, F.pmod(two + 1, F.lit(65536))).otherwise(two)
-    narrow = filters.select(F.col("seg").alias("_seg"), F.col("twice").alias("_bits"))
-    joined = df.withColumn("_at", k.bitwiseAND(F.lit(segments - 1)).cast("int")).join(F.broadcast(narrow), F.col("_at") == F.col("_seg"), "left")
-    return joined.withColumn(flag, test_bit(F.col("_bits"), one) & test_bit(F.col("_bits"), two)).drop("_at", "_seg", "_bits")
+    at, bits = free_name("at"), free_name("bits")
+    narrow = filters.select(F.col("seg").alias(at), F.col("twice").alias(bits))
+    joined = df.withColumn(at, k.bitwiseAND(F.lit(segments - 1)).cast("int")).join(F.broadcast(narrow), at, "left")
+    return joined.withColumn(flag, test_bit(F.col(bits), one) & test_bit(F.col(bits), two)).drop(at, bits)
 
 
 class Probe:

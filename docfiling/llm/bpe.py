@@ -27,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, small_batches
 
 #: Bytes, about, of the pieces and ids that a task keeps; beyond that it starts anew.
 CACHE_BYTES = 48 << 20
@@ -312,6 +312,7 @@ def _decoder(name: str) -> Decoder:
 
 def _file(df: DataFrame, path: str) -> str:
     """Send the vocabulary to the executors; its name there."""
+    small_batches(df)
     df.sparkSession.sparkContext.addFile(path)
     return path.rsplit("/", 1)[-1]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,30 +15,54 @@ from pyspark.sql import functions as F
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: First surrogate id.  Rows without an id get one above it, so that a real id is always the smaller.
 SURROGATE = 1 << 62
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs on one machine (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
-    found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    found = tempfile.mkdtemp(prefix="spark-")
+    spark.sparkContext.setCheckpointDir(found)
     return found
 
 
 def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    The tables live beside the checkpoints and go with them.
+    The tables live beside the checkpoints and go with them, or by `release`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def release(*staged: DataFrame) -> None:
+    """Delete staged tables; for those that nothing reads any more, as what was made of them is staged itself."""
+    for df in staged:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def small_batches(df: DataFrame, most: int = 4 << 20) -> None:
+    """Hand rows to Python in batches of about 4 MiB, unless the session sets spark.sql.execution.arrow.maxBytesPerBatch itself.
+
+    Spark's own limit is 64 MiB, which a stage of several Python operators holds several times over.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(most))
+
+
+def free_name(name: str) -> str:
+    """A column name that no input has."""
+    return f"{name}_{uuid.uuid4().hex}"
 
 
 def row_id(id_col: str, text_col: str) -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN, binary
+from .common import PLAIN, binary, small_batches
 
 #: Bytes to lower-case letters and digits, all else to blanks.
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if (PLAIN[b] or 65 <= b <= 90) else 32 for b in range(256))
@@ -173,6 +173,7 @@ MATCH = "key long, n_words long, starts array<int>, ends array<int>, items array
 
 def _scan(df: DataFrame, automaton) -> DataFrame:
     """For each row of key, text: its words, hit spans and items."""
+    small_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = automaton.value.scan
@@ -237,6 +238,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_coverage
     its bytes; removal can't join two words, as a blank takes the span's place.  n_chars, if there, is set anew.
     """
     parts = automata(benchmark, window, shard_words=shard_words)
+    small_batches(docs)
     names = docs.columns
     schema = docs.schema
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import slot_count, stage
+from .common import free_name, slot_count, stage
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -54,10 +54,11 @@ def unique(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_b
     prints = fingerprints(df, id_col, text_col)
     filters, segments = _filter(prints, most_bytes)
     sizes = _groups(bloom.maybe_twice(prints, "key", filters, segments, "again").filter("again"))
-    keyed = df.withColumn("_sha", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))).withColumn("_key", F.xxhash64("_sha"))
-    flagged = bloom.maybe_twice(keyed, "_key", filters, segments, "_again")
+    sha, key, twice, keep = map(free_name, ("sha", "key", "twice", "keep"))
+    keyed = df.withColumn(sha, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))).withColumn(key, F.xxhash64(sha))
+    flagged = bloom.maybe_twice(keyed, key, filters, segments, twice)
     columns = [F.col(f"`{c}`") for c in df.columns]
-    alone = flagged.filter(~F.col("_again")).select(*columns)
-    again = flagged.filter("_again").join(sizes.select(F.col("sha").alias("_sha"), F.col("keep_id").alias("_keep")), "_sha")
-    first = again.filter(F.col(id_col).cast("long").eqNullSafe(F.col("_keep"))).dropDuplicates(["_sha"])
+    alone = flagged.filter(~F.col(twice)).select(*columns)
+    again = flagged.filter(twice).join(sizes.select(F.col("sha").alias(sha), F.col("keep_id").alias(keep)), sha)
+    first = again.filter(F.col(id_col).cast("long").eqNullSafe(F.col(keep))).dropDuplicates([sha])
     return alone.unionByName(first.select(*columns))

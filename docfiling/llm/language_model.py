@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, LOWER, binary, chunks, mix, stage, word_hashes
+from .common import BLANK, LOWER, binary, chunks, mix, small_batches, stage, word_hashes
 
 #: Hash of the token that ends each text; as a history it stands for the text's start.
 END = np.uint64(0x5BD1E9955BD1E995)
@@ -142,6 +142,7 @@ class Automaton:
 def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = 64.0, block_bytes: int = 8 << 20, range_items: int = 2_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of df; bigrams over words."""
     order = 2
+    small_batches(df)
     narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

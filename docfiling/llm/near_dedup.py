@@ -28,7 +28,6 @@ of them.  An empty table gives an empty result.  Further columns are ignored by
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import BLANK, LOWER, SURROGATE, chunks, gram_hashes, mix, real_id, row_id, slot_count, stage, word_hashes
+from .common import BLANK, LOWER, SURROGATE, chunks, free_name, gram_hashes, mix, real_id, row_id, slot_count, small_batches, stage, word_hashes
 from .components import components
 
 _SLOT = np.uint64(0xFFFFFFFF)
@@ -264,6 +263,7 @@ def groups(
     With 24 bands of 5 slots a pair of similarity 0.85 misses all bands once in 1.3 million cases, one of 0.8 once in
     13,700, if slots count as independent.
     """
+    small_batches(df)
     named = df.select(row_id(id_col, text_col).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = stage(features(named.select("rid", "text"), words, bands, rows), "features")
     words_in = found.filter("n > 0")
@@ -292,7 +292,7 @@ def groups(
 def unique(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each group of df: that of the smallest id.  Rows without words are no group and all stay."""
     found = stage(groups(df, id_col, text_col, **options).select("rid", "n_shingles", "kept", "set_hash"), "kept")
-    rid, name = f"rid_{uuid.uuid4().hex}", f"set_{uuid.uuid4().hex}"
+    rid, name = free_name("rid"), free_name("set")
     # what goes is told by id; ids that have rows of both kinds, or more rows than one, are told by text as well
     by_id = found.groupBy("rid").agg(F.count("*").alias("rows"), F.max("kept").alias("some"), F.max("n_shingles").alias("most"))
     repeated = stage(by_id.filter("some and rows > 1 and most > 0").select(F.col("rid").alias(rid)), "repeated")

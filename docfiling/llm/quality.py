@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, SAME, chunks, stage, word_hashes
+from .common import BLANK, SAME, chunks, small_batches, stage, word_hashes
 
 _KINDS = {
     "upper": list(range(65, 91)),
@@ -79,6 +79,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, x (array of WIDTH doubles) for each row."""
+    small_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import BLANK, SAME, binary, chunks, gram_hashes, mix, row_id, slot_count, stage, word_hashes
+from .common import BLANK, SAME, binary, chunks, gram_hashes, mix, row_id, slot_count, small_batches, stage, word_hashes
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -287,6 +287,7 @@ def repeated_windows(df: DataFrame, window: int, gram: int, shard_words: int) ->
 def cleaned(df: DataFrame, window: int = 35, gram: int = 8, id_col: str = "doc_id", text_col: str = "text", shard_words: int = 1_000_000) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space) for each row of df."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    small_batches(df)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), row_id(id_col, text_col).alias("rid"), F.xxhash64(text).alias("tkey"), text.alias("text"))
     runs = repeated_windows(docs.select("rid", "tkey", "text"), window, gram, shard_words)
     joined = docs.join(runs, ["rid", "tkey"], "left").select("doc_id", "text", "runs")
