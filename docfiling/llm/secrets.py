@@ -11,7 +11,7 @@ and rows without an id each get their own row.  An empty table gives an empty re
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -30,26 +30,46 @@ ADDED = {
 KINDS = [*BASE, *ADDED]
 
 
-def spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Array of (start, end, kind, value) of the pattern's matches, in code points.
+def matches(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
+    """Array of a struct for each match of one pass from the left, in order.
 
-    Matches are those of one pass from the left; a match whose value is too short still uses up its characters.  Between
-    two matches lies one piece of the text split by the pattern, so the lengths of both give the places.
+    gap and size are the code points before it (from the match before) and in it, good says whether its value is long
+    enough (and random enough); a match that isn't still uses up its characters.  name is the value's hash, varied says
+    whether it has eight different characters.
     """
-    none = F.array().cast("array<struct<start:int,end:int,kind:int,value:string>>")
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-    steps = F.zip_with(F.arrays_zip(whole.alias("m"), value.alias("v")), F.slice(gaps, 1, F.size(whole)), lambda x, gap: F.struct(gap.alias("gap"), x["m"].alias("m"), x["v"].alias("v")))
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    gaps = F.slice(F.transform(F.split(text, pattern, -1), F.char_length), 1, F.size(whole))
 
-    def step(done: Column, x: Column) -> Column:
-        begin = done["at"] + x["gap"]
-        end = begin + F.char_length(x["m"])
-        found = F.struct(begin.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), x["v"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.char_length(x["v"]) >= least, F.concat(done["out"], F.array(found))).otherwise(done["out"]).alias("out"))
+    def one(x: Column) -> Column:
+        v = x["v"]
+        good = F.char_length(v) >= least
+        if kind == "random":
+            good &= (F.regexp_count(v, F.lit("[0-9]")) >= 3) & v.rlike("[A-Za-z]")
+        varied = F.size(F.array_distinct(F.split(v, ""))) >= 8
+        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["g"].alias("gap"), F.char_length(x["m"]).alias("size"), good.alias("good"), F.when(good, F.sha2(v, 256)).alias("name"), varied.alias("varied"))
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, start, step)["out"]).otherwise(none)
+    found = F.transform(F.arrays_zip(whole.alias("m"), value.alias("v"), gaps.alias("g")), one)
+    none = F.array().cast("array<struct<kind:int,gap:int,size:int,good:boolean,name:string,varied:boolean>>")
+    return F.when(text.rlike(pattern), found).otherwise(none)
+
+
+def _placed(found: DataFrame) -> DataFrame:
+    """row, owner, repository, start, end, kind, name, varied of good matches; of the added kinds those that no base span overlaps.
+
+    Places are running sums over a row's matches, and overlaps are told by running extremes, so that a text with many
+    matches costs a sort of them.
+    """
+    each = found.filter(F.size("all") > 0).select("row", "owner", "repository", F.posexplode("all").alias("pos", "m")).select("row", "owner", "repository", "pos", "m.*")
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row", "kind").orderBy("pos")).cast("int")
+    each = each.withColumn("end", end).withColumn("start", F.col("end") - F.col("size")).filter("good").drop("pos", "gap", "size", "good")
+    base = F.col("kind") < len(BASE)
+    to_here = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    from_here = Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    reach, ahead = F.max(F.when(base, F.col("end"))).over(to_here), F.min(F.when(base, F.col("start"))).over(from_here)
+    each = each.withColumn("reach", reach).withColumn("ahead", ahead)
+    apart = (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.col("ahead").isNull() | (F.col("ahead") >= F.col("end")))
+    return each.filter(base | apart).drop("reach", "ahead")
 
 
 def scan(
@@ -61,30 +81,23 @@ def scan(
     most_owners: int = 1,
     most_repositories: int = 3,
 ) -> DataFrame:
-    """doc_id, base (array of spans), spans (array with the added ones), live, copied (counts of spans) for each row."""
+    """doc_id, base (array of spans), spans (array with the added ones), live, copied (counts of spans) for each row.
+
+    Only the matches' hashes and places shuffle.  A value that very many rows hold is one key of the last join alone, which
+    Spark splits where it is skewed; its owners are counted from partial counts.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     named = df.select(F.col(id_col).cast("long").alias("doc_id"), owner.cast("string").alias("owner"), repository.cast("string").alias("repository"), text.alias("text"))
-    base = F.concat(*(spans(F.col("text"), k, *p) for k, p in BASE.items()))
-    extra = F.concat(*(spans(F.col("text"), k, *p) for k, p in ADDED.items()))
-    found = named.select("doc_id", "owner", "repository", base.alias("base"), extra.alias("extra"))
-    # an added span that a base span overlaps says nothing new; a random word needs digits and letters
-    odd = lambda s: (s["kind"] < KINDS.index("random")) | ((F.regexp_count(s["value"], F.lit("[0-9]")) >= 3) & s["value"].rlike("[A-Za-z]"))
-    apart = lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    found = found.withColumn("extra", F.filter("extra", lambda s: odd(s) & apart(s)))
-    hashed = lambda c: F.transform(
-        c, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("name"), (F.size(F.array_distinct(F.split(s["value"], ""))) >= 8).alias("varied"))
-    )
-    found = found.withColumn("row", F.monotonically_increasing_id()).withColumn("all", F.concat(hashed(F.col("base")), hashed(F.col("extra")))).drop("base", "extra")
-    found = stage(found, "candidates")
-
-    each = found.filter(F.size("all") > 0).select("row", "owner", "repository", F.explode("all").alias("s"))
-    owned = each.select(F.col("s.name").alias("name"), "owner", "repository").distinct().groupBy("name", "owner").agg(F.count("*").alias("repositories"))
+    every = F.concat(*(matches(F.col("text"), k, *p) for k, p in (BASE | ADDED).items()))
+    found = stage(named.select("doc_id", "owner", "repository", F.monotonically_increasing_id().alias("row"), every.alias("all")), "candidates")
+
+    each = stage(_placed(found), "spans")
+    owned = each.select("name", "owner", "repository").distinct().groupBy("name", "owner").agg(F.count("*").alias("repositories"))
     owned = stage(owned.groupBy("name").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories")), "ownership")
-    judged = each.withColumn("name", F.col("s.name")).join(owned, "name")
+    judged = each.drop("repository").join(owned, "name")
     specific = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
-    judged = judged.withColumn("live", specific & F.col("s.varied")).filter((F.col("s.kind") < len(BASE)) | F.col("live"))
-    span = F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"))
-    by_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"), F.count_if("live").alias("live"), F.count_if(~F.col("live")).alias("copied"))
+    judged = judged.withColumn("live", specific & F.col("varied")).filter((F.col("kind") < len(BASE)) | F.col("live"))
+    by_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"), F.count_if("live").alias("live"), F.count_if(~F.col("live")).alias("copied"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     without = found.filter(F.size("all") == 0).select("doc_id", none.alias("spans"), F.lit(0).cast("long").alias("live"), F.lit(0).cast("long").alias("copied"))
     some = found.filter(F.size("all") > 0).select("row", "doc_id").join(by_row, "row", "left")

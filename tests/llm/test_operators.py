@@ -225,13 +225,43 @@ SECRETS = [
 ]
 
 
+def brute_secrets(rows):
+    """(id, spans, live, copied) of rows (id, text, owner, repository): ownership counted over all of them."""
+    each, owners, repositories = [], defaultdict(set), defaultdict(set)
+    for row in rows:
+        found = []
+        for k, (kind, (pattern, group, least)) in enumerate((secrets.BASE | secrets.ADDED).items()):
+            for m in re.finditer(pattern.replace(r"\x20", " "), row[1]):
+                v = m[group]
+                if len(v) >= least and (kind != "random" or (len(re.findall("[0-9]", v)) >= 3 and re.search("[A-Za-z]", v))):
+                    found.append((m.start(), k, m.end(), v))
+        base = [x for x in found if x[1] < 3]
+        found = base + [x for x in found if x[1] >= 3 and not any(b[0] < x[2] and x[0] < b[2] for b in base)]
+        for x in found:
+            owners[x[3]].add(row[2])
+            repositories[x[3]].add((row[2], row[3]))
+        each.append(sorted(found))
+    live = lambda v: len(owners[v]) <= 1 and len(repositories[v]) <= 3 and len(set(v)) >= 8
+    out = []
+    for row, found in zip(rows, each, strict=True):
+        kept = [x for x in found if x[1] < 3 or live(x[3])]
+        text = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b, _ in kept)
+        out.append((row[0], text, sum(live(x[3]) for x in kept), sum(not live(x[3]) for x in kept)))
+    return sorted(out)
+
+
 def test_secrets(spark, sf_dir):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    for df in (frame(spark, SECRETS), docs):
-        rows = [(str(r["doc_id"]), r["text"] or "") for r in df.collect()]
-        got = secrets.scan(df, F.col("source"), F.col("source")).select("doc_id", secrets.as_text(F.col("base")).alias("base"), secrets.as_text(F.col("spans")).alias("spans"), "live", "copied").collect()
-        assert sorted((str(r["doc_id"]), r["base"]) for r in got) == sorted((i, ",".join(base_secrets(t))) for i, t in rows)
-        assert all(set(filter(None, r["base"].split(","))) <= set(r["spans"].split(",")) for r in got)
+    many = [(20, " ".join(sha(str(k % 5000)) + (" token=Ab3" + sha(str(k))[:9] if k % 7 == 0 else "") for k in range(40_000))), (21, " ".join("Zx8" + sha(str(k)).upper()[:40] for k in range(3000)))]
+    wide = frame(spark, [*SECRETS, *((30 + k, "see Zx81kLq09vBn72MmQwErTy55UiOpAs99 there, key ghp_" + sha("x")[:20].upper() + f" and sk_live_{sha(str(k))}") for k in range(7))])
+    for df in (frame(spark, SECRETS), docs, wide):
+        rows = [(str(r["doc_id"]), r["text"] or "", r["source"], f"{r['source']}/{r['lang']}") for r in df.collect()]
+        got = secrets.scan(df, F.col("source"), F.concat_ws("/", "source", "lang")).select("doc_id", secrets.as_text(F.col("base")).alias("base"), secrets.as_text(F.col("spans")).alias("spans"), "live", "copied").collect()
+        assert sorted((str(r["doc_id"]), r["base"]) for r in got) == sorted((r[0], ",".join(base_secrets(r[1]))) for r in rows)
+        assert sorted((str(r["doc_id"]), r["spans"], r["live"], r["copied"]) for r in got) == brute_secrets(rows)
+    for r in secrets.scan(frame(spark, many), F.col("source"), F.col("source")).select("doc_id", secrets.as_text(F.col("base")).alias("base"), "spans").collect():
+        text = dict(many)[r["doc_id"]]
+        assert r["base"] == ",".join(base_secrets(text)) and (r["doc_id"] == 20 or len(r["spans"]) == 3000)
     added = {r["doc_id"]: r["spans"] for r in secrets.scan(frame(spark, SECRETS), F.col("source"), F.col("source")).select("doc_id", secrets.as_text(F.col("spans")).alias("spans")).collect()}
     assert added[9].startswith("jwt:0:") and added[10] == "random:4:36"
     shared = frame(spark, [(k, "see Zx81kLq09vBn72MmQwErTy55UiOpAs31 there password=Aq1zXsW2edC") for k in range(6)])
@@ -253,6 +283,9 @@ def test_exact_dedup(spark, small):
         left = exact_dedup.unique(df)
         assert left.columns == df.columns
         assert sorted((str(r["doc_id"]), r["text"] or "") for r in left.collect()) == sorted((str(top[t]), t) for t in groups)
+    clash = frame(spark, EDGE).withColumns({c: F.lit(9) for c in ("_sha", "_key", "_again", "_at", "_seg", "_bits", "_keep", "sha", "keep_id", "group_size")})
+    left = exact_dedup.unique(clash)
+    assert left.columns == clash.columns and {(r["_sha"], r["_again"], r["sha"]) for r in left.collect()} == {(9, 9, 9)}
     assert exact_dedup.annotate(frame(spark, [])).count() == 0 and exact_dedup.unique(frame(spark, [])).count() == 0
 
 
