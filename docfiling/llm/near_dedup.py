@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import BLANK, LOWER, SURROGATE, chunks, free_name, gram_hashes, mix, real_id, row_id, slot_count, small_batches, stage, word_hashes
+from .common import BLANK, LOWER, SURROGATE, chunks, free_name, gram_hashes, mix, real_id, release, row_id, slot_count, small_batches, stage, word_hashes
 from .components import components
 
 _SLOT = np.uint64(0xFFFFFFFF)
@@ -203,11 +204,10 @@ def _with_component(rows: DataFrame, label: DataFrame, col: str, name: str) -> D
 def _meetings(seen: DataFrame, label: DataFrame) -> DataFrame:
     """meeting, a, weight, comp: the sets of different components that share a difference which matters to both."""
     inside = stage(_with_component(seen, label, "a", "comp"), "inside")
-    ends = inside.groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    ends = _with_component(ends, label, "hub", "own_comp")
-    mixed = stage(ends.filter(F.least("low", "own_comp") != F.greatest("high", "own_comp")).select("hub"), "mixed")
-    each = inside.join(mixed, "hub", "left_semi").select("hub", "a", "comp", "own", F.explode("apart").alias("item"))
-    each = stage(each, "apart")
+    # the hub itself has been compared with all
+    mixed = stage(inside.groupBy("hub").agg((F.min("comp") != F.max("comp")).alias("mixed")).filter("mixed").select("hub"), "mixed")
+    inside = inside.join(mixed, "hub", "left_semi")
+    each = inside.select("hub", "a", "comp", F.explode("apart").alias("item"))
     often = each.groupBy("hub", "item").agg(F.count("*").alias("times"), (F.min("comp") != F.max("comp")).alias("across"))
     place = F.row_number().over(Window.partitionBy("hub", "a").orderBy("times", "item"))
     placed = each.join(often, ["hub", "item"]).withColumn("place", place).filter("across").select("hub", "a", "item", "place")
@@ -222,36 +222,41 @@ def _meetings(seen: DataFrame, label: DataFrame) -> DataFrame:
 
 
 #: Sets of a meeting that are compared with each other; more get a hub.
-FEW = 4
+FEW = 16
 
 
-def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links a, b that make the components of all linked pairs in the buckets (meeting, a, weight)."""
-    links, tried = None, None
+def _linked_components(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, component of all linked pairs in the buckets (meeting, a, weight)."""
+    links, label, tried = [], None, None
+    weights = buckets.select("a", "weight").distinct()
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
     while True:
         # the most central class of each group; the smaller id if two are equally central
         best = F.max(F.struct("weight", (-F.col("a")).alias("minus")))
         hubs = buckets.groupBy("meeting").agg(best.alias("h")).select("meeting", (-F.col("h.minus")).alias("b"))
-        first = stage(buckets.join(hubs, "meeting").filter("a <> b").select("a", "b").distinct(), "first")
+        first = buckets.join(hubs, "meeting").filter("a <> b").select("a", "b").distinct()
         seen = stage(_against_hubs(first, sets, percent), "hubs")
-        found = seen.filter("linked").select("a", F.col("hub").alias("b"))
-        links = found if links is None else links.unionByName(found)
+        links.append(seen.filter("linked").select("a", F.col("hub").alias("b")))
+        if label is None or not links[-1].isEmpty():
+            label = components(union(links))
+        met = stage(_meetings(seen, label), "meetings")
+        if met.isEmpty():
+            return label
         done = seen.select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b"))
         tried = done if tried is None else tried.unionByName(done)
-        label = stage(components(links), "label")
-        met = _meetings(seen, label)
-        met = stage(met, "meetings")
-        sizes = met.groupBy("meeting").agg(F.count("*").alias("size"))
-        large = stage(sizes.filter(F.col("size") > FEW).select("meeting"), "large")
+        large = met.groupBy("meeting").agg(F.count("*").alias("size")).filter(F.col("size") > FEW).select("meeting")
+        large = stage(large, "large")
         few = met.join(large, "meeting", "left_anti").groupBy("meeting").agg(F.sort_array(F.collect_list(F.struct("a", "comp"))).alias("all"))
         pairs = few.select(F.explode(F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, FEW), lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("p"))
         pairs = pairs.filter("p.x.comp <> p.y.comp").select(F.col("p.x.a").alias("a"), F.col("p.y.a").alias("b")).distinct()
         pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(stage(_linked(pairs, sets, percent), "more"))
-        tried = tried.unionByName(pairs)
+        more = stage(_linked(pairs, sets, percent), "more")
+        if not more.isEmpty():
+            links.append(more)
+            label = components(union(links))
         if large.isEmpty():
-            return links
-        weights = buckets.select("a", "weight").distinct()
+            return label
+        tried = tried.unionByName(pairs)
         buckets = stage(met.join(large, "meeting", "left_semi").select("meeting", "a").join(weights, "a"), "groups")
 
 
@@ -279,9 +284,10 @@ def groups(
     buckets = stage(buckets.select("meeting", "a").join(central, "a"), "weighted")
     wanted = buckets.select("a").distinct().join(classes, "a").select("rid").distinct()
     sets = stage(_sets(named.select("rid", "text"), words, wanted, shared), "sets")
-    label = components(_links(buckets, sets, percent))
+    label = _linked_components(buckets, sets, percent)
 
     of_class = stage(_with_component(classes.select("set_hash", "rid", "a"), label, "a", "component"), "of-class")
+    release(buckets, sets, classes, shared)
     least = of_class.groupBy("component").agg(F.min("rid").alias("least"))
     of_class = of_class.join(least, "component").select("set_hash", "least")
     joined = found.select("rid", "n", "set_hash").join(of_class, "set_hash", "left")
