@@ -1,9 +1,10 @@
 """License scan by ordered signature rules, in DataFrame functions only.
 
-A cheap pattern over the text lets only documents with a licence-like word on to the rules.  There each rule's keyword is
-looked for first, and only then its regular expression over the normalised words.  Of overlapping detections one that
-lies within another of higher priority, or of equal priority and greater length, is suppressed.  Base phrases are
-reported in any case.
+Texts become normal words.  One pattern of all keywords lets a few texts on to the rules; there each rule's keyword is
+looked for first, and only then its regular expression, all of them literals of the query that Spark compiles once.  Of overlapping detections one that lies within another of higher
+priority, or of equal priority and greater length, is suppressed.  Base phrases are reported in any case.  Places are
+running sums over a text's matches and containment is told by running extremes of each priority, so that a text with many
+matches costs a sort of them; only matches shuffle.
 
 Edge cases: null texts count as empty and have no labels.  Repeated rows and rows without an id each get their own row.
 An empty table gives an empty result.  Only the id and the text are read.
@@ -11,114 +12,21 @@ An empty table gives an empty result.  Only the id and the text are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stage
+from .license_rules import gate, rules
+
 #: Fixed values of the contract: label of each base phrase.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: label | keyword | names, as regular expressions over words.  Longer, more exact names stand first.
-#: Every text that a name fits has a word that starts with its keyword.
-NAMES = """
-agpl-3|affero|gnu affero general public license(?: version 3| v3)?
-agpl-3|agpl|agpl(?: ?v?3)?(?: 0)?
-lgpl-3|lesser|gnu lesser general public license,? (?:version 3|v3)
-lgpl-2.1|lesser|gnu lesser general public license (?:version 2 1|v2 1)
-lgpl|lesser|(?:gnu )?lesser general public license
-lgpl|lgpl|lgpl(?: ?v?(?:2 1|3))?
-gpl-3|general|gnu general public license (?:version 3|v3)
-gpl-3|gpl|(?:gnu )?gpl ?(?:version |v)?3(?: 0)?
-gpl-2|general|gnu general public license (?:version 2|v2)
-gpl-2|gpl|(?:gnu )?gpl ?(?:version |v)?2(?: 0)?
-gpl|general|(?:gnu )?general public license
-apache-2|apache|apache (?:software )?license(?: version)? 2(?: 0)?
-apache-2|apache|apache 2 0
-apache-1.1|apache|apache (?:software )?license(?: version)? 1 1
-apache-1|apache|apache (?:software )?license(?: version)? 1 0
-mit|mit|(?:the )?mit licen[cs]e
-mit|expat|expat licen[cs]e
-isc|isc|isc licen[cs]e
-bsd-2|bsd|(?:simplified bsd|bsd 2 clause|2 clause bsd)(?: licen[cs]e)?
-bsd-2|freebsd|freebsd(?: licen[cs]e)?
-bsd-3|bsd|(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd)(?: licen[cs]e)?
-bsd-4|bsd|(?:original bsd|bsd 4 clause|4 clause bsd)(?: licen[cs]e)?
-0bsd|bsd|(?:zero clause bsd|bsd zero clause)(?: licen[cs]e)?
-0bsd|0bsd|0bsd(?: licen[cs]e)?
-bsd|bsd|bsd(?: style)? licen[cs]e
-mpl-2|mozilla|mozilla public license(?: version| v)? 2(?: 0)?
-mpl-1.1|mozilla|mozilla public license(?: version| v)? 1 1
-mpl|mpl|mpl(?: [12] [01])?
-epl-2|eclipse|eclipse public license(?: version| v)? 2(?: 0)?
-epl-1|eclipse|eclipse public license(?: version| v)? 1(?: 0)?
-edl-1|eclipse|eclipse distribution license(?: version| v)? 1(?: 0)?
-cddl|cddl|cddl(?: 1 [01])?
-cddl|distribution|common development and distribution license
-cpl-1|common|common public license(?: version)?(?: 1 0)?
-eupl|european|european union public licen[cs]e
-cecill|cecill|cecill(?: [abc])?(?: 2 [01])?
-artistic-2|artistic|artistic license 2(?: 0)?
-artistic|artistic|artistic license
-boost-1|boost|boost software license(?: version)?(?: 1 0)?
-zlib|zlib|zlib(?: libpng)? license
-libpng|libpng|libpng license
-openssl|openssl|openssl license
-php-3|php|php license(?: version)?(?: 3 01?)?
-python-2|python|python software foundation license(?: version)?(?: 2)?
-python-2|psf|psf license(?: version)?(?: 2)?
-ruby|ruby|ruby license
-postgresql|postgresql|postgresql license
-unlicense|unlicense|(?:the )?unlicense
-wtfpl|wtfpl|wtfpl
-wtfpl|want|do what the [a-z]+ you want to public license
-cc0|cc0|cc0(?: 1 0)?(?: universal)?
-cc0|zero|creative commons zero
-cc-by-nc-nd|nd|(?:cc|creative commons) by nc nd(?: [1-4] [05])?
-cc-by-nc-nd|noderivatives|creative commons attribution noncommercial noderivatives(?: [1-4] [05])?
-cc-by-nc-sa|sa|(?:cc|creative commons) by nc sa(?: [1-4] [05])?
-cc-by-nc-sa|sharealike|creative commons attribution noncommercial sharealike(?: [1-4] [05])?
-cc-by-nc|nc|(?:cc|creative commons) by nc(?: [1-4] [05])?
-cc-by-nc|noncommercial|creative commons attribution noncommercial(?: [1-4] [05])?
-cc-by-nd|nd|(?:cc|creative commons) by nd(?: [1-4] [05])?
-cc-by-sa|sa|(?:cc|creative commons) by sa(?: [1-4] [05])?
-cc-by-sa|sharealike|creative commons attribution sharealike(?: [1-4] [05])?
-cc-by|by|(?:cc|creative commons) by(?: [1-4] [05])?
-cc-by|attribution|creative commons attribution(?: [1-4] [05])?
-ofl-1.1|ofl|(?:sil )?ofl(?: 1 1)?
-ofl-1.1|font|(?:sil )?open font license(?: version)?(?: 1 1)?
-odbl|database|open database license
-osl-3|open|open software license(?: version)?(?: 3 0)?
-afl-3|academic|academic free license(?: version)?(?: 3 0)?
-ms-pl|microsoft|microsoft public license
-ms-rl|microsoft|microsoft reciprocal license
-public-domain|domain|public domain
-proprietary|reserved|all rights reserved
-""".strip().splitlines()
-
-#: Ways in which a text names its licence: pattern around the name, priority, confidence.
-FORMS = [
-    ("spdx license identifier {}(?: only| or later)?", 50, 0.99),
-    ("(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?{}", 40, 0.95),
-    ("under the (?:terms (?:and conditions )?of the )?{}", 30, 0.9),
-    ("(?:see|read|subject to|governed by) (?:the )?{}", 20, 0.8),
-    ("{}", 10, 0.6),
-]
-
-#: Fits every text that a name or a phrase fits; between its words there is whatever keeps words apart.
-GATE = (
-    "licen[cs]|apache|copyright|spdx|gpl|bsd|mozilla|eclipse|cddl|cecill|artistic|zlib|openssl|wtfpl|cc0|creative[^0-9a-z]+commons|unlicense|"
-    "public[^0-9a-z]+domain|rights[^0-9a-z]+reserved|(?:^|[^0-9a-z])cc[^0-9a-z]+by|(?:^|[^0-9a-z])(?:mpl|ofl|expat)(?:[^0-9a-z]|$)|what the"
-)
+#: What keeps words apart.
 _APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
-
-def rules() -> list[tuple[str, str, str, int, float]]:
-    """label, keyword, pattern over ' word word ', priority, confidence; every form of every name."""
-    out = []
-    for line in NAMES:
-        label, keyword, name = line.split("|", 2)
-        for form, priority, sure in FORMS:
-            out.append((label, keyword, f"(?<= )(?:{form.format(f'(?:{name})')})(?= )", priority, sure))
-    return out
+#: Priority of the phrases.
+BASE = 99
 
 
 def normal(text: Column) -> Column:
@@ -131,50 +39,51 @@ def _blanks(c: Column) -> Column:
     return F.char_length(c) - F.char_length(F.replace(c, F.lit(" "), F.lit("")))
 
 
-def places(words: Column, pattern: Column) -> Column:
-    """Array of (start, end) in words, end exclusive, of the pattern's matches in a normal text."""
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    whole = F.regexp_extract_all(words, pattern, F.lit(0))
-    gaps = F.transform(F.split(words, pattern, -1), lambda p: _blanks(p) - 1)
-    steps = F.zip_with(whole, F.slice(gaps, 1, F.size(whole)), lambda m, gap: F.struct(gap.alias("gap"), (_blanks(m) + 1).alias("size")))
+def matches(words: Column, number: int, pattern: str) -> Column:
+    """Array of a struct for each match of one pass over normal words: the rule's number, words before it (from the match before) and in it."""
+    whole = F.regexp_extract_all(words, F.lit(pattern), F.lit(0))
+    gaps = F.slice(F.transform(F.split(words, pattern, -1), lambda p: _blanks(p) - 1), 1, F.size(whole))
+    found = F.transform(F.arrays_zip(whole.alias("m"), gaps.alias("g")), lambda x: F.struct(F.lit(number).alias("rule"), x["g"].alias("gap"), (_blanks(x["m"]) + 1).alias("size")))
+    return F.when(words.rlike(pattern), found).otherwise(F.array().cast("array<struct<rule:int,gap:int,size:int>>"))
 
-    def step(done: Column, x: Column) -> Column:
-        begin = done["at"] + x["gap"]
-        end = begin + x["size"]
-        return F.struct(end.alias("at"), F.concat(done["out"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("out"))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+def _unsuppressed(each: DataFrame, priorities: list[int]) -> DataFrame:
+    """each (row, start, end, priority) without what lies in a match of higher priority, or in a longer one of its own."""
+    to_here = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
+    reach = {p: (F.max(F.when(F.col("priority") == p, F.col("end"))).over(to_here), F.max(F.when(F.col("priority") == p, F.col("end"))).over(before)) for p in priorities}
+    each = each.select("*", *(c.alias(f"reach_{name}_{p}") for p, pair in reach.items() for name, c in zip(("here", "before"), pair, strict=True)))
+    hidden = F.lit(False)
+    for p in priorities:
+        here, earlier = F.coalesce(f"reach_here_{p}", F.lit(-1)), F.coalesce(f"reach_before_{p}", F.lit(-1))
+        hidden |= ((F.col("priority") < p) & (here >= F.col("end"))) | ((F.col("priority") == p) & ((here > F.col("end")) | (earlier >= F.col("end"))))
+    return each.filter((F.col("priority") == BASE) | ~hidden)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, base (array of label, start, end of the phrases), detections (array of the rules', suppressed ones left out)."""
+    """doc_id, n_words, base (array of start, end, label, priority, sure of the phrases), detections (array of the rules', suppressed ones left out)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    kind = "array<struct<label:string,start:int,end:int,priority:int,sure:double>>"
-    table = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("label", "keyword", "pattern", "priority", "sure"), r, strict=True))) for r in rules()))
-    first = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    gated = F.lower("text").rlike(GATE)
-    # non-blank documents without a licence-like word need their number of words only
-    first = first.select(
-        "doc_id",
-        F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"),
-        F.when(gated, normal(F.col("text"))).alias("words"),
-    )
+    table = [(label, phrase.split()[0], f"(?<= ){phrase}(?= )", BASE, 1.0) for phrase, label in PHRASES.items()] + rules()
     words = F.col("words")
-
-    def of_rule(label: Column, pattern: Column, priority: Column, sure: Column) -> Column:
-        return F.transform(
-            places(words, pattern), lambda p: F.struct(label.alias("label"), p["start"].alias("start"), p["end"].alias("end"), priority.alias("priority"), sure.alias("sure"))
-        )
-
-    base = F.concat(*(F.when(F.contains(words, F.lit(f" {p} ")), of_rule(F.lit(label), F.lit(f"(?<= ){p}(?= )"), F.lit(99), F.lit(1.0))).otherwise(F.array().cast(kind)) for p, label in PHRASES.items()))
-    named = F.filter(table, lambda r: F.contains(words, F.concat(F.lit(" "), r["keyword"])))
-    found = F.flatten(F.transform(named, lambda r: of_rule(r["label"], r["pattern"], r["priority"], r["sure"])))
-    none = F.array().cast(kind)
-    out = first.select(
-        "doc_id", "n_words", F.when(words.isNotNull(), base).otherwise(none).cast(kind).alias("base"), F.when(words.isNotNull(), found).otherwise(none).cast(kind).alias("found")
-    )
-    size = lambda d: d["end"] - d["start"]
-    covers = lambda e, d: (e["start"] <= d["start"]) & (e["end"] >= d["end"]) & (
-        (e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & (size(e) > size(d)))
-    )
-    return out.select("doc_id", "n_words", "base", F.filter("found", lambda d: ~F.exists(F.col("found"), lambda e: covers(e, d))).alias("detections"))
+    by_keyword: dict[str, list[int]] = {}
+    for k, rule in enumerate(table):
+        by_keyword.setdefault(rule[1], []).append(k)
+    none = F.array().cast("array<struct<rule:int,gap:int,size:int>>")
+    there = lambda keyword: reduce(lambda a, b: a | b, (F.contains(words, F.lit(f" {k}")) for k in keyword.split("/")))
+    found = F.concat(*(F.when(there(keyword), F.concat(*(matches(words, k, table[k][2]) for k in own))).otherwise(none) for keyword, own in by_keyword.items()))
+    found = F.when(words.rlike(gate(list(by_keyword))), found).otherwise(none)
+    first = df.select(F.col(id_col).cast("long").alias("doc_id"), normal(text).alias("words"))
+    n_words = F.when(F.char_length(words) > 2, _blanks(words) - 1).otherwise(0).cast("long")
+    first = stage(first.select("doc_id", F.monotonically_increasing_id().alias("row"), n_words.alias("n_words"), found.alias("all")), "matches")
+
+    each = first.filter(F.size("all") > 0).select("row", F.posexplode("all").alias("pos", "m")).select("row", "pos", "m.*")
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row", "rule").orderBy("pos")).cast("int")
+    of_rule = lambda n: F.element_at(F.array(*(F.lit(r[n]) for r in table)), F.col("rule") + 1)
+    each = each.select("row", (end - F.col("size")).alias("start"), end.alias("end"), of_rule(0).alias("label"), of_rule(3).alias("priority"), of_rule(4).alias("sure"))
+    kept = _unsuppressed(each, sorted({r[3] for r in table} - {BASE}))
+    match, is_base = F.struct("start", "end", "label", "priority", "sure"), F.col("priority") == BASE
+    by_row = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.when(is_base, match))).alias("base"), F.array_sort(F.collect_list(F.when(~is_base, match))).alias("detections"))
+    kind = "array<struct<start:int,end:int,label:string,priority:int,sure:double>>"
+    without = first.filter(F.size("all") == 0).select("doc_id", "n_words", F.array().cast(kind).alias("base"), F.array().cast(kind).alias("detections"))
+    some = first.filter(F.size("all") > 0).select("row", "doc_id", "n_words").join(by_row, "row").select("doc_id", "n_words", "base", "detections")
+    return without.unionByName(some)
