@@ -17,18 +17,18 @@ lgpl-3|lesser|gnu lesser general public license,? (?:version 3|v3)
 lgpl-2.1|lesser|gnu lesser general public license (?:version 2 1|v2 1)
 lgpl|lesser|(?:gnu )?lesser general public license
 lgpl|lgpl|lgpl(?: ?v?(?:2 1|3))?
-gpl-3|general|gnu general public license (?:version 3|v3)
+gpl-3|general public|gnu general public license (?:version 3|v3)
 gpl-3|gpl|(?:gnu )?gpl ?(?:version |v)?3(?: 0)?
-gpl-2|general|gnu general public license (?:version 2|v2)
+gpl-2|general public|gnu general public license (?:version 2|v2)
 gpl-2|gpl|(?:gnu )?gpl ?(?:version |v)?2(?: 0)?
-gpl|general|(?:gnu )?general public license
+gpl|general public|(?:gnu )?general public license
 apache-2|apache|apache (?:software )?license(?: version)? 2(?: 0)?
 apache-2|apache|apache 2 0
 apache-1.1|apache|apache (?:software )?license(?: version)? 1 1
 apache-1|apache|apache (?:software )?license(?: version)? 1 0
-mit|mit|(?:the )?mit licen[cs]e
+mit|mit licen|(?:the )?mit licen[cs]e
 mit|expat|expat licen[cs]e
-isc|isc|isc licen[cs]e
+isc|isc licen|isc licen[cs]e
 bsd-2|bsd|(?:simplified bsd|bsd 2 clause|2 clause bsd)(?: licen[cs]e)?
 bsd-2|freebsd|freebsd(?: licen[cs]e)?
 bsd-3|bsd|(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd)(?: licen[cs]e)?
@@ -49,7 +49,7 @@ eupl|european|european union public licen[cs]e
 cecill|cecill|cecill(?: [abc])?(?: 2 [01])?
 artistic-2|artistic|artistic license 2(?: 0)?
 artistic|artistic|artistic license
-boost-1|boost|boost software license(?: version)?(?: 1 0)?
+boost-1|boost software|boost software license(?: version)?(?: 1 0)?
 zlib|zlib|zlib(?: libpng)? license
 libpng|libpng|libpng license
 openssl|openssl|openssl license
@@ -74,7 +74,7 @@ cc-by-sa|cc by/creative|(?:cc|creative commons) by sa(?: [1-4] [05])?
 cc-by-sa|sharealike|creative commons attribution sharealike(?: [1-4] [05])?
 cc-by|cc by/creative|(?:cc|creative commons) by(?: [1-4] [05])?
 cc-by|attribution|creative commons attribution(?: [1-4] [05])?
-ofl-1.1|ofl|(?:sil )?ofl(?: 1 1)?
+ofl-1.1|ofl |(?:sil )?ofl(?: 1 1)?
 ofl-1.1|font|(?:sil )?open font license(?: version)?(?: 1 1)?
 odbl|open database|open database license
 osl-3|open software|open software license(?: version)?(?: 3 0)?
@@ -82,7 +82,7 @@ afl-3|academic|academic free license(?: version)?(?: 3 0)?
 ms-pl|microsoft|microsoft public license
 ms-rl|microsoft|microsoft reciprocal license
 public-domain|domain|public domain
-proprietary|reserved|all rights reserved
+proprietary|rights reserved|all rights reserved
 """.strip().splitlines()
 
 #: Ways in which a text names its licence: pattern around the name, priority, confidence.
@@ -206,11 +206,11 @@ apache-2|contributor|each contributor hereby grants to you a perpetual worldwide
 apache-2|prominent notices|you must cause any modified files to carry prominent notices stating that you changed the files
 apache-1.1|apache software|this product includes software developed by the apache software foundation
 gpl|is free software|this (?:program|library|file) is free software you can redistribute it and or modify it under the terms of the gnu general public license
-gpl-2|general|gnu general public license as published by the free software foundation version 2
-gpl-2|general|gnu general public license as published by the free software foundation either version 2
-gpl-3|general|gnu general public license as published by the free software foundation version 3
-gpl-3|general|gnu general public license as published by the free software foundation either version 3
-gpl|general|you should have received a copy of the gnu general public license along with this program
+gpl-2|general public|gnu general public license as published by the free software foundation version 2
+gpl-2|general public|gnu general public license as published by the free software foundation either version 2
+gpl-3|general public|gnu general public license as published by the free software foundation version 3
+gpl-3|general public|gnu general public license as published by the free software foundation either version 3
+gpl|general public|you should have received a copy of the gnu general public license along with this program
 gpl|copyleft|the gnu general public license is a free copyleft license for software
 gpl-2|freedom|the licenses for most software are designed to take away your freedom to share and change it
 gpl-3|freedom|the licenses for most software and other practical works are designed to take away your freedom
@@ -231,7 +231,7 @@ epl-2|eclipse|this program and the accompanying materials are made available und
 epl-1|eclipse|this program and the accompanying materials are made available under the terms of the eclipse public license v1 0
 edl-1|eclipse|under the terms of the eclipse distribution license v (?:1 )?1 0
 cddl|common|the contents of this file are subject to the terms of the common development and distribution license
-boost-1|boost|distributed under the boost software license version 1 0
+boost-1|boost software|distributed under the boost software license version 1 0
 boost-1|executable|unless such copies or derivative works are solely in the form of machine executable object code
 zlib|misrepresented|the origin of this software must not be misrepresented you must not claim that you wrote the original software
 zlib|altered|altered source versions must be plainly marked as such and must not be misrepresented
@@ -257,7 +257,7 @@ cc-by-nc-sa|creative|this work is licensed under a creative commons attribution
 cc-by-nc-nd|creative|this work is licensed under a creative commons attribution non ?commercial no ?deriv(?:ative)?s (?:[1-4] [05] )?(?:international |unported |generic )?license
 cc|creativecommons|creativecommons org licenses [a-z]+
 ofl-1.1|font|this font software is licensed under the sil open font license
-ofl-1.1|reserved|with reserved font name
+ofl-1.1|reserved font|with reserved font name
 gfdl|documentation|permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
 gfdl|invariant|with no invariant sections
 odbl|open database|made available under the open database license
@@ -271,7 +271,7 @@ ncsa|ncsa|university of illinois (?:at urbana champaign )?ncsa open source licen
 jpeg|jpeg|this software is based in part on the work of the independent jpeg group
 ftl|freetype|the freetype project license
 bzip2|bzip2|bzip2 and libbzip2
-vim|vim|vim is charityware
+vim|vim is|vim is charityware
 beerware|beer ware|the beer ware license
 json|evil|the software shall be used for good not evil
 """.strip().splitlines()

@@ -12,8 +12,6 @@ An empty table gives an empty result.  Only the id and the text are read.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,12 +37,22 @@ def _blanks(c: Column) -> Column:
     return F.char_length(c) - F.char_length(F.replace(c, F.lit(" "), F.lit("")))
 
 
-def matches(words: Column, number: int, pattern: str) -> Column:
-    """Array of a struct for each match of one pass over normal words: the rule's number, words before it (from the match before) and in it."""
-    whole = F.regexp_extract_all(words, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.transform(F.split(words, pattern, -1), lambda p: _blanks(p) - 1), 1, F.size(whole))
-    found = F.transform(F.arrays_zip(whole.alias("m"), gaps.alias("g")), lambda x: F.struct(F.lit(number).alias("rule"), x["g"].alias("gap"), (_blanks(x["m"]) + 1).alias("size")))
-    return F.when(words.rlike(pattern), found).otherwise(F.array().cast("array<struct<rule:int,gap:int,size:int>>"))
+_BLANKS = "(char_length({0}) - char_length(replace({0}, ' ', '')))"
+
+
+def matches(number: int, pattern: str) -> str:
+    """SQL over `words`: array of a struct for each match of one pass over normal words.
+
+    It holds the rule's number, the words before the match (from the match before) and those in it.  SQL text, as building
+    hundreds of such columns one by one takes the driver longer than the query.
+    """
+    whole, gaps = f"regexp_extract_all(words, r'{pattern}', 0)", f"split(words, r'{pattern}', -1)"
+    pairs = f"zip_with({whole}, {gaps}, (m, g) -> named_struct('rule', {number}, 'gap', {_BLANKS.format('g')} - 1, 'size', {_BLANKS.format('m')} + 1))"
+    # a piece of the text follows the last match
+    return f"CASE WHEN words RLIKE r'{pattern}' THEN filter({pairs}, x -> x.size IS NOT NULL) ELSE {NONE} END"
+
+
+NONE = "CAST(array() AS array<struct<rule:int,gap:int,size:int>>)"
 
 
 def _unsuppressed(each: DataFrame, priorities: list[int]) -> DataFrame:
@@ -68,17 +76,16 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     by_keyword: dict[str, list[int]] = {}
     for k, rule in enumerate(table):
         by_keyword.setdefault(rule[1], []).append(k)
-    none = F.array().cast("array<struct<rule:int,gap:int,size:int>>")
-    there = lambda keyword: reduce(lambda a, b: a | b, (F.contains(words, F.lit(f" {k}")) for k in keyword.split("/")))
-    found = F.concat(*(F.when(there(keyword), F.concat(*(matches(words, k, table[k][2]) for k in own))).otherwise(none) for keyword, own in by_keyword.items()))
-    found = F.when(words.rlike(gate(list(by_keyword))), found).otherwise(none)
+    there = lambda keyword: " OR ".join(f"contains(words, ' {k}')" for k in keyword.split("/"))
+    parts = [f"CASE WHEN {there(keyword)} THEN concat({', '.join(matches(k, table[k][2]) for k in own)}) ELSE {NONE} END" for keyword, own in by_keyword.items()]
+    found = F.expr(f"CASE WHEN words RLIKE r'{gate(list(by_keyword))}' THEN concat({', '.join(parts)}) ELSE {NONE} END")
     first = df.select(F.col(id_col).cast("long").alias("doc_id"), normal(text).alias("words"))
     n_words = F.when(F.char_length(words) > 2, _blanks(words) - 1).otherwise(0).cast("long")
     first = stage(first.select("doc_id", F.monotonically_increasing_id().alias("row"), n_words.alias("n_words"), found.alias("all")), "matches")
 
     each = first.filter(F.size("all") > 0).select("row", F.posexplode("all").alias("pos", "m")).select("row", "pos", "m.*")
     end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row", "rule").orderBy("pos")).cast("int")
-    of_rule = lambda n: F.element_at(F.array(*(F.lit(r[n]) for r in table)), F.col("rule") + 1)
+    of_rule = lambda n: F.expr(f"element_at(array({', '.join(repr(r[n]) + 'D' * (n == 4) for r in table)}), rule + 1)")
     each = each.select("row", (end - F.col("size")).alias("start"), end.alias("end"), of_rule(0).alias("label"), of_rule(3).alias("priority"), of_rule(4).alias("sure"))
     kept = _unsuppressed(each, sorted({r[3] for r in table} - {BASE}))
     match, is_base = F.struct("start", "end", "label", "priority", "sure"), F.col("priority") == BASE
