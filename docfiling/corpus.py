@@ -203,16 +203,26 @@ def scans(t: Reader) -> DataFrame:
     return last.select(F.lit("m1").alias("machine_id"), "path", "scan_no", F.floor(F.col("e") / 300).alias("size"), F.floor(F.col("e") / 300).alias("modified_secs"))
 
 
+def inspections(t: Reader) -> DataFrame:
+    """Pages of the conversations as inspected: whole texts, some with many replacement characters, scanned ones without a text layer."""
+    k = F.col("conv_id")
+    damage = F.repeat(F.lit("\ufffd"), F.floor(F.char_length("text") / 20).cast("int") + 1)
+    native = F.when(k % 8 == 3, "").when(k % 9 == 0, F.concat("text", damage)).otherwise(F.col("text"))
+    return t("conversations").select(
+        k.alias("doc_id"), F.col("turn").cast("int").alias("page_index"), native.alias("native_text"), ((k % 4) / 4).cast("float").alias("image_coverage"), F.lit(5000).alias("width_pixels"), (k % 6000).cast("int").alias("height_pixels"),
+    )
+
+
 def claim_events(t: Reader) -> DataFrame:
     e = F.col("event_id")
     kind = _event({"signup": "claim", "view": "claim", "click": "renew", "purchase": "done", "error": "release"})
-    ts = e * 200
-    return t("events").select(F.concat(F.lit("k"), (F.col("user_id") % 97).cast("string")).alias("key"), ts.alias("ts"), e.alias("seq"), F.concat(F.lit("m"), (e % 3).cast("string")).alias("machine_id"), kind.alias("event"), (ts + 900).alias("lease_expires_at"))
+    ts = F.floor(e / 500) * 100_000  # many events at one instant
+    return t("events").select(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("key"), ts.alias("ts"), e.alias("seq"), F.concat(F.lit("m"), (e % 3).cast("string")).alias("machine_id"), kind.alias("event"), (ts + 900).alias("lease_expires_at"))
 
 
 def ocr_words(t: Reader) -> DataFrame:
-    """OCR words of the first lines, in four rotations."""
-    words = t("documents").select("doc_id", F.posexplode(F.split(F.substring_index("text", "\n", 1), " ")).alias("seq", "word")).filter("seq < 40")
+    """OCR words of whole texts, in four rotations."""
+    words = t("documents").select("doc_id", F.posexplode(F.split("text", "[ \n]")).alias("seq", "word"))
     turned = words.select("*", F.explode(F.array(*map(F.lit, (0, 90, 180, 270)))).alias("rotation"))
     h = F.col("doc_id") * 7 + F.col("seq") * 13 + F.col("rotation")
     return turned.select("doc_id", F.lit(1).alias("page_number"), "rotation", "seq", F.when(h % 17 == 0, -1).otherwise(h % 101).cast("float").alias("confidence"), "word")

@@ -13,7 +13,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 SPACE = r"\p{IsWhite_Space}"
 
@@ -62,6 +62,10 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
+
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -99,8 +103,12 @@ def has_identifier(c: Column) -> Column:
 
 # X06
 def has_money(c: Column) -> Column:
-    """A dollar or pound sign with a digit within three characters, or USD or EUR before a blank."""
-    return c.rlike("(?s)[$£].{0,2}[0-9]|(?i:usd |eur )")
+    """A dollar sign or a byte 0xA3 of the UTF-8 form with a digit within three bytes, or USD or EUR before a blank.
+
+    The byte ends the pound sign, but other characters too, and these count.
+    """
+    as_bytes = F.when(is_ascii(c), c).otherwise(F.decode(F.encode(c, "UTF-8"), "ISO-8859-1"))
+    return as_bytes.rlike(r"[$\xA3][\s\S]{0,2}[0-9]") | c.rlike("(?i:usd |eur )")
 
 
 # X07
@@ -198,18 +206,37 @@ def date_renderings(iso: Column) -> Column:
 _SINGLE, _DOUBLE, _DASH = "‘’‚‛′", "“”„‟″", "‐‑‒–—―−"
 
 
+def _fold(v: str | None) -> str | None:
+    return None if v is None else unicodedata.normalize("NFKC", v).casefold()
+
+
 @F.pandas_udf(StringType())
 def _folded(c: pd.Series) -> pd.Series:
-    return c.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold())
+    return c.map(_fold)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _folded_all(c: pd.Series) -> pd.Series:
+    return c.map(lambda values: None if values is None else [_fold(v) for v in values])
+
+
+def _plain(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.translate(c, _SINGLE + _DOUBLE + _DASH, "'" * 5 + '"' * 5 + "-" * 7), f"{SPACE}+", " "))
 
 
 def evidence_text(c: Column) -> Column:
     """NFKC, full case-fold, plain quotes and dashes, single blanks, none at the ends.
 
-    The only function here that leaves the JVM: there is no built-in for NFKC.  Plain ASCII is folded without it.
+    It and evidence_texts alone leave the JVM, as there is no built-in for NFKC.  Plain ASCII is folded without it: for such
+    a text Python gets a null.
     """
-    plain = F.translate(_folded(c), _SINGLE + _DOUBLE + _DASH, "'" * 5 + '"' * 5 + "-" * 7)
-    return F.trim(F.regexp_replace(plain, f"{SPACE}+", " "))
+    return _plain(F.coalesce(F.when(is_ascii(c), F.lower(c)), _folded(F.when(~is_ascii(c), c))))
+
+
+def evidence_texts(c: Column) -> Column:
+    """evidence_text of each element of an array, which should be a column as it is used several times."""
+    plain = is_ascii(F.array_join(c, ""))
+    return F.transform(F.coalesce(F.when(plain, F.transform(c, F.lower)), _folded_all(F.when(~plain, c))), _plain)
 
 
 # X15
@@ -219,15 +246,18 @@ def first_sentence(c: Column) -> Column:
     def cut(t: Column) -> Column:
         # what follows the last end is a piece of its own, so that the pattern reads the text once
         ends = F.filter(F.regexp_extract_all(t, F.lit(r"[^.!?]*[.!?]|[^.!?]+"), F.lit(0)), lambda x: x.rlike(r"[.!?]\z"))
-        start = F.struct(F.lit(False).alias("found"), F.lit("").alias("text"), F.char_length(t).alias("size"))
+        start = F.struct(F.lit(False).alias("found"), F.lit("").alias("text"), F.lit("").alias("word"), F.char_length(t).alias("size"))
 
         def step(s: Column, x: Column) -> Column:
-            def judged(text: Column) -> Column:
-                before = F.regexp_extract(F.right(text, F.lit(40)), f"([^{SPACE}]*).\\z", 1)
+            # the word that ends here may have begun in an earlier piece
+            word = F.when(x.rlike(SPACE), F.regexp_replace(x, f"(?s)\\A.*{SPACE}", "")).otherwise(F.concat(s["word"], x))
+
+            def judged(w: Column) -> Column:
+                before, text = F.left(w, F.char_length(w) - 1), F.concat(s["text"], x)
                 short = ascii_lower(before).isin(ABBREVIATIONS) | (F.regexp_count(before, F.lit("[A-Za-z]")) == 1)
-                return F.struct((~short & (F.char_length(text) < s["size"])).alias("found"), text.alias("text"), s["size"].alias("size"))
+                return F.struct((~short & (F.char_length(text) < s["size"])).alias("found"), text.alias("text"), w.alias("word"), s["size"].alias("size"))
 
-            return F.when(s["found"], s).otherwise(bound(F.concat(s["text"], x), judged))
+            return F.when(s["found"], s).otherwise(bound(word, judged))
 
         return bound(F.aggregate(ends, start, step), lambda s: F.when(s["found"], s["text"]).otherwise(t))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..staging import stage
 
 
 def parts(validated: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def name_with(k: Column) -> Column:
 
 
 # X08-X13, J15, W13, C03
-def compose_names(validated: DataFrame, listing: DataFrame, rounds: int = 50) -> DataFrame:
+def compose_names(validated: DataFrame, listing: DataFrame) -> DataFrame:
     """doc_id, folder, filename, collision_index.
 
     validated: doc_id, folder, extension, document_type, document_date, parties, party_relation.  listing: folder, name of what is
@@ -32,24 +33,24 @@ def compose_names(validated: DataFrame, listing: DataFrame, rounds: int = 50) ->
 
     Documents of one first name form a queue by doc_id.  In each round a queue of w documents looks at its next w suffixes at
     once; the free ones go to its first documents in order, and the rest wait for the next round.  So suffixes are the
-    smallest free ones in order of doc_id, and a round costs what still waits.
+    smallest free ones in order of doc_id, and a round costs what still waits.  Every round names documents or passes over
+    names that are taken, of which there is an end; what waits and what is named is written between rounds.
     """
     df = parts(validated).withColumn("k0", N.name_key(name_with(F.lit(1))))
     taken = listing.select("folder", N.name_key(F.col("name")).alias("key")).distinct()
     queue = Window.partitionBy("folder", "k0").orderBy("doc_id")
-    waiting = df.withColumn("base", F.lit(0))
+    waiting = df.select("doc_id", "folder", "date", "kind", "people", "party_relation", "ext", "k0", F.lit(0).alias("base"))
     done = None
-    for _ in range(rounds):
-        waiting = waiting.withColumn("turn", F.row_number().over(queue)).withColumn("width", F.count("*").over(Window.partitionBy("folder", "k0"))).persist()
+    while True:
+        waiting = stage(waiting.withColumn("turn", F.row_number().over(queue)).withColumn("width", F.count("*").over(Window.partitionBy("folder", "k0"))), "waiting")
         asked = waiting.withColumn("k", F.col("base") + F.col("turn")).withColumn("key", N.name_key(name_with(F.col("k"))))
         first = F.row_number().over(Window.partitionBy("folder", "key").orderBy("doc_id")) == 1
         free = asked.withColumn("first", first).filter("first").join(taken, ["folder", "key"], "left_anti")
         free = free.select("folder", "k0", "k", "key", F.row_number().over(Window.partitionBy("folder", "k0").orderBy("k")).alias("turn"))
         named = waiting.join(free, ["folder", "k0", "turn"]).withColumn("filename", name_with(F.col("k")))
-        got = named.filter(N.name_key(F.col("filename")) == F.col("key")).select("doc_id", "folder", "filename", "key", F.col("k").alias("collision_index")).persist()
+        got = stage(named.filter(N.name_key(F.col("filename")) == F.col("key")).select("doc_id", "folder", "filename", "key", F.col("k").alias("collision_index")), "named")
         done = got if done is None else done.unionByName(got)
         waiting = waiting.join(got.select("doc_id"), "doc_id", "left_anti").withColumn("base", (F.col("base") + F.col("width")).cast("int")).drop("turn", "width")
         if waiting.isEmpty():
             return done.select("doc_id", "folder", "filename", "collision_index")
         taken = taken.unionByName(got.select("folder", "key"))
-    raise ValueError(f"names still clash after {rounds} rounds")

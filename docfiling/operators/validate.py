@@ -12,8 +12,7 @@ READY_CONFIDENCE, TYPE_SHARE, MOST_PARTIES = 0.6, 0.6, 2
 
 def normal_segments(digests: DataFrame) -> DataFrame:
     """doc_id, segs: the segments in evidence form, each normalised once."""
-    each = digests.select("doc_id", F.posexplode("segments").alias("n", "seg")).select("doc_id", "n", T.evidence_text(F.col("seg")).alias("seg"))
-    return each.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "seg"))), lambda x: x["seg"]).alias("segs"))
+    return digests.select("doc_id", T.evidence_texts(F.col("segments")).alias("segs"))
 
 
 # J01
@@ -62,12 +61,11 @@ def validate(proposals: DataFrame, digests: DataFrame, warnings: DataFrame | Non
     texts = proposals.withColumn("parties", F.coalesce("parties", F.array().cast("array<string>")))
     sentence, over = T.capped_sentence(T.first_sentence(F.coalesce("description", F.lit(""))))
     texts = texts.withColumns({"d0": T.first_sentence(F.coalesce("description", F.lit(""))), "too_long": over, "said": sentence})
-    # what evidence_text must see as arrays goes through it as rows
-    tokens = texts.select("doc_id", F.explode(claims(F.col("said"))).alias("c")).select("doc_id", "c.token").distinct()
-    names = texts.select("doc_id", F.explode("parties").alias("p")).select("doc_id", T.trim(F.col("p")).alias("token")).distinct()
-    both = tokens.unionByName(names).distinct().withColumn("normal", n(F.col("token")))
-    known = both.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "normal"))).alias("normals"))
-    df = texts.join(normal_segments(digests), "doc_id", "left").join(known, "doc_id", "left")
+    # the words to be looked for, and their evidence forms
+    asked = F.concat(F.transform(claims(F.col("said")), lambda x: x["token"]), F.transform("parties", T.trim))
+    texts = texts.withColumn("asked", F.array_distinct(F.array_compact(asked)))
+    texts = texts.withColumn("normals", F.map_from_arrays("asked", T.evidence_texts(F.col("asked"))))
+    df = texts.join(normal_segments(digests), "doc_id", "left")
     segs = F.coalesce("segs", F.array().cast("array<string>"))
     kind = F.nullif(T.trim(F.col("document_type")), F.lit(""))
     date = F.nullif(T.trim(F.col("document_date")), F.lit(""))

@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..operators import distill as D
 from ..operators import evaluate as E
 from ..operators import naming, validate as V
+from ..staging import stage
 
 HEAD, TAIL = 14_000, 8_000
 LEGACY_READY, LEGACY_WORDS, LEGACY_STEM = 0.86, 30, 139
@@ -80,7 +81,7 @@ def propose(prompts_: DataFrame, scorer: Callable[[list[str]], list[str]]) -> tu
 # U03
 def replay(proposals: DataFrame, digests: DataFrame, listing: DataFrame, places: DataFrame) -> DataFrame:
     """Validation and naming of stored proposals without a scorer; places: doc_id, folder, extension."""
-    checked = V.validate(proposals, digests)
+    checked = stage(V.validate(proposals, digests), "checked")
     named = naming.compose_names(checked.join(places, "doc_id"), listing)
     return checked.join(named.select("doc_id", "filename", "collision_index"), "doc_id", "left")
 

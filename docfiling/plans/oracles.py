@@ -48,14 +48,14 @@ DERIVED = {
     "scans": """
       SELECT path, scan_no, max(event_id) // 300 AS size FROM (SELECT 'doc-' || user_id || '.pdf' AS path, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS scan_no, event_id FROM events) GROUP BY path, scan_no""",
     "claim_events": """
-      SELECT 'k' || (user_id % 97) AS key, event_id * 200 AS ts, event_id AS seq, 'm' || (event_id % 3) AS machine_id,
+      SELECT 'k' || user_id AS key, event_id // 500 * 100000 AS ts, event_id AS seq, 'm' || (event_id % 3) AS machine_id,
         CASE event_type WHEN 'signup' THEN 'claim' WHEN 'view' THEN 'claim' WHEN 'click' THEN 'renew' WHEN 'purchase' THEN 'done' ELSE 'release' END AS event FROM events""",
     "words": r"""
       SELECT doc_id, r.rotation, i - 1 AS seq, w[i] AS word, CAST(CASE WHEN (doc_id * 7 + (i - 1) * 13 + r.rotation) % 17 = 0 THEN -1 ELSE (doc_id * 7 + (i - 1) * 13 + r.rotation) % 101 END AS DOUBLE) AS confidence
-      FROM (SELECT doc_id, w, unnest(range(1, least(len(w), 40) + 1)) AS i FROM (SELECT doc_id, string_split(string_split(text, chr(10))[1], ' ') AS w FROM documents)), (VALUES (0), (90), (180), (270)) r(rotation)""",
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS w FROM documents)), (VALUES (0), (90), (180), (270)) r(rotation)""",
     "readings": "SELECT doc_id, rotation, coalesce(string_agg(word, ' ' ORDER BY seq) FILTER (WHERE trim(word) <> ''), '') AS text, coalesce(avg(confidence) FILTER (WHERE trim(word) <> '' AND confidence >= 0), 0.0) AS confidence FROM words GROUP BY doc_id, rotation",
     "inspections": """
-      SELECT conv_id AS doc_id, turn AS page_index, left(text, CAST(conv_id % 150 AS INT)) || CASE WHEN conv_id % 9 = 0 THEN chr(65533) || chr(65533) ELSE '' END AS t, (conv_id % 4) / 4.0 AS coverage, 5000 * (conv_id % 6000) AS pixels FROM conversations""",
+      SELECT conv_id AS doc_id, turn AS page_index, CASE WHEN conv_id % 8 = 3 THEN '' WHEN conv_id % 9 = 0 THEN text || repeat(chr(65533), length(text) // 20 + 1) ELSE text END AS t, (conv_id % 4) / 4.0 AS coverage, 5000 * (conv_id % 6000) AS pixels FROM conversations""",
     "solid": r"SELECT doc_id, page_index, coverage, regexp_replace(t, '\s', '', 'g') AS s, len(regexp_extract_all(t, '[^\s]+')) AS n FROM inspections",
     "lines": "SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM contracts",
     "gold": f"""
@@ -131,6 +131,8 @@ def _runs(source: str) -> str:
 
 _DATES = r"len(list_filter(regexp_extract_all({0}, '[0-9]+'), lambda y: length(y) = 4 AND CAST(y AS INT) BETWEEN 1900 AND 2199))"
 _IDENT = r"len(list_filter(list_transform(regexp_extract_all({0}, '[^\s]+'), lambda w: regexp_replace(regexp_replace(w, '^[^0-9A-Za-z]+', ''), '[^0-9A-Za-z]+$', '')), lambda w: length(regexp_replace(w, '[^A-Za-z]', '', 'g')) >= 2 AND length(regexp_replace(w, '[^0-9]', '', 'g')) >= 2 AND length(w) <= 24)) > 0"
+# bytes as pairs of hexadecimal digits: $ or A3, and a digit within three
+_MONEY = "(regexp_matches(hex(encode({0})), '^(..)*(24|A3)(..)?(..)?3[0-9]') OR regexp_matches({0}, '(?i)usd |eur '))"
 _MOVE = "(" + ", ".join(_quoted(f"{a}>{b}") for a, bs in L.STATUS_MOVES.items() for b in bs) + ")"
 _NAMED = "(" + ", ".join(_quoted(f"{e}:{a}>{b}") for e, moves in L.NAMED_MOVES.items() for a, b in moves) + ")"
 _STAGE = "(" + ", ".join(_quoted(f"{a}>{b}") for a, bs in L.STAGE_MOVES.items() for b in bs) + ")"
@@ -149,7 +151,7 @@ def oracle_sql() -> dict[str, str]:
         "w01_runs": "WITH " + _runs("(SELECT doc_id, 1 AS page, text FROM documents)"),
         "x_signals": sql(
             f"""SELECT doc_id, CAST(sum({_DATES.format("line")}) AS BIGINT) AS dates, {", ".join(f"CAST(sum({_cues('line', cues)}) AS BIGINT) AS {k}_cues" for k, cues in T.CUES.items())},
-            CAST(sum(CAST({_IDENT.format("line")} AS INT)) AS BIGINT) AS identifiers, CAST(sum(CAST(regexp_matches(line, '[$£].?.?[0-9]|(?i)usd |(?i)eur ') AS INT)) AS BIGINT) AS money,
+            CAST(sum(CAST({_IDENT.format("line")} AS INT)) AS BIGINT) AS identifiers, CAST(sum(CAST({_MONEY.format("line")} AS INT)) AS BIGINT) AS money,
             CAST(sum(CAST({_heading("line")} AS INT)) AS BIGINT) AS headings, count(DISTINCT lower(regexp_replace(line, '[0-9]+', '#', 'g'))) AS shapes FROM lines GROUP BY doc_id""",
             "lines",
         ),
@@ -258,7 +260,7 @@ def oracle_sql() -> dict[str, str]:
         "w12_stable": sql(
             """SELECT path, scan_no, size, coalesce(lag(scan_no) OVER w = scan_no - 1 AND lag(size) OVER w = size, false) AS stable FROM scans WINDOW w AS (PARTITION BY path ORDER BY scan_no)""", "scans",
         ),
-        "a09_origins": sql("SELECT key, arg_min(machine_id, ts) AS machine_id FROM claim_events GROUP BY key", "claim_events"),
+        "a09_origins": sql("SELECT key, arg_min(machine_id, ts * 10 + CAST(substr(machine_id, 2) AS INT)) AS machine_id FROM claim_events GROUP BY key", "claim_events"),
         "a11_retention": sql(
             """, a AS (SELECT seq, CASE WHEN seq % 7 <> 0 AND seq % 5 <> 0 THEN 2700000 - CASE WHEN seq % 3 = 0 AND event = 'done' THEN CASE WHEN seq % 2 = 0 THEN ts + 100 ELSE ts END WHEN seq % 3 = 0 THEN ts + 60 WHEN seq % 3 = 1 THEN ts + 5 ELSE ts + 9 END < 2592000
               ELSE 2700000 - ts < 86400 END AS keep FROM claim_events) SELECT seq, keep FROM a""",
@@ -284,7 +286,7 @@ def oracle_sql() -> dict[str, str]:
         "w08_vision": sql("SELECT doc_id, min(page_index) AS page_index FROM solid WHERE (length(s) < 100 AND coverage >= 0.65 AND n <= 1) OR (doc_id % 11 = 0 AND doc_id < 75) GROUP BY doc_id", "solid"),
         "a04_warnings": """SELECT conv_id AS doc_id, array_to_string(list_filter([CASE WHEN conv_id % 5 = 0 THEN 'NATIVE_TEXT_CORRUPT' END, CASE WHEN conv_id % 2 = 0 AND bool_or((turn + 1) % 3 = 0) THEN 'LOW_OCR_CONFIDENCE' END,
             CASE WHEN bool_or(turn > 6) THEN 'TEXT_TRUNCATED' END], lambda x: x IS NOT NULL), ',') AS codes FROM conversations GROUP BY conv_id""",
-        "t03_unseen": sql("SELECT DISTINCT key FROM claim_events c WHERE NOT EXISTS (SELECT 1 FROM claim_events d WHERE d.key = c.key AND d.seq % 30 = 0 AND d.event = 'done')", "claim_events"),
+        "t03_unseen": sql("SELECT DISTINCT key FROM claim_events c WHERE NOT EXISTS (SELECT 1 FROM claim_events d WHERE d.key = c.key AND d.event = 'done' AND d.machine_id = 'm1')", "claim_events"),
         "k05_domains": sql("SELECT 'old' AS pipeline, 'date_role' AS \"column\", 'due' AS value, count(*) AS n FROM proposals", "proposals"),
         "k02_decode": sql(
             """SELECT doc_id, document_type, document_date, party_relation, CAST(len(parties) AS BIGINT) AS n_parties, true AS good FROM proposals WHERE doc_id % 29 <> 0

@@ -434,7 +434,7 @@ def st03_claims(t):
 @query
 def t03_unseen(t):
     e = C.claim_events(t).select("key").distinct()
-    return I.unseen(e, C.claim_events(t).filter("seq % 30 = 0").filter("event = 'done'").select("key"))
+    return I.unseen(e, C.claim_events(t).filter("event = 'done' and machine_id = 'm1'").select("key"))
 
 
 @query
@@ -449,26 +449,21 @@ def a03_best(t):
     return P.best_readings(read, t("documents").select("doc_id", F.lit(1).alias("page_number"), turn.alias("detected"))).select("doc_id", "rotation", F.round("confidence", 4).alias("confidence"))
 
 
-def _inspections(t) -> DataFrame:
-    cut = F.left("text", (F.col("doc_id") % 150).cast("int"))
-    return C.conversations_as_pages(t).select("doc_id", (F.col("page_number") - 1).alias("page_index"), F.when(F.col("doc_id") % 9 == 0, F.concat(cut, F.lit("��"))).otherwise(cut).alias("native_text"), ((F.col("doc_id") % 4) / 4).cast("float").alias("image_coverage"), F.lit(5000).alias("width_pixels"), (F.col("doc_id") % 6000).cast("int").alias("height_pixels"))
-
-
 @query
 def p01_routes(t):
     a, b = F.col("native_text"), F.col("image_coverage")
-    return _inspections(t).select("doc_id", "page_index", P.needs_ocr(a, b).alias("ocr"), P.needs_vision(a, b).alias("vision"))
+    return C.inspections(t).select("doc_id", "page_index", P.needs_ocr(a, b).alias("ocr"), P.needs_vision(a, b).alias("vision"))
 
 
 @query
 def p03_limits(t):
     sizes = t("documents").select("doc_id", (F.col("n_chars") * 500_000).alias("size"))
-    return P.over_limits(sizes, _inspections(t)).select("doc_id", "error_code")
+    return P.over_limits(sizes, C.inspections(t)).select("doc_id", "error_code")
 
 
 @query
 def w08_vision(t):
-    ins = _inspections(t)
+    ins = C.inspections(t)
     return P.first_vision_page(ins, ins.select("doc_id", "page_index", F.col("doc_id").cast("int").alias("ocr_confidence")).filter("doc_id % 11 = 0"))
 
 
