@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,8 +71,8 @@ def intake_status(decided: DataFrame, machines: DataFrame) -> DataFrame:
 
 
 # A11
-def retention(records: DataFrame, as_of: int) -> DataFrame:
-    """records (kind, key, file_name, readable, state, claimed_at, heartbeat_at, done_at, observed_at, last_seen_at, file_mtime) with keep.
+def retention_due(records: DataFrame) -> DataFrame:
+    """records (kind, key, file_name, readable, state, claimed_at, heartbeat_at, done_at, observed_at, last_seen_at, file_mtime) with due.
 
     Done claims, heartbeats, origins and presence go after 30 days, unreadable files and conflict copies after a day.
     """
@@ -80,8 +83,12 @@ def retention(records: DataFrame, as_of: int) -> DataFrame:
         .when(F.col("kind") == "origin", F.col("observed_at"))
         .otherwise(F.col("last_seen_at"))
     )
-    age = F.when(F.coalesce(good, F.lit(False)), F.lit(as_of) - at < RETENTION).otherwise(F.lit(as_of) - F.col("file_mtime") < MALFORMED_GRACE)
-    return records.withColumn("keep", F.coalesce(age, F.lit(True)))
+    return records.withColumn("due", F.when(F.coalesce(good, F.lit(False)), at + RETENTION).otherwise(F.col("file_mtime") + MALFORMED_GRACE))
+
+
+def retention(records: DataFrame, as_of: int) -> DataFrame:
+    """records with keep; see retention_due."""
+    return retention_due(records).withColumn("keep", F.coalesce(F.col("due") > as_of, F.lit(True))).drop("due")
 
 
 # P13
@@ -107,23 +114,100 @@ def live_only(observed: DataFrame, live: DataFrame) -> DataFrame:
     return observed.join(live.select("path"), "path", "left_semi")
 
 
+# ST03, ST12
+def next_claim(state: tuple, event: tuple) -> tuple:
+    """The claim (owner, state, lease, beat, refused) after an event (ts, machine_id, event, lease_expires_at).
+
+    claim takes what is free, its own, or what may be taken over: the lease has run out and there was no heartbeat for 900 s.
+    renew, done and release count only for the owner; done is final.
+    """
+    (owner, status, lease, beat, refused), (ts, machine, what, until) = state, event
+    mine = owner == machine and status == "claimed"
+    over = status == "claimed" and ts >= lease and ts >= beat + HEARTBEAT_GRACE
+    if (what == "claim" and (status == "free" or mine or over)) or (what == "renew" and mine):
+        return machine, "claimed", until, ts, refused
+    if what == "done" and mine:
+        return machine, "done", lease, ts, refused
+    if what == "release" and mine:
+        return None, "free", lease, ts, refused
+    return owner, status, lease, beat, refused + 1
+
+
+FREE = (None, "free", 0, 0, 0)
+#: At one instant what the owner does comes before a claim, so that a last-instant renewal beats a takeover.
+CLAIM_ORDER = ["ts", "late", "seq"]
+
+
+def in_claim_order(events: DataFrame) -> DataFrame:
+    return events.withColumn("late", (F.col("event") == "claim").cast("int"))
+
+
 # ST03's batch twin
 def folded_claims(events: DataFrame) -> DataFrame:
     """key, owner, state (claimed, done, free), refused, after the events (key, ts, seq, machine_id, event, lease_expires_at) in order.
 
-    claim takes what is free, its own, or what may be taken over: the lease has run out and there was no heartbeat for 900 s.
-    renew, done and release count only for the owner; done is final.
+    Events are dealt by key, sorted there and folded as they come by; only one key's state is held at a time, however long its log.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, FREE
+        kind = pa.schema([("key", pa.string()), ("owner", pa.string()), ("state", pa.string()), ("refused", pa.int32())])
+        for batch in batches:
+            done = []
+            for key, *event in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    if now is not None:
+                        done.append((now, state[0], state[1], state[4]))
+                    now, state = key, FREE
+                state = next_claim(state, tuple(event))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), kind, strict=True)], schema=kind)
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((now, state[0], state[1], state[4]), kind, strict=True)], schema=kind)
+
+    dealt = in_claim_order(events.filter("key is not null")).repartition("key").sortWithinPartitions("key", *CLAIM_ORDER)
+    return dealt.select("key", "ts", "machine_id", "event", "lease_expires_at").mapInArrow(run, "key string, owner string, state string, refused int")
+
+
+# ST06's batch twin
+def expired_leases(events: DataFrame, as_of: Column, silence: int) -> DataFrame:
+    """owner, item, ts, failures: leases that run out before the owner's next sign of life, or before as_of.
+
+    events: owner, item, ts, seq, lease_expires_at.  A lease is over when its time is up and no heartbeat came for `silence` seconds.
     """
-    start = F.struct(F.lit(None).cast("string").alias("owner"), F.lit("free").alias("state"), F.lit(0).cast("long").alias("lease"), F.lit(0).cast("long").alias("beat"), F.lit(0).alias("refused"))
-
-    def step(s: Column, e: Column) -> Column:
-        mine = s["owner"].eqNullSafe(e["machine_id"]) & (s["state"] == "claimed")
-        over = (s["state"] == "claimed") & (e["ts"] >= s["lease"]) & (e["ts"] >= s["beat"] + HEARTBEAT_GRACE)
-        take = (e["event"] == "claim") & ((s["state"] == "free") | mine | over)
-        hold = F.struct(e["machine_id"].alias("owner"), F.lit("claimed").alias("state"), e["lease_expires_at"].alias("lease"), e["ts"].alias("beat"), s["refused"].alias("refused"))
-        end = lambda state: F.struct(F.when(F.lit(state == "done"), e["machine_id"]).alias("owner"), F.lit(state).alias("state"), s["lease"].alias("lease"), e["ts"].alias("beat"), s["refused"].alias("refused"))
-        no = F.struct(*(s[k].alias(k) for k in ("owner", "state", "lease", "beat")), (s["refused"] + 1).alias("refused"))
-        return F.when(take | ((e["event"] == "renew") & mine), hold).when((e["event"] == "done") & mine, end("done")).when((e["event"] == "release") & mine, end("free")).otherwise(no)
-
-    log = events.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "machine_id", "event", "lease_expires_at"))).alias("log"))
-    return log.select("key", F.aggregate("log", start, step).alias("s")).select("key", "s.owner", "s.state", "s.refused")
+    by_item = Window.partitionBy("owner", "item").orderBy("ts", "seq")
+    end = F.greatest(F.col("lease_expires_at"), F.col("ts") + silence)
+    df = events.withColumn("end", end).withColumn("then", F.coalesce(F.lead("ts").over(by_item), as_of)).filter(F.col("then") > F.col("end"))
+    return df.select("owner", "item", F.col("end").alias("ts"), F.row_number().over(by_item).alias("failures"))
+
+
+# ST04's and ST11's batch twin
+def due(records: DataFrame, key: str, as_of: Column) -> DataFrame:
+    """key, due of the latest record (by seen_at) of each key whose time `due` has come at as_of."""
+    return records.groupBy(key).agg(F.max_by("due", F.struct("seen_at", "due")).alias("due")).filter(F.col("due") <= as_of)
+
+
+def courtesy_due(files: DataFrame) -> DataFrame:
+    """files (path, modified_secs) with due: when another machine's file may be taken."""
+    return files.withColumn("due", F.col("modified_secs") + COURTESY)
+
+
+# ST08's batch twin
+def changes(rows: DataFrame) -> DataFrame:
+    """key, ts, digest of the rows (key, ts, seq, digest) that differ from the row before."""
+    before = F.lag("digest").over(Window.partitionBy("key").orderBy("ts", "seq"))
+    return rows.withColumn("before", before).filter(~F.col("digest").eqNullSafe(F.col("before"))).select("key", "ts", "digest")
+
+
+# ST07's batch twin
+def machines_by_window(rows: DataFrame, seconds: int = PRESENCE_ACTIVE) -> DataFrame:
+    """start, machines: different machines seen in each window of ten minutes."""
+    start = (F.floor(F.col("last_seen_at") / seconds) * seconds).alias("start")
+    return rows.select(start, "machine_id").distinct().groupBy("start").agg(F.count("*").alias("machines"))
+
+
+# T01
+def listed(rows: DataFrame, by: str) -> DataFrame:
+    """rows in order: by id, by relative path, by lower-cased path (rows of equal ones by the path as it is), or machines by id."""
+    order = {"id": ["id"], "relative_path": ["relative_path"], "path": [F.lower("path"), "path"], "machine_id": ["machine_id"]}[by]
+    return rows.orderBy(*order)

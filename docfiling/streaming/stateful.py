@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -36,6 +36,7 @@ class _Fold(StatefulProcessor):
     ttl: int | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.kept = handle.getValueState("kept", self.state, self.ttl)
 
     def close(self) -> None:
@@ -73,18 +74,11 @@ class Claims(_Fold):
     output = "key string, owner string, state string, refused int"
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        owner, state, lease, beat, refused = self.kept.get() if self.kept.exists() else (None, "free", 0, 0, 0)
-        for r in _all(rows, ["ts", "seq"]).itertuples():
-            ts, mine = int(r.ts), owner == r.machine_id and state == "claimed"
-            over = state == "claimed" and ts >= lease and ts >= beat + I.HEARTBEAT_GRACE
-            if (r.event == "claim" and (state == "free" or mine or over)) or (r.event == "renew" and mine):
-                owner, state, lease, beat = r.machine_id, "claimed", int(r.lease_expires_at), ts
-            elif r.event in ("done", "release") and mine:
-                owner, state, beat = (r.machine_id, "done", ts) if r.event == "done" else (None, "free", ts)
-            else:
-                refused += 1
-        self.kept.update((owner, state, lease, beat, refused))
-        yield pd.DataFrame([(key[0], owner, state, refused)], columns=["key", "owner", "state", "refused"])
+        now = self.kept.get() if self.kept.exists() else I.FREE
+        for r in _all(rows, I.CLAIM_ORDER).itertuples():
+            now = I.next_claim(tuple(now), (int(r.ts), r.machine_id, r.event, int(r.lease_expires_at)))
+        self.kept.update(tuple(now))
+        yield pd.DataFrame([(key[0], now[0], now[1], now[4])], columns=["key", "owner", "state", "refused"])
 
 
 # ST05
@@ -128,22 +122,52 @@ class OnChange(_Fold):
 
 # ST06
 class Leases(_Fold):
-    """Gives an owner's item back when its lease is 60 s over and no heartbeat came for 60 s, by event time."""
+    """Gives an item back when its owner's lease is over and no heartbeat came for 60 s, told by the next event or by an event-time timer."""
 
-    state = "item long, lease long, beat long, failures int"
-    output = "owner string, item long, failures int"
+    state = "end long, failures int"
+    output = "owner string, item long, ts long, failures int"
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        item, lease, beat, failures = self.kept.get() if self.kept.exists() else (0, 0, 0, 0)
+        end, failures = self.kept.get() if self.kept.exists() else (0, 0)
+        if end:
+            self.handle.deleteTimer(end * 1000)
         out = []
         for r in _all(rows, ["ts", "seq"]).itertuples():
-            if lease and int(r.ts) >= max(lease, beat) + L.SESSION_SECONDS:
+            if end and int(r.ts) > end:
                 failures += 1
-                out.append((key[0], item, failures))
-            item, lease, beat = int(r.item), int(r.lease_expires_at), int(r.ts)
-        self.kept.update((item, lease, beat, failures))
+                out.append((*key, end, failures))
+            end = max(int(r.lease_expires_at), int(r.ts) + L.SESSION_SECONDS)
+        self.kept.update((end, failures))
+        self.handle.registerTimer(end * 1000)
         if out:
-            yield pd.DataFrame(out, columns=["owner", "item", "failures"])
+            yield pd.DataFrame(out, columns=["owner", "item", "ts", "failures"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end, failures = self.kept.get()
+        self.kept.update((0, failures + 1))
+        yield pd.DataFrame([(*key, end, failures + 1)], columns=["owner", "item", "ts", "failures"])
+
+
+# ST04, ST11
+class Due(_Fold):
+    """Holds the latest record of a key until its time `due` has come by event time, then emits the key and forgets it."""
+
+    state = "due long"
+    output = "key string, due long"
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if self.kept.exists():
+            self.handle.deleteTimer(self.kept.get()[0] * 1000)
+        due = int(_all(rows, ["seen_at", "due"]).iloc[-1].due)
+        self.kept.update((due,))
+        # a time that has passed is told by the next watermark
+        self.handle.registerTimer(max(due * 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        (due,) = self.kept.get()
+        self.kept.clear()
+        yield pd.DataFrame([(key[0], due)], columns=["key", "due"])
 
 
 def _keyed(stream: DataFrame, key: str, processor: type[_Fold], mode: str) -> DataFrame:
@@ -155,7 +179,7 @@ def stable_files(stream: DataFrame) -> DataFrame:
 
 
 def claim_states(stream: DataFrame) -> DataFrame:
-    return _keyed(stream, "key", Claims, "Update")
+    return _keyed(I.in_claim_order(stream), "key", Claims, "Update")
 
 
 def item_states(stream: DataFrame) -> DataFrame:
@@ -166,27 +190,43 @@ def changes(stream: DataFrame) -> DataFrame:
     return _keyed(stream, "key", OnChange, "Append")
 
 
-def expired_leases(stream: DataFrame) -> DataFrame:
-    return _keyed(stream, "owner", Leases, "Append")
+def expired_leases(stream: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """owner, item, ts, failures; stream: owner, item, ts, seq, lease_expires_at."""
+    timed = stream.withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", late)
+    return timed.groupBy("owner", "item").transformWithStateInPandas(Leases(), Leases.output, "Append", "EventTime")
 
 
 # ST01
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
 def arrivals(spark: SparkSession, root: str) -> DataFrame:
     """path, size, modified_secs of files as they come, by Spark's file source; S01's rules."""
     from ..functions import names as N
     from ..sources.files import LISTED
 
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True).load(root)
     name = N.leaf(F.col("path"))
     keep = (F.col("length") > 0) & ~name.startswith(".") & ~name.startswith("~$") & N.path_extension(F.col("path")).isin(LISTED)
     return files.filter(keep).select("path", F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("modified_secs"))
 
 
+def due(stream: DataFrame, key: str, late: str = "0 seconds") -> DataFrame:
+    """key, due of the records (key, due, seen_at) when their time comes, by the clock of seen_at."""
+    timed = stream.withColumn("at", F.timestamp_seconds("seen_at")).withWatermark("at", late).withColumnRenamed(key, "key")
+    return timed.groupBy("key").transformWithStateInPandas(Due(), Due.output, "Append", "EventTime").withColumnRenamed("key", key)
+
+
 # ST04
-def released(stream: DataFrame, now: Column | None = None) -> DataFrame:
-    """Another machine's files 120 s after their time, by the batch's own clock."""
-    clock = F.unix_timestamp(F.current_timestamp()) if now is None else now
-    return stream.filter(clock - F.col("modified_secs") >= I.COURTESY)
+def released(stream: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """path, due: another machine's files (path, modified_secs, seen_at) 120 s after their time; one that comes earlier is held till then."""
+    return due(I.courtesy_due(stream), "path", late)
+
+
+# ST11
+def pruned(stream: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """file_name, due: coordination files (A11's columns and seen_at) when they may go: 30 days for good ones, a day for malformed ones."""
+    return due(I.retention_due(stream), "file_name", late)
 
 
 # ST07
@@ -196,9 +236,10 @@ def presence(stream: DataFrame) -> DataFrame:
 
 
 def active_machines(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Machines by ten-minute window of event time; late rows end the window's state."""
+    """start, machine_id, last_seen_at: the machines of each ten-minute window of event time; late rows end the window's state."""
     timed = stream.withColumn("at", F.timestamp_seconds("last_seen_at")).withWatermark("at", late)
-    return timed.groupBy(F.window("at", "10 minutes")).agg(F.approx_count_distinct("machine_id").alias("machines"))
+    # one row for each window and machine, so that the count is exact and no window's machines meet in one state
+    return timed.groupBy(F.window("at", "10 minutes"), "machine_id").agg(F.max("last_seen_at").alias("last_seen_at")).select(F.unix_timestamp("window.start").alias("start"), "machine_id", "last_seen_at")
 
 
 # ST09

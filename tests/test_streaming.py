@@ -47,7 +47,7 @@ def test_item_states(spark, sf_dir, tmp_path):
 def test_claims(spark, sf_dir, tmp_path):
     events = corpus.claim_events(reader(spark, sf_dir))
     got = {}
-    for key, *state in replay(spark, events, "seq", tmp_path, S.claim_states, "update"):
+    for key, *state in replay(spark, events, "ts", tmp_path, S.claim_states, "update"):
         got[key] = tuple(state)
     assert got == {r["key"]: (r["owner"], r["state"], r["refused"]) for r in I.folded_claims(events).collect()}
 
@@ -68,3 +68,87 @@ def test_plain_streams(spark, sf_dir, tmp_path):
         last[item] = percent
     want = {r["item"]: (min(r["current"], 100.0) if r["total"] else None) for r in sorted(steps.collect(), key=lambda r: r["ts"])}
     assert last == want
+
+
+def watch(folder, df, order, build, spark, batches=3):
+    """As replay, with the empty batches that let timers and windows end."""
+    S.use_rocksdb(spark)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    cuts = df.approxQuantile(order, [k / batches for k in range(1, batches)], 0.0)
+    for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        part = df.filter((F.lit(low is None) | (F.col(order) > low)) & (F.lit(high is None) | (F.col(order) <= high)))
+        part.coalesce(1).write.parquet(f"{folder}/in/p{k}")
+    out = []
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+    q = build(stream).writeStream.outputMode("append").foreachBatch(lambda b, n: out.extend(map(tuple, b.collect()))).option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    return sorted(out)
+
+
+def test_leases(spark, sf_dir, tmp_path):
+    """Owners that go silent, with several items each: gaps and the end of the log."""
+    e = reader(spark, sf_dir)("events").filter("event_id % 20 = 0")
+    events = e.select((F.concat(F.lit("s"), (F.col("event_id") % 7).cast("string"))).alias("owner"), (F.col("event_id") % 3).cast("long").alias("item"), (F.col("event_id") * 3 + 1000).cast("long").alias("ts"), F.col("event_id").alias("seq"), (F.col("event_id") * 3 + 1000 + F.col("event_id") % 1200).cast("long").alias("lease_expires_at"))
+    top = events.agg(F.max("ts")).first()[0]
+    last = spark.createDataFrame([("end", 0, top + 400, 10**9, top + 10**6)], events.schema)
+    got = watch(tmp_path, events.unionByName(last), "ts", S.expired_leases, spark)
+    want = sorted(map(tuple, I.expired_leases(events.unionByName(last), F.lit(top + 400), L.SESSION_SECONDS).collect()))
+    assert len(want) > 10 and got == want
+    # both items of the silent owners run out
+    assert len({(r[0], r[1]) for r in got}) > 7
+
+
+def test_released_and_pruned(spark, tmp_path):
+    files = spark.createDataFrame([(f"f{k}", 1000 + 10 * k, 1000 + 11 * k) for k in range(30)] + [("f2", 1190, 1195), ("late", 900, 1300), ("tick", 99_999, 1400)], "path string, modified_secs long, seen_at long")
+    got = watch(tmp_path / "a", files, "seen_at", S.released, spark)
+    want = sorted(map(tuple, I.due(I.courtesy_due(files), "path", F.lit(1400)).collect()))
+    assert got == want and ("f2", 1310) in got and ("late", 1020) in got and not any(p == "f29" and due < 1400 for p, due in got if due != 1410)
+    day = 86400
+    rows = [
+        ("claim", "a", "a.json", True, "done", 0, 5 * day, day, 0, 0, 0, day), ("claim", "b", "b.json", True, "claimed", 0, 9 * day, None, 0, 0, 0, day), ("origin", "c", "c (copy).json", True, None, 0, 0, None, 0, 0, 2 * day, 2 * day),
+        ("machine", "d", "d.json", False, None, 0, 0, None, 0, 0, 3 * day, 3 * day), ("claim", "a", "a.json", True, "done", 0, 5 * day, 20 * day, 0, 0, 0, 21 * day), ("origin", "z", "z.json", True, None, 0, 0, None, 90 * day, 0, 0, 45 * day),
+    ]
+    records = spark.createDataFrame(rows, "kind string, key string, file_name string, readable boolean, state string, claimed_at long, heartbeat_at long, done_at long, observed_at long, last_seen_at long, file_mtime long, seen_at long")
+    got = watch(tmp_path / "b", records, "seen_at", S.pruned, spark)
+    assert got == sorted(map(tuple, I.due(I.retention_due(records), "file_name", F.lit(45 * day)).collect()))
+    assert got == [("b.json", 39 * day), ("c (copy).json", 3 * day), ("d.json", 4 * day)]
+
+
+def test_precedence(spark, tmp_path):
+    """At one instant the owner's renewal beats another's takeover, whatever their order in the log; done is final."""
+    rows = [("k", 0, 1, "m1", "claim", 900), ("k", 2000, 2, "m2", "claim", 2900), ("k", 2000, 3, "m1", "renew", 2900), ("j", 0, 4, "m1", "claim", 900), ("j", 2000, 5, "m2", "claim", 2900), ("i", 0, 6, "m1", "claim", 900), ("i", 5, 7, "m1", "done", 0), ("i", 9000, 8, "m2", "claim", 9900)]
+    events = spark.createDataFrame(rows, "key string, ts long, seq long, machine_id string, event string, lease_expires_at long")
+    want = {("k", "m1", "claimed", 1), ("j", "m2", "claimed", 0), ("i", "m1", "done", 1)}
+    assert {tuple(r) for r in I.folded_claims(events).collect()} == want
+    got = {}
+    for key, *state in replay(spark, events, "ts", tmp_path, S.claim_states, "update"):
+        got[key] = (key, *state)
+    assert set(got.values()) == want
+
+
+def test_changes_and_presence(spark, sf_dir, tmp_path):
+    e = reader(spark, sf_dir)("events").filter("event_id < 600")
+    rows = e.select((F.col("user_id") % 9).cast("string").alias("key"), F.col("event_id").alias("ts"), F.col("event_id").alias("seq"), (F.floor(F.col("event_id") / 4) % 5).alias("digest"))
+    got = sorted(map(tuple, replay(spark, rows, "ts", tmp_path / "a", S.changes, "append")))
+    assert got == sorted(map(tuple, I.changes(rows).collect())) and len(got) < rows.count()
+    seen = e.select(F.concat(F.lit("m"), (F.col("user_id") % 5).cast("string")).alias("machine_id"), (F.col("event_id") * 7 + 600).alias("last_seen_at"))
+    last = {}
+    for machine, at in replay(spark, seen, "last_seen_at", tmp_path / "b", S.presence, "update"):
+        last[machine] = at
+    assert last == {r[0]: r[1] for r in seen.groupBy("machine_id").agg(F.max("last_seen_at")).collect()}
+    late = spark.createDataFrame([("x", 10**6)], seen.schema)
+    got = watch(tmp_path / "c", seen.unionByName(late), "last_seen_at", S.active_machines, spark)
+    by = {}
+    for start, machine, _ in got:
+        by.setdefault(start, set()).add(machine)
+    assert {k: len(v) for k, v in by.items()} == {r["start"]: r["machines"] for r in I.machines_by_window(seen).collect()}
+
+
+def test_arrivals(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, text in (("a.pdf", "x"), (".hidden.pdf", "x"), ("~$b.docx", "x"), ("c.exe", "x"), ("empty.txt", ""), ("d.MD", "yy")):
+        (tmp_path / "in" / name).write_text(text)
+    out = []
+    q = S.arrivals(spark, str(tmp_path / "in")).writeStream.foreachBatch(lambda b, n: out.extend(b.collect())).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r["path"].rsplit("/", 1)[-1], r["size"]) for r in out) == [("a.pdf", 1), ("d.MD", 2)] and all(r["modified_secs"] > 0 for r in out)
