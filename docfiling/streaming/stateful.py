@@ -213,7 +213,7 @@ def arrivals(spark: SparkSession, root: str) -> DataFrame:
 
 def due(stream: DataFrame, key: str, late: str = "0 seconds") -> DataFrame:
     """key, due of the records (key, due, seen_at) when their time comes, by the clock of seen_at."""
-    timed = stream.withColumn("at", F.timestamp_seconds("seen_at")).withWatermark("at", late).withColumnRenamed(key, "key")
+    timed = stream.select(F.col(key).alias("key"), "due", "seen_at", F.timestamp_seconds("seen_at").alias("at")).withWatermark("at", late)
     return timed.groupBy("key").transformWithStateInPandas(Due(), Due.output, "Append", "EventTime").withColumnRenamed("key", key)
 
 
