@@ -222,7 +222,7 @@ def _meetings(seen: DataFrame, label: DataFrame) -> DataFrame:
 
 
 #: Sets of a meeting that are compared with each other; more get a hub.
-FEW = 16
+FEW = 64
 
 
 def _linked_components(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
