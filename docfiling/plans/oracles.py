@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .. import corpus as C
 from ..functions import text as T
 from ..operators import lifecycle as L
+from . import jobs
 
 _STATES = "['queued','extracting','analyzing','ready','needs_review','failed','canceled','applying','completed']"
 _STAGES = "['planned','copied','verified','published','rollback_required','rolled_back','complete']"
@@ -19,7 +21,10 @@ DERIVED = {
         'Invoice Number: INV-' || o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'Date of this Notice: ' ELSE 'Invoice Date: ' END || {_DAY.format(0)}, 'Payment Due Date: ' || {_DAY.format(30)}, '',
         'Bill To: ' || c_name, 'Issued under the Master Services Agreement dated ' || {_DAY.format(-400)}, rows, 'Total Due: $' || CAST(floor(o_totalprice) AS BIGINT)], chr(10)) AS text
       FROM orders JOIN customer ON c_custkey = o_custkey
-      JOIN (SELECT l_orderkey, string_agg('| part ' || l_partkey || ' | ' || CAST(l_quantity AS BIGINT) || ' |', chr(10) ORDER BY l_linenumber) AS rows FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey""",
+      JOIN (SELECT l_orderkey, string_agg('| part ' || l_partkey || ' | ' || CAST(l_quantity AS BIGINT) || ' |', chr(10) ORDER BY l_linenumber, '| part ' || l_partkey || ' | ' || CAST(l_quantity AS BIGINT) || ' |') AS rows FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey""",
+    "statements": f"""
+      SELECT o_custkey AS doc_id, n AS page, 'CONFIDENTIAL STATEMENT' || chr(10) || text || chr(10) || chr(10) || [{", ".join("'" + c.replace("'", "''") + "'" for c in C.CLAUSES)}][CAST(doc_id % 16 AS INT) + 1] || chr(10) || chr(10) || 'Page ' || n || ' of ' || m AS text
+      FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY o_custkey) AS m FROM contracts)""",
     "have": "SELECT DISTINCT l_orderkey AS k FROM lineitem",
     "proposals": f"""
       SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 13 = 0 THEN 'Settlement Agreement' ELSE {_TYPES} END AS document_type,
@@ -77,7 +82,7 @@ DERIVED = {
             FROM proposals, (VALUES ('new'), ('old')) v(pipeline)) JOIN gold ON gold.k = doc_id""",
 }
 _NEEDS = {
-    "proposals": ["have"], "gold": ["have"], "scores": ["proposals", "gold"], "files": ["receipts"], "latest": ["receipts"], "lines": ["contracts"], "readings": ["words"], "solid": ["inspections"],
+    "statements": ["contracts"], "proposals": ["have"], "gold": ["have"], "scores": ["proposals", "gold"], "files": ["receipts"], "latest": ["receipts"], "lines": ["contracts"], "readings": ["words"], "solid": ["inspections"],
 }
 FLAGS = "date_correct date_exact date_forbidden date_present date_role_correct type_correct type_present parties_correct party_forbidden description_covers_facts description_specific readiness_match ready".split()
 
@@ -129,6 +134,12 @@ def _runs(source: str) -> str:
     SELECT doc_id, kind, count(*) AS n, CAST(sum(n) AS BIGINT) AS characters FROM r GROUP BY doc_id, kind"""
 
 
+def _blocks(source: str) -> str:
+    """Common table expressions up to blk: the runs of lines of source (doc_id, page, text) with their text, none of which is long enough to be cut."""
+    chain = _runs(source).split("r AS (SELECT", 1)[0]
+    return chain + "blk AS (SELECT doc_id, page, kind, island, string_agg(line, chr(10) ORDER BY i) AS joined FROM g WHERE kind <> 'blank' GROUP BY doc_id, page, kind, island)"
+
+
 _DATES = r"len(list_filter(regexp_extract_all({0}, '[0-9]+'), lambda y: length(y) = 4 AND CAST(y AS INT) BETWEEN 1900 AND 2199))"
 _IDENT = r"len(list_filter(list_transform(regexp_extract_all({0}, '[^\s]+'), lambda w: regexp_replace(regexp_replace(w, '^[^0-9A-Za-z]+', ''), '[^0-9A-Za-z]+$', '')), lambda w: length(regexp_replace(w, '[^A-Za-z]', '', 'g')) >= 2 AND length(regexp_replace(w, '[^0-9]', '', 'g')) >= 2 AND length(w) <= 24)) > 0"
 # bytes as pairs of hexadecimal digits: $ or A3, and a digit within three
@@ -304,4 +315,108 @@ def oracle_sql() -> dict[str, str]:
             "contracts", "proposals",
         ),
     }
+    named = """, n AS (SELECT doc_id, folder, stem, lower(stem) AS key, row_number() OVER (PARTITION BY folder, lower(stem) ORDER BY doc_id) AS rn, one, two FROM base),
+        k AS (SELECT doc_id, folder, stem, CAST(CASE WHEN one AND two THEN rn + 2 WHEN one THEN rn + 1 WHEN two AND rn > 1 THEN rn + 1 ELSE rn END AS INT) AS collision_index FROM n)"""
+    file = "stem || CASE WHEN collision_index > 1 THEN ' (' || collision_index || ')' ELSE '' END || '.pdf'"
+    checked = out["c02_validate"]
+    decided = """, d AS (SELECT path || '#' || scan_no AS key, path, size AS m, (scan_no * 7 + size) % 6 AS n FROM scans),
+        decided AS (SELECT key, CASE WHEN n < 2 THEN CASE WHEN n = 0 THEN 'mine_' ELSE 'other_' END || CASE WHEN m % 2 = 0 THEN 'done' ELSE 'claimed' END WHEN n = 2 THEN 'claim'
+          WHEN n = 3 OR path IN (SELECT path FROM d WHERE n = 4) THEN CASE WHEN 130 - m >= 120 THEN 'claim' ELSE 'hold' END ELSE 'claim_new_local' END AS decision FROM d)"""
+    digest = f""", {_blocks("(SELECT doc_id, 1 AS page, text FROM contracts)")},
+        dl AS (SELECT doc_id, d, min(island * 1000 + p) AS place FROM (SELECT doc_id, island, trim(w[p]) AS d, p FROM (SELECT doc_id, island, w, unnest(range(1, len(w) + 1)) AS p FROM (SELECT doc_id, island, string_split(joined, chr(10)) AS w FROM blk))) WHERE {_DATES.format("d")} > 0 GROUP BY doc_id, d),
+        ds AS (SELECT doc_id, list(d ORDER BY place)[1:14] AS ds FROM dl GROUP BY doc_id),
+        bs AS (SELECT doc_id, string_agg(CASE WHEN kind = 'heading' THEN trim(joined) ELSE joined END || chr(10) || chr(10), '' ORDER BY island) AS body, count(*) AS n_blocks, count(*) FILTER (WHERE kind = 'heading') AS n_headings FROM blk GROUP BY doc_id),
+        digests AS (SELECT c.doc_id, length(c.text) AS source_characters, n_blocks, n_headings, coalesce(len(ds), 0) AS n_dates,
+          rtrim(CASE WHEN len(ds) > 1 THEN 'EVERY DATE IN THIS DOCUMENT, WITH ITS OWN WORDS:' || chr(10) || array_to_string(list_transform(ds, lambda x: '- ' || x || chr(10)), '') || chr(10) ELSE '' END || '[Page 1]' || chr(10) || body, chr(10) || ' ') AS text
+          FROM contracts c JOIN bs ON bs.doc_id = c.doc_id LEFT JOIN ds ON ds.doc_id = c.doc_id)"""
+    out |= {
+        "c01_distil_contracts": sql(f"{digest} SELECT doc_id, CAST(1 AS BIGINT) AS page_count, source_characters, CAST(length(text) AS BIGINT) AS digest_characters, false AS compressed, n_blocks AS block_count, n_blocks AS n_segments, n_headings AS n_outline, CAST(n_dates AS BIGINT) AS n_dates, sha256(text) AS text_sha256 FROM digests", "contracts"),
+        "x21_prompts": sql(
+            f"""{digest}, p AS (SELECT doc_id, {_quoted(jobs._ASK.split("{scope}")[0])} || {_quoted(jobs._WHOLE)} || {_quoted(jobs._ASK.split("{scope}")[1])} || text || chr(10) || '--- END DOCUMENT ---' || chr(10) AS prompt FROM digests)
+            SELECT doc_id, sha256(prompt) AS prompt_sha256, CAST(length(prompt) AS INT) AS prompt_characters FROM p""",
+            "contracts",
+        ),
+        "w01_runs_statements": sql(", " + _runs("statements"), "statements"),
+        "a01_running_lines": sql(
+            f""", {_blocks("statements")}, pg AS (SELECT doc_id, count(*) AS n FROM statements GROUP BY doc_id),
+            sh AS (SELECT doc_id, lower(regexp_replace(trim(joined), '[0-9]+', '#', 'g')) AS shape, count(*) AS c, count(DISTINCT page) AS p FROM blk WHERE length(joined) <= 120 GROUP BY ALL),
+            gone AS (SELECT sh.doc_id, sum(c - 1) AS gone FROM sh JOIN pg USING (doc_id) WHERE n >= 3 AND p >= greatest(n // 2, 3) GROUP BY sh.doc_id)
+            SELECT blk.doc_id, count(*) AS blocks, CAST(count(*) - coalesce(any_value(gone), 0) AS BIGINT) AS left FROM blk LEFT JOIN gone ON gone.doc_id = blk.doc_id GROUP BY blk.doc_id""",
+            "statements",
+        ),
+        "a06_outline": sql(
+            f""", {_blocks("statements")} SELECT regexp_replace(trim(regexp_replace(trim(joined), '^#+', '')), ':+$', '') AS heading, count(*) AS n, count(DISTINCT doc_id) AS documents FROM blk WHERE kind = 'heading' GROUP BY 1""", "statements",
+        ),
+        "x18_legacy": sql(
+            """, t AS (SELECT doc_id, string_agg('[Page ' || page || ']' || chr(10) || text, chr(10) ORDER BY page) AS t FROM statements GROUP BY doc_id)
+            SELECT doc_id, CAST(CASE WHEN length(t) > 22000 THEN 2 ELSE 1 END AS BIGINT) AS n_segments, CAST(least(length(t), 22000) AS BIGINT) AS characters FROM t""",
+            "statements",
+        ),
+        "a08_reasons": f"""WITH c AS ({checked}), r AS (SELECT status, unnest(CASE WHEN reasons = '' THEN ['NONE'] ELSE string_split(reasons, ',') END) AS reason FROM c)
+            SELECT status, reason, count(*) AS n FROM r GROUP BY ROLLUP (status, reason)""",
+        "c03_names": sql(
+            f""", base0 AS (SELECT doc_id, 'f' || (doc_id % 5) AS folder, concat_ws(' ', substr(document_date, 1, 7), document_type) AS stem FROM proposals),
+            there AS (SELECT DISTINCT folder, lower(stem) AS key, doc_id % 80 = 0 AS second FROM base0 WHERE doc_id % 40 = 0),
+            base AS (SELECT b.*, EXISTS (SELECT 1 FROM there t WHERE t.folder = b.folder AND t.key = lower(b.stem) AND NOT second) AS one, EXISTS (SELECT 1 FROM there t WHERE t.folder = b.folder AND t.key = lower(b.stem) AND second) AS two FROM base0 b)
+            {named} SELECT doc_id, folder, {file} AS filename, collision_index FROM k""",
+            "proposals",
+        ),
+        "c04_replay": f"""WITH c AS ({checked}), p AS (SELECT doc_id, status, concat_ws(' ', document_date, coalesce(document_type, 'Document'), CASE party_relation WHEN 'none' THEN '-' ELSE party_relation END || ' ' || parties) AS stem, document_type IS NOT NULL AS typed FROM c),
+            there AS (SELECT DISTINCT lower(stem) AS key FROM p WHERE doc_id % 8 = 0 AND typed),
+            base AS (SELECT doc_id, 'in' AS folder, stem, EXISTS (SELECT 1 FROM there t WHERE t.key = lower(p.stem)) AS one, false AS two FROM p)
+            {named} SELECT k.doc_id, p.status, {file.replace("stem", "k.stem")} AS filename, collision_index FROM k JOIN p ON p.doc_id = k.doc_id""",
+        "x12_fitted": sql(
+            """, q AS (SELECT doc_id, document_date AS d, document_type AS kind, party_relation AS rel, rtrim(repeat(parties[1] || ' ', CAST(doc_id % 5 + 1 AS INT))) AS a, rtrim(repeat(parties[2] || ' ', CAST(doc_id % 5 + 1 AS INT))) AS b FROM proposals),
+            n AS (SELECT doc_id, concat_ws(' ', d, kind, CASE WHEN rel = 'none' THEN '- ' || a WHEN rel = 'between' AND b IS NOT NULL THEN 'between ' || a || ' and ' || b ELSE rel || ' ' || a END) AS whole,
+              concat_ws(' ', d, kind, CASE WHEN rel = 'none' THEN '- ' || a WHEN rel = 'between' THEN 'with ' || a ELSE rel || ' ' || a END) AS fewer, concat_ws(' ', d, kind) AS bare FROM q)
+            SELECT doc_id, CASE WHEN length(whole) <= 116 THEN whole WHEN length(fewer) <= 116 THEN fewer ELSE bare END || '.pdf' AS name FROM n""",
+            "proposals",
+        ),
+        "c06_legacy": sql(
+            """, v AS (SELECT p.doc_id, p.document_type, p.document_date, c_name, p.doc_id % 13 <> 0 AS typed, p.document_date IS NOT NULL AND p.doc_id % 7 <> 0 AND o_orderstatus <> 'P' AS dated, p.doc_id % 50 < 36 AS low FROM proposals p JOIN orders ON o_orderkey = p.doc_id)
+            SELECT doc_id, CASE WHEN typed THEN document_type END AS document_type, CASE WHEN dated THEN document_date END AS document_date, c_name AS subject, CASE WHEN typed AND dated AND NOT low THEN 'ready' ELSE 'needs_review' END AS status,
+              concat_ws(',', CASE WHEN NOT typed THEN 'TYPE_UNSUPPORTED' END, CASE WHEN NOT dated THEN 'DATE_UNSUPPORTED' END, CASE WHEN low THEN 'LOW_CONFIDENCE' END) AS reasons,
+              concat_ws(' - ', CASE WHEN dated THEN document_date END, CASE WHEN typed THEN document_type END, c_name) || '.pdf' AS filename FROM v""",
+            "proposals",
+        ),
+        "j14_decisions": sql(f"{decided} SELECT key, decision FROM decided", "scans"),
+        "a10_status": sql(
+            f"""{decided} SELECT count(*) FILTER (WHERE decision = 'hold') AS held_for_others, count(*) FILTER (WHERE decision = 'other_claimed') AS claimed_by_others, count(*) FILTER (WHERE decision = 'mine_done') AS processed_here,
+            (SELECT string_agg(DISTINCT machine_id, ',' ORDER BY machine_id) FROM claim_events) AS machines FROM decided""",
+            "scans", "claim_events",
+        ),
+        "st03_claims": sql(
+            """, e AS (SELECT *, ts + 900 AS until, row_number() OVER (PARTITION BY key ORDER BY ts, event = 'claim', seq) AS rn FROM claim_events),
+            f(key, rn, owner, state, lease, beat, refused) AS (SELECT DISTINCT key, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), 'free', CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0 FROM e UNION ALL
+              SELECT key, rn, CASE WHEN act = 'hold' OR act = 'done' THEN machine_id WHEN act = 'free' THEN NULL ELSE owner END, CASE act WHEN 'hold' THEN 'claimed' WHEN 'done' THEN 'done' WHEN 'free' THEN 'free' ELSE state END,
+                CASE act WHEN 'hold' THEN until ELSE lease END, CASE act WHEN 'no' THEN beat ELSE ts END, refused + CASE act WHEN 'no' THEN 1 ELSE 0 END
+              FROM (SELECT e.key, e.rn, e.ts, e.until, e.machine_id, f.owner, f.state, f.lease, f.beat, f.refused, CASE
+                WHEN e.event = 'claim' AND (f.state = 'free' OR (f.state = 'claimed' AND (f.owner = e.machine_id OR (e.ts >= f.lease AND e.ts >= f.beat + 900)))) THEN 'hold'
+                WHEN f.state = 'claimed' AND f.owner = e.machine_id THEN CASE e.event WHEN 'renew' THEN 'hold' WHEN 'done' THEN 'done' WHEN 'release' THEN 'free' ELSE 'no' END ELSE 'no' END AS act
+                FROM f JOIN e ON e.key = f.key AND e.rn = f.rn + 1))
+            SELECT key, nullif(arg_max(coalesce(owner, ''), rn), '') AS owner, arg_max(state, rn) AS state, CAST(max(refused) AS INT) AS refused FROM f GROUP BY key""",
+            "claim_events", head="WITH RECURSIVE",
+        ),
+        "st06_leases": """WITH e AS (SELECT 's' || user_id AS owner, event_id % 3 AS item, event_id AS ts, greatest(event_id + event_id % 1200, event_id + 60) AS e FROM events),
+            n AS (SELECT *, coalesce(lead(ts) OVER (PARTITION BY owner, item ORDER BY ts), 100000) AS nxt FROM e)
+            SELECT owner, item, e AS ts, CAST(row_number() OVER (PARTITION BY owner, item ORDER BY ts) AS INT) AS failures FROM n WHERE nxt > e""",
+        "st04_released": "SELECT path, due FROM (SELECT 'f' || (event_id % 700) AS path, arg_max(event_id - event_id % 90 + 120, event_id) AS due FROM events GROUP BY 1) WHERE due <= 900",
+        "st11_pruned": sql(
+            """, r AS (SELECT key || CASE WHEN seq % 5 = 0 THEN ' (copy).json' ELSE '.json' END AS file_name, seq, CASE WHEN seq % 7 <> 0 AND seq % 5 <> 0 THEN 2592000 + CASE WHEN event = 'done' THEN ts + 100 ELSE ts + 60 END ELSE 86400 + ts END AS due FROM claim_events)
+            SELECT file_name, due FROM (SELECT file_name, arg_max(due, seq) AS due FROM r GROUP BY file_name) WHERE due <= 2700000""",
+            "claim_events",
+        ),
+        "st08_changes": "SELECT key, ts, digest FROM (SELECT *, lag(digest) OVER (PARTITION BY key ORDER BY ts) AS b FROM (SELECT 'k' || user_id AS key, event_id AS ts, event_id // 4 % 5 AS digest FROM events)) WHERE digest IS DISTINCT FROM b",
+        "st07_machines": "SELECT event_id * 3 // 600 * 600 AS start, count(DISTINCT user_id) AS machines FROM events GROUP BY 1",
+        "t01_listing": sql("SELECT id, source_path AS path FROM items", "items"),
+        "t04_live": sql("SELECT path, scan_no FROM scans WHERE path IN (SELECT path FROM scans WHERE scan_no % 3 = 0)", "scans"),
+        "p04_barely_readable": "SELECT doc_id FROM documents WHERE length(text) < 200 AND doc_id % 2 = 0",
+        "p13_fresh": sql("SELECT id, lease_expires_at - 20 < 450 AS renew, 420 - lease_expires_at >= 300 AS touch, 900 - lease_expires_at <= 600 AS active FROM items", "items"),
+        "p12_review_rows": sql(
+            """, v AS (SELECT i.*, CASE WHEN i.id % 5 = 4 THEN 'SOURCE_DELETE_FAILED' WHEN i.id % 8 = 0 THEN 'IO_ERROR' END AS err, l.id AS rid, l.stage, l.direction FROM items i LEFT JOIN latest l ON l.queue_item_id = i.id)
+            SELECT id, string_split(source_path, '/')[3] AS original, status, CASE WHEN status <> 'queued' THEN proposed_name END AS filename, CASE WHEN status <> 'queued' THEN 'T' || (id % 3) END AS document_type, CASE WHEN status <> 'queued' THEN '2024-01-02' END AS document_date,
+              CASE WHEN status <> 'queued' THEN 'A; B' END AS parties, CASE WHEN id % 4 = 0 THEN 'X, Y' ELSE err END AS reason, CASE WHEN status = 'needs_review' AND err = 'SOURCE_DELETE_FAILED' AND direction = 'apply' AND stage = 'published' THEN rid END AS reconciliation_receipt FROM v""",
+            "items", "latest",
+        ),
+    }
     return out

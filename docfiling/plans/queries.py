@@ -50,6 +50,12 @@ def c01_distil(t):
     return _digest_row(D.distill(C.documents_as_pages(t)))
 
 
+@query
+def c01_distil_contracts(t):
+    """Digests of the contracts, which pass whole."""
+    return _digest_row(D.distill(C.contracts(t)))
+
+
 @query
 def c01_distil_statements(t):
     """Digests of long multi-page statements under a small budget."""
@@ -397,8 +403,8 @@ def a09_origins(t):
 
 
 def _decided(t) -> DataFrame:
-    files = C.scans(t).select(F.concat_ws("#", "path", F.col("scan_no").cast("string")).alias("key"), F.col("path").alias("relative_path"), "modified_secs")
-    n = F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(6))
+    files = C.scans(t).select(F.concat_ws("#", "path", F.col("scan_no").cast("string")).alias("key"), F.col("path").alias("relative_path"), "modified_secs", "scan_no")
+    n = F.pmod(F.col("scan_no") * 7 + F.col("modified_secs"), F.lit(6))
     claims = files.filter(n < 2).select("key", F.when(n == 0, "m1").otherwise("m2").alias("machine_id"), F.when(F.col("modified_secs") % 2 == 0, "done").otherwise("claimed").alias("state"))
     origins = files.filter(n.isin(2, 3)).select("key", F.when(n == 2, "m1").otherwise("m2").alias("machine_id"))
     return I.decisions(files, claims, origins, files.filter(n == 4).select("relative_path"), "m1", 130, True)
@@ -431,6 +437,77 @@ def st03_claims(t):
     return I.folded_claims(C.claim_events(t))
 
 
+@query
+def st06_leases(t):
+    """Items whose owner went silent, by the events' own clock."""
+    e = F.col("event_id")
+    events = t("events").select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("owner"), (e % 3).alias("item"), e.alias("ts"), e.alias("seq"), (e + e % 1200).alias("lease_expires_at"))
+    return I.expired_leases(events, F.lit(100_000), L.SESSION_SECONDS)
+
+
+@query
+def st04_released(t):
+    """Files of other machines whose courtesy time is over at the last scan."""
+    e = F.col("event_id")
+    files = t("events").select(F.concat(F.lit("f"), (e % 700).cast("string")).alias("path"), (e - e % 90).alias("modified_secs"), e.alias("seen_at"))
+    return I.due(I.courtesy_due(files), "path", F.lit(900))
+
+
+@query
+def st11_pruned(t):
+    """Coordination files that may go."""
+    c = C.claim_events(t)
+    records = c.select(
+        F.lit("claim").alias("kind"), "key", F.concat("key", F.when(F.col("seq") % 5 == 0, F.lit(" (copy).json")).otherwise(F.lit(".json"))).alias("file_name"), (F.col("seq") % 7 != 0).alias("readable"), F.when(F.col("event") == "done", "done").otherwise("claimed").alias("state"),
+        F.col("ts").alias("claimed_at"), (F.col("ts") + 60).alias("heartbeat_at"), (F.col("ts") + 100).alias("done_at"), F.col("ts").alias("observed_at"), F.col("ts").alias("last_seen_at"), F.col("ts").alias("file_mtime"), F.col("seq").alias("seen_at"),
+    )
+    return I.due(I.retention_due(records), "file_name", F.lit(2_700_000))
+
+
+@query
+def st08_changes(t):
+    e = F.col("event_id")
+    return I.changes(t("events").select(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("key"), e.alias("ts"), e.alias("seq"), (F.floor(e / 4) % 5).alias("digest")))
+
+
+@query
+def st07_machines(t):
+    return I.machines_by_window(t("events").select(F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("machine_id"), (F.col("event_id") * 3).alias("last_seen_at")))
+
+
+@query
+def t01_listing(t):
+    """Items by lower-cased path."""
+    return I.listed(C.items(t).select("id", F.col("source_path").alias("path")), "path")
+
+
+@query
+def t04_live(t):
+    """Observations of files that are still there."""
+    return I.live_only(C.scans(t).select("path", "scan_no"), C.scans(t).filter("scan_no % 3 = 0").select("path").distinct())
+
+
+@query
+def p04_barely_readable(t):
+    return P.barely_readable(C.documents_as_pages(t), t("documents").filter("doc_id % 2 = 0").select("doc_id"))
+
+
+@query
+def p13_fresh(t):
+    """Leases and presence that are due, and active machines, by items and machines."""
+    return C.items(t).select("id", I.lease_due(F.col("lease_expires_at"), 20).alias("renew"), I.presence_due(F.col("lease_expires_at"), 420).alias("touch"), I.presence_active(F.col("lease_expires_at"), 900).alias("active"))
+
+
+@query
+def p12_review_rows(t):
+    """Items as a reviewer sees them."""
+    p = t("orders").filter("o_orderkey % 6 <> 0").select(F.col("o_orderkey").alias("queue_item_id"), F.lit("p").alias("proposal_json"))
+    k = F.col("id")
+    view = L.item_view(C.items(t), p, C.receipts(t))
+    view = view.withColumns({"error_code": F.when(k % 5 == 4, "SOURCE_DELETE_FAILED").otherwise(F.col("error_code")), "filename": F.col("proposed_name"), "document_type": F.concat(F.lit("T"), (k % 3).cast("string")), "document_date": F.lit("2024-01-02"), "parties": F.array(F.lit("A"), F.lit("B")), "reasons": F.when(k % 4 == 0, F.array(F.lit("X"), F.lit("Y"))).otherwise(F.array().cast("array<string>"))})
+    return L.review_rows(view)
+
+
 @query
 def t03_unseen(t):
     e = C.claim_events(t).select("key").distinct()
@@ -498,7 +575,10 @@ def c04_replay(t):
     """Validation and naming of stored proposals, as U03 and C04 do."""
     p = C.proposals(t)
     places = p.select("doc_id", F.lit("in").alias("folder"), F.lit("pdf").alias("extension"))
-    out = jobs.replay(p, _digests(t), places.select("folder", F.lit("x").alias("name")).limit(0), places)
+    # every eighth name is there already
+    people = F.when(p["party_relation"] == "none", F.concat(F.lit("- "), F.col("parties")[0])).when(p["party_relation"] == "between", F.concat(F.lit("with "), F.col("parties")[0])).otherwise(F.concat_ws(" ", "party_relation", F.col("parties")[0]))
+    there = p.filter("doc_id % 8 = 0").select(F.lit("in").alias("folder"), F.concat(F.concat_ws(" ", "document_date", "document_type", people), F.lit(".PDF")).alias("name"))
+    out = jobs.replay(p, _digests(t), there, places)
     return out.select("doc_id", "status", "filename", "collision_index")
 
 
