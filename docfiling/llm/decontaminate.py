@@ -5,8 +5,10 @@ the length of the longest run that ends here are carried from word to word, so a
 however items overlap.  A window of `window` item words inside such a run marks the words it covers; an item shorter than
 that is a window itself.
 
-The automaton is built on the driver from at most `shard_words` item words and broadcast; a larger benchmark is
-cut into several automata by item, each streamed over the documents, and the marks are united by document.
+The automaton is built on the driver from at most `shard_words` item words and broadcast, as arrays (a state has one arc
+nearly always; the others' arcs are in a dictionary): about 100 bytes an item word in a task, at most 20 MB.  A larger
+benchmark is cut into several automata by item, built one after another, each streamed over the documents, and the marks
+are united by document; so memory doesn't grow with the benchmark, but the number of passes does.
 
 Edge cases: null texts have no words; items without words are ignored; equal items are all reported.  An item without
 an id is matched, but not named.  An empty benchmark leaves all documents as they are.  Repeated rows each get their
@@ -15,18 +17,25 @@ own row.  Further columns are ignored by `matches` and kept by `clean`, with n_c
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN, binary, small_batches
+from .common import PLAIN, binary, free_name, small_batches, stage
 
 #: Bytes to lower-case letters and digits, all else to blanks.
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if (PLAIN[b] or 65 <= b <= 90) else 32 for b in range(256))
 
 
+#: Item words of one automaton.
+SHARD_WORDS = 200_000
+
+
 def normal_words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
@@ -74,7 +83,19 @@ class Automaton:
             if self.length[up] >= window:
                 self.head[s] = self.head[up]
             self.ends[s] = s if s in self.short else self.ends[up]
-        self.owners = {s: tuple(x) for s, x in enumerate(owners) if x}
+        self._pack(owners)
+
+    def _pack(self, owners: list[set]) -> None:
+        """States as arrays: the first arc's word and target, and the item whose window ends there; dictionaries where there are several."""
+        number = {name: k for k, name in enumerate({name for x in owners for name in x})}
+        self.names = list(number)
+        self.owner = array("i", (number[next(iter(x))] if len(x) == 1 else -1 for x in owners))
+        self.owners = {s: tuple(number[name] for name in x) for s, x in enumerate(owners) if len(x) > 1}
+        self.arc = array("i", (next(iter(x)) if x else -1 for x in self.next))
+        self.to = array("i", (next(iter(x.values())) if x else -1 for x in self.next))
+        self.arcs = {s: x for s, x in enumerate(self.next) if len(x) > 1}
+        self.link, self.length, self.head, self.ends = (array("i", x) for x in (self.link, self.length, self.head, self.ends))
+        del self.next
 
     def _extend(self, last: int, w: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -110,8 +131,9 @@ class Automaton:
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Spans of hit words (end exclusive, apart from each other) and the items that occur."""
-        code, nxt, link, length, window = self.word.get, self.next, self.link, self.length, self.window
-        ends, head = self.ends, self.head
+        code, link, length, window = self.word.get, self.link, self.length, self.window
+        first, to, arcs = self.arc, self.to, self.arcs
+        ends, head, none = self.ends, self.head, {}
         spans: list[tuple[int, int]] = []
         found: set = set()
         state = size = 0
@@ -120,15 +142,13 @@ class Automaton:
             if w is None:
                 state = size = 0
                 continue
-            arcs = nxt[state]
-            while w not in arcs:
+            while (after := to[state] if first[state] == w else arcs.get(state, none).get(w, -1)) < 0:
                 if not state:
                     break
                 state = link[state]
                 size = length[state]
-                arcs = nxt[state]
             else:
-                state = arcs[w]
+                state = after
                 size += 1
                 start = i + 1
                 if size >= window:
@@ -137,7 +157,10 @@ class Automaton:
                         at = link[at]
                     if head[at] != seen:
                         seen = head[at]
-                        found.update(self.owners.get(seen, ()))
+                        if (one := self.owner[seen]) >= 0:
+                            found.add(self.names[one])
+                        else:
+                            found.update(self.names[k] for k in self.owners.get(seen, ()))
                     start = i + 1 - window
                 if (at := ends[state]) >= 0:
                     while at >= 0:
@@ -154,7 +177,7 @@ class Automaton:
         return spans, found
 
 
-def automata(benchmark: DataFrame, window: int, item_col: str = "item_id", text_col: str = "text", shard_words: int = 2_000_000) -> list:
+def automata(benchmark: DataFrame, window: int, item_col: str = "item_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> list:
     """Broadcast automata of the benchmark, each of at most about shard_words words (or one item)."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -205,33 +228,32 @@ def _merge_spans(starts, ends):
     return F.aggregate(pairs.cast("array<struct<a:int,b:int>>"), empty, step)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", shard_words: int = 2_000_000) -> DataFrame:
+def _united(keyed: DataFrame, parts: list) -> DataFrame:
+    """row, n_words, starts, ends, items of all automata for rows of a unique key, text."""
+    every = reduce(DataFrame.unionByName, (_scan(keyed, p) for p in parts))
+    merged = every.groupBy("key").agg(
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("s"), F.flatten(F.collect_list("ends")).alias("e"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    )
+    merged = merged.withColumn("spans", _merge_spans(F.col("s"), F.col("e")))
+    return merged.select(F.col("key").alias("row"), "n_words", F.col("spans.a").alias("starts"), F.col("spans.b").alias("ends"), "items")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items, spans (array of start, end in words), one row for each row of docs."""
     parts = automata(benchmark, window, text_col="text", shard_words=shard_words)
     narrow = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
     if len(parts) == 1:
         found = _scan(narrow, parts[0])
     else:
-        from .common import stage
-
         keyed = stage(narrow.select(F.monotonically_increasing_id().alias("row"), "key", "text"), "rows")
-        every = None
-        for p in parts:
-            part = _scan(keyed.select(F.col("row").alias("key"), "text"), p)
-            every = part if every is None else every.unionByName(part)
-        merged = every.groupBy("key").agg(
-            F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("s"), F.flatten(F.collect_list("ends")).alias("e"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-        )
-        merged = merged.withColumn("spans", _merge_spans(F.col("s"), F.col("e")))
-        merged = merged.select(F.col("key").alias("row"), "n_words", F.col("spans.a").alias("starts"), F.col("spans.b").alias("ends"), "items")
-        found = keyed.select("row", "key").join(merged, "row").drop("row")
+        found = keyed.select("row", "key").join(_united(keyed.select(F.col("row").alias("key"), "text"), parts), "row").drop("row")
     n_hit = F.aggregate(F.zip_with("ends", "starts", lambda b, a: b - a), F.lit(0).cast("int"), lambda x, y: x + y).cast("long")
     return found.select(
         F.col("key").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.arrays_zip("starts", "ends").alias("spans")
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_coverage: float = 0.5, text_col: str = "text", shard_words: int = 2_000_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_coverage: float = 0.5, text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """docs without contaminated spans: hit words go, with what stands between them in the text.
 
     A document goes as a whole if hit words are more than most_coverage of its words.  What is left of any other keeps
@@ -241,14 +263,26 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_coverage
     small_batches(docs)
     names = docs.columns
     schema = docs.schema
+    spans = None
+    if len(parts) > 1:
+        # one pass of each automaton, then the marks of all of them beside each row
+        row, starts, ends = map(free_name, ("row", "starts", "ends"))
+        keyed = stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+        found = _united(keyed.select(F.col(row).alias("key"), F.col(text_col).cast("string").alias("text")), parts)
+        docs = keyed.join(found.select(F.col("row").alias(row), F.col("starts").alias(starts), F.col("ends").alias(ends)), row).drop(row)
+        spans = (starts, ends)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
+            marks = None
+            if spans:
+                marks = [list(zip(a, b, strict=True)) for a, b in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in spans), strict=True)]
+                batch = batch.select(names)
             texts, keep, changed = [], [], False
-            for text in batch.column(at):
+            for k, text in enumerate(batch.column(at)):
                 raw = text.as_py()
-                left = None if raw is None else _without(raw, [p.value for p in parts], most_coverage)
+                left = None if raw is None else _without(raw, marks[k] if marks else None, None if marks else parts[0].value, most_coverage)
                 keep.append(raw is None or left is not None)
                 texts.append(raw if left is None else left)
                 changed |= left is not None and left != raw
@@ -264,16 +298,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_coverage
     return out
 
 
-def _without(text: str, automata_: list[Automaton], most_coverage: float) -> str | None:
-    """The text without its hit spans; None if too much of it is hit."""
-    import numpy as np
-
+def _without(text: str, spans: list[tuple[int, int]] | None, automaton: Automaton | None, most_coverage: float) -> str | None:
+    """The text without the spans (those that the automaton finds, if none are given); None if too much of it is hit."""
     raw = text.encode()
     words = normal_words(raw)
     hit = np.zeros(len(words) + 1, bool)
-    for automaton in automata_:
-        for a, b in automaton.scan(words)[0]:
-            hit[a:b] = True
+    for a, b in automaton.scan(words)[0] if spans is None else spans:
+        hit[a:b] = True
     if not hit.any():
         return text
     if hit.sum() > most_coverage * len(words):

@@ -167,7 +167,10 @@ def test_decontaminated_text(spark, sf_dir):
     bench = spark.createDataFrame([(1, " ".join(f"b{k}" for k in range(14)))], "item_id long, text string")
     filler = " ".join(f"f{k}" for k in range(30))
     rows = [(1, f"{filler}, {' '.join(f'B{k}' for k in range(14))}! {filler}"), (2, " ".join(f"b{k}" for k in range(12)) + " x"), (3, filler), (4, None), (5, "")]
-    got = {r["doc_id"]: r for r in decontaminate.clean(frame(spark, rows).withColumn("n_chars", F.lit(7).cast("long")), bench).collect()}
+    docs = frame(spark, rows).withColumn("n_chars", F.lit(7).cast("long")).withColumns({c: F.lit("k") for c in ("starts", "ends", "items", "spans")})
+    got = {r["doc_id"]: r for r in decontaminate.clean(docs, bench).collect()}
+    many = bench.unionByName(spark.createDataFrame([(k, f"z{k} one two three four five six seven eight nine ten") for k in range(9)], bench.schema))
+    assert {r["doc_id"]: r for r in decontaminate.clean(docs, many, shard_words=30).collect()} == got and len(decontaminate.automata(many, 10, shard_words=30)) > 1
     assert sorted(got) == [1, 3, 4, 5]
     assert got[1]["text"] == f"{filler},  ! {filler}" and got[1]["n_chars"] == len(got[1]["text"])
     assert got[3]["text"] == filler and got[4]["text"] is None and got[5]["text"] == ""
@@ -195,6 +198,31 @@ def test_quality(spark):
     assert all(abs(again[i] - r["score"]) < 1e-9 for i, r in got.items())
 
 
+def test_quality_scores(spark, small, sf_dir):
+    """Scores against the discriminant written out over all labelled rows in the driver."""
+    import numpy as np
+    import pyarrow as pa
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in small.collect()]
+    x = dict(zip((i for i, _ in rows), quality.statistics(pa.array([t for _, t in rows], pa.string())), strict=True))
+    marks = [(r["doc_id"], r["quality"]) for r in labels.collect() if r["doc_id"] in x and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    by = [np.array([x[i] for i, y in marks if y == k]) for k in (0, 1)]
+    means, covs = [c.mean(axis=0) for c in by], [np.cov(c.T, bias=True) for c in by]
+    pooled = sum(len(c) * v for c, v in zip(by, covs, strict=True)) / len(marks)
+    size = np.trace(pooled) / len(pooled)
+    log = []
+    for c, mean, cov in zip(by, means, covs, strict=True):
+        own = 0.98 * (0.9 * cov + 0.1 * pooled) + (0.02 * size + 1e-9) * np.eye(len(cov))
+        inverse, det = np.linalg.inv(own), np.linalg.slogdet(own)[1]
+        log.append({i: -0.5 * ((v - mean) @ inverse @ (v - mean) + det) + np.log((len(c) + 1) / (len(marks) + 2)) for i, v in x.items()})
+    got = {r["doc_id"]: r for r in quality.judged(small, labels).collect()}
+    assert len(got) == len(x)
+    for i, r in got.items():
+        odds = log[1][i] - log[0][i]
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-max(-500, min(500, odds)))), abs=1e-6) and r["predicted"] == (r["score"] >= 0.7)
+
+
 def test_quality_edges(spark, small, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     none = labels.limit(0)

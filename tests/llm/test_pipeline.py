@@ -67,3 +67,25 @@ def test_token_stage(steps):
 
 def test_run(spark, steps, sf_dir):
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).collect()) == sorted(r[0] for r in steps[5][2])
+
+
+def test_edges(spark, sf_dir):
+    """Each stage on nulls, empty and repeated rows, long texts, no rows at all, and columns named as those used inside."""
+    from pyspark.sql import functions as F
+
+    text = "plain words stand here in a row of some length and tell nothing new to those who read them at night"
+    rows = [(1, None), (2, ""), (3, text), (3, text), (None, text), (None, None), (4, "x" * 200_000), (5, f"{text} " * 3000), (6, "b\u00e9 \U0001f600 \x00")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("k") for c in ("rid", "key", "row", "ids", "a", "kept", "sha", "quality", "starts")})
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.limit(0), sf_dir)
+        assert none.count() == 0
+        out = stage(spark, docs, sf_dir)
+        found = out.collect()
+        if name == "byte-level BPE":
+            want = sorted((str(i), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+            assert sorted((str(r["doc_id"]), r["text_sha256"]) for r in found) == want
+        else:
+            assert out.columns == docs.columns and {(r["doc_id"], r["text"]) for r in found} <= set(rows) and {r["rid"] for r in found} <= {"k"}
+        if name in ("exact dedup", "MinHash near-dedup"):
+            assert sum(r["text"] == text for r in found) == 1
