@@ -1,10 +1,13 @@
 """Language-model scoring by a weighted backoff automaton.
 
-The model is an n-gram model with Dirichlet smoothing at every order:
-p(w | h) = (c(h w) + mu p(w | h')) / (c(h) + mu), h' being h without its first word; p(w) = (c + 1) / (N + V + 1).
-Its automaton has a state for each known history, an arc for each known n-gram, weighted with the smoothed log
-probability, and a failure arc from each history to the next shorter one, weighted with log10(mu / (c(h) + mu)).
-A text is one left-to-right walk: at each token fail until there is an arc, take it, go on from the longest known history.
+The model is a bigram model with Dirichlet smoothing:
+p(w | h) = (c(h w) + mu p(w)) / (c(h) + mu), h being the word before w; p(w) = (c + 1) / (N + V + 1).
+Its automaton has a state for each word as history and a root, an arc for each known pair, weighted with the smoothed log
+probability, and one failure arc from each state to the root, weighted with log10(mu / (c(h) + mu)); at the root every word
+has an arc.  A text is one left-to-right walk: the state is the word before, a token takes its arc or fails to the root
+and takes the arc there.  As one failure always suffices, the walks of all texts of a block are taken side by side.
+Longer histories aren't built: what a block asks and is told about pairs takes nearly the whole disk that the check tool
+allows (README), and triples would add about as much again.
 
 The model grows with the corpus, so it is never in one place.  Texts are dealt into blocks of about `block_bytes`;
 a block sends the hashes of its distinct n-grams with its own counts, by ranges of the hash, and gets back the corpus
