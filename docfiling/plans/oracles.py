@@ -330,6 +330,22 @@ def oracle_sql() -> dict[str, str]:
           rtrim(CASE WHEN len(ds) > 1 THEN 'EVERY DATE IN THIS DOCUMENT, WITH ITS OWN WORDS:' || chr(10) || array_to_string(list_transform(ds, lambda x: '- ' || x || chr(10)), '') || chr(10) ELSE '' END || '[Page 1]' || chr(10) || body, chr(10) || ' ') AS text
           FROM contracts c JOIN bs ON bs.doc_id = c.doc_id LEFT JOIN ds ON ds.doc_id = c.doc_id)"""
     out |= {
+        "s04_events": """SELECT conv_id || '-' || turn AS request_id, CAST(turn + 1 AS INT) AS page_number, sha256(text) AS text_sha256 FROM conversations WHERE turn % 7 <> 6 AND turn % 5 <> 4
+            UNION ALL SELECT CAST(count(*) FILTER (WHERE turn % 7 = 6 OR turn % 5 = 4) AS VARCHAR), NULL, NULL FROM conversations""",
+        "s05_checked": """WITH p AS (SELECT conv_id AS k, CASE WHEN conv_id % 11 = 0 THEN turn WHEN conv_id % 13 = 0 AND turn = 1 THEN 1 ELSE turn + 1 END AS n FROM conversations),
+            b AS (SELECT k FROM p GROUP BY k HAVING count(*) <> count(DISTINCT n) OR min(n) < 1 OR (k % 11 <> 0 AND (k % 19 = 0 OR count(*) FILTER (WHERE n = CASE WHEN k % 17 = 0 THEN 99 ELSE 1 END) = 0)))
+            SELECT k AS doc_id, CAST(n AS INT) AS page_number, CAST(least(greatest(round(k % 130 - 10.4), 0), 100) AS INT) AS ocr_confidence, true AS good FROM p WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, NULL, NULL, false FROM b""",
+        "s06_gold": sql(
+            """SELECT CAST(k AS VARCHAR) AS file, g_type AS document_type, g_date AS document_date, array_to_string(bad_dates, ',') AS forbidden_dates, g_party AS parties, CASE WHEN clean THEN 'ready' ELSE 'needs_review' END AS expected_readiness,
+            CASE WHEN k % 97 = 0 THEN 'PARSE_FAILED' END AS expected_error, 0 AS n_types, true AS silent FROM gold""",
+            "gold",
+        ),
+        "s07_lifecycle": sql(
+            """SELECT id, status, 0 AS processing_failures, CASE WHEN id % 8 = 0 THEN 'IO_ERROR' ELSE 'NONE' END AS error_code, true AS lacks FROM items UNION ALL SELECT id, stage, 1, direction, true FROM receipts UNION ALL SELECT heartbeat_at, session_id, 2, 's', false FROM sessions""",
+            "items", "receipts", "sessions",
+        ),
+        "s09_analysis": sql("SELECT doc_id, document_type, document_date, party_relation, 'A' AS reason, '7' AS characters, document_date IS NULL AS dateless FROM proposals", "proposals"),
+        "s02_routes": """SELECT page_id, ['pdf', 'office', 'office', 'text', 'text', 'ocr', 'ocr', NULL, NULL][CAST(page_id % 9 AS INT) + 1] AS route, CASE WHEN page_id % 9 >= 7 THEN 'UNSUPPORTED_FORMAT' END AS error_code FROM pages""",
         "c01_distil_contracts": sql(f"{digest} SELECT doc_id, CAST(1 AS BIGINT) AS page_count, source_characters, CAST(length(text) AS BIGINT) AS digest_characters, false AS compressed, n_blocks AS block_count, n_blocks AS n_segments, n_headings AS n_outline, CAST(n_dates AS BIGINT) AS n_dates, sha256(text) AS text_sha256 FROM digests", "contracts"),
         "x21_prompts": sql(
             f"""{digest}, p AS (SELECT doc_id, {_quoted(jobs._ASK.split("{scope}")[0])} || {_quoted(jobs._WHOLE)} || {_quoted(jobs._ASK.split("{scope}")[1])} || text || chr(10) || '--- END DOCUMENT ---' || chr(10) AS prompt FROM digests)

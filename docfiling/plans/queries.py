@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from ..operators import evaluate as E
 from ..operators import intake as I
 from ..operators import lifecycle as L
 from ..operators import naming, pages as P, validate as V
+from ..sources import files as S
+from ..staging import shared_dir
 from . import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -551,6 +554,74 @@ def a04_warnings(t):
     return P.warnings(pages, flags).withColumn("codes", F.array_join("codes", ","))
 
 
+def _folder(df: DataFrame, name: str) -> str:
+    return f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def s04_events(t):
+    """The conversations as lines of worker events, written and read back; each seventh turn's line is cut off and rejected."""
+    page = F.struct((F.col("turn") + 1).alias("page_number"), "text", F.lit("native").alias("origin"))
+    event = F.struct(F.lit("parsed").alias("type"), F.struct(F.array(page).alias("pages")).alias("document"))
+    line = F.to_json(F.struct(F.when(F.col("turn") % 5 == 4, 2).otherwise(1).alias("protocol_version"), F.concat_ws("-", "conv_id", "turn").alias("request_id"), event.alias("event")))
+    lines = t("conversations").select(F.when(F.col("turn") % 7 == 6, F.left(line, F.char_length(line) - 5)).otherwise(line).alias("value"))
+    folder = _folder(lines, "events")
+    lines.write.text(folder)
+    good, bad = S.worker_events(lines.sparkSession.read.text(folder))
+    pages = S.parsed_pages(good).select("request_id", "page_number", F.sha2("text", 256).alias("text_sha256"))
+    return pages.unionByName(bad.groupBy().agg(F.count("*").cast("string").alias("request_id")), allowMissingColumns=True)
+
+
+@query
+def s05_checked(t):
+    """Pages of the conversations with faults: a repeated number, a zero, an image of no page; the good documents' pages."""
+    k = F.col("doc_id")
+    pages = C.conversations_as_pages(t).withColumn("page_number", F.when(k % 11 == 0, F.col("page_number") - 1).when((k % 13 == 0) & (F.col("page_number") == 2), 1).otherwise(F.col("page_number"))).withColumn("ocr_confidence", (k % 130).cast("double") - 10.4)
+    images = pages.select("doc_id").distinct().select("doc_id", F.when(k % 17 == 0, 99).otherwise(1).alias("page_number"), F.when(k % 19 == 0, "image/jpeg").otherwise("image/png").alias("media_type")).filter(k % 11 != 0)
+    good, bad = S.checked_pages(pages, images)
+    return good.select("doc_id", "page_number", "ocr_confidence", F.lit(True).alias("good")).unionByName(bad.distinct().select("doc_id", F.lit(False).alias("good")), allowMissingColumns=True)
+
+
+@query
+def s06_gold(t):
+    """The gold answers as a fixture file, one for each fifth of them, written and read back."""
+    g = C.gold(t)
+    whole = g.groupBy(F.lit(2).alias("schema_version"), F.pmod(F.xxhash64("file"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct(*g.columns)).alias("fixtures"))
+    folder = _folder(whole, "gold")
+    whole.drop("part").write.option("ignoreNullFields", "true").json(folder)
+    df = S.gold(whole.sparkSession, folder, lines=True)
+    return df.select("file", "document_type", "document_date", F.array_join("forbidden_dates", ",").alias("forbidden_dates"), F.array_join("parties", ",").alias("parties"), "expected_readiness", "expected_error", F.size("acceptable_types").alias("n_types"), F.col("ambiguity").isNull().alias("silent"))
+
+
+@query
+def s07_lifecycle(t):
+    """Items, receipts and sessions as lifecycle tables of an older kind, read back with the columns that those lack."""
+    items = C.items(t).drop("proposed_name")
+    folder = _folder(items, "lifecycle")
+    for name, df in (("queue_items", items), ("operation_receipts", C.receipts(t)), ("queue_sessions", C.sessions(t))):
+        df.write.parquet(f"{folder}/{name}")
+    read = lambda name: S.lifecycle(items.sparkSession, folder, name)
+    old = S.with_defaults(read("queue_items"), {"processing_failures": 0, "error_code": "NONE"})
+    rows = old.select("id", "status", "processing_failures", "error_code", F.col("created_at").isNull().alias("lacks"))
+    more = read("operation_receipts").select("id", F.col("stage").alias("status"), F.lit(1).alias("processing_failures"), F.col("direction").alias("error_code"), F.col("temporary_path").isNull().alias("lacks"))
+    return rows.unionByName(more).unionByName(read("queue_sessions").select(F.col("heartbeat_at").alias("id"), F.col("session_id").alias("status"), F.lit(2).alias("processing_failures"), F.lit("s").alias("error_code"), F.lit(False).alias("lacks")))
+
+
+@query
+def s09_analysis(t):
+    """The stored proposals as analysis JSON, read back field by field."""
+    df = C.proposals(t).select("doc_id", F.lit("n.pdf").alias("filename"), "description", F.lit("ready").alias("status"), F.array(F.lit("A")).alias("reasons"), "document_type", "document_date", "date_role", "parties", "party_relation", F.lit(0.5).alias("confidence"), F.lit("s").alias("prompt_sha256"), F.lit(7).alias("prompt_characters"))
+    j = lambda path: F.get_json_object("json", f"$.{path}")
+    return S.analysis_json(df).select("doc_id", j("proposal.documentType").alias("document_type"), j("proposal.documentDate").alias("document_date"), j("proposal.partyRelation").alias("party_relation"), j("reviewReasons[0]").alias("reason"), j("telemetry.promptCharacters").alias("characters"), F.contains("json", F.lit('"documentDate":null')).alias("dateless"))
+
+
+@query
+def s02_routes(t):
+    """Addresses of pages as files, and where they would go."""
+    ext = F.element_at(F.array(*map(F.lit, ("pdf", "DOCX", "docm", "txt", "md", "PNG", "tiff", "exe", ""))), (F.col("page_id") % 9 + 1).cast("int"))
+    return S.routed(t("pages").select("page_id", F.concat(F.lit("in/p"), F.col("page_id").cast("string"), F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext))).alias("path"))).select("page_id", "route", "error_code")
+
+
 @query
 def x18_legacy(t):
     d = jobs.legacy_digest(C.statements(t))

@@ -77,9 +77,9 @@ def checked_pages(pages: DataFrame, images: DataFrame | None = None) -> tuple[Da
 
 
 # S06
-def gold(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each fixture of a version-2 file; an absent list stays null, an empty one empty."""
-    df = spark.read.schema(f"schema_version int, fixtures array<struct<{schemas.GOLD.replace(' ', ':').replace(',:', ',')}>>").option("multiLine", True).json(path)
+def gold(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row for each fixture of version-2 files, or of files with such an object a line; an absent list stays null, an empty one empty."""
+    df = spark.read.schema(f"schema_version int, fixtures array<struct<{schemas.GOLD.replace(' ', ':').replace(',:', ',')}>>").option("multiLine", not lines).json(path)
     return df.select(F.explode("fixtures").alias("f")).select("f.*")
 
 
