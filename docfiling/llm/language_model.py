@@ -38,6 +38,9 @@ END = np.uint64(0x5BD1E9955BD1E995)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+MOST_PARTITIONS = 100_000
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """The fold that is never learnt from: crc32 of the id as text leaves 2 when divided by 7."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
@@ -161,7 +164,8 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: fl
     # written once: a block must hold the same texts whenever a task is run again
     blocks = narrow.mapInArrow(dealt, "doc_id long, held boolean, text string, block long")
     path_df = stage(blocks, "blocks", compression="zstd")
-    size = path_df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, blocks_there = path_df.agg(F.sum(F.octet_length("text")), F.count_distinct("block")).first()
+    size = size or 0
     ranges = 1 << max(0, (-(-size // (6 * range_items)) - 1).bit_length())
     bits = gram_bits(size)
 
@@ -229,6 +233,9 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: fl
         kinds = {"block": pa.int64(), "n": pa.int32(), "names": pa.binary(), "counts": pa.binary(), "total": pa.int64(), "distinct": pa.int64()}
         return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
+    # partitions follow the numbers of ranges and blocks, twice as many, so that few meet in one
+    parts = lambda n: max(1, min(2 * n, MOST_PARTITIONS))
+    asked = asked.repartition(parts(ranges), "range")
     answers = stage(asked.groupBy("range").applyInArrow(answer, "block long, n int, names binary, counts binary, total long, distinct long"), "answers")
     model = answers.filter("block < 0").agg(F.sum("total"), F.sum("distinct")).first()
     total, distinct = model[0] or 0, model[1] or 0
@@ -271,7 +278,8 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: fl
         return walk(key, texts, known) if texts.num_rows else OUT.empty_table()
 
     given = answers.filter("block >= 0").select("block", "n", "names", "counts")
-    return path_df.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(walk_some, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    texts, known_ = (d.repartition(parts(blocks_there), "block") for d in (path_df, given))
+    return texts.groupBy("block").cogroup(known_.groupBy("block")).applyInArrow(walk_some, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 OUT = pa.schema(
