@@ -50,6 +50,12 @@ def claims(sentence: Column) -> Column:
     return F.filter(all_, lambda x: (F.char_length(x["token"]) >= 3) & (x["token"].rlike("[0-9]") | capital(x)))
 
 
+# T05
+def distinct_union(*values: Column) -> Column:
+    """The different values of some arrays, in order of their first appearance; nulls left out."""
+    return F.array_distinct(F.array_compact(F.concat(*values)))
+
+
 # A07, M03, X15-X17, C02
 def validate(proposals: DataFrame, digests: DataFrame, warnings: DataFrame | None = None) -> DataFrame:
     """Checked proposals with status (ready, needs_review) and ordered reasons.
@@ -62,8 +68,7 @@ def validate(proposals: DataFrame, digests: DataFrame, warnings: DataFrame | Non
     sentence, over = T.capped_sentence(T.first_sentence(F.coalesce("description", F.lit(""))))
     texts = texts.withColumns({"d0": T.first_sentence(F.coalesce("description", F.lit(""))), "too_long": over, "said": sentence})
     # the words to be looked for, and their evidence forms
-    asked = F.concat(F.transform(claims(F.col("said")), lambda x: x["token"]), F.transform("parties", T.trim))
-    texts = texts.withColumn("asked", F.array_distinct(F.array_compact(asked)))
+    texts = texts.withColumn("asked", distinct_union(F.transform(claims(F.col("said")), lambda x: x["token"]), F.transform("parties", T.trim)))
     texts = texts.withColumn("normals", F.map_from_arrays("asked", T.evidence_texts(F.col("asked"))))
     df = texts.join(normal_segments(digests), "doc_id", "left")
     segs = F.coalesce("segs", F.array().cast("array<string>"))

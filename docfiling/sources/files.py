@@ -17,12 +17,13 @@ LINE_BYTES = 1 << 20
 
 # S01
 def scan(spark: SparkSession, root: str, extensions: list[str] = LISTED) -> DataFrame:
-    """path, relative_path, size, modified_secs of the supported files below root; contents aren't read."""
+    """path, relative_path, size, modified_secs of the supported files below root, by relative path; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
     name = N.leaf(F.col("path"))
     keep = (F.col("length") > 0) & ~name.startswith(".") & ~name.startswith("~$") & N.path_extension(F.col("path")).isin(extensions)
     base = "file:" + root if root.startswith("/") else root
-    return files.filter(keep).select("path", N.relative_path(F.col("path"), base).alias("relative_path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("modified_secs"))
+    found = files.filter(keep).select("path", N.relative_path(F.col("path"), base).alias("relative_path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("modified_secs"))
+    return found.orderBy("relative_path")
 
 
 # S02

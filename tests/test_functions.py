@@ -103,3 +103,19 @@ def test_replies(spark):
     assert found[1]["document_date"] is None and found[1]["date_role"] is None and found[1]["parties"] == ["a", "b", "c"] and found[7]["party_relation"] == "none"
     chats = ['{"choices":[{"finish_reason":"stop","message":{"content":"hi"}}]}', '{"choices":[{"message":{"content":[{"type":"text","text":"a"},{"type":"x","text":"b"},{"type":"text","text":"c"}]}}]}', '{"choices":[{"finish_reason":"length","message":{"content":"hi"}}]}']
     assert one(spark, chats, R.chat_content) == ["hi", "ac", None]
+
+
+def test_bytes_and_long_words(spark):
+    """Money by bytes, the end of a first sentence after a word of any length, and evidence forms of arrays."""
+    long = "ab" * 24
+    rows = [("ã1", True), ("$é€1", False), ("£1", True), ("$12", True), ("$é1", True), ("$éa1", False), ("x 1", False), ("usd 5", True), ("Eur", False), ("", False), (None, None)]
+    df = spark.createDataFrame(rows, "t string, want boolean")
+    assert [(r["t"], r["got"]) for r in df.select("t", T.has_money(F.col("t")).alias("got")).collect()] == rows
+    for t, want in rows[:-1]:
+        raw = t.encode()
+        assert want == (any(b in b"$\xa3" and any(48 <= x < 58 for x in raw[k + 1 : k + 4]) for k, b in enumerate(raw)) or "usd " in t.lower() or "eur " in t.lower())
+    said = [(f"See {long}. Then more words follow here.", f"See {long}."), ("Mr. Smith came. He left.", "Mr. Smith came."), ("From the U.S. it came. So it is.", "From the U.S. it came."), (f"A {'x' * 500}. b", f"A {'x' * 500}."), ("One. ", "One."), ("a\u00a0b. c", "a\u00a0b. c"), ("", "")]
+    got = spark.createDataFrame(said, "t string, want string").select("t", T.first_sentence(F.col("t")).alias("s"), "want").collect()
+    assert [(r["t"], r["s"]) for r in got] == said
+    forms = spark.createDataFrame([(["A  b", "C–d"],), (["Straße", None, " ﬁn "],), ([],), (None,), (["X Y ", "z"],)], "a array<string>").select(T.evidence_texts(F.col("a")).alias("n"), F.transform("a", lambda x: x).alias("a")).collect()
+    assert [r["n"] for r in forms] == [["a b", "c-d"], ["strasse", None, "fin"], [], None, ["x y", "z"]]
