@@ -32,10 +32,10 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import bloom
 from .common import BLANK, LOWER, SURROGATE, chunks, free_name, gram_hashes, mix, real_id, release, row_id, slot_count, small_batches, stage, word_hashes
@@ -309,15 +309,18 @@ def unique(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
     words = options.get("words", 5)
     single, many = left.join(repeated, rid, "left_anti").drop(rid), left.join(repeated, rid, "left_semi")
     keep = found.filter("kept and n_shingles > 0").select(F.col("rid").alias(rid), F.col("set_hash").alias(name)).distinct()
-    many = many.withColumn(name, _set_hash(words)(F.col(text_col).cast("string")))
+    many = _with_set_hash(many, text_col, name, words)
     blank = many.filter(F.col(name).isNull())
     return single.unionByName(blank.drop(rid, name)).unionByName(many.join(keep, [rid, name], "left_semi").dropDuplicates([rid, name]).drop(rid, name))
 
 
-def _set_hash(words: int):
-    """Pandas UDF: the name of a text's set, null if it is empty."""
-    @F.pandas_udf("binary")
-    def name(texts: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None for items in shingle_sets(pa.array(texts, pa.string()), words)], index=texts.index)
+def _with_set_hash(df: DataFrame, text_col: str, name: str, words: int) -> DataFrame:
+    """df with the name of each text's set, null if it is empty."""
 
-    return name
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column(batch.schema.get_field_index(text_col)), words)
+            names = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, names], names=[*batch.schema.names, name])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, BinaryType())]))

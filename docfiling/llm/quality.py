@@ -165,7 +165,7 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: s
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose score reaches the threshold, all columns as they were."""
-    model = fit(features(docs, id_col, text_col), labels)
+    model = fit(stage(features(docs, id_col, text_col), "statistics"), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

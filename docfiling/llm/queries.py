@@ -20,8 +20,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path(VOCABULARY)
-    coded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    back = bpe.decode(coded, path)
+    back = bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

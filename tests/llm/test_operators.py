@@ -59,6 +59,8 @@ def test_bpe(spark, small):
         got = bpe.decode(bpe.encode(df, path, public_tokenizers.PATTERN), path).collect()
         want = sorted((str(i), coder.encode_ordinary(t), t.encode()) for i, t in rows)
         assert sorted((str(r["doc_id"]), list(r["ids"]), bytes(r["decoded"])) for r in got) == want
+        got = bpe.round_trip(df, path, public_tokenizers.PATTERN).collect()
+        assert sorted((str(r["doc_id"]), list(r["ids"]), bytes(r["decoded"])) for r in got) == want
     assert bpe.encode(frame(spark, []), path, public_tokenizers.PATTERN).count() == 0
     with pytest.raises(Exception, match="vocabulary lacks"):
         bpe.decode(spark.createDataFrame([(1, [60_000])], "doc_id long, ids array<int>"), path).collect()
