@@ -1,4 +1,10 @@
-"""A training-data pipeline: quality, exact dedup, near dedup, decontamination, tokens."""
+"""A training-data pipeline: quality, exact dedup, near dedup, decontamination, tokens.
+
+Edge cases: a null text counts as empty in every stage; whether empty texts stay is the classifier's decision, and of those that
+it keeps, exact dedup leaves one.  Rows that repeat an id and a text become one row there, too; rows without an id rank below
+those with one.  Columns beyond those of `documents` pass through the first four stages whatever their names.  An empty table
+gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -38,8 +44,7 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.encode(docs, path, public_tokenizers.PATTERN)
-    back = bpe.decode(coded, path)
+    back = bpe.round_trip(docs, path, public_tokenizers.PATTERN)
     return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("text_sha256"))
 
 

@@ -1,6 +1,5 @@
-"""Intake queries without SQL against brute force."""
+"""Intake queries against brute force."""
 
-import zlib
 from collections import Counter
 
 from docfiling.plans import queries
@@ -12,7 +11,7 @@ def brute_decisions(spark, sf_dir):
         at = f"doc-{user}.pdf", second // 3600
         last[at] = max(event, last.get(at, event))
     keys = {f"{path}#{scan}": (path, event // 300) for (path, scan), event in last.items()}
-    case = {key: zlib.crc32(key.encode()) % 6 for key in keys}
+    case = {key: (int(key.rsplit("#", 1)[1]) * 7 + modified) % 6 for key, (_, modified) in keys.items()}
     old = {path for key, (path, _) in keys.items() if case[key] == 4}
     found = {}
     for key, (path, modified) in keys.items():
