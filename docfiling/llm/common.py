@@ -1,35 +1,23 @@
-"""What the operators of this subpackage share: the shared folder, row keys and vectorised word hashing."""
+"""What the operators of this subpackage share: staged tables, row keys and vectorised word hashing."""
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import shared_dir
+
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: First surrogate id.  Rows without an id get one above it, so that a real id is always the smaller.
 SURROGATE = 1 << 62
 CHUNK_BYTES = 1 << 18
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs on one machine (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    found = tempfile.mkdtemp(prefix="spark-")
-    spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors.
 

@@ -279,9 +279,10 @@ def groups(
 
     banded = classes.select("a", F.explode("bands").alias("meeting"))
     full = banded.groupBy("meeting").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = stage(banded.join(full, "meeting"), "buckets")
-    central = buckets.groupBy("a").agg(F.sum("size").alias("weight"))
-    buckets = stage(buckets.select("meeting", "a").join(central, "a"), "weighted")
+    sized = stage(banded.join(full, "meeting"), "sized")
+    central = sized.groupBy("a").agg(F.sum("size").alias("weight"))
+    buckets = stage(sized.select("meeting", "a").join(central, "a"), "buckets")
+    release(sized)
     wanted = buckets.select("a").distinct().join(classes, "a").select("rid").distinct()
     sets = stage(_sets(named.select("rid", "text"), words, wanted, shared), "sets")
     label = _linked_components(buckets, sets, percent)
