@@ -330,6 +330,7 @@ def oracle_sql() -> dict[str, str]:
           rtrim(CASE WHEN len(ds) > 1 THEN 'EVERY DATE IN THIS DOCUMENT, WITH ITS OWN WORDS:' || chr(10) || array_to_string(list_transform(ds, lambda x: '- ' || x || chr(10)), '') || chr(10) ELSE '' END || '[Page 1]' || chr(10) || body, chr(10) || ' ') AS text
           FROM contracts c JOIN bs ON bs.doc_id = c.doc_id LEFT JOIN ds ON ds.doc_id = c.doc_id)"""
     out |= {
+        "k03_unwrapped": "SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 7 <> 0 THEN sha256(text || CASE WHEN (conv_id + turn) % 5 = 0 THEN ' end' ELSE '' END) END AS content_sha256 FROM conversations",
         "s04_events": """SELECT conv_id || '-' || turn AS request_id, CAST(turn + 1 AS INT) AS page_number, sha256(text) AS text_sha256 FROM conversations WHERE turn % 7 <> 6 AND turn % 5 <> 4
             UNION ALL SELECT CAST(count(*) FILTER (WHERE turn % 7 = 6 OR turn % 5 = 4) AS VARCHAR), NULL, NULL FROM conversations""",
         "s05_checked": """WITH p AS (SELECT conv_id AS k, CASE WHEN conv_id % 11 = 0 THEN turn WHEN conv_id % 13 = 0 AND turn = 1 THEN 1 ELSE turn + 1 END AS n FROM conversations),

@@ -216,6 +216,17 @@ def k02_decode(t):
     return good.select("doc_id", "document_type", "document_date", "party_relation", F.size("parties").cast("long").alias("n_parties"), F.lit(True).alias("good")).unionByName(bad.select("doc_id", F.lit(False).alias("good")), allowMissingColumns=True)
 
 
+@query
+def k03_unwrapped(t):
+    """Turns wrapped as chat completions, as text and in parts, some of them cut off, and unwrapped again."""
+    k = F.col("conv_id") + F.col("turn")
+    message = lambda content: F.to_json(F.struct(F.array(F.struct(F.when(k % 7 == 0, "length").when(k % 3 == 0, "stop").alias("finish_reason"), F.struct(content.alias("content")).alias("message"))).alias("choices")))
+    part = lambda kind, c: F.struct(F.lit(kind).alias("type"), c.alias("text"))
+    parts = F.array(part("text", F.col("text")), part("image", F.lit("x")), part("text", F.lit(" end")))
+    body = F.when(k % 5 == 0, message(parts)).otherwise(message(F.col("text")))
+    return t("conversations").select("conv_id", "turn", F.sha2(R.chat_content(body), 256).alias("content_sha256"))
+
+
 @query
 def k05_domains(t):
     df = C.results(t).select("file", "pipeline", F.when(F.col("pipeline") == "old", "due").otherwise(F.col("date_role")).alias("date_role"), "status")
