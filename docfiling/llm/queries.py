@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, language_model, licenses, near_dedup, quality, secrets, substring_dedup, url_filter
+from . import bpe, decontaminate, exact_dedup, language_model, licenses, near_dedup, quality, quality_rules, secrets, spelling, substring_dedup, url_filter, vector_codes
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -90,8 +90,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), slip=31)
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judged(table(spark, sf_dir, "documents"), host=F.col("source"), carried=F.col("doc_id"))
+    return found.select(
+        F.col("own").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words", "depleted"
+    )
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (op1_byte_bpe, op2_near_dedup, op3_decontaminate, op4_quality, op5_secrets, op6_exact_dedup, op7_language_model, op8_licenses, op9_substring_dedup, op10_url_filter)
+    every += (op11_spelling, op12_quality_rules, op13_vector_codes)
     return {f.__name__: f for f in every}
 
 
@@ -145,6 +161,51 @@ SELECT k.doc_id, CAST(len(k.w) AS BIGINT) AS n_words, CAST(len(k.h) AS BIGINT) A
 FROM k LEFT JOIN u ON u.doc_id = k.doc_id
 """
 
+_LINE = r"array_to_string(list_filter(regexp_split_to_array(translate({}, '{}', '{}'), '[\x20\x09-\x0D]+'), lambda w: w <> ''), ' ')".format(
+    "line", _UPPER + "123456789", _LOWER + "0" * 9
+)
+
+RULES_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, {_WORDS.format("t")} AS w FROM d),
+g AS (SELECT r, i, w[i:i+2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+again AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1) GROUP BY r),
+l AS (SELECT r, source, t, line, {_LINE} AS x FROM (SELECT r, source, t, unnest(string_split(t, chr(10))) AS line FROM d)),
+full_lines AS (SELECT * FROM l WHERE x <> ''),
+dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM full_lines GROUP BY r),
+hosts AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY source),
+often AS (SELECT f.source, x FROM full_lines f JOIN hosts h ON h.source IS NOT DISTINCT FROM f.source GROUP BY f.source, x, h.n HAVING count(DISTINCT t) > 10 AND 100 * count(DISTINCT t) > h.n),
+gone AS (SELECT r, sum(len(string_split(f.x, ' '))) AS n FROM full_lines f JOIN often o ON o.x = f.x AND o.source IS NOT DISTINCT FROM f.source GROUP BY r),
+s AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(dups.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed_words
+  FROM d JOIN w USING (r) LEFT JOIN again USING (r) LEFT JOIN dups USING (r) LEFT JOIN gone USING (r)),
+j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 100 * (n_words - n_removed_words) < 50 * n_words AS depleted FROM s)
+SELECT *, NOT base_failed AND NOT depleted AS kept FROM j
+"""
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd's rounds, one after the other."""
+    found = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, k, x[k * (len(x) // {parts}) + 1 : (k + 1) * (len(x) // {parts})] AS x FROM v, (SELECT unnest(range({parts})) AS k)),
+c0 AS MATERIALIZED (SELECT k, row_number() OVER (PARTITION BY k ORDER BY vec_id) - 1 AS e, x FROM p QUALIFY e < {entries})"""
+    nearest = "SELECT vec_id, p.k, p.x, min({{'d': list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': c.e}}) AS a FROM p JOIN c{} c ON c.k = p.k GROUP BY vec_id, p.k, p.x"
+    for n in range(rounds):
+        found += f""",
+a{n} AS MATERIALIZED ({nearest.format(n)}),
+m{n} AS (SELECT k, e, list(m ORDER BY i) AS x FROM (SELECT k, a.e AS e, i, CAST(floor(sum(y)::HUGEINT::DOUBLE / count(*)) AS BIGINT) AS m
+  FROM (SELECT k, a, unnest(x) AS y, unnest(range(len(x))) AS i FROM a{n}) GROUP BY k, e, i) GROUP BY k, e),
+c{n + 1} AS MATERIALIZED (SELECT c.k, c.e, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN m{n} m ON m.k = c.k AND m.e = c.e)"""
+    return f"""{found},
+z AS MATERIALIZED (SELECT vec_id, string_agg(printf('%02x', a.e), '' ORDER BY k) AS code, CAST(sum(a.d) AS BIGINT) AS error FROM ({nearest.format(rounds)}) GROUP BY vec_id)
+SELECT v.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY k, e)) FROM c{rounds}) AS codebooks_sha256
+FROM v JOIN z USING (vec_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": NEAR_SQL, "op3_decontaminate": DECONTAMINATE_SQL, "op6_exact_dedup": EXACT_SQL, "op9_substring_dedup": SUBSTRING_SQL}
+    return {"op2_near_dedup": NEAR_SQL, "op3_decontaminate": DECONTAMINATE_SQL, "op6_exact_dedup": EXACT_SQL, "op9_substring_dedup": SUBSTRING_SQL, "op12_quality_rules": RULES_SQL, "op13_vector_codes": _codes_sql()}
