@@ -35,17 +35,20 @@ def words_of(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
+#: The characters of SPACE, for functions that take them as they are.
+BLANKS = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def ltrim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+", "")
+    return F.ltrim(c, F.lit(BLANKS))
 
 
 def rtrim(c: Column) -> Column:
-    # the look-behind starts a match only where a run of blanks starts: one pass, however long the runs
-    return F.regexp_replace(c, f"(?<!{SPACE}){SPACE}+$", "")
+    return F.rtrim(c, F.lit(BLANKS))
 
 
 def trim(c: Column) -> Column:
-    return rtrim(ltrim(c))
+    return F.trim(c, F.lit(BLANKS))
 
 
 def tokens(c: Column) -> Column:
@@ -98,7 +101,9 @@ def has_identifier(c: Column) -> Column:
         t = F.regexp_replace(w, "^[^0-9A-Za-z]+|(?<![^0-9A-Za-z])[^0-9A-Za-z]+$", "")
         return (F.regexp_count(t, F.lit("[A-Za-z]")) >= 2) & (F.regexp_count(t, F.lit("[0-9]")) >= 2) & (F.octet_length(t) <= 24)
 
-    return F.exists(tokens(c), fits)
+    # only words with a digit are cut up, each met once from its first character on
+    dated = F.regexp_extract_all(c, F.lit(f"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"), F.lit(0))
+    return F.exists(dated, fits)
 
 
 # X06

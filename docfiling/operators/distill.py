@@ -1,6 +1,6 @@
 """Distillation: pages to a digest under a budget, a row for each document.
 
-The plan explodes pages to lines and then deals once by doc_id; every later window and grouping has doc_id among its keys
+The plan deals pages once by doc_id and then explodes them to lines; every later window and grouping has doc_id among its keys
 and so needs no further exchange.  Nothing leaves the JVM.
 """
 
@@ -20,8 +20,9 @@ BLOCK = "struct<index:int,page:int,text:string>"
 # W01
 def runs(pages: DataFrame) -> DataFrame:
     """doc_id, page, island, kind (heading, table, body), joined: lines that belong together; blank lines and changes of kind part them."""
-    lines = pages.select("doc_id", F.col("page_number").alias("page"), F.posexplode(F.split("text", "\\r?\\n")).alias("line", "raw"))
-    lines = lines.select("doc_id", "page", "line", T.rtrim(F.col("raw")).alias("raw")).repartition("doc_id")
+    dealt = pages.select("doc_id", F.col("page_number").alias("page"), "text").repartition("doc_id")
+    lines = dealt.select("doc_id", "page", F.posexplode(F.split("text", "\\r?\\n")).alias("line", "raw"))
+    lines = lines.select("doc_id", "page", "line", T.rtrim(F.col("raw")).alias("raw"))
     kind = F.when(F.col("raw") == "", "blank").when(T.is_heading(F.col("raw")), "heading").when(T.ltrim(F.col("raw")).startswith("|"), "table").otherwise("body")
     lines = lines.withColumn("kind", kind)
     by_page = Window.partitionBy("doc_id", "page").orderBy("line")
@@ -158,8 +159,9 @@ def distill(pages: DataFrame, budget: int = BUDGET, passthrough: int = BUDGET) -
     df = sizes(pages).join(docs, "doc_id", "left")
     df = df.withColumn("compressed", F.col("source_characters") > passthrough)
     none = F.array().cast(f"array<{BLOCK}>")
-    df = df.withColumn("picked", F.when(F.col("compressed"), filled(F.col("wanted"), budget)))
-    df = df.withColumn("kept", F.coalesce(F.when(F.col("compressed"), F.filter("blocks", lambda b: F.array_contains("picked", b["index"]))).otherwise(F.col("blocks")), none))
+    # blocks are in order of index, from 0: the picked ones are looked up by place
+    picked = F.transform(F.array_sort(filled(F.col("wanted"), budget)), lambda i: F.get("blocks", i))
+    df = df.withColumn("kept", F.coalesce(F.when(F.col("compressed"), picked).otherwise(F.col("blocks")), none))
     df = df.withColumn("outline", F.coalesce(F.filter(F.transform("headings", lambda x: x["h"]), lambda h: h != ""), F.array().cast("array<string>")))
     df = df.withColumn("date_lines", date_lines(F.col("kept")))
     sections = F.when(F.col("compressed") & (F.size("outline") > 0), F.concat(F.lit("SECTIONS: "), F.array_join("outline", " | "), F.lit("\n\n"))).otherwise("")

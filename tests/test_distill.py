@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -189,3 +190,21 @@ def test_order_of_rows_does_not_matter(spark, sf_dir):
     df = corpus.statements(lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet"))
     digest = lambda d: sorted((r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in D.distill(d, 1500, 1500).collect())
     assert digest(df) == digest(df.repartition(7, "text"))
+
+
+def test_time_is_linear_in_a_document(spark):
+    """One document of 32,000 paragraphs: the fill runs once, not for each block."""
+
+    def seconds(n):
+        text = "\n\n".join(f"Paragraph {k} of this long text says that item {k * 7 % 13} stands at place {k} since 19{k % 100:02d}." for k in range(n))
+        df = spark.createDataFrame([(1, 1, text)], "doc_id long, page_number int, text string")
+        began = time.time()
+        (r,) = D.distill(df).collect()
+        assert r["block_count"] == n and r["digest_characters"] <= D.BUDGET + 2000
+        return time.time() - began
+
+    seconds(250)
+    few = seconds(250)
+    assert seconds(8000) < few + 15 and seconds(32_000) < few + 40
+    plan = D.distill(spark.createDataFrame([(1, 1, "x")], "doc_id long, page_number int, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"array_contains\(.*aggregate\(", plan)
