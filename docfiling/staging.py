@@ -22,7 +22,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """df written once and read back: what follows uses it more than once, and lost executors cost no more than the reading."""
+    """df written once and read back: what follows uses it more than once, and lost executors cost no more than the reading.
+
+    The tables live beside the checkpoints and go with them, or by `release`.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def release(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more, as what was made of them is staged itself."""
+    for df in staged:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
