@@ -39,30 +39,40 @@ def json_text(reply: Column) -> Column:
     return bound(bound(trim(reply), body), inner)
 
 
+def with_reason(replies: DataFrame) -> DataFrame:
+    """replies (reply and others) with p, the parsed reply, and reason, why it is rejected; null for a good one."""
+    parsed = F.from_json(json_text(F.col("reply")), schemas.REPLY + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    # the generator parses each reply once, however many of its fields are used
+    df = replies.select("*", F.explode(F.array(parsed)).alias("p"))
+    p = lambda k: F.col(f"p.{k}")
+    known = lambda k, codes: p(k).isNull() | p(k).isin(codes)
+    sure = F.coalesce(p("confidence"), F.lit(0.0).cast("float"))
+    reason = (
+        F.when(F.col("p").isNull(), "NO_JSON").when(p("_corrupt").isNotNull(), "BAD_JSON").when(~(known("date_role", DATE_ROLES) & known("party_relation", RELATIONS)), "UNKNOWN_CODE")
+        .when(F.isnan(sure) | ~sure.between(0, 1), "BAD_CONFIDENCE")
+    )
+    return df.withColumn("reason", reason)
+
+
 # K02
 def decode(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(proposals, rejects) of replies (doc_id, reply).
+    """(proposals, rejects) of replies (doc_id, reply), rejects with a reason.
 
-    A reply is rejected that holds no JSON object, an unknown code, or a confidence outside 0..1.  Missing fields
-    default; a date that isn't one goes with its role; of parties three stay.
+    A reply is rejected that holds no JSON object (NO_JSON, BAD_JSON), an unknown code (UNKNOWN_CODE), or a confidence outside
+    0..1 (BAD_CONFIDENCE).  Missing fields default; a date that isn't one goes with its role; of parties three stay.
     """
-    parsed = F.from_json(json_text(F.col("reply")), schemas.REPLY + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    # the generator parses each reply once, however many of its fields are used
-    df = replies.select("doc_id", "reply", F.explode(F.array(parsed)).alias("p"))
+    df = with_reason(replies)
     p = lambda k: F.col(f"p.{k}")
-    known = lambda k, codes: p(k).isNull() | p(k).isin(codes)
     sure = F.coalesce(p("confidence"), F.lit(0.0).cast("float"))
-    good = F.col("p").isNotNull() & p("_corrupt").isNull() & known("date_role", DATE_ROLES) & known("party_relation", RELATIONS) & ~F.isnan(sure) & sure.between(0, 1)
-    df = df.withColumn("good", F.coalesce(good, F.lit(False)))
     dated = is_iso_date(p("document_date"))
     some = lambda k: F.slice(F.coalesce(p(k), F.array().cast("array<string>")), 1, MOST_PARTIES)
-    proposals = df.filter("good").select(
+    proposals = df.filter("reason is null").select(
         "doc_id", p("document_type").alias("document_type"), F.when(dated, p("document_date")).alias("document_date"), F.when(dated, p("date_role")).alias("date_role"), some("parties").alias("parties"),
         F.coalesce(p("party_relation"), F.lit("none")).alias("party_relation"), F.coalesce(p("description"), F.lit("")).alias("description"), sure.alias("confidence"),
         F.coalesce(p("needs_review"), F.lit(False)).alias("needs_review"),
         F.struct(p("date_evidence").alias("date"), p("type_evidence").alias("document_type"), some("party_evidence").alias("parties")).alias("evidence"),
     )
-    return proposals, df.filter("not good").select("doc_id", "reply")
+    return proposals, df.filter("reason is not null").select("doc_id", "reply", "reason")
 
 
 # K03

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -14,7 +15,7 @@ from ..functions import text as T
 from ..operators import distill as D
 from ..operators import evaluate as E
 from ..operators import naming, validate as V
-from ..staging import stage
+from ..staging import release, shared_dir, stage
 
 HEAD, TAIL = 14_000, 8_000
 LEGACY_READY, LEGACY_WORDS, LEGACY_STEM = 0.86, 30, 139
@@ -60,22 +61,53 @@ def extract(files: DataFrame, reader: Callable[[bytes], list[str]]) -> DataFrame
 
 
 # U02
-def ask(prompts_: DataFrame, scorer: Callable[[list[str]], list[str]]) -> DataFrame:
-    """doc_id, reply of scorer, called with a batch of prompts at a time on the executors."""
+Scorer = Callable[[list[str]], list[str]]
+LEDGER = "key string, doc_id long, attempt int, reply string, reason string"
+
+
+def ask(prompts_: DataFrame, scorer: Scorer, at_once: int = 8) -> DataFrame:
+    """prompts_ (prompt last) with reply instead of prompt; scorer is called on the executors with so many prompts at a time."""
+    others = prompts_.drop("prompt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            replies = scorer(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(replies, pa.string())], names=["doc_id", "reply"])
+            for a in range(0, batch.num_rows, at_once):
+                some = batch.slice(a, at_once)
+                replies = scorer(some.column(some.num_columns - 1).to_pylist())
+                if len(replies) != some.num_rows:
+                    raise ValueError(f"{some.num_rows} prompts, {len(replies)} replies")
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(replies, pa.string())], names=[*some.schema.names[:-1], "reply"])
 
-    return prompts_.select("doc_id", "prompt").mapInArrow(run, "doc_id long, reply string")
+    return prompts_.select(*others.columns, "prompt").mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in others.dtypes) + ", reply string")
 
 
-def propose(prompts_: DataFrame, scorer: Callable[[list[str]], list[str]]) -> tuple[DataFrame, DataFrame]:
-    """(proposals, rejects): replies decoded, and those that can't be asked for once more."""
-    first, bad = R.decode(ask(prompts_, scorer))
-    again, lost = R.decode(ask(prompts_.join(bad.select("doc_id"), "doc_id", "left_semi"), scorer))
-    return first.unionByName(again), lost
+def ledger_of(spark: SparkSession, path: str) -> DataFrame:
+    """LEDGER as it is now; an empty one is made where there is none."""
+    spark.createDataFrame([], LEDGER).write.mode("ignore").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def propose(prompts_: DataFrame, scorer: Scorer, ledger: str | None = None, attempts: int = 2, at_once: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(proposals, rejects): replies decoded, and the last replies of those that stay bad after so many attempts, with the reason.
+
+    Each reply is written once to the ledger, with the number of its attempt and why it is rejected.  An attempt asks for the
+    prompts that the ledger has no good reply to and that were asked less often; both results are read from the ledger.  So n
+    prompts cost n calls and one for each bad reply whatever is done with the results, and a job that starts again with the same
+    ledger asks only for what is open.  A prompt is known by its document and its text.
+    """
+    spark = prompts_.sparkSession
+    path = ledger or f"{shared_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.sha2("prompt", 256)).alias("key")
+    asked = stage(prompts_.select(key, "doc_id", "prompt").dropDuplicates(["key"]), "prompts")
+    for attempt in range(1, attempts + 1):
+        done = ledger_of(spark, path).filter(F.col("reason").isNull() | (F.col("attempt") >= attempt)).select("key")
+        open_ = asked.join(done, "key", "left_anti")
+        if not open_.isEmpty():
+            replies = R.with_reason(ask(open_.select("key", "doc_id", F.lit(attempt).alias("attempt"), "prompt"), scorer, at_once))
+            replies.select("key", "doc_id", "attempt", "reply", "reason").write.mode("append").parquet(path)
+    mine = ledger_of(spark, path).join(asked.select("key"), "key", "left_semi")
+    last = mine.groupBy("key", "doc_id").agg(F.max_by(F.struct("reply", "reason"), F.struct(F.col("reason").isNull(), "attempt")).alias("r")).select("doc_id", "r.*")
+    return R.decode(last.filter("reason is null"))[0], last.filter("reason is not null")
 
 
 # U03
@@ -87,18 +119,53 @@ def replay(proposals: DataFrame, digests: DataFrame, listing: DataFrame, places:
 
 
 # C04
-def analyze(pages: DataFrame, scorer: Callable[[list[str]], list[str]], listing: DataFrame, places: DataFrame, budget: int = D.BUDGET) -> tuple[DataFrame, DataFrame]:
+def analyze(pages: DataFrame, scorer: Scorer, listing: DataFrame, places: DataFrame, budget: int = D.BUDGET, ledger: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(analyses, rejects) of pages: distil, ask, validate, name, with the prompt's hash and length."""
-    digests = D.distill(pages, budget)
-    asked = prompts(digests)
-    proposals, lost = propose(asked, scorer)
+    digests = stage(D.distill(pages, budget), "digests")
+    asked = stage(prompts(digests), "asked")
+    proposals, lost = propose(asked, scorer, ledger)
     return replay(proposals, digests, listing, places).join(asked.drop("prompt"), "doc_id"), lost
 
 
 # U04
-def per_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict):
-    """Start a stream that hands each batch of rows to the caller."""
-    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+def _handed(spark: SparkSession, folder: str) -> dict[int, str]:
+    """What was handed over after each batch that came to its end."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return {}
+    found = [str(x.getPath()) for x in fs.listStatus(root)]
+    return {int(p.rsplit("=", 1)[1]): p for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{p}/_SUCCESS"))}
+
+
+def hand_over(states: DataFrame, batch: int, machine: str, handle: Callable[[DataFrame, DataFrame, int], None], folder: str) -> None:
+    """Tell the caller of a batch's claims: handle(new, withdrawn, batch) with the keys that are `machine`'s now and those that it lost.
+
+    states: key, owner, state of the keys that changed, one row for each.  What was handed over is a table for each batch in
+    folder, the last two of which stay; a batch that is repeated after it came to its end does nothing, and one that failed before
+    is handed over again under its number.
+    """
+    spark = states.sparkSession
+    done = _handed(spark, folder)
+    if batch in done:
+        return
+    before = max((b for b in done if b < batch), default=None)
+    held = spark.read.schema("key string").parquet(done[before]) if before is not None else spark.createDataFrame([], "key string")
+    now = stage(states.select("key", (F.col("owner").eqNullSafe(machine) & (F.col("state") == "claimed")).alias("mine"), (F.col("owner") != machine).alias("others")), "claims")
+    new = stage(now.filter("mine").select("key").join(held, "key", "left_anti"), "new")
+    lost = stage(held.join(now.filter("others").select("key"), "key", "left_semi"), "withdrawn")
+    handle(new, lost, batch)
+    held.join(now.select("key"), "key", "left_anti").unionByName(now.filter("mine").select("key")).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+    release(now, new, lost)
+    for b in sorted(done)[:-1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(done[b])
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def per_batch(stream: DataFrame, machine: str, handle: Callable[[DataFrame, DataFrame, int], None], folder: str, checkpoint: str, trigger: dict):
+    """Start a stream of claim states (update mode) whose new and withdrawn claims are handed to the caller batch by batch."""
+    write = stream.writeStream.outputMode("update").foreachBatch(lambda states, batch: hand_over(states, batch, machine, handle, folder))
+    return write.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 # C05
@@ -156,7 +223,7 @@ def legacy(pages: DataFrame, proposals: DataFrame, ext: str = "pdf") -> DataFram
 
 
 # C07
-def probe(docs: DataFrame, scorer: Callable[[list[str]], list[str]]) -> DataFrame:
+def probe(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """passed: whether a scorer finds the date 2024-01-02 and the marker in the first line of a fixed notice; docs gives the session only."""
     page = docs.sparkSession.createDataFrame([(0, 1, "CALIBRATION NOTICE ZX-41\n\nNotice date: January 2, 2024\n\nThis notice concerns the calibration of instrument ZX-41.")], "doc_id long, page_number int, text string")
     proposals, _ = propose(prompts(D.distill(page)), scorer)

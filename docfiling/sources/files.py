@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schemas
 from ..functions import names as N
@@ -15,14 +19,68 @@ GIB = 1 << 30
 LINE_BYTES = 1 << 20
 
 
+class _Folder(InputPartition):
+    def __init__(self, path: str, deep: bool):
+        self.path, self.deep = path, deep
+
+
+class _FolderReader(DataSourceReader):
+    """Folders two levels deep are parts of their own; each part is walked on an executor."""
+
+    def __init__(self, root: str):
+        self.root = root
+
+    def partitions(self) -> list[_Folder]:
+        found, level = [], [self.root]
+        for _ in range(2):
+            found += [_Folder(p, False) for p in level]
+            level = [e.path for p in level for e in os.scandir(p) if e.is_dir(follow_symlinks=False)]
+        return found + [_Folder(p, True) for p in level]
+
+    def read(self, partition: _Folder):
+        waiting = [partition.path]
+        while waiting:
+            with os.scandir(waiting.pop()) as entries:
+                for e in entries:
+                    if e.is_dir(follow_symlinks=False):
+                        if partition.deep:
+                            waiting.append(e.path)
+                    elif e.is_file(follow_symlinks=False):
+                        s = e.stat(follow_symlinks=False)
+                        yield e.path, s.st_size, int(s.st_mtime)
+
+
+class FolderSource(DataSource):
+    """Files below a folder that all executors see, by their names and stat alone: no content is opened, no symlink followed or listed."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "folder_listing"
+
+    def schema(self) -> str:
+        return "path string, size long, modified_secs long"
+
+    def reader(self, schema) -> _FolderReader:
+        return _FolderReader(self.options["path"])
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """path, size, modified_secs of all files below root: a folder, or a place of any file system that Spark reads."""
+    local = root.removeprefix("file://") if root.startswith("file:///") else root
+    if local.startswith("/"):
+        spark.dataSource.register(FolderSource)
+        return spark.read.format("folder_listing").load(local)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return files.select("path", F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("modified_secs"))
+
+
 # S01
 def scan(spark: SparkSession, root: str, extensions: list[str] = LISTED) -> DataFrame:
     """path, relative_path, size, modified_secs of the supported files below root, by relative path; contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
     name = N.leaf(F.col("path"))
-    keep = (F.col("length") > 0) & ~name.startswith(".") & ~name.startswith("~$") & N.path_extension(F.col("path")).isin(extensions)
-    base = "file:" + root if root.startswith("/") else root
-    found = files.filter(keep).select("path", N.relative_path(F.col("path"), base).alias("relative_path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("modified_secs"))
+    keep = (F.col("size") > 0) & ~name.startswith(".") & ~name.startswith("~$") & N.path_extension(F.col("path")).isin(extensions)
+    base = root.removeprefix("file://") if root.startswith("file:///") else root
+    found = listing(spark, root).filter(keep).select("path", N.relative_path(F.col("path"), base).alias("relative_path"), "size", "modified_secs")
     return found.orderBy("relative_path")
 
 
@@ -121,9 +179,40 @@ def analysis_json(df: DataFrame) -> DataFrame:
 
 
 # S10
-def write_report(records: DataFrame, summary: DataFrame, path: str, pipeline: str, model: str, budget: int) -> None:
-    """Records as Parquet, and the summary by flag as one JSON row."""
-    records.write.mode("overwrite").parquet(f"{path}/records")
+def write_report(records: DataFrame, summary: DataFrame, path: str, pipeline: str, model: str, budget: int) -> str:
+    """Records as Parquet, and the summary by flag as one JSON row, under a run of their own; returns the run.
+
+    The run is shown by a marker that is written last, in one step: until then, and if anything fails, readers have the report before.
+    """
+    spark, run = records.sparkSession, uuid.uuid4().hex
+    records.write.parquet(f"{path}/run={run}/records")
     flags = summary.filter(F.col("pipeline") == pipeline).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("flag", F.struct("correct", "total", "rate"))))).alias("summary"))
     head = (F.lit(2).alias("schema_version"), F.lit(pipeline).alias("pipeline"), F.lit(model).alias("model_id"), F.lit(budget).alias("budget_characters"))
-    flags.select(*head, "summary").coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    flags.select(*head, "summary").coalesce(1).write.json(f"{path}/run={run}/summary")
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jpath(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    # markers are numbered, so that a rename never meets an older one
+    number = max([-1, *_markers(spark, path)]) + 1
+    out = fs.create(jpath(f"{path}/_{run}.tmp"), True)
+    out.write(run.encode())
+    out.close()
+    if not fs.rename(jpath(f"{path}/_{run}.tmp"), jpath(f"{path}/_report-{number:012d}")):
+        raise OSError(f"{path}: another report was written at the same time")
+    return run
+
+
+def _markers(spark: SparkSession, path: str) -> list[int]:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_report-*")
+    found = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jpath)
+    return [int(x.getPath().getName().rsplit("-", 1)[1]) for x in found or ()]
+
+
+def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(records, summary) of the last whole report."""
+    if not (numbers := _markers(spark, path)):
+        raise FileNotFoundError(f"no report in {path}")
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_report-{max(numbers):012d}")
+    source = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).open(jpath)
+    run = bytes(source.readNBytes(64)).decode()
+    source.close()
+    return spark.read.parquet(f"{path}/run={run}/records"), spark.read.json(f"{path}/run={run}/summary")
