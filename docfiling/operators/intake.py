@@ -194,9 +194,10 @@ def courtesy_due(files: DataFrame) -> DataFrame:
 
 # ST08's batch twin
 def changes(rows: DataFrame) -> DataFrame:
-    """key, ts, digest of the rows (key, ts, seq, digest) that differ from the row before."""
-    before = F.lag("digest").over(Window.partitionBy("key").orderBy("ts", "seq"))
-    return rows.withColumn("before", before).filter(~F.col("digest").eqNullSafe(F.col("before"))).select("key", "ts", "digest")
+    """key, ts, digest of the rows (key, ts, seq, digest) that differ from the row before, or come more than 30 days after it."""
+    by_key = Window.partitionBy("key").orderBy("ts", "seq")
+    told = ~F.col("digest").eqNullSafe(F.lag("digest").over(by_key)) | (F.col("ts") - F.lag("ts").over(by_key) > RETENTION)
+    return rows.withColumn("told", told).filter("told").select("key", "ts", "digest")
 
 
 # ST07's batch twin

@@ -220,11 +220,15 @@ def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
 VIEWS = {"queue": [s for s in STATUSES if s != "completed"], "review": ["needs_review"], "completed": ["completed"], "waiting": ["queued"]}
 
 
-def view(items: DataFrame, name: str) -> DataFrame:
-    """Items of a view: queue, review, completed, waiting, or ready (which needs a proposed name)."""
+def in_view(name: str) -> Column:
+    """Whether an item is in a view: queue, review, completed, waiting, or ready (which needs a proposed name)."""
     if name == "ready":
-        return items.filter((F.col("status") == "ready") & F.col("proposed_name").isNotNull())
-    return items.filter(F.col("status").isin(VIEWS[name]))
+        return (F.col("status") == "ready") & F.col("proposed_name").isNotNull()
+    return F.col("status").isin(VIEWS[name])
+
+
+def view(items: DataFrame, name: str) -> DataFrame:
+    return items.filter(in_view(name))
 
 
 # P08

@@ -417,13 +417,13 @@ def oracle_sql() -> dict[str, str]:
         "st06_leases": """WITH e AS (SELECT 's' || user_id AS owner, event_id % 3 AS item, event_id AS ts, greatest(event_id + event_id % 1200, event_id + 60) AS e FROM events),
             n AS (SELECT *, coalesce(lead(ts) OVER (PARTITION BY owner, item ORDER BY ts), 100000) AS nxt FROM e)
             SELECT owner, item, e AS ts, CAST(row_number() OVER (PARTITION BY owner, item ORDER BY ts) AS INT) AS failures FROM n WHERE nxt > e""",
-        "st04_released": "SELECT path, due FROM (SELECT 'f' || (event_id % 700) AS path, arg_max(event_id - event_id % 90 + 120, event_id) AS due FROM events GROUP BY 1) WHERE due <= 900",
+        "st04_released": "SELECT path, due FROM (SELECT 'f' || (event_id % 700) AS path, arg_max(event_id - event_id % 90 + 120, event_id) AS due FROM events GROUP BY 1) WHERE due <= (SELECT max(event_id) + 60 FROM events)",
         "st11_pruned": sql(
             """, r AS (SELECT key || CASE WHEN seq % 5 = 0 THEN ' (copy).json' ELSE '.json' END AS file_name, seq, CASE WHEN seq % 7 <> 0 AND seq % 5 <> 0 THEN 2592000 + CASE WHEN event = 'done' THEN ts + 100 ELSE ts + 60 END ELSE 86400 + ts END AS due FROM claim_events)
             SELECT file_name, due FROM (SELECT file_name, arg_max(due, seq) AS due FROM r GROUP BY file_name) WHERE due <= 2700000""",
             "claim_events",
         ),
-        "st08_changes": "SELECT key, ts, digest FROM (SELECT *, lag(digest) OVER (PARTITION BY key ORDER BY ts) AS b FROM (SELECT 'k' || user_id AS key, event_id AS ts, event_id // 4 % 5 AS digest FROM events)) WHERE digest IS DISTINCT FROM b",
+        "st08_changes": "SELECT key, ts, digest FROM (SELECT *, lag(digest) OVER w AS b, lag(ts) OVER w AS t FROM (SELECT 'k' || user_id AS key, event_id AS ts, event_id // 4 % 5 AS digest FROM events) WINDOW w AS (PARTITION BY key ORDER BY ts)) WHERE digest IS DISTINCT FROM b OR ts - t > 2592000",
         "st07_machines": "SELECT event_id * 3 // 600 * 600 AS start, count(DISTINCT user_id) AS machines FROM events GROUP BY 1",
         "t01_listing": sql("SELECT id, source_path AS path FROM items", "items"),
         "t04_live": sql("SELECT path, scan_no FROM scans WHERE path IN (SELECT path FROM scans WHERE scan_no % 3 = 0)", "scans"),

@@ -1,12 +1,14 @@
 """Stateful rules over streams: each has a batch twin in operators and folds events in the order that the twin sorts them.
 
-Keyed state lives in the RocksDB state store (the session must set it as provider) and leaves by TTL or timer, so it is
-bounded by the live keys.  Event times are epoch seconds in the rows; a batch's rows are sorted by (ts, seq) per key.
+Keyed state lives in the RocksDB state store (the session must set it as provider).  Claims leave by TTL, items that have ended,
+leases and digests by event-time timers 30 days after their last event, files when a scan no longer has them, due records when
+they are told.  `presence` and `progress` keep a row for each machine and item.  Event times are epoch seconds in the rows; a
+batch's rows are sorted by (ts, seq) per key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import intake as I
 from ..operators import lifecycle as L
+from ..staging import release, stage
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RETENTION_MS = I.RETENTION * 1000
@@ -44,23 +47,41 @@ class _Fold(StatefulProcessor):
 
 
 # ST02
-class Stability(_Fold):
-    """Emits an observation when size and time repeat in the very next scan; a file not seen for a day is forgotten."""
+class Stability(StatefulProcessor):
+    """Emits an observation when size and time repeat in the machine's very next scan.
 
-    state, ttl = "scan_no long, size long, modified_secs long", I.MALFORMED_GRACE * 1000
-    output = "path string, scan_no long, size long, modified_secs long"
+    Keyed by machine and a share of the paths.  A file that a scan no longer has can't be stable in the scan after it, so what
+    was last seen before the last two scans is forgotten: the state is the files of two scans.
+    """
+
+    output = "machine_id string, path string, scan_no long, size long, modified_secs long"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "path string", "scan_no long, size long, modified_secs long")
+
+    def close(self) -> None:
+        pass
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = self.kept.get() if self.kept.exists() else None
-        out = []
+        now, out, last = {}, [], 0
         for r in _all(rows, ["scan_no"]).itertuples():
-            now = (int(r.scan_no), int(r.size), int(r.modified_secs))
-            if before and before[0] == now[0] - 1 and before[1:] == now[1:]:
-                out.append((key[0], *now))
-            before = now
-        self.kept.update(before)
+            path = r.path
+            if path not in now:
+                now[path] = tuple(self.seen.getValue((path,))) if self.seen.containsKey((path,)) else None
+            before, found = now[path], (int(r.scan_no), int(r.size), int(r.modified_secs))
+            if before and before[0] == found[0] - 1 and before[1:] == found[1:]:
+                out.append((r.machine_id, path, *found))
+            now[path], last = found, max(last, found[0])
+        gone = [k[0] for k, v in self.seen.iterator() if k[0] not in now and v[0] < last - 1]
+        for path in gone:
+            self.seen.removeKey((path,))
+        for path, found in now.items():
+            if found[0] >= last - 1:
+                self.seen.updateValue((path,), found)
+            elif self.seen.containsKey((path,)):
+                self.seen.removeKey((path,))
         if out:
-            yield pd.DataFrame(out, columns=["path", "scan_no", "size", "modified_secs"])
+            yield pd.DataFrame(out, columns=["machine_id", "path", "scan_no", "size", "modified_secs"])
 
 
 # ST03, ST12
@@ -81,70 +102,106 @@ class Claims(_Fold):
         yield pd.DataFrame([(key[0], now[0], now[1], now[4])], columns=["key", "owner", "state", "refused"])
 
 
+class _Timed(_Fold):
+    """A fold whose last state field is the time (seconds) of the key's one timer, 0 for none."""
+
+    def wait(self, before: int, at: int) -> None:
+        """Have the timer at `at` instead of `before`; 0 for none."""
+        if before and before != at:
+            self.handle.deleteTimer(before * 1000)
+        if at and before != at:
+            self.handle.registerTimer(at * 1000)
+
+
 # ST05
-class Lifecycle(_Fold):
-    """Status by item; emits it after each batch with the number of illegal moves so far."""
+class Lifecycle(_Timed):
+    """Status by item; emits it after each batch with the number of illegal moves so far.
 
-    state = "status string, illegal int"
+    An item that has ended is forgotten 30 days after its last event; live items are as many as the queue has.
+    """
+
+    state = "status string, illegal int, timer long"
     output = "item long, status string, illegal int"
     general = {(a, b) for a, bs in L.STATUS_MOVES.items() for b in bs}
     named = {(e, a, b) for e, moves in L.NAMED_MOVES.items() for a, b in moves}
+    ended = frozenset(("failed", "canceled", "completed"))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        status, illegal = self.kept.get() if self.kept.exists() else ("queued", 0)
-        for r in _all(rows, ["seq"]).itertuples():
+        status, illegal, timer = self.kept.get() if self.kept.exists() else ("queued", 0, 0)
+        found = _all(rows, ["seq"])
+        for r in found.itertuples():
             if (status, r.to_status) in self.general or (r.event, status, r.to_status) in self.named:
                 status = r.to_status
             else:
                 illegal += 1
-        self.kept.update((status, illegal))
+        at = max(timer, int(found.ts.max()) + I.RETENTION)
+        self.wait(timer, at)
+        self.kept.update((status, illegal, at))
         yield pd.DataFrame([(key[0], status, illegal)], columns=["item", "status", "illegal"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        status, illegal, _ = self.kept.get()
+        if status in self.ended:
+            self.kept.clear()
+        else:
+            self.kept.update((status, illegal, 0))
+        yield from ()
+
 
 # ST08
-class OnChange(_Fold):
-    """Emits a row only if its digest differs from the key's last emitted one."""
+class OnChange(_Timed):
+    """Emits a row if its digest differs from the key's last one, or if that is more than 30 days old and so forgotten."""
 
-    state = "digest long"
+    state = "digest long, ts long, timer long"
     output = "key string, ts long, digest long"
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self.kept.get()[0] if self.kept.exists() else None
+        last, ts, timer = self.kept.get() if self.kept.exists() else (None, 0, 0)
         out = []
         for r in _all(rows, ["ts", "seq"]).itertuples():
-            if last != int(r.digest):
-                last = int(r.digest)
-                out.append((key[0], int(r.ts), last))
-        self.kept.update((last,))
+            if last != int(r.digest) or int(r.ts) - ts > I.RETENTION:
+                out.append((key[0], int(r.ts), int(r.digest)))
+            last, ts = int(r.digest), int(r.ts)
+        self.wait(timer, ts + I.RETENTION)
+        self.kept.update((last, ts, ts + I.RETENTION))
         if out:
             yield pd.DataFrame(out, columns=["key", "ts", "digest"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.kept.clear()
+        yield from ()
+
 
 # ST06
-class Leases(_Fold):
-    """Gives an item back when its owner's lease is over and no heartbeat came for 60 s, told by the next event or by an event-time timer."""
+class Leases(_Timed):
+    """Gives an item back when its owner's lease is over and no heartbeat came for 60 s, told by the next event or by an event-time timer.
+
+    How often it failed is forgotten when nothing was heard of the owner for 30 days after that.
+    """
 
-    state = "end long, failures int"
+    state = "end long, failures int, timer long"
     output = "owner string, item long, ts long, failures int"
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        end, failures = self.kept.get() if self.kept.exists() else (0, 0)
-        if end:
-            self.handle.deleteTimer(end * 1000)
+        end, failures, timer = self.kept.get() if self.kept.exists() else (0, 0, 0)
         out = []
         for r in _all(rows, ["ts", "seq"]).itertuples():
             if end and int(r.ts) > end:
                 failures += 1
                 out.append((*key, end, failures))
             end = max(int(r.lease_expires_at), int(r.ts) + L.SESSION_SECONDS)
-        self.kept.update((end, failures))
-        self.handle.registerTimer(end * 1000)
+        self.wait(timer, end)
+        self.kept.update((end, failures, end))
         if out:
             yield pd.DataFrame(out, columns=["owner", "item", "ts", "failures"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end, failures = self.kept.get()
-        self.kept.update((0, failures + 1))
+        end, failures, timer = self.kept.get()
+        if not end:
+            self.kept.clear()
+            return
+        self.wait(0, timer + I.RETENTION)
+        self.kept.update((0, failures + 1, timer + I.RETENTION))
         yield pd.DataFrame([(*key, end, failures + 1)], columns=["owner", "item", "ts", "failures"])
 
 
@@ -174,26 +231,33 @@ def _keyed(stream: DataFrame, key: str, processor: type[_Fold], mode: str) -> Da
     return stream.groupBy(key).transformWithStateInPandas(processor(), processor.output, mode, "ProcessingTime" if processor.ttl else "None")
 
 
-def stable_files(stream: DataFrame) -> DataFrame:
-    return _keyed(stream, "path", Stability, "Append")
+def stable_files(stream: DataFrame, shares: int = 64) -> DataFrame:
+    """machine_id, path, scan_no, size, modified_secs of stable files; each machine's scans must come in order."""
+    shared = stream.withColumn("share", F.pmod(F.xxhash64("path"), F.lit(shares)))
+    return shared.groupBy("machine_id", "share").transformWithStateInPandas(Stability(), Stability.output, "Append", "None")
+
+
+def _timed(stream: DataFrame, keys: list[str], processor: type[_Timed], mode: str, late: str) -> DataFrame:
+    timed = stream.withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", late)
+    return timed.groupBy(*keys).transformWithStateInPandas(processor(), processor.output, mode, "EventTime")
 
 
 def claim_states(stream: DataFrame) -> DataFrame:
     return _keyed(I.in_claim_order(stream), "key", Claims, "Update")
 
 
-def item_states(stream: DataFrame) -> DataFrame:
-    return _keyed(stream, "item", Lifecycle, "Update")
+def item_states(stream: DataFrame, late: str = "30 days") -> DataFrame:
+    """item, status, illegal; stream: item, ts, seq, event, to_status.  Events later than `late` are lost."""
+    return _timed(stream, ["item"], Lifecycle, "Update", late)
 
 
-def changes(stream: DataFrame) -> DataFrame:
-    return _keyed(stream, "key", OnChange, "Append")
+def changes(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
+    return _timed(stream, ["key"], OnChange, "Append", late)
 
 
 def expired_leases(stream: DataFrame, late: str = "0 seconds") -> DataFrame:
     """owner, item, ts, failures; stream: owner, item, ts, seq, lease_expires_at."""
-    timed = stream.withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", late)
-    return timed.groupBy("owner", "item").transformWithStateInPandas(Leases(), Leases.output, "Append", "EventTime")
+    return _timed(stream, ["owner", "item"], Leases, "Append", late)
 
 
 # ST01
@@ -250,6 +314,30 @@ def progress(stream: DataFrame) -> DataFrame:
 
 
 # ST10
-def enqueued(stream: DataFrame) -> DataFrame:
-    """The first row of each path key and hash."""
-    return stream.dropDuplicates(["source_path_key", "source_hash"])
+FIRST = ["source_path_key", "source_hash"]
+
+
+def first_rows(batch: DataFrame, number: int, folder: str, buckets: int = 64) -> DataFrame:
+    """A row of each path key and hash that no batch of a smaller number had; staged.
+
+    What was there is a table in folder, dealt by a hash of the keys; only the buckets that the batch touches are read.  A batch
+    that is repeated finds the same rows and writes the same part of the table again.
+    """
+    spark = batch.sparkSession
+    bucket = F.pmod(F.xxhash64(*FIRST), F.lit(buckets)).cast("int")
+    rows = stage(batch.dropDuplicates(FIRST).withColumn("bucket", bucket), "arrived")
+    spark.createDataFrame([], "source_path_key string, source_hash string, bucket int, batch long").write.mode("ignore").partitionBy("bucket", "batch").parquet(folder)
+    touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most `buckets` numbers
+    known = spark.read.schema("source_path_key string, source_hash string, bucket int, batch long").parquet(folder).filter(F.col("bucket").isin(touched) & (F.col("batch") < number))
+    known = known.select(*(F.col(c).alias(f"known_{c}") for c in FIRST))
+    fresh = rows.join(known, F.col(FIRST[0]).eqNullSafe(F.col(f"known_{FIRST[0]}")) & F.col(FIRST[1]).eqNullSafe(F.col(f"known_{FIRST[1]}")), "left_anti")
+    out = stage(fresh, "fresh")
+    out.select(*FIRST, "bucket", F.lit(number).cast("long").alias("batch")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(folder)
+    release(rows)
+    return out.drop("bucket")
+
+
+def enqueue(stream: DataFrame, folder: str, handle: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict):
+    """Start a stream that hands the first row of each path key and hash to handle(rows, batch), once for ever; no state is kept in the stream."""
+    write = stream.writeStream.foreachBatch(lambda batch, number: handle(first_rows(batch, number, folder), number))
+    return write.option("checkpointLocation", checkpoint).trigger(**trigger).start()
