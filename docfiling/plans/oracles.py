@@ -436,4 +436,6 @@ def oracle_sql() -> dict[str, str]:
             "items", "latest",
         ),
     }
-    return out
+    from . import digest_sql  # it builds on this module
+
+    return out | digest_sql.oracle_sql()
