@@ -3,9 +3,9 @@
 Texts are cut by the tokenizer's pattern; the distinct pieces of a batch that are new are sorted into buckets by their
 length in bytes, each bucket one matrix of token ids padded at the right.  In every round each row looks all its
 neighbouring pairs up in a hash table, merges its leftmost pair of the least rank, and is compacted; rows without a
-pair leave the matrix.  A piece of over LONG bytes (a text of one endless word) takes its merges in the same order from a
-heap instead, as one round a merge over the whole row would cost the square of its length.  Pieces that are tokens
-themselves need no merging, as in tiktoken.
+pair leave the matrix.  A piece of over LONG bytes (a text of one endless word) is a matrix of one row, and a round does as
+many of its merges as come one after another with the same rank, so that rounds are as many as ranks, not as bytes.  Pieces
+that are tokens themselves need no merging, as in tiktoken.
 
 Edge cases: a null or empty text has no tokens and decodes to no bytes.  A null list of ids decodes as an empty one.
 Ids that the vocabulary lacks raise ValueError.  Only the id and the text are read, so no further column can clash.
@@ -16,7 +16,6 @@ bytes and ends with its task.
 from __future__ import annotations
 
 import base64
-import heapq
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -36,7 +35,7 @@ PIECE_BYTES = 220
 #: Bytes of text that are encoded together.
 BATCH_BYTES = 1 << 19
 MATRIX_CELLS = 1 << 19
-#: Bytes from which a piece is merged by a heap.
+#: Bytes from which a piece is a matrix of its own.
 LONG = 2048
 #: White space beside a blank.
 _BESIDE = re.compile(r" \s|\s ").search
@@ -192,37 +191,44 @@ class Codec:
             ranks[off, best[off]] = none
         return np.concatenate(rows), np.concatenate(sizes), np.concatenate(flat)
 
-    def _merge_long(self, raw: bytes) -> list[int]:
-        """Ids of one long piece: the leftmost pair of the least rank is merged first, as in a matrix."""
-        none, tokens, rank_of, n = self.pairs.none, self.tokens, self.rank.get, len(raw)
+    def _merge_long(self, raw: bytes) -> np.ndarray:
+        """Ids of one long piece, a matrix of one row, by the same merges in fewer rounds.
+
+        A round takes all places of the row's least rank from left to right, as rounds of one merge would: until a merge makes a
+        pair of a lesser rank with what then stands beside it, which has to be merged before the next place.
+        """
+        none = self.pairs.none
         ids = self.byte[np.frombuffer(raw, np.uint8)]
-        ranks = [*self.pairs(ids[:-1], ids[1:]).tolist(), none]
-        ids, before, after = ids.tolist(), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, k) for k, r in enumerate(ranks) if r != none]
-        heapq.heapify(heap)
-        while heap:
-            r, k = heapq.heappop(heap)
-            if ranks[k] != r:
-                continue
-            gone = after[k]
-            ids[k], ids[gone], ranks[gone] = r, -1, none
-            after[k] = after[gone]
-            if after[k] < n:
-                before[after[k]] = k
-            for a in (before[k], k):
-                b = after[a] if a >= 0 else n
-                if a >= 0:
-                    ranks[a] = none if b >= n else rank_of(tokens[ids[a]] + tokens[ids[b]], none)
-                    if ranks[a] != none:
-                        heapq.heappush(heap, (ranks[a], a))
-        return [x for x in ids if x >= 0]
+        ranks = self.pairs(ids[:-1], ids[1:])
+        while len(ids) > 1 and (least := int(ranks.min())) != none:
+            at = np.flatnonzero(ranks == least)
+            # of places that overlap (aaa) every second one, from the first of their run on
+            run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff([*run, len(at)]))) % 2 == 0]
+            # beside a merged token: to the left what is merged already, to the right what isn't yet
+            new = np.full(len(at), least, ids.dtype)
+            left, right = np.maximum(at - 1, 0), np.minimum(at + 2, len(ids) - 1)
+            follows = np.diff(at, prepend=-3) == 2
+            lower = (at > 0) & (self.pairs(np.where(follows, least, ids[left]).astype(ids.dtype), new) < least)
+            lower |= (at + 2 < len(ids)) & (self.pairs(new, ids[right]) < least)
+            at = at[: int(lower.argmax()) + 1] if lower.any() else at
+            ids[at] = least
+            stays = np.ones(len(ids), bool)
+            stays[at + 1] = False
+            ids = ids[stays]
+            now = at - np.arange(len(at))  # where the merged tokens stand
+            ranks = np.append(ranks, none)[stays][:-1]
+            beside = np.unique(np.concatenate([now - 1, now]))
+            beside = beside[(beside >= 0) & (beside + 1 < len(ids))]
+            ranks[beside] = self.pairs(ids[beside], ids[beside + 1])
+        return ids
 
     def _ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids of distinct pieces; by piece where they start, and how many they are."""
         size, start, flat = np.ones(len(pieces), np.int64), np.zeros(len(pieces), np.int64), [np.zeros(0, np.int32)]
         length = 0
         whole: list[tuple[int, int]] = []
-        long: list[tuple[int, list[int]]] = []
+        long: list[tuple[int, np.ndarray]] = []
         buckets: dict[int, list[tuple[int, bytes]]] = {}
         for k, piece in enumerate(pieces):
             raw = piece.encode()
@@ -240,7 +246,7 @@ class Codec:
             length = len(k)
         for k, ids in long:
             size[k], start[k] = len(ids), length
-            flat.append(np.array(ids, np.int32))
+            flat.append(ids.astype(np.int32))
             length += len(ids)
         for found in buckets.values():
             step = max(1, MATRIX_CELLS // max(len(raw) for _, raw in found))

@@ -66,6 +66,23 @@ def test_bpe(spark, small):
         bpe.decode(spark.createDataFrame([(1, [60_000])], "doc_id long, ids array<int>"), path).collect()
 
 
+def test_bpe_long_pieces():
+    """Endless words: runs of a letter, of a few, of all letters; each as tiktoken's and as the matrix of many rows merges it."""
+    import base64
+
+    import tiktoken
+
+    path = public_tokenizers.path(queries.VOCABULARY)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.Codec(path, public_tokenizers.PATTERN)
+    rng = random.Random(7)
+    pieces = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("a", "ab", "the", "etaoin", "abcdefghijklmnopqrstuvwxyz", "aé漢ß") for n in (1, 2, 3, 7, 2049, 5000)]
+    pieces += ["ab" * 3000 + "a" * 2001, "a" * 9999, "the" * 4000, "".join(rng.choice(["tion", "ing", "er", "a", "th"]) for _ in range(3000))]
+    for piece in pieces:
+        assert codec._merge_long(piece.encode()).tolist() == coder.encode_ordinary(piece) or len(coder.encode_ordinary(piece)) == 1, piece[:20]
+
+
 def brute_groups(rows, percent):
     def items(t):
         w = [x for x in re.split(rb"[\x20\x09-\x0D]+", t.encode().lower()) if x]
