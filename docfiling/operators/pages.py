@@ -56,10 +56,12 @@ def first_vision_page(inspections: DataFrame, confidence: DataFrame) -> DataFram
 # A02
 def readings(words: DataFrame) -> DataFrame:
     """doc_id, page_number, rotation, text, confidence (mean of those not negative, 0 without any) from OCR words in order."""
-    word = F.when(T.trim(F.col("word")) != "", F.struct("seq", T.trim(F.col("word")).alias("w")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(word)), lambda x: x["w"]), " ")
-    mean = F.coalesce(F.avg(F.when((T.trim(F.col("word")) != "") & (F.col("confidence") >= 0), F.col("confidence"))), F.lit(0.0))
-    return words.groupBy("doc_id", "page_number", "rotation").agg(text.alias("text"), mean.alias("confidence"))
+    # dealt by page, so that a page's words meet without lists that are sent on, and trimmed once
+    dealt = words.repartition("doc_id", "page_number").withColumn("w", T.trim(F.col("word")))
+    there = F.col("w") != ""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(there, F.struct("seq", "w")))), lambda x: x["w"]), " ")
+    mean = F.coalesce(F.avg(F.when(there & (F.col("confidence") >= 0), F.col("confidence"))), F.lit(0.0))
+    return dealt.groupBy("doc_id", "page_number", "rotation").agg(text.alias("text"), mean.alias("confidence"))
 
 
 # A03
