@@ -147,8 +147,9 @@ def distill(pages: DataFrame, budget: int = BUDGET, passthrough: int = BUDGET) -
     """A digest for each document of pages (doc_id, page_number, text).
 
     Columns: doc_id, text, segments, outline, date_lines, page_count, source_characters, digest_characters, ratio, compressed, block_count.
-    Documents without any block have empty texts and arrays.
+    Documents without any block have empty texts and arrays; pages without a doc_id belong to no document and are left out.
     """
+    pages = pages.filter(F.col("doc_id").isNotNull())
     lined = ranked(scored(without_running_lines(blocks(pages), pages)))
     block = F.struct(F.col("index").cast("int").alias("index"), F.col("page").cast("int").alias("page"), "text")
     wanted = F.when(~F.col("repeat"), F.struct("rank", F.col("index").cast("int").alias("index"), (F.char_length("text") + 2).alias("cost")))

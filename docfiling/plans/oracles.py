@@ -330,6 +330,12 @@ def oracle_sql() -> dict[str, str]:
           rtrim(CASE WHEN len(ds) > 1 THEN 'EVERY DATE IN THIS DOCUMENT, WITH ITS OWN WORDS:' || chr(10) || array_to_string(list_transform(ds, lambda x: '- ' || x || chr(10)), '') || chr(10) ELSE '' END || '[Page 1]' || chr(10) || body, chr(10) || ' ') AS text
           FROM contracts c JOIN bs ON bs.doc_id = c.doc_id LEFT JOIN ds ON ds.doc_id = c.doc_id)"""
     out |= {
+        "k04_legacy_replies": sql(
+            """SELECT doc_id, CASE WHEN ok THEN document_type END AS document_type, CASE WHEN ok THEN document_date END AS document_date, CASE WHEN ok THEN 'issue' END AS date_kind, CASE WHEN ok THEN c_name END AS subject, CAST(NULL AS VARCHAR) AS party,
+            CASE WHEN ok THEN doc_id % 4 = 0 END AS needs_review FROM (SELECT *, doc_id % 5 <> 0 AS ok FROM proposals)""",
+            "proposals",
+        ),
+        "st09_progress": "SELECT item, CASE WHEN last % 3 <> 0 THEN least(CAST(last % 150 AS DOUBLE), 100.0) END AS percent FROM (SELECT event_id % 500 AS item, max(event_id) AS last FROM events GROUP BY 1)",
         "k03_unwrapped": "SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 7 <> 0 THEN sha256(text || CASE WHEN (conv_id + turn) % 5 = 0 THEN ' end' ELSE '' END) END AS content_sha256 FROM conversations",
         "s04_events": """SELECT conv_id || '-' || turn AS request_id, CAST(turn + 1 AS INT) AS page_number, sha256(text) AS text_sha256 FROM conversations WHERE turn % 7 <> 6 AND turn % 5 <> 4
             UNION ALL SELECT CAST(count(*) FILTER (WHERE turn % 7 = 6 OR turn % 5 = 4) AS VARCHAR), NULL, NULL FROM conversations""",

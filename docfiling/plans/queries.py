@@ -19,6 +19,7 @@ from ..operators import lifecycle as L
 from ..operators import naming, pages as P, validate as V
 from ..sources import files as S
 from ..staging import shared_dir
+from ..streaming import stateful
 from . import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -227,6 +228,24 @@ def k03_unwrapped(t):
     return t("conversations").select("conv_id", "turn", F.sha2(R.chat_content(body), 256).alias("content_sha256"))
 
 
+@query
+def k04_legacy_replies(t):
+    """The proposals as replies of the older kind: in a fence, amid prose, or none at all."""
+    k = F.col("doc_id")
+    body = F.to_json(F.struct("document_type", "document_date", F.lit("issue").alias("date_kind"), F.get("parties", F.lit(0)).alias("subject"), (k % 4 == 0).alias("needs_review"), F.lit(1).alias("unknown")))
+    reply = F.when(k % 5 == 0, "no answer").when(k % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("Here it is: "), body, F.lit(" That is all.")))
+    df = C.proposals(t).select("doc_id", R.legacy_reply(reply).alias("r"))
+    return df.select("doc_id", "r.document_type", "r.document_date", "r.date_kind", "r.subject", "r.party", "r.needs_review")
+
+
+@query
+def st09_progress(t):
+    """Percent of the latest event of each item, as the stream ends with it."""
+    e = F.col("event_id")
+    steps = t("events").select((e % 500).alias("item"), e.alias("ts"), (e % 150).alias("current"), F.when(e % 3 != 0, 100).alias("total"))
+    return stateful.progress(steps)
+
+
 @query
 def k05_domains(t):
     df = C.results(t).select("file", "pipeline", F.when(F.col("pipeline") == "old", "due").otherwise(F.col("date_role")).alias("date_role"), "status")
