@@ -5,10 +5,11 @@ the length of the longest run that ends here are carried from word to word, so a
 however items overlap.  A window of `window` item words inside such a run marks the words it covers; an item shorter than
 that is a window itself.
 
-The automaton is built on the driver from at most `shard_words` item words and broadcast, as arrays (a state has one arc
-nearly always; the others' arcs are in a dictionary): about 100 bytes an item word in a task, at most 20 MB.  A larger
-benchmark is cut into several automata by item, built one after another, each streamed over the documents, and the marks
-are united by document; so memory doesn't grow with the benchmark, but the number of passes does.
+An automaton has at most about `shard_words` item words and is built in a task, as arrays (a state has one arc nearly
+always; the others' arcs are in a dictionary): about 100 bytes an item word, at most 20 MB.  A larger benchmark makes several,
+by item, all built in one pass over it (an item of more words in pieces that share nine words), and kept in the shared
+folder.  The documents are read once for TOGETHER of them, which are broadcast for that pass and then destroyed, and the marks of
+the documents that are hit are united; so memory doesn't grow with the benchmark, and time is linear in its words.
 
 Edge cases: null texts have no words; items without words are ignored; equal items are all reported.  An item without
 an id is matched, but not named.  An empty benchmark leaves all documents as they are.  Repeated rows each get their
@@ -17,6 +18,7 @@ own row.  Further columns are ignored by `matches` and kept by `clean`, with n_c
 
 from __future__ import annotations
 
+import pickle
 from array import array
 from collections.abc import Iterator
 from functools import reduce
@@ -26,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN, binary, free_name, small_batches, stage
+from .common import PLAIN, binary, free_name, release, small_batches, stage
 
 #: Bytes to lower-case letters and digits, all else to blanks.
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if (PLAIN[b] or 65 <= b <= 90) else 32 for b in range(256))
 
 
-#: Item words of one automaton.
-SHARD_WORDS = 200_000
+#: Item words of one automaton, and automata that a task holds together.
+SHARD_WORDS, TOGETHER = 200_000, 8
 
 
 def normal_words(text: bytes) -> list[bytes]:
@@ -177,76 +179,124 @@ class Automaton:
         return spans, found
 
 
-def automata(benchmark: DataFrame, window: int, item_col: str = "item_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> list:
-    """Broadcast automata of the benchmark, each of at most about shard_words words (or one item)."""
-    spark = benchmark.sparkSession
+def _pieces(batches: Iterator[pa.RecordBatch], window: int, most_words: int) -> Iterator[pa.RecordBatch]:
+    """item, words (in one text) of each item; one of over most_words words in pieces that share window - 1 words, so that each window is in one."""
+    for batch in batches:
+        items, texts = [], []
+        for name, text in zip(batch.column(0).to_pylist(), binary(batch.column(1)).to_pylist(), strict=True):
+            words = normal_words(text)
+            for a in range(0, max(1, len(words) - window + 1), max(1, most_words - window + 1)):
+                items.append(name)
+                texts.append(b" ".join(words[a : a + most_words]))
+        yield pa.RecordBatch.from_arrays([pa.array(items, batch.column(0).type), pa.array(texts, pa.binary()).cast(pa.string())], names=["item", "words"])
+
+
+def automata(benchmark: DataFrame, window: int, item_col: str = "item_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> tuple[DataFrame, int]:
+    """(shard, automaton as bytes), staged, and how many shards there are: each of about shard_words item words at most, built in a task of its own.
+
+    The benchmark is read once for its size and once for its words.
+    """
     items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    small_batches(items)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // (2 * shard_words)))  # a word and its blank are two bytes at least
+    kind = items.schema["item"].dataType.simpleString()
+    pieces = items.mapInArrow(lambda b: _pieces(b, window, max(shard_words, 2 * window)), f"item {kind}, words string")
+
+    def build(table: pa.Table) -> pa.Table:
+        coded = [(name, words.encode().split()) for name, words in zip(table["item"].to_pylist(), table["words"].to_pylist(), strict=True)]
+        return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int64()), "automaton": pa.array([pickle.dumps(Automaton(coded, window))], pa.binary())})
+
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("item", "words"), F.lit(shards)))
+    return stage(dealt.groupBy("shard").applyInArrow(build, "shard long, automaton binary"), "automata"), shards
+
+
+def _told(built: DataFrame, shards: range) -> list:
+    """Automata as the tasks read them; the driver has one of them at a time, of a bounded size, and passes it on as it is."""
     out = []
-    for k in range(shards):
-        rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k).collect()
-        coded = [(r["item"], normal_words(r["text"].encode())) for r in rows]
-        out.append(spark.sparkContext.broadcast(Automaton(coded, window)))
+    for k in shards:
+        rows = built.filter(F.col("shard") == k).select("automaton").collect()
+        if rows:
+            out.append(built.sparkSession.sparkContext.broadcast(bytes(rows[0]["automaton"])))
     return out
 
 
 MATCH = "key long, n_words long, starts array<int>, ends array<int>, items array<string>"
 
 
-def _scan(df: DataFrame, automaton) -> DataFrame:
-    """For each row of key, text: its words, hit spans and items."""
+def _united_spans(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Spans in any order as their union, starts and ends."""
+    if not spans:
+        return [], []
+    a, b = np.array(spans, np.int64).T
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    new = np.concatenate([[True], a[1:] > b[:-1]])
+    return a[new].tolist(), b[np.concatenate([new[1:], [True]])].tolist()
+
+
+def _scan(df: DataFrame, told: list, only_hits: bool = False) -> DataFrame:
+    """For each row of key, text: its words, hit spans and items by all the given automata, which a task holds together."""
     small_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = automaton.value.scan
+        scans = [pickle.loads(x.value).scan for x in told]
         for batch in batches:
             rows = []
-            for text in binary(batch.column(1)):
+            for key, text in zip(batch.column(0).to_pylist(), binary(batch.column(1)), strict=True):
                 words = normal_words(text.as_py())
-                spans, found = scan(words)
-                rows.append((len(words), [a for a, _ in spans], [b for _, b in spans], sorted(str(x) for x in found if x is not None)))
-            columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-            kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(list(x), k) for x, k in zip(columns, kinds, strict=True))], names=["key", "n_words", "starts", "ends", "items"]
-            )
+                spans, items = [], set()
+                for scan in scans:
+                    some, found = scan(words)
+                    spans += some
+                    items |= found
+                if spans or not only_hits:
+                    rows.append((key, len(words), *_united_spans(spans), sorted({str(x) for x in items if x is not None})))
+            columns = list(zip(*rows, strict=True)) if rows else [[], [], [], [], []]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, kinds, strict=True)], names=["key", "n_words", "starts", "ends", "items"])
 
     return df.mapInArrow(run, MATCH)
 
 
-def _merge_spans(starts, ends):
-    """Union of intervals given by two arrays, as an array of structs a, b (higher-order functions only)."""
-    pairs = F.array_sort(F.arrays_zip(starts.alias("a"), ends.alias("b")))
-    empty = F.array().cast("array<struct<a:int,b:int>>")
-
-    def step(done, x):
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["b"] >= x["a"]), joined).otherwise(F.concat(done, F.array(x)))
-
-    return F.aggregate(pairs.cast("array<struct<a:int,b:int>>"), empty, step)
-
-
-def _united(keyed: DataFrame, parts: list) -> DataFrame:
-    """row, n_words, starts, ends, items of all automata for rows of a unique key, text."""
-    every = reduce(DataFrame.unionByName, (_scan(keyed, p) for p in parts))
-    merged = every.groupBy("key").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("s"), F.flatten(F.collect_list("ends")).alias("e"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns key, starts, ends, items with the spans united."""
+    for batch in batches:
+        united = [_united_spans(list(zip(a, b, strict=True))) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        kind = pa.list_(pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in united], kind), pa.array([b for _, b in united], kind), batch.column(3)], names=batch.schema.names)
+
+
+def _marks(keyed: DataFrame, built: DataFrame, shards: int) -> DataFrame:
+    """key, starts, ends, items of the rows (unique key, text) that are hit, by all automata: one pass over the rows for TOGETHER of them."""
+    parts = []
+    for a in range(0, shards, TOGETHER):
+        told = _told(built, range(a, min(a + TOGETHER, shards)))
+        parts.append(stage(_scan(keyed, told, only_hits=True).drop("n_words"), "marks"))
+        for x in told:
+            x.destroy()
+    every = reduce(DataFrame.unionByName, parts)
+    joined = every.groupBy("key").agg(
+        F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
-    merged = merged.withColumn("spans", _merge_spans(F.col("s"), F.col("e")))
-    return merged.select(F.col("key").alias("row"), "n_words", F.col("spans.a").alias("starts"), F.col("spans.b").alias("ends"), "items")
+    out = stage(joined.mapInArrow(_merged, "key long, starts array<int>, ends array<int>, items array<string>"), "marks")
+    release(*parts)
+    return out
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items, spans (array of start, end in words), one row for each row of docs."""
-    parts = automata(benchmark, window, text_col="text", shard_words=shard_words)
+    built, shards = automata(benchmark, window, shard_words=shard_words)
     narrow = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
-    if len(parts) == 1:
-        found = _scan(narrow, parts[0])
+    if shards == 1:
+        found = _scan(narrow, _told(built, range(1)))
     else:
         keyed = stage(narrow.select(F.monotonically_increasing_id().alias("row"), "key", "text"), "rows")
-        found = keyed.select("row", "key").join(_united(keyed.select(F.col("row").alias("key"), "text"), parts), "row").drop("row")
+        marks = _marks(keyed.select(F.col("row").alias("key"), "text"), built, shards).withColumnRenamed("key", "row")
+        words = F.regexp_count("text", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))
+        ints, strings = (F.array().cast(f"array<{k}>") for k in ("int", "string"))
+        found = keyed.select("row", "key", F.coalesce(words, F.lit(0)).cast("long").alias("n_words")).join(marks, "row", "left")
+        found = found.select("key", "n_words", *(F.coalesce(c, none).alias(c) for c, none in (("starts", ints), ("ends", ints), ("items", strings))))
     n_hit = F.aggregate(F.zip_with("ends", "starts", lambda b, a: b - a), F.lit(0).cast("int"), lambda x, y: x + y).cast("long")
     return found.select(
         F.col("key").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.arrays_zip("starts", "ends").alias("spans")
@@ -259,30 +309,33 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_coverage
     A document goes as a whole if hit words are more than most_coverage of its words.  What is left of any other keeps
     its bytes; removal can't join two words, as a blank takes the span's place.  n_chars, if there, is set anew.
     """
-    parts = automata(benchmark, window, shard_words=shard_words)
+    built, shards = automata(benchmark, window, shard_words=shard_words)
     small_batches(docs)
     names = docs.columns
     schema = docs.schema
-    spans = None
-    if len(parts) > 1:
-        # one pass of each automaton, then the marks of all of them beside each row
+    spans, told = None, []
+    if shards == 1:
+        told = _told(built, range(1))
+    else:
+        # the marks of all automata beside each row
         row, starts, ends = map(free_name, ("row", "starts", "ends"))
         keyed = stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-        found = _united(keyed.select(F.col(row).alias("key"), F.col(text_col).cast("string").alias("text")), parts)
-        docs = keyed.join(found.select(F.col("row").alias(row), F.col("starts").alias(starts), F.col("ends").alias(ends)), row).drop(row)
+        found = _marks(keyed.select(F.col(row).alias("key"), F.col(text_col).cast("string").alias("text")), built, shards)
+        docs = keyed.join(found.select(F.col("key").alias(row), F.col("starts").alias(starts), F.col("ends").alias(ends)), row, "left").drop(row)
         spans = (starts, ends)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = pickle.loads(told[0].value) if told else None
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             marks = None
             if spans:
-                marks = [list(zip(a, b, strict=True)) for a, b in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in spans), strict=True)]
+                marks = [list(zip(a or (), b or (), strict=True)) for a, b in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in spans), strict=True)]
                 batch = batch.select(names)
             texts, keep, changed = [], [], False
             for k, text in enumerate(batch.column(at)):
                 raw = text.as_py()
-                left = None if raw is None else _without(raw, marks[k] if marks else None, None if marks else parts[0].value, most_coverage)
+                left = None if raw is None else _without(raw, marks[k] if marks else None, automaton, most_coverage)
                 keep.append(raw is None or left is not None)
                 texts.append(raw if left is None else left)
                 changed |= left is not None and left != raw
@@ -299,11 +352,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_coverage
 
 
 def _without(text: str, spans: list[tuple[int, int]] | None, automaton: Automaton | None, most_coverage: float) -> str | None:
-    """The text without the spans (those that the automaton finds, if none are given); None if too much of it is hit."""
+    """The text without the spans (those that the automaton finds, if spans is None; neither: none); None if too much of it is hit."""
     raw = text.encode()
     words = normal_words(raw)
     hit = np.zeros(len(words) + 1, bool)
-    for a, b in automaton.scan(words)[0] if spans is None else spans:
+    for a, b in spans if spans is not None else automaton.scan(words)[0] if automaton else ():
         hit[a:b] = True
     if not hit.any():
         return text

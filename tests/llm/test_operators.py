@@ -178,6 +178,14 @@ def test_decontaminate(spark, small, sf_dir, shard_words):
         got = decontaminate.matches(df, test, shard_words=shard_words).collect()
         want = brute_hits(rows, [(r["item_id"], r["text"]) for r in test.collect()])
         assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], list(r["items"])) for r in got) == want
+    # one item of more words than an automaton may have, and more automata than a task holds together
+    giant = spark.createDataFrame([(1, " ".join(f"g{k}" for k in range(400))), (2, PROSE)] + [(k, f"item {k} " + PROSE[k:]) for k in range(3, 40)], "item_id long, text string")
+    texts = [(k, " ".join(f"g{j}" for j in range(7 * k, 7 * k + 9 + k % 4)) + " x " + PROSE[k : 60 + k]) for k in range(50)] + [(60, " ".join(f"g{k}" for k in range(400)))]
+    got = decontaminate.matches(frame(spark, texts), giant, shard_words=shard_words).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], list(r["items"])) for r in got) == brute_hits(texts, [(r["item_id"], r["text"]) for r in giant.collect()])
+    assert shard_words > 1000 or decontaminate.automata(giant, 10, shard_words=shard_words)[1] > decontaminate.TOGETHER
+    many = [(3 * k, 3 * k + 1) for k in range(200_000)]
+    assert len(decontaminate._united_spans(many + many[::-1])[0]) == 200_000
     assert decontaminate.matches(frame(spark, []), planted).count() == 0
     assert {r["n_hit"] for r in decontaminate.matches(frame(spark, EDGE), planted.limit(0)).collect()} == {0}
 
@@ -189,7 +197,7 @@ def test_decontaminated_text(spark, sf_dir):
     docs = frame(spark, rows).withColumn("n_chars", F.lit(7).cast("long")).withColumns({c: F.lit("k") for c in ("starts", "ends", "items", "spans")})
     got = {r["doc_id"]: r for r in decontaminate.clean(docs, bench).collect()}
     many = bench.unionByName(spark.createDataFrame([(k, f"z{k} one two three four five six seven eight nine ten") for k in range(9)], bench.schema))
-    assert {r["doc_id"]: r for r in decontaminate.clean(docs, many, shard_words=30).collect()} == got and len(decontaminate.automata(many, 10, shard_words=30)) > 1
+    assert {r["doc_id"]: r for r in decontaminate.clean(docs, many, shard_words=30).collect()} == got and decontaminate.automata(many, 10, shard_words=30)[1] > 1
     assert sorted(got) == [1, 3, 4, 5]
     assert got[1]["text"] == f"{filler},  ! {filler}" and got[1]["n_chars"] == len(got[1]["text"])
     assert got[3]["text"] == filler and got[4]["text"] is None and got[5]["text"] == ""
