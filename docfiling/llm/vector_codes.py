@@ -201,7 +201,7 @@ def _sums(batches: Iterator[pa.RecordBatch], codebooks: np.ndarray) -> Iterator[
     """part, entry, at (component), total, n of what the task's parts add up to; codebooks: part, entry, component."""
     total = np.zeros_like(codebooks)
     n = np.zeros(codebooks.shape[:2], np.int64)
-    entries = [Entries(book) for book in codebooks]
+    entries = [Entries(book) for book in codebooks if len(book)]  # no entries: no vectors either
     for batch in batches:
         for points, orders in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for k, tree in enumerate(_trees(points, orders, len(codebooks))):
@@ -231,7 +231,7 @@ def fit(laid: DataFrame, seeds: np.ndarray, parts: int = PARTS, rounds: int = RO
 
 
 def _codes(batches: Iterator[pa.RecordBatch], codebooks: np.ndarray) -> Iterator[pa.RecordBatch]:
-    entries = [Entries(book) for book in codebooks]
+    entries = [Entries(book) for book in codebooks if len(book)]  # no entries: no vectors either
     for batch in batches:
         for row in range(batch.num_rows):
             own = batch.column(0).slice(row, 1).flatten()
