@@ -1,19 +1,20 @@
 """Language-model scoring by a weighted backoff automaton.
 
-The model is a bigram model with Dirichlet smoothing:
-p(w | h) = (c(h w) + mu p(w)) / (c(h) + mu), h being the word before w; p(w) = (c + 1) / (N + V + 1).
-Its automaton has a state for each word as history and a root, an arc for each known pair, weighted with the smoothed log
-probability, and one failure arc from each state to the root, weighted with log10(mu / (c(h) + mu)); at the root every word
-has an arc.  A text is one left-to-right walk: the state is the word before, a token takes its arc or fails to the root
-and takes the arc there.  As one failure always suffices, the walks of all texts of a block are taken side by side.
-Longer histories aren't built: what a block asks and is told about pairs takes nearly the whole disk that the check tool
-allows (README), and triples would add about as much again.
+The model is an n-gram model (trigrams unless asked otherwise) with Dirichlet smoothing, order by order:
+p(w | h) = (c(h w) + mu p(w | h')) / (c(h) + mu), h being the words before w and h' the same without the first;
+p(w) = (c + 1) / (N + V + 1).  Its automaton has a state for each known history of fewer words than the order and a root.
+A state has an arc for each known n-gram that continues it, weighted with the smoothed log probability, and one failure
+arc to the history without its first word, weighted with log10(mu / (c(h) + mu)); at the root every word has an arc.  An
+arc leads to the longest known history that ends with its word.  A text is one left-to-right traversal that carries its state:
+a token takes the state's arc, or follows failure arcs until a state has one.  All texts of a block go side by side, a
+token of each at a time; long texts are cut into pieces, and as a state is at most order - 1 words, a piece that first reads
+the order - 1 tokens before it from the root begins in the very state that the piece before ends in.
 
 The model grows with the corpus, so it is never in one place.  Texts are dealt into blocks of about `block_bytes`;
 a block sends the hashes of its distinct n-grams with its own counts, by ranges of the hash, and gets back the corpus
-counts of those that are known elsewhere too.  So each block builds just the part of the automaton that its texts
-walk through.  Counts cover all training rows of the corpus.  Words are told apart by 64 bits of hash, pairs by as many
-as gram_bits says.
+counts of those that are known elsewhere too, by their places in what it sent.  So each block builds just the part of the
+automaton that its texts walk through.  Counts cover all training rows of the corpus.  Words are told apart by 64 bits of
+hash, longer n-grams by as many as gram_bits says.
 
 Edge cases: null and empty texts are one end token.  A row without an id is a training row.  Repeated rows count
 each time.  Without training rows N and V are 0 and each token has probability 1 (1 / (0 + 0 + 1)).  An empty table gives an
@@ -22,7 +23,7 @@ empty result.  Only the id and the text are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,9 @@ from .common import BLANK, LOWER, binary, chunks, mix, small_batches, stage, wor
 END = np.uint64(0x5BD1E9955BD1E995)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
-
 MOST_PARTITIONS = 100_000
+#: Tokens of a text that one walk reads; the rest of a longer text is read beside them.
+PIECE = 256
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -56,14 +58,14 @@ def grams(column: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
         hashes, first, _, _ = word_hashes(data, offsets, LOWER, BLANK)
         tokens.append(np.insert(hashes, first[1:], END))
         sizes.append(np.diff(first) + 1)
-    words = np.concatenate(tokens)
+    words = np.maximum(np.concatenate(tokens), np.uint64(1))
     ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
     out, now = [words], words
     place = np.arange(len(words)) - np.repeat(ends[:-1], np.diff(ends))
     for n in range(2, order + 1):
         before = np.concatenate([np.zeros(n - 1, np.uint64), words[: len(words) - n + 1]])[: len(words)]
         before[place == n - 2] = END
-        now = mix(now * _STEP + before + np.uint64(n))
+        now = np.maximum(mix(now * _STEP + before + np.uint64(n)), np.uint64(1))
         now[place < n - 2] = 0
         out.append(now)
     return out, ends
@@ -89,21 +91,28 @@ def _wide(raw: bytes) -> np.ndarray:
 
 
 def _packed(sorted_hashes: np.ndarray) -> bytes:
-    """Sorted hashes as their differences, in the least bytes that hold them all."""
+    """Sorted hashes as their differences, in the least bytes that hold them all; all last bytes, then all before them, and so on."""
     step = np.diff(sorted_hashes, prepend=np.uint64(0))
     width = max(1, (int(step[1:].max(initial=0)).bit_length() + 7) // 8)
     head = sorted_hashes[:1].tobytes() + bytes([width])
-    return head + step.view(np.uint8).reshape(-1, 8)[1:, :width].tobytes()
+    return head + step.view(np.uint8).reshape(-1, 8)[1:, :width].T.tobytes()
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
     width, body = raw[8], np.frombuffer(raw, np.uint8, offset=9)
     step = np.zeros((1 + len(body) // width, 8), np.uint8)
     step[0] = np.frombuffer(raw, np.uint8, count=8)
-    step[1:, :width] = body.reshape(-1, width)
+    step[1:, :width] = body.reshape(width, -1).T
     return np.cumsum(step.view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _edges(names: np.ndarray, ranges: int, bits: int) -> np.ndarray:
+    """Where each range of hashes begins among sorted names, and the end of the last."""
+    shift = np.uint64(bits - ranges.bit_length() + 1)
+    inner = np.searchsorted(names, np.arange(1, ranges, dtype=np.uint64) << shift) if ranges > 1 else np.zeros(0, np.int64)
+    return np.concatenate([[0], inner, [len(names)]])
+
+
 def _cut(hashes: np.ndarray, n: int, bits: int) -> np.ndarray:
     return hashes >> np.uint64(64 - bits) if n > 1 else hashes
 
@@ -124,30 +133,94 @@ def _asked(column: pa.Array, training: np.ndarray, order: int, bits: int) -> Ite
 
 
 class Automaton:
-    """The part of the backoff automaton that one block's texts walk through: histories of one word, arcs of two.
+    """The part of the backoff automaton that one block's texts walk through.
 
-    counts: of the distinct words and pairs, in the corpus's training rows; left, right: the words of each pair.
+    found: at each token the number of the n-gram of each order that ends there (-1: none); counts: of those n-grams in the
+    corpus's training rows; ends: each text's first token (one longer).  States are numbered: the root, words, pairs and so on.
     """
 
-    def __init__(self, total: int, distinct: int, mu: float, counts: list[np.ndarray], left: np.ndarray, right: np.ndarray):
-        self.word = np.log10(counts[0] + 1) - np.log10(total + distinct + 1)
-        history = counts[0][left]
-        self.fail = np.log10(mu / (counts[0] + mu))
-        arc = np.log10((counts[1] + mu * 10 ** self.word[right]) / (history + mu))
-        self.arc = np.where(counts[1] > 0, arc, np.nan)
-
-    def walk(self, words: np.ndarray, pairs: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log10 probabilities of the tokens by the model and by words alone, all texts side by side.
-
-        The state before a token is the word before it; without an arc it fails to the root, where every word has one.
-        """
-        alone, arc = self.word[words], self.arc[pairs]
-        return np.where(np.isnan(arc), self.fail[states] + alone, arc), alone
-
-
-def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = 64.0, block_bytes: int = 8 << 20, range_items: int = 2_000_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of df; bigrams over words."""
-    order = 2
+    def __init__(self, total: int, distinct: int, mu: Sequence[float], counts: list[np.ndarray], found: list[np.ndarray], ends: np.ndarray):
+        self.order, self.counts, self.words = len(counts), counts, len(counts[0])
+        weights = [np.log10(counts[0] + 1) - np.log10(total + distinct + 1)]
+        #: number of the first state with a history of 0, 1, .. words; the last one is no state's
+        self.base = np.concatenate([[0], 1 + np.cumsum([0, *(len(c) for c in counts[:-1])])])
+        fail, fail_to, self.keys, self.arcs = [np.zeros(1)], [np.zeros(1, np.int64)], [], []
+        last = found[0][ends[1:] - 1]  # the start is the END of the text before it
+        for n in range(2, self.order + 1):
+            there = np.flatnonzero(found[n - 1] >= 0)
+            grams_, before = found[n - 1][there], np.concatenate([[-1], found[n - 2][:-1]])
+            if n == 2:
+                before[ends[:-1]] = last
+            history, shorter, word = (np.zeros(len(counts[n - 1]), np.int64) for _ in range(3))
+            history[grams_], shorter[grams_], word[grams_] = before[there], found[n - 2][there], found[0][there]
+            own, m = counts[n - 2], mu[n - 2]
+            weights.append(np.log10((counts[n - 1] + m * 10 ** weights[-1][shorter]) / (own[history] + m)))
+            fail.append(np.log10(m / (own + m)))
+            # the history of n - 1 words without its first: a pair's second word, and so on
+            fail_to.append(np.zeros(len(own), np.int64) if n == 2 else self.base[n - 2] + ends_with)
+            known = np.flatnonzero(counts[n - 1] > 0)
+            keys = history[known] * self.words + word[known]
+            by = np.argsort(keys)
+            self.keys.append(keys[by])
+            self.arcs.append(known[by])
+            ends_with = shorter
+        self.weights, self.longest = weights, ends_with
+        self.fail, self.fail_to = np.concatenate(fail), np.concatenate(fail_to)
+        self.start = self.base[1] + int(last[0]) if len(last) and counts[0][last[0]] > 0 else 0
+
+    def step(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after one token each, and the log10 probabilities of these tokens."""
+        states, score, after = states.copy(), np.zeros(len(words)), np.zeros(len(words), np.int64)
+        for n in range(self.order, 1, -1):
+            keys, arcs = self.keys[n - 2], self.arcs[n - 2]
+            here = np.flatnonzero(states >= self.base[n - 1])
+            wanted = (states[here] - self.base[n - 1]) * self.words + words[here]
+            at = np.searchsorted(keys, wanted)
+            taken = np.zeros(len(here), bool)
+            if len(keys):
+                at = np.minimum(at, len(keys) - 1)
+                taken = keys[at] == wanted
+            go, arc = here[taken], arcs[at[taken]]
+            score[go] += self.weights[n - 1][arc]
+            after[go] = self.base[n] + arc if n < self.order else self.base[n - 1] + self.longest[arc]
+            states[go] = -1
+            stay = here[~taken]
+            score[stay] += self.fail[states[stay]]
+            states[stay] = self.fail_to[states[stay]]
+        rest = np.flatnonzero(states == 0)
+        score[rest] += self.weights[0][words[rest]]
+        after[rest] = np.where(self.counts[0][words[rest]] > 0, self.base[1] + words[rest], 0)
+        return after, score
+
+    def walk(self, words: np.ndarray, ends: np.ndarray, piece: int = PIECE) -> np.ndarray:
+        """Log10 probability of each token: one traversal of each text from its start, all texts side by side."""
+        out, lead = np.zeros(len(words)), self.order - 1
+        many = -(-np.diff(ends) // piece)
+        text = np.repeat(np.arange(len(many)), many)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+        own = ends[text] + nth * piece
+        first = np.maximum(own - lead, ends[text])
+        stop = np.minimum(own + piece, ends[text + 1])
+        by = np.argsort(first - stop, kind="stable")
+        own, first, size = own[by], first[by], (stop - first)[by]
+        states = np.where(first == ends[text[by]], self.start, 0)
+        for k in range(int(size.max(initial=0))):
+            active = int(np.searchsorted(-size, -k))
+            at = first[:active] + k
+            states, score = self.step(states[:active], words[at])
+            mine = at >= own[:active]
+            out[at[mine]] = score[mine]
+        return out
+
+
+def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: Sequence[float] = (64.0, 16.0), block_bytes: int = 8 << 20, range_items: int = 2_000_000) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of df.
+
+    mu: weight of the shorter history for pairs, triples and so on; their number sets the order, two or more.
+    """
+    order = len(mu) + 1
+    if order < 2:
+        raise ValueError("mu needs a weight for pairs at least")
     small_batches(df)
     narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
@@ -173,9 +246,7 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: fl
         def rows(block: int, held: list, texts: list) -> Iterator[pa.RecordBatch]:
             column, training = pa.concat_arrays(texts), ~np.concatenate(held)
             for n, names, counts in _asked(column, training, order, bits):
-                shift = np.uint64((bits if n > 1 else 64) - ranges.bit_length() + 1)
-                cut = np.searchsorted(names, np.arange(1, ranges, dtype=np.uint64) << shift) if ranges > 1 else np.zeros(0, np.int64)
-                cut = np.concatenate([[0], cut, [len(names)]])
+                cut = _edges(names, ranges, bits if n > 1 else 64)
                 out = [(k, _packed(names[x:y]), _narrow(counts[x:y])) for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in out], pa.int64()), pa.array([block] * len(out), pa.int64()), pa.array([n] * len(out), pa.int32()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())],
@@ -199,8 +270,9 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: fl
     asked = path_df.mapInArrow(ask, "range long, block long, n int, names binary, counts binary")
 
     def answer(table: pa.Table) -> pa.Table:
-        """Corpus counts of one range of hashes, for each block where they differ from its own."""
-        out = {"block": [], "n": [], "names": [], "counts": [], "total": [], "distinct": []}
+        """For each block which of the n-grams that it sent in one range have other counts in the corpus, and these."""
+        at = table["range"][0].as_py()
+        out = {"block": [], "n": [], "range": [], "other": [], "counts": [], "total": [], "distinct": []}
         for n in range(1, order + 1):
             part = table.filter(pa.compute.equal(table["n"], n))
             if not part.num_rows:
@@ -225,18 +297,18 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: fl
                 total = sums[np.searchsorted(every, name)]
                 new = total != mine
                 if new.any():
-                    out["block"].append(block), out["n"].append(n), out["names"].append(_packed(name[new])), out["counts"].append(_narrow(total[new]))
+                    out["block"].append(block), out["n"].append(n), out["range"].append(at), out["other"].append(np.packbits(new).tobytes()), out["counts"].append(_narrow(total[new]))
                     out["total"].append(0), out["distinct"].append(0)
             if n == 1:
-                out["block"].append(-1), out["n"].append(0), out["names"].append(b""), out["counts"].append(b"")
+                out["block"].append(-1), out["n"].append(0), out["range"].append(at), out["other"].append(b""), out["counts"].append(b"")
                 out["total"].append(int(sums.sum())), out["distinct"].append(int((sums > 0).sum()))
-        kinds = {"block": pa.int64(), "n": pa.int32(), "names": pa.binary(), "counts": pa.binary(), "total": pa.int64(), "distinct": pa.int64()}
+        kinds = {"block": pa.int64(), "n": pa.int32(), "range": pa.int64(), "other": pa.binary(), "counts": pa.binary(), "total": pa.int64(), "distinct": pa.int64()}
         return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
     # partitions follow the numbers of ranges and blocks, twice as many, so that few meet in one
     parts = lambda n: max(1, min(2 * n, MOST_PARTITIONS))
     asked = asked.repartition(parts(ranges), "range")
-    answers = stage(asked.groupBy("range").applyInArrow(answer, "block long, n int, names binary, counts binary, total long, distinct long"), "answers")
+    answers = stage(asked.groupBy("range").applyInArrow(answer, "block long, n int, range long, other binary, counts binary, total long, distinct long"), "answers", compression="zstd")
     model = answers.filter("block < 0").agg(F.sum("total"), F.sum("distinct")).first()
     total, distinct = model[0] or 0, model[1] or 0
 
@@ -247,20 +319,21 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: fl
         learn = ~np.repeat(held, np.diff(ends))
         counts, places = [], []
         for n, hashes in enumerate(found, 1):
-            names, place = np.unique(_cut(hashes, n, bits), return_inverse=True)
-            own = np.bincount(place[learn], minlength=len(names)).astype(np.int64)
+            there = hashes != 0
+            names, inverse = np.unique(_cut(hashes[there], n, bits), return_inverse=True)
+            place = np.full(len(hashes), -1)
+            place[there] = inverse
+            own = np.bincount(place[there & learn], minlength=len(names)).astype(np.int64)
+            edges = _edges(names, ranges, bits if n > 1 else 64)
             part = known.filter(pa.compute.equal(known["n"], n))
-            for name, count in zip(part["names"], part["counts"], strict=True):
-                own[np.searchsorted(names, _unpacked(name.as_py()))] = _wide(count.as_py())
+            for at, other, count in zip(part["range"].to_pylist(), part["other"], part["counts"], strict=True):
+                other = np.unpackbits(np.frombuffer(other.as_py(), np.uint8), count=edges[at + 1] - edges[at])
+                own[edges[at] + np.flatnonzero(other)] = _wide(count.as_py())
             counts.append(own)
             places.append(place)
-        words, pairs = places
-        states = np.concatenate([words[:1], words[:-1]])
-        states[ends[:-1]] = words[ends[1:] - 1]  # the start is the END of the text before it
-        left, right = np.zeros(len(counts[1]), np.int64), np.zeros(len(counts[1]), np.int64)
-        left[pairs], right[pairs] = states, words
-        smooth, alone = Automaton(total, distinct, mu, counts, left, right).walk(words, pairs, states)
-        counts = [counts[0][words]]
+        automaton = Automaton(total, distinct, mu, counts, places, ends)
+        smooth, alone = automaton.walk(places[0], ends), automaton.weights[0][places[0]]
+        counts = [counts[0][places[0]]]
         both = [np.add.reduceat(x, ends[:-1]) for x in (alone, smooth)]
         return pa.table(
             {
@@ -277,7 +350,7 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: fl
     def walk_some(key: tuple, texts: pa.Table, known: pa.Table) -> pa.Table:
         return walk(key, texts, known) if texts.num_rows else OUT.empty_table()
 
-    given = answers.filter("block >= 0").select("block", "n", "names", "counts")
+    given = answers.filter("block >= 0").select("block", "n", "range", "other", "counts")
     texts, known_ = (d.repartition(parts(blocks_there), "block") for d in (path_df, given))
     return texts.groupBy("block").cogroup(known_.groupBy("block")).applyInArrow(walk_some, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

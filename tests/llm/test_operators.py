@@ -7,7 +7,9 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -344,38 +346,67 @@ def test_exact_dedup(spark, small):
     assert exact_dedup.annotate(frame(spark, [])).count() == 0 and exact_dedup.unique(frame(spark, [])).count() == 0
 
 
-def brute_scores(rows, mu=64.0):
-    split = lambda t: [w for w in re.split(rb"[\x20\x09-\x0D]+", t.encode().lower()) if w] + [None]
+def brute_scores(rows, mu):
+    """Each token's probability by recursion over its whole history, no automaton."""
+    split = lambda t: [None, *(w for w in re.split(rb"[\x20\x09-\x0D]+", t.encode().lower()) if w), None]
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    one, two = Counter(), Counter()
+    seen = Counter()
     for i, t in rows:
         if not out(i):
             w = split(t)
-            one.update(w)
-            two.update(zip([None, *w[:-1]], w, strict=True))
-    n, v = sum(one.values()), len(one)
+            for k in range(1, len(w)):
+                seen.update(tuple(w[k - n : k + 1]) for n in range(min(k, len(mu)) + 1))
+    n, v = sum(c for g, c in seen.items() if len(g) == 1), sum(len(g) == 1 for g in seen)
+
+    def p(gram):
+        if len(gram) == 1:
+            return (seen[gram] + 1) / (n + v + 1)
+        m = mu[len(gram) - 2]
+        return (seen[gram] + m * p(gram[1:])) / (seen[gram[:-1]] + m)
+
     result = []
     for i, t in rows:
         w = split(t)
-        base = full = 0.0
-        for a, b in zip([None, *w[:-1]], w, strict=True):
-            p = (one[b] + 1) / (n + v + 1)
-            base += math.log10(p)
-            full += math.log10((two[a, b] + mu * p) / (one[a] + mu))
-        result.append((str(i), out(i), len(w), sum(one[x] > 0 for x in w), n, base, full))
+        base = sum(math.log10(p((x,))) for x in w[1:])
+        full = sum(math.log10(p(tuple(w[max(0, k - len(mu)) : k + 1]))) for k in range(1, len(w)))
+        result.append((str(i), out(i), len(w) - 1, sum(seen[x,] > 0 for x in w[1:]), n, base, full))
     return sorted(result, key=lambda r: r[:6])
 
 
-@pytest.mark.parametrize("options", [{}, {"block_bytes": 3000, "range_items": 500}])
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 3000, "range_items": 500}, {"mu": (64.0,)}, {"mu": (8.0, 4.0, 2.0), "block_bytes": 9000}])
 def test_language_model(spark, small, options):
     for df, rows in both(spark, small):
         got = sorted((tuple([str(r["doc_id"]), *r[1:]]) for r in language_model.scored(df, **options).collect()), key=lambda r: r[:6])
-        want = brute_scores(rows)
+        want = brute_scores(rows, options.get("mu", (64.0, 16.0)))
         assert [r[:5] for r in got] == [r[:5] for r in want]
         assert all(x[5] == pytest.approx(y[5], abs=1e-6) and x[6] == pytest.approx(y[6], abs=1e-6) for x, y in zip(got, want, strict=True))
     assert language_model.scored(frame(spark, []), **options).count() == 0
 
 
+def test_language_model_pieces():
+    """A text read in pieces has the scores of one read from end to end; states are the longest known histories."""
+    rng = random.Random(7)
+    texts = [b" ".join(rng.choice([b"a", b"b", b"c", b"d%d" % k]) for _ in range(n)) for k, n in enumerate((0, 1, 2, 5, 700, 40))]
+    found, ends = language_model.grams(pa.array(texts), 3)
+    counts, places = [], []
+    for hashes in found:
+        there = hashes != 0
+        names, inverse = np.unique(hashes[there], return_inverse=True)
+        place = np.full(len(hashes), -1)
+        place[there] = inverse
+        counts.append(np.bincount(inverse[np.arange(len(inverse)) % 3 > 0], minlength=len(names)))
+        places.append(place)
+    # n-grams unseen in training have longer ones unseen, too
+    for n in (1, 2):
+        for i in np.flatnonzero(places[n] >= 0):
+            before = places[n - 1][i - 1] if i not in ends[:-1] else places[0][-1]
+            counts[n][places[n][i]] = min(counts[n][places[n][i]], counts[n - 1][places[n - 1][i]], counts[n - 1][before])
+    automaton = language_model.Automaton(900, 12, (3.0, 2.0), counts, places, ends)
+    whole = automaton.walk(places[0], ends, piece=10_000)
+    for piece in (2, 3, 64):
+        assert np.allclose(automaton.walk(places[0], ends, piece=piece), whole, rtol=0, atol=1e-12)
+
+
 def brute_phrases(text):
     w = [x for x in re.split(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode())) if x]
     found = []
