@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, LOWER, binary, chunks, mix, small_batches, stage, word_hashes
+from .common import BLANK, LOWER, binary, chunks, distinct, mix, small_batches, stage, word_hashes
 
 #: Hash of the token that ends each text; as a history it stands for the text's start.
 END = np.uint64(0x5BD1E9955BD1E995)
@@ -125,7 +125,7 @@ def _asked(column: pa.Array, training: np.ndarray, order: int, bits: int) -> Ite
         there = hashes != 0
         hashes = _cut(hashes, n, bits)
         # a pair of sorts is cheaper than unique with an inverse
-        names = np.unique(hashes[there])
+        names = distinct(hashes[there])
         known, times = np.unique(hashes[there & learn], return_counts=True)
         counts = np.zeros(len(names), np.int64)
         counts[np.searchsorted(names, known)] = times
@@ -290,7 +290,7 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: Se
                 merged.setdefault(block, []).append(i)
             for block, parts in merged.items():
                 if len(parts) > 1:  # a block that two tasks have read
-                    name = np.unique(np.concatenate([names[i] for i in parts]))
+                    name = distinct(np.concatenate([names[i] for i in parts]))
                     mine = np.full(len(name), -1)  # each knows its share only: answer all
                 else:
                     name, mine = names[parts[0]], own[parts[0]]
