@@ -548,12 +548,12 @@ def t03_unseen(t):
 
 @query
 def a02_readings(t):
-    return P.readings(C.ocr_words(t)).select("doc_id", "rotation", F.sha2("text", 256).alias("text_sha256"), F.round("confidence", 4).alias("confidence"))
+    return P.readings(C.ocr_pages(t)).select("doc_id", "rotation", F.sha2("text", 256).alias("text_sha256"), F.round("confidence", 4).alias("confidence"))
 
 
 @query
 def a03_best(t):
-    read = P.readings(C.ocr_words(t))
+    read = P.readings(C.ocr_pages(t))
     turn = F.element_at(F.array(*map(F.lit, (0, 90, 180, 270))), (F.col("doc_id") % 4 + 1).cast("int"))
     return P.best_readings(read, t("documents").select("doc_id", F.lit(1).alias("page_number"), turn.alias("detected"))).select("doc_id", "rotation", F.round("confidence", 4).alias("confidence"))
 
