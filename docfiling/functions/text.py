@@ -72,7 +72,8 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def ascii_lower(c: Column) -> Column:
-    return F.translate(c, _UPPER, _UPPER.lower())
+    # translate makes a string of each character: only for texts that need it
+    return F.when(is_ascii(c), F.lower(c)).otherwise(F.translate(c, _UPPER, _UPPER.lower()))
 
 
 # X02

@@ -128,8 +128,8 @@ def p05_headings(t):
 @query
 def x04_cue_histogram(t):
     """Documents by cue, over all documents."""
-    low = T.ascii_lower(F.col("text"))
-    hits = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(cue)), F.concat_ws(":", F.lit(kind), F.lit(cue))) for kind, cues in T.CUES.items() for cue in cues)))
+    known = F.array(*(F.struct(F.lit(f"{kind}:{cue}").alias("name"), F.lit(cue).alias("cue")) for kind, cues in T.CUES.items() for cue in cues))
+    hits = T.bound(T.ascii_lower(F.col("text")), lambda low: F.transform(F.filter(known, lambda x: F.contains(low, x["cue"])), lambda x: x["name"]))
     return t("documents").select(F.explode(hits).alias("cue")).groupBy("cue").agg(F.count("*").alias("documents"))
 
 

@@ -22,3 +22,8 @@ def test_a_later_turn_has_to_be_better_by_a_millionth(spark):
     read = spark.createDataFrame([(1, 1, 0, "a", 50.0), (1, 1, 270, "b", 50.0000005), (2, 1, 0, "a", 50.0), (2, 1, 90, "b", 50.0000019), (3, 1, 0, "a", 50.0), (3, 1, 90, "b", 50.0000031)], READ)
     found = P.best_readings(read, spark.createDataFrame([(k, 1, 0) for k in (1, 2, 3)], "doc_id long, page_number int, detected int"))
     assert sorted((r["doc_id"], r["rotation"], r["confidence"]) for r in found.collect()) == [(1, 0, 50.0000005), (2, 0, 50.0000019), (3, 90, 50.0000031)]
+
+
+def test_cues_are_looked_up_in_one_lower_cased_text(spark, sf_dir):
+    plan = queries.queries()["x04_cue_histogram"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1
