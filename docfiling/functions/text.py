@@ -153,16 +153,24 @@ def split_sentences(c: Column, most: int) -> Column:
 # P05
 def is_heading(c: Column) -> Column:
     """A short line that starts with # or is nearly all capitals and no long sentence."""
-    t = trim(c)
-    letters = F.regexp_count(t, F.lit(r"\p{IsAlphabetic}"))
-    capitals = F.regexp_count(t, F.lit(r"(?=\p{IsAlphabetic})\p{IsUppercase}"))
-    size = F.char_length(t)
-    return size.between(1, 90) & (t.startswith("#") | (~(t.endswith(".") & (n_tokens(t) > 6)) & (letters >= 3) & (capitals * 10 >= letters * 8)))
+    return bound(trim(c), is_trimmed_heading)
+
+
+def is_trimmed_heading(t: Column) -> Column:
+    """is_heading of a line without blanks at its ends."""
+    # what isn't counted is taken out by runs; all upper-case characters are alphabetic
+    letters = F.char_length(F.regexp_replace(t, r"\P{IsAlphabetic}+", ""))
+    capitals = F.char_length(F.regexp_replace(t, r"\P{IsUppercase}+", ""))
+    loud = bound(letters, lambda n: (n >= 3) & (capitals * 10 >= n * 8))
+    # where four of five letters are capitals, two of them follow each other: most lines need no counting
+    two = t.rlike(r"\p{IsUppercase}\P{IsAlphabetic}*+\p{IsUppercase}")
+    return F.char_length(t).between(1, 90) & (t.startswith("#") | (two & loud & ~(t.endswith(".") & (n_tokens(t) > 6))))
 
 
 # D01
-_YEAR = r"(?<![0-9])(?:19|20|21)[0-9]{2}(?![0-9])"
-_SHORT = r"(?<![0-9])[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2}(?![0-9])"
+# each looks back when it has met a digit, not at each character
+_YEAR = r"(?:19|20|21)(?<![0-9]..)[0-9]{2}(?![0-9])"
+_SHORT = r"[0-9](?<![0-9].)[0-9]?[/-][0-9]{1,2}[/-][0-9]{2}(?![0-9])"
 
 
 def date_signals(c: Column) -> Column:

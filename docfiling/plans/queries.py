@@ -88,10 +88,9 @@ def w01_runs_statements(t):
 @query
 def a01_running_lines(t):
     """Blocks of statements before and after running lines go."""
-    s = C.statements(t)
-    b = D.blocks(s)
-    left = D.without_running_lines(b, s).groupBy("doc_id").agg(F.count("*").alias("left"))
-    return b.groupBy("doc_id").agg(F.count("*").alias("blocks")).join(left, "doc_id")
+    docs = D.documents(C.statements(t)).filter(F.size("found") > 0)
+    left = D.without_running_lines(F.col("found"), F.col("n_pages"))
+    return docs.select("doc_id", F.size("found").cast("long").alias("blocks"), F.size(left).cast("long").alias("left"))
 
 
 @query
