@@ -65,10 +65,13 @@ def validate(proposals: DataFrame, digests: DataFrame, warnings: DataFrame | Non
     """
     n = T.evidence_text
     texts = proposals.withColumn("parties", F.coalesce("parties", F.array().cast("array<string>")))
-    sentence, over = T.capped_sentence(T.first_sentence(F.coalesce("description", F.lit(""))))
-    texts = texts.withColumns({"d0": T.first_sentence(F.coalesce("description", F.lit(""))), "too_long": over, "said": sentence})
+    # what is used several times is a column of its own
+    texts = texts.withColumn("first", T.first_sentence(F.coalesce("description", F.lit(""))))
+    sentence, over = T.capped_sentence(F.col("first"))
+    texts = texts.withColumns({"too_long": over, "said": sentence})
+    texts = texts.withColumn("claimed", F.transform(claims(F.col("said")), lambda x: x["token"]))
     # the words to be looked for, and their evidence forms
-    texts = texts.withColumn("asked", distinct_union(F.transform(claims(F.col("said")), lambda x: x["token"]), F.transform("parties", T.trim)))
+    texts = texts.withColumn("asked", distinct_union(F.col("claimed"), F.transform("parties", T.trim)))
     texts = texts.withColumn("normals", F.map_from_arrays("asked", T.evidence_texts(F.col("asked"))))
     df = texts.join(normal_segments(digests), "doc_id", "left")
     segs = F.coalesce("segs", F.array().cast("array<string>"))
@@ -82,7 +85,7 @@ def validate(proposals: DataFrame, digests: DataFrame, warnings: DataFrame | Non
     supported = lambda p: contained(F.col("segs"), F.element_at("normals", T.trim(p)))
     df = df.withColumn("good", F.filter("parties", lambda p: (T.trim(p) != "") & supported(p)))
     df = df.withColumn("kept", F.slice(F.array_distinct(F.transform("good", T.trim)), 1, MOST_PARTIES))
-    unsupported = F.exists(claims(F.col("said")), lambda x: ~contained(F.col("segs"), F.element_at("normals", x["token"])))
+    unsupported = F.exists("claimed", lambda token: ~contained(F.col("segs"), F.element_at("normals", token)))
     relation = F.when(F.size("kept") == 0, "none").when((F.col("party_relation") == "between") & (F.size("kept") < 2), "with").otherwise(F.col("party_relation"))
     warned = F.lit(False)
     if warnings is not None:
