@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, trim
+from .text import SPACE, bound, trim
 
 MOST_CHARACTERS, LEAST_STEM = 120, 4
 _BIDI = "؜‎‏‪-‮⁦-⁩"
@@ -16,11 +16,14 @@ _HOSTILE = '<>:"/\\\\|?*'
 def segment(c: Column) -> Column:
     """Text that may stand in a file name: single blanks, no hostile characters, no reserved name; null if nothing is left."""
     # white space counts even where control characters stand beside it, so it is folded after they have gone
-    bare = F.regexp_replace(c, f"(?![{SPACE}])[\\p{{Cc}}{_BIDI}{_HOSTILE}]", "")
-    t = F.regexp_replace(trim(F.regexp_replace(bare, f"{SPACE}+", " ")), "(?<![ .])[ .]+$", "")
-    t = F.nullif(F.when(t.rlike(r"\A[ .]+\z"), "").otherwise(t), F.lit(""))
-    reserved = F.upper(F.trim(F.substring_index(t, ".", 1))).rlike(r"\A(?:CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])\z")
-    return F.when(reserved, F.concat(F.lit("_"), t)).otherwise(t)
+    bare = F.regexp_replace(c, f"[\\p{{Cc}}{_BIDI}{_HOSTILE}](?<![{SPACE}])", "")
+    cut = F.regexp_replace(trim(F.regexp_replace(bare, f"{SPACE}+", " ")), "(?<![ .])[ .]+$", "")
+
+    def named(t: Column) -> Column:
+        reserved = F.upper(F.trim(F.substring_index(t, ".", 1))).rlike(r"\A(?:CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])\z")
+        return F.when(t.rlike(r"\A[ .]*\z"), F.lit(None)).when(reserved, F.concat(F.lit("_"), t)).otherwise(t)
+
+    return bound(cut, named)  # each step once, however often the next uses it
 
 
 # X09

@@ -165,7 +165,7 @@ def x15_first_sentences(t):
 def x08_segments(t):
     """File-name parts and keys from customers and parts."""
     raw = F.concat(F.lit(" "), F.col("p_type"), F.lit(": "), F.col("p_name"), F.lit(" / "), F.col("p_brand"), F.lit(" .. "))
-    return t("part").select("p_partkey", N.segment(raw).alias("segment"), N.name_key(raw).alias("name_key"), N.extension(F.concat(F.lit("."), F.col("p_brand"))).alias("extension"))
+    return t("part").repartition("p_partkey").select("p_partkey", N.segment(raw).alias("segment"), N.name_key(raw).alias("name_key"), N.extension(F.concat(F.lit("."), F.col("p_brand"))).alias("extension"))
 
 
 @query

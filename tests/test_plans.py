@@ -48,3 +48,11 @@ def test_upper_case_is_alphabetic(spark):
 def test_statement_pages_are_numbered_without_their_text(spark, sf_dir):
     found = plan(queries.queries()["w01_runs_statements"](spark, sf_dir))
     assert "CONFIDENTIAL" in found and "CONFIDENTIAL" not in found[found.index("Window") :]
+
+
+def test_a_segment_makes_each_step_once(spark):
+    from docfiling.functions import names as N
+
+    found = spark.createDataFrame([(" a<b>:\tc .. ",), ("con",), ("...",), ("x\x85y",), ("aux.b. ",), (None,)], "t string").select("t", N.segment(F.col("t")).alias("s"))
+    assert [r["s"] for r in found.collect()] == ["ab c", "_con", None, "x y", "_aux.b", None]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 4
