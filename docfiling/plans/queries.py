@@ -111,11 +111,12 @@ def _lines(pages: DataFrame) -> DataFrame:
 @query
 def x_signals(t):
     """Date signals, cues, identifiers, money and headings by line of the contracts."""
-    line = F.col("line")
-    total = lambda c: F.sum(c.cast("long"))
-    return _lines(C.contracts(t)).groupBy("doc_id").agg(
-        total(T.date_signals(line)).alias("dates"), *(total(v).alias(f"{k}_cues") for k, v in T.cue_counts(line).items()), total(T.has_identifier(line)).alias("identifiers"),
-        total(T.has_money(line)).alias("money"), total(T.is_heading(line)).alias("headings"), F.count_distinct(T.digit_mask(line)).alias("shapes"),
+    # a document's lines stay in its row: as rows, each with its shape would be a group
+    total = lambda f: F.aggregate("lines", F.lit(0).cast("long"), lambda s, line: s + f(line).cast("long"))
+    docs = C.contracts(t).groupBy("doc_id").agg(F.flatten(F.collect_list(F.split("text", "\n"))).alias("lines"))
+    return docs.select(
+        "doc_id", total(T.date_signals).alias("dates"), *(total(lambda line, cues=cues: T.cue_count(line, cues)).alias(f"{k}_cues") for k, cues in T.CUES.items()), total(T.has_identifier).alias("identifiers"),
+        total(T.has_money).alias("money"), total(T.is_heading).alias("headings"), F.size(F.array_distinct(F.transform("lines", T.digit_mask))).cast("long").alias("shapes"),
     )
 
 

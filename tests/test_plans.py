@@ -56,3 +56,8 @@ def test_a_segment_makes_each_step_once(spark):
     found = spark.createDataFrame([(" a<b>:\tc .. ",), ("con",), ("...",), ("x\x85y",), ("aux.b. ",), (None,)], "t string").select("t", N.segment(F.col("t")).alias("s"))
     assert [r["s"] for r in found.collect()] == ["ab c", "_con", None, "x y", "_aux.b", None]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 4
+
+
+def test_shapes_of_lines_are_no_groups(spark, sf_dir):
+    found = plan(queries.queries()["x_signals"](spark, sf_dir))
+    assert "Expand" not in found and "Generate" not in found
