@@ -208,18 +208,18 @@ def legacy_validate(proposals: DataFrame, digests: DataFrame) -> DataFrame:
 
 
 # X20
-def legacy_filename(checked: DataFrame, ext: Column) -> DataFrame:
-    """doc_id, filename: date, type and subject joined by ' - ', cut to fit."""
+def legacy_filename(ext: Column) -> Column:
+    """The file name of a checked proposal: date, type and subject joined by ' - ', cut to fit."""
     clean = N.extension(ext)
     parts = F.array_compact(F.array(N.segment(F.col("document_date")), N.segment(F.col("document_type")), N.segment(F.col("subject"))))
     stem = F.coalesce(F.nullif(F.array_join(parts, " - "), F.lit("")), F.lit("Document"))
-    return checked.select("doc_id", F.concat(T.rtrim(F.left(stem, F.lit(LEGACY_STEM) - F.char_length(clean))), F.lit("."), clean).alias("filename"))
+    return F.concat(T.rtrim(F.left(stem, F.lit(LEGACY_STEM) - F.char_length(clean))), F.lit("."), clean)
 
 
 # C06
 def legacy(pages: DataFrame, proposals: DataFrame, ext: str = "pdf") -> DataFrame:
     checked = legacy_validate(proposals, legacy_digest(pages))
-    return checked.join(legacy_filename(checked, F.lit(ext)), "doc_id")
+    return checked.withColumn("filename", legacy_filename(F.lit(ext)))
 
 
 # C07

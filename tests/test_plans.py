@@ -61,3 +61,9 @@ def test_a_segment_makes_each_step_once(spark):
 def test_shapes_of_lines_are_no_groups(spark, sf_dir):
     found = plan(queries.queries()["x_signals"](spark, sf_dir))
     assert "Expand" not in found and "Generate" not in found
+
+
+def test_older_method_checks_once(spark, sf_dir):
+    """The names are made of the checked rows, not joined to them."""
+    found = queries.queries()["c06_legacy"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count("lineitem") <= 2 and found.count("Join ") <= 6
