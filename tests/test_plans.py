@@ -67,3 +67,11 @@ def test_older_method_checks_once(spark, sf_dir):
     """The names are made of the checked rows, not joined to them."""
     found = queries.queries()["c06_legacy"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert found.count("lineitem") <= 2 and found.count("Join ") <= 6
+
+
+def test_flags_are_counted_side_by_side(spark, sf_dir):
+    assert "Expand" not in plan(queries.queries()["e08_flags"](spark, sf_dir))
+
+
+def test_results_of_two_pipelines_read_their_proposals_once(spark, sf_dir):
+    assert "Union" not in plan(corpus.results(lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")))
