@@ -55,8 +55,8 @@ def with_reason(replies: DataFrame) -> DataFrame:
 
 
 # K02
-def decode(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(proposals, rejects) of replies (doc_id, reply), rejects with a reason.
+def decoded(replies: DataFrame) -> DataFrame:
+    """doc_id, reply, reason and the fields of a proposal for each of replies (doc_id, reply); where reason isn't null, the fields mean nothing.
 
     A reply is rejected that holds no JSON object (NO_JSON, BAD_JSON), an unknown code (UNKNOWN_CODE), or a confidence outside
     0..1 (BAD_CONFIDENCE).  Missing fields default; a date that isn't one goes with its role; of parties three stay.
@@ -66,13 +66,18 @@ def decode(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     sure = F.coalesce(p("confidence"), F.lit(0.0).cast("float"))
     dated = is_iso_date(p("document_date"))
     some = lambda k: F.slice(F.coalesce(p(k), F.array().cast("array<string>")), 1, MOST_PARTIES)
-    proposals = df.filter("reason is null").select(
-        "doc_id", p("document_type").alias("document_type"), F.when(dated, p("document_date")).alias("document_date"), F.when(dated, p("date_role")).alias("date_role"), some("parties").alias("parties"),
+    return df.select(
+        "doc_id", "reply", "reason", p("document_type").alias("document_type"), F.when(dated, p("document_date")).alias("document_date"), F.when(dated, p("date_role")).alias("date_role"), some("parties").alias("parties"),
         F.coalesce(p("party_relation"), F.lit("none")).alias("party_relation"), F.coalesce(p("description"), F.lit("")).alias("description"), sure.alias("confidence"),
         F.coalesce(p("needs_review"), F.lit(False)).alias("needs_review"),
         F.struct(p("date_evidence").alias("date"), p("type_evidence").alias("document_type"), some("party_evidence").alias("parties")).alias("evidence"),
     )
-    return proposals, df.filter("reason is not null").select("doc_id", "reply", "reason")
+
+
+def decode(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(proposals, rejects) of replies (doc_id, reply), rejects with a reason; who needs both at once has them in one pass from decoded."""
+    df = decoded(replies)
+    return df.filter("reason is null").drop("reply", "reason"), df.filter("reason is not null").select("doc_id", "reply", "reason")
 
 
 # K03

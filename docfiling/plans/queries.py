@@ -213,8 +213,10 @@ def x12_fitted(t):
 
 @query
 def k02_decode(t):
-    good, bad = R.decode(C.replies(t))
-    return good.select("doc_id", "document_type", "document_date", "party_relation", F.size("parties").cast("long").alias("n_parties"), F.lit(True).alias("good")).unionByName(bad.select("doc_id", F.lit(False).alias("good")), allowMissingColumns=True)
+    """Fields of good replies, and which are bad, in one pass."""
+    good = F.col("reason").isNull()
+    of = lambda c, name: F.when(good, c).alias(name)
+    return R.decoded(C.replies(t)).select("doc_id", *(of(F.col(c), c) for c in ("document_type", "document_date", "party_relation")), of(F.size("parties").cast("long"), "n_parties"), good.alias("good"))
 
 
 @query

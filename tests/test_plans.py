@@ -75,3 +75,29 @@ def test_flags_are_counted_side_by_side(spark, sf_dir):
 
 def test_results_of_two_pipelines_read_their_proposals_once(spark, sf_dir):
     assert "Union" not in plan(corpus.results(lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")))
+
+
+@pytest.mark.parametrize("broadcast,partitions", [("-1", "4"), ("10m", "4"), ("-1", "24")])
+@pytest.mark.parametrize("table", [corpus.proposals, corpus.contracts])
+def test_orders_are_dealt_into_parts_that_follow_their_number(spark, sf_dir, monkeypatch, table, broadcast, partitions):
+    """No task's share grows with the table, whatever the session's number of shuffle partitions."""
+    monkeypatch.setattr(corpus, "ORDERS_A_TASK", 100, raising=False)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = table(lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet"))
+        each = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("k")).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(each) > 1000 and max(each) < 250
+
+
+def test_replies_are_decoded_in_one_pass(spark, sf_dir):
+    assert plan(queries.queries()["k02_decode"](spark, sf_dir)).count("FileScan") == 3
+
+
+def test_a_table_without_orders_gives_no_proposals(spark, sf_dir):
+    df = corpus.proposals(lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet").filter(F.lit(n != "orders")))
+    assert df.count() == 0
