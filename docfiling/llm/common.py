@@ -18,14 +18,28 @@ SURROGATE = 1 << 62
 CHUNK_BYTES = 1 << 18
 
 
-def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+#: Spark's setting that a query's shuffle files go when it ends, not when the driver's JVM happens to collect its plan.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, name: str, compression: str = "snappy", drop_shuffles: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    The tables live beside the checkpoints and go with them, or by `release`.
+    The tables live beside the checkpoints and go with them, or by `release`.  drop_shuffles: nothing else is made of df, so its
+    shuffle files go as soon as it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    if drop_shuffles:
+        spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        if drop_shuffles and before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        elif drop_shuffles:
+            spark.conf.set(DROP_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

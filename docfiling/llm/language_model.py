@@ -10,8 +10,8 @@ a token takes the state's arc, or follows failure arcs until a state has one.  A
 token of each at a time; long texts are cut into pieces, and as a state is at most order - 1 words, a piece that first reads
 the order - 1 tokens before it from the root begins in the very state that the piece before ends in.
 
-The model grows with the corpus, so it is never in one place.  Texts are dealt into blocks of about `block_bytes`;
-a block sends the hashes of its distinct n-grams with its own counts, by ranges of the hash, and gets back the corpus
+The model grows with the corpus, so it is never in one place.  Texts are dealt into blocks of about `block_bytes`, packed
+in chunks, as they are both written and shuffled; a block sends the hashes of its distinct n-grams with its own counts, by ranges of the hash, and gets back the corpus
 counts of those that are known elsewhere too, by their places in what it sent.  So each block builds just the part of the
 automaton that its texts walk through.  Counts cover all training rows of the corpus.  Words are told apart by 64 bits of
 hash, longer n-grams by as many as gram_bits says.
@@ -41,6 +41,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 MOST_PARTITIONS = 100_000
 #: Tokens of a text that one walk reads; the rest of a longer text is read beside them.
 PIECE = 256
+#: Most ones that a number takes in Rice's code.
+FAR = np.uint64(31)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -79,31 +81,68 @@ def gram_bits(size: int) -> int:
     return min(64, max(48, (size // 6 + 1).bit_length() + 20))
 
 
-def _narrow(values: np.ndarray) -> bytes:
-    """Whole numbers in the least bytes (1, 2, 4, 8) that hold them all, after a byte that says how many."""
-    most = int(values.max(initial=0))
-    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+def _coded(values: np.ndarray) -> bytes:
+    """Whole numbers in Rice's code: low bits as they are, the rest in unary; what would take FAR ones or more follows in full.
 
-
-def _wide(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+    The gaps of sorted hashes come within a tenth of a bit of their entropy, whatever their number, unlike in whole bytes.
+    """
+    values, n = values.astype(np.uint64), len(values)
+    if not n:
+        return bytes(5)
+    middle = int(np.partition(values, n // 2)[n // 2]).bit_length()
+
+    def bits(k: int) -> int:
+        high = values >> np.uint64(k)
+        return n * k + int(np.minimum(high, FAR).sum()) + 64 * int((high >= FAR).sum())
+
+    k = min({max(0, middle - 1), min(middle, 63)}, key=bits)
+    high = np.minimum(values >> np.uint64(k), FAR)
+    whole, rest = divmod(k, 8)
+    low = values.view(np.uint8).reshape(-1, 8)
+    ones = np.zeros(n + int(high.sum()), np.uint8)
+    ones[np.cumsum(high.astype(np.int64) + 1) - 1] = 1
+    parts = [low[:, :whole].T, np.packbits(np.unpackbits(low[:, whole, None], axis=1)[:, 8 - rest :]), np.packbits(ones), values[high == FAR]]
+    return bytes([k]) + n.to_bytes(4, "little") + b"".join(x.tobytes() for x in parts)
+
+
+def _decoded(raw: bytes) -> np.ndarray:
+    k, n = raw[0], int.from_bytes(raw[1:5], "little")
+    if not n:
+        return np.zeros(0, np.uint64)
+    whole, rest = divmod(k, 8)
+    body = np.frombuffer(raw, np.uint8, offset=5)
+    low = np.zeros((n, 8), np.uint8)
+    low[:, :whole] = body[: n * whole].reshape(whole, n).T
+    at = n * whole + -(-n * rest // 8)
+    if rest:
+        low[:, whole] = np.packbits(np.unpackbits(body[n * whole : at], count=n * rest).reshape(n, rest), axis=1)[:, 0] >> (8 - rest)
+    ends = np.flatnonzero(np.unpackbits(body[at:]))[:n]
+    high = np.diff(ends, prepend=-1).astype(np.uint64) - np.uint64(1)
+    out = low.view(np.uint64).ravel() | (high << np.uint64(k))
+    far = high == FAR
+    out[far] = body[at + ends[-1] // 8 + 1 :].view("<u8")
+    return out
 
 
 def _packed(sorted_hashes: np.ndarray) -> bytes:
-    """Sorted hashes as their differences, in the least bytes that hold them all; all last bytes, then all before them, and so on."""
-    step = np.diff(sorted_hashes, prepend=np.uint64(0))
-    width = max(1, (int(step[1:].max(initial=0)).bit_length() + 7) // 8)
-    head = sorted_hashes[:1].tobytes() + bytes([width])
-    return head + step.view(np.uint8).reshape(-1, 8)[1:, :width].T.tobytes()
+    """Sorted hashes as the first and the gaps between them."""
+    return sorted_hashes[:1].tobytes() + _coded(np.diff(sorted_hashes))
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    width, body = raw[8], np.frombuffer(raw, np.uint8, offset=9)
-    step = np.zeros((1 + len(body) // width, 8), np.uint8)
-    step[0] = np.frombuffer(raw, np.uint8, count=8)
-    step[1:, :width] = body.reshape(width, -1).T
-    return np.cumsum(step.view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(raw, np.uint64, 1), _decoded(raw[8:])]), dtype=np.uint64)
+
+
+def _shut(rows: pa.RecordBatch) -> bytes:
+    """Rows as an Arrow stream under zstd; a shuffle's own lz4 leaves texts half as large again."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _opened(column: pa.Array | pa.ChunkedArray) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in column])
 
 
 def _edges(names: np.ndarray, ranges: int, bits: int) -> np.ndarray:
@@ -231,41 +270,40 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: Se
                 if used + len(data) > block_bytes and used:
                     block, used = block + 1, 0
                 used += len(data)
-                name = pa.array(np.full(b - a, (part << 24) + block, np.int64))
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), name], names=["doc_id", "held", "text", "block"])
+                rows = _shut(batch.slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([pa.array([(part << 24) + block]), pa.array([len(data)]), pa.array([rows], pa.binary())], names=["block", "size", "rows"])
 
     # written once: a block must hold the same texts whenever a task is run again
-    blocks = narrow.mapInArrow(dealt, "doc_id long, held boolean, text string, block long")
-    path_df = stage(blocks, "blocks", compression="zstd")
-    size, blocks_there = path_df.agg(F.sum(F.octet_length("text")), F.count_distinct("block")).first()
+    path_df = stage(narrow.mapInArrow(dealt, "block long, size long, rows binary"), "blocks", compression="uncompressed")
+    size, blocks_there = path_df.agg(F.sum("size"), F.count_distinct("block")).first()
     size = size or 0
     ranges = 1 << max(0, (-(-size // (6 * range_items)) - 1).bit_length())
     bits = gram_bits(size)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(block: int, held: list, texts: list) -> Iterator[pa.RecordBatch]:
-            column, training = pa.concat_arrays(texts), ~np.concatenate(held)
+        def sent(block: int, rows: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+            table = _opened(pa.chunked_array(rows))
+            column, training = binary(table["text"]), ~table["held"].to_numpy()
             for n, names, counts in _asked(column, training, order, bits):
                 cut = _edges(names, ranges, bits if n > 1 else 64)
-                out = [(k, _packed(names[x:y]), _narrow(counts[x:y])) for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+                out = [(k, _packed(names[x:y]), _coded(counts[x:y])) for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in out], pa.int64()), pa.array([block] * len(out), pa.int64()), pa.array([n] * len(out), pa.int32()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())],
                     names=["range", "block", "n", "names", "counts"],
                 )
 
-        now, held, texts = None, [], []
+        now, rows = None, []
         for batch in batches:
-            names = batch.column(3).to_numpy()
+            names = batch["block"].to_numpy()
             edges = np.flatnonzero(np.diff(names, prepend=names[:1] - 1))
             for a, b in zip(edges, [*edges[1:], len(names)], strict=True):
-                if names[a] != now and texts:
-                    yield from rows(now, held, texts)
-                    held, texts = [], []
+                if names[a] != now and rows:
+                    yield from sent(now, rows)
+                    rows = []
                 now = int(names[a])
-                held.append(batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool))
-                texts.append(binary(batch.column(2).slice(a, b - a)))
-        if texts:
-            yield from rows(now, held, texts)
+                rows.append(batch["rows"].slice(a, b - a))
+        if rows:
+            yield from sent(now, rows)
 
     asked = path_df.mapInArrow(ask, "range long, block long, n int, names binary, counts binary")
 
@@ -278,7 +316,7 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: Se
             if not part.num_rows:
                 continue
             names = [_unpacked(x.as_py()) for x in part["names"]]
-            own = [_wide(x.as_py()) for x in part["counts"]]
+            own = [_decoded(x.as_py()).astype(np.int64) for x in part["counts"]]
             every, sums = np.concatenate(names), np.concatenate(own)
             order_ = np.argsort(every, kind="stable")
             every, sums = every[order_], sums[order_]
@@ -297,7 +335,7 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: Se
                 total = sums[np.searchsorted(every, name)]
                 new = total != mine
                 if new.any():
-                    out["block"].append(block), out["n"].append(n), out["range"].append(at), out["other"].append(np.packbits(new).tobytes()), out["counts"].append(_narrow(total[new]))
+                    out["block"].append(block), out["n"].append(n), out["range"].append(at), out["other"].append(np.packbits(new).tobytes()), out["counts"].append(_coded(total[new]))
                     out["total"].append(0), out["distinct"].append(0)
             if n == 1:
                 out["block"].append(-1), out["n"].append(0), out["range"].append(at), out["other"].append(b""), out["counts"].append(b"")
@@ -308,11 +346,13 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: Se
     # partitions follow the numbers of ranges and blocks, twice as many, so that few meet in one
     parts = lambda n: max(1, min(2 * n, MOST_PARTITIONS))
     asked = asked.repartition(parts(ranges), "range")
-    answers = stage(asked.groupBy("range").applyInArrow(answer, "block long, n int, range long, other binary, counts binary, total long, distinct long"), "answers", compression="zstd")
+    answers = asked.groupBy("range").applyInArrow(answer, "block long, n int, range long, other binary, counts binary, total long, distinct long")
+    answers = stage(answers, "answers", compression="zstd", drop_shuffles=True)
     model = answers.filter("block < 0").agg(F.sum("total"), F.sum("distinct")).first()
     total, distinct = model[0] or 0, model[1] or 0
 
-    def walk(key: tuple, texts: pa.Table, known: pa.Table) -> pa.Table:
+    def walk(key: tuple, chunks_: pa.Table, known: pa.Table) -> pa.Table:
+        texts = _opened(chunks_["rows"])
         column = binary(texts["text"])
         held = texts["held"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
         found, ends = grams(column, order)
@@ -328,7 +368,7 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: Se
             part = known.filter(pa.compute.equal(known["n"], n))
             for at, other, count in zip(part["range"].to_pylist(), part["other"], part["counts"], strict=True):
                 other = np.unpackbits(np.frombuffer(other.as_py(), np.uint8), count=edges[at + 1] - edges[at])
-                own[edges[at] + np.flatnonzero(other)] = _wide(count.as_py())
+                own[edges[at] + np.flatnonzero(other)] = _decoded(count.as_py())
             counts.append(own)
             places.append(place)
         automaton = Automaton(total, distinct, mu, counts, places, ends)
@@ -347,8 +387,8 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: Se
             }
         )
 
-    def walk_some(key: tuple, texts: pa.Table, known: pa.Table) -> pa.Table:
-        return walk(key, texts, known) if texts.num_rows else OUT.empty_table()
+    def walk_some(key: tuple, chunks_: pa.Table, known: pa.Table) -> pa.Table:
+        return walk(key, chunks_, known) if chunks_.num_rows else OUT.empty_table()
 
     given = answers.filter("block >= 0").select("block", "n", "range", "other", "counts")
     texts, known_ = (d.repartition(parts(blocks_there), "block") for d in (path_df, given))

@@ -4,8 +4,11 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from contextlib import suppress
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -407,6 +410,49 @@ def test_language_model_pieces():
         assert np.allclose(automaton.walk(places[0], ends, piece=piece), whole, rtol=0, atol=1e-12)
 
 
+@pytest.mark.parametrize("bits", [48, 53, 64])
+@pytest.mark.parametrize("n", [1, 140, 16_000])
+def test_language_model_codes(bits, n):
+    """Hashes come back, in not much more than the logarithm of what sets of so many there are."""
+    rng = np.random.default_rng(bits + n)
+    names = np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) >> np.uint64(64 - bits))
+    raw = language_model._packed(names)
+    assert np.array_equal(language_model._unpacked(raw), names)
+    assert 8 * len(raw) <= n * (bits - np.log2(n) + 1.4427 + 0.2) + 104
+
+
+def test_language_model_numbers():
+    rng = np.random.default_rng(5)
+    some = [rng.geometric(2.0**-b, 300) - 1 for b in (0, 1, 7, 8, 9, 40)]
+    for values in ([], [0], [1], [31 << 8], [2**64 - 1], [0, 2**64 - 1, 0], [0, 0, 0, 10**9, 31, 30], [2**63] * 3 + [5], *some):
+        values = np.array(values, np.uint64)
+        assert np.array_equal(language_model._decoded(language_model._coded(values)), values)
+
+
+def shuffle_files(spark):
+    found = {}
+    for path in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data"):
+        with suppress(FileNotFoundError):  # gone by now
+            found[path] = path.stat().st_size
+    return found
+
+
+def test_language_model_disk(spark):
+    """What blocks sent to be counted is off the disk when the answers are written, without the driver's JVM collecting anything."""
+    rng = random.Random(3)
+    rows = [(i, " ".join("%x" % rng.getrandbits(40) for _ in range(500))) for i in range(200)]
+    setting, before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None), shuffle_files(spark)
+    scores = language_model.scored(frame(spark, rows))
+    for _ in range(40):  # files go a moment later
+        left = sum(n for p, n in shuffle_files(spark).items() if p not in before)
+        if left < 20_000:
+            break
+        time.sleep(0.5)
+    assert left < 20_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
+    assert scores.count() == 200
+
+
 def brute_phrases(text):
     w = [x for x in re.split(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode())) if x]
     found = []
