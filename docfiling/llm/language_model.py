@@ -136,13 +136,14 @@ def _unpacked(raw: bytes) -> np.ndarray:
 def _shut(rows: pa.RecordBatch) -> bytes:
     """Rows as an Arrow stream under zstd; a shuffle's own lz4 leaves texts half as large again."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3), use_threads=False)) as out:
         out.write_batch(rows)
     return sink.getvalue().to_pybytes()
 
 
 def _opened(column: pa.Array | pa.ChunkedArray) -> pa.Table:
-    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in column])
+    alone = pa.ipc.IpcReadOptions(use_threads=False)
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer(), options=alone).read_all() for x in column])
 
 
 def _edges(names: np.ndarray, ranges: int, bits: int) -> np.ndarray:
@@ -358,7 +359,8 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: Se
         found, ends = grams(column, order)
         learn = ~np.repeat(held, np.diff(ends))
         counts, places = [], []
-        for n, hashes in enumerate(found, 1):
+        for n in range(1, order + 1):
+            hashes, found[n - 1] = found[n - 1], None  # the automaton needs the memory
             there = hashes != 0
             names, inverse = np.unique(_cut(hashes[there], n, bits), return_inverse=True)
             place = np.full(len(hashes), -1)
@@ -371,6 +373,7 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: Se
                 own[edges[at] + np.flatnonzero(other)] = _decoded(count.as_py())
             counts.append(own)
             places.append(place)
+            del hashes, names, inverse
         automaton = Automaton(total, distinct, mu, counts, places, ends)
         smooth, alone = automaton.walk(places[0], ends), automaton.weights[0][places[0]]
         counts = [counts[0][places[0]]]
