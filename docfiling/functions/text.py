@@ -6,8 +6,9 @@ Lengths are code points, except where a name says bytes.  A null argument gives
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -91,8 +92,45 @@ def cue_count(c: Column, cues: list[str]) -> Column:
     return F.when(c.isNotNull(), bound(ascii_lower(c), lambda low: F.size(F.filter(words_of(cues), lambda cue: F.contains(low, cue)))))
 
 
-def cue_counts(c: Column) -> dict[str, Column]:
-    return {name: cue_count(c, cues) for name, cues in CUES.items()}
+def _some(characters: Iterable[str]) -> str:
+    return f"[{''.join(map(re.escape, sorted(characters)))}]"
+
+
+def _longest(words: list[str]) -> str:
+    """A pattern of the longest of words that stands at a place: a tree whose branches are halved, so that few are tried."""
+    rests: dict[str, list[str]] = {}
+    for w in sorted(words):
+        rests.setdefault(w[0], []).append(w[1:])
+
+    def branch(first: str) -> str:
+        longer = _longest([w for w in rests[first] if w]) if any(rests[first]) else ""
+        return re.escape(first) + (f"(?:{longer})?" if longer and "" in rests[first] else longer)
+
+    def halves(firsts: list[str]) -> str:
+        if len(firsts) < 4:
+            return "|".join(map(branch, firsts))
+        one, other = firsts[: len(firsts) // 2], firsts[len(firsts) // 2 :]
+        return f"(?={_some(one)})(?:{halves(one)})|{halves(other)}"
+
+    return branch(*rests) if len(rests) == 1 else f"(?:{halves(list(rests))})"
+
+
+_ALL_CUES = sorted({cue for cues in CUES.values() for cue in cues})
+#: Where a cue may begin: most places fail by their first two characters.
+_CUE = f"(?={_some({x[0] for x in _ALL_CUES})}{_some({x[1] for x in _ALL_CUES})})(?=({_longest(_ALL_CUES)}))"
+#: Cues that other cues begin with, by the longer one.
+_SHORTER = {cue: [x for x in _ALL_CUES if cue.startswith(x)] for cue in _ALL_CUES if sum(map(cue.startswith, _ALL_CUES)) > 1}
+
+
+def cue_counts(c: Column) -> Column:
+    """cue_count for each of CUES, as a struct: the text is read once, for the longest cue at each place."""
+    found = F.array_distinct(F.regexp_extract_all(ascii_lower(c), F.lit(_CUE), F.lit(1)))
+    shorter = F.create_map(*(x for cue, begun in _SHORTER.items() for x in (F.lit(cue), words_of(begun))))
+    whole = lambda hits: F.when(F.exists(hits, lambda x: x.isin(list(_SHORTER))), F.array_distinct(F.flatten(F.transform(hits, lambda x: F.coalesce(F.try_element_at(shorter, x), F.array(x)))))).otherwise(hits)
+    n_of = lambda hits, cues: F.size(F.filter(hits, lambda x: x.isin(cues)))
+    counted = lambda hits: F.struct(*(n_of(hits, cues).alias(name) for name, cues in CUES.items()))
+    none = F.struct(*(F.lit(0).alias(name) for name in CUES))
+    return F.when(c.isNotNull(), bound(found, lambda hits: F.when(F.size(hits) == 0, none).otherwise(bound(whole(hits), counted))))
 
 
 # X05
@@ -100,12 +138,14 @@ def has_identifier(c: Column) -> Column:
     """Whether a word, cut to its ASCII letters' and digits' ends, has two of each and 24 bytes at most."""
 
     def fits(w: Column) -> Column:
-        t = F.regexp_replace(w, "^[^0-9A-Za-z]+|(?<![^0-9A-Za-z])[^0-9A-Za-z]+$", "")
-        return (F.regexp_count(t, F.lit("[A-Za-z]")) >= 2) & (F.regexp_count(t, F.lit("[0-9]")) >= 2) & (F.octet_length(t) <= 24)
+        # the ends hold no letters or digits, and matter for long words only
+        cut = F.regexp_replace(w, "^[^0-9A-Za-z]+|(?<![^0-9A-Za-z])[^0-9A-Za-z]+$", "")
+        return w.rlike("[A-Za-z][^A-Za-z]*+[A-Za-z]") & w.rlike("[0-9][^0-9]*+[0-9]") & ((F.octet_length(w) <= 24) | (F.octet_length(cut) <= 24))
 
-    # only words with a digit are cut up, each met once from its first character on
-    dated = F.regexp_extract_all(c, F.lit(f"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"), F.lit(0))
-    return F.exists(dated, fits)
+    # only words with a digit and a letter are cut up, each met once from its first character on; few texts have any
+    mixed = F.regexp_extract_all(c, F.lit(f"(?<![^{SPACE}])(?=[^{SPACE}A-Za-z]*+[A-Za-z])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"), F.lit(0))
+    beside = c.rlike(f"[A-Za-z](?![A-Za-z ])[^A-Za-z0-9{SPACE}]*+[0-9]|[0-9](?![0-9 ])[^A-Za-z0-9{SPACE}]*+[A-Za-z]")
+    return beside & F.exists(mixed, fits)
 
 
 # X06
@@ -115,7 +155,8 @@ def has_money(c: Column) -> Column:
     The byte ends the pound sign, but other characters too, and these count.
     """
     as_bytes = F.when(is_ascii(c), c).otherwise(F.decode(F.encode(c, "UTF-8"), "ISO-8859-1"))
-    return as_bytes.rlike(r"[$\xA3][\s\S]{0,2}[0-9]") | c.rlike("(?i:usd |eur )")
+    sign = (F.contains(c, F.lit("$")) | ~is_ascii(c)) & as_bytes.rlike(r"[$\xA3][\s\S]{0,2}[0-9]")
+    return sign | bound(F.lower(c), lambda low: F.contains(low, F.lit("usd ")) | F.contains(low, F.lit("eur ")))
 
 
 # X07
@@ -164,19 +205,31 @@ def is_trimmed_heading(t: Column) -> Column:
     loud = bound(letters, lambda n: (n >= 3) & (capitals * 10 >= n * 8))
     # where four of five letters are capitals, two of them follow each other: most lines need no counting
     two = t.rlike(r"\p{IsUppercase}\P{IsAlphabetic}*+\p{IsUppercase}")
-    return F.char_length(t).between(1, 90) & (t.startswith("#") | (two & loud & ~(t.endswith(".") & (n_tokens(t) > 6))))
+    return (t != "") & (F.char_length(t) <= 90) & (t.startswith("#") | (two & loud & ~(t.endswith(".") & (n_tokens(t) > 6))))
 
 
 # D01
 # each looks back when it has met a digit, not at each character
-_YEAR = r"(?:19|20|21)(?<![0-9]..)[0-9]{2}(?![0-9])"
+_YEAR = r"[12](?:(?<=1)9|(?<=2)[01])(?<![0-9]..)[0-9]{2}(?![0-9])"
 _SHORT = r"[0-9](?<![0-9].)[0-9]?[/-][0-9]{1,2}[/-][0-9]{2}(?![0-9])"
 
 
+# a short date uses its parts up; what it leaves behind must not look like another
+_SHORT_DATE = f"{_SHORT}(?![/-][0-9]{{1,2}}(?:[/-]|[0-9]))(?:[/-][0-9/-]*)?"
+
+
+def _may_be_short(c: Column) -> Column:
+    return F.contains(c, F.lit("/")) | F.contains(c, F.lit("-"))
+
+
 def date_signals(c: Column) -> Column:
     """Years from 1900 to 2199 and short dates such as 3/14/26 in the text."""
-    # a short date uses its parts up; what it leaves behind must not look like another
-    return F.regexp_count(c, F.lit(_YEAR)) + F.regexp_count(c, F.lit(f"{_SHORT}(?![/-][0-9]{{1,2}}(?:[/-]|[0-9]))(?:[/-][0-9/-]*)?"))
+    return F.regexp_count(c, F.lit(_YEAR)) + F.when(_may_be_short(c), F.regexp_count(c, F.lit(_SHORT_DATE))).otherwise(0)
+
+
+def has_date(c: Column) -> Column:
+    """Whether there are date signals."""
+    return c.rlike(_YEAR) | (_may_be_short(c) & c.rlike(_SHORT_DATE))
 
 
 # D02

@@ -20,11 +20,6 @@ DATE_LINES, DATE_LINE_CHARACTERS = 14, 150
 BLOCK = "struct<index:int,page:int,text:string>"
 
 
-def _kind(line: Column) -> Column:
-    """Of a line without blanks at its end."""
-    return F.when(line == "", "blank").when(T.bound(T.ltrim(line), T.is_trimmed_heading), "heading").when(T.ltrim(line).startswith("|"), "table").otherwise("body")
-
-
 def _places(values: Column) -> Column:
     return F.transform(values, lambda _, i: i)
 
@@ -35,30 +30,50 @@ def _slices(values: Column, first: Column) -> Column:
 
 
 # W01
+# blanks but the line's end, and lines that can't be headings: a table's without capitals, others without two capitals in a row
+_IN = T.BLANKS.replace("\n", "")
+_TABLE = rf"[{_IN}]*+\|(?:[ -@\[-~]++|[^\n\p{{IsUppercase}}])*+(?=\n|\z)"
+_BODY = rf"[{_IN}]*+(?![#|\n])(?:[ -@\[-~]++|[A-Z](?=[a-z])|[^\n\p{{IsUppercase}}]|\p{{IsUppercase}}[\P{{IsAlphabetic}}&&[^\n]]*+(?!\p{{IsUppercase}}))++(?=\n|\z)"
+_PIECES = rf"\n*+(?:{_TABLE}(?:\n{_TABLE})*+|{_BODY}(?:\n{_BODY})*+|[^\n]++)|\n++"
+
+
 def page_runs(text: Column) -> Column:
-    """Array of (island, kind, joined) of a page: lines that belong together; blank lines and changes of kind part them."""
-    lines = F.transform(F.split(text, "\\r?\\n"), lambda x: T.bound(T.rtrim(x), lambda raw: F.struct(raw.alias("raw"), _kind(raw).alias("kind"))))
+    """Array of (kind, joined) of a page: lines that belong together; blank lines and changes of kind part them.
+
+    Most lines are taken by the pattern of pieces, many at a time; only lines that may be headings are looked at one by one.
+    """
+    # few texts have blanks before a line's end, and looking back from there is cheap
+    clean = F.when(F.concat(text, F.lit("\n")).rlike(f"\n(?<=[{_IN}]\n)"), F.regexp_replace(text, rf"[{_IN}](?<![{_IN}][{_IN}])[{_IN}]*+(?=\n|\z)", "")).otherwise(text)
+    pieces = F.filter(F.regexp_extract_all(clean, F.lit(_PIECES), F.lit(0)), lambda x: ~x.endswith("\n"))
+
+    def piece(x: Column) -> Column:
+        kind = lambda t: F.when(~F.contains(t, F.lit("\n")) & T.is_trimmed_heading(t), "heading").when(t.startswith("|"), "table").otherwise("body")
+        return T.bound(F.ltrim(x, F.lit("\n")), lambda t: F.struct(x.startswith("\n\n").alias("apart"), T.bound(T.ltrim(t), kind).alias("kind"), t.alias("raw")))
 
     def islands(found: Column) -> Column:
-        new = lambda x, i: (i == 0) | (x["kind"] == "heading") | (x["kind"] != F.get(found, i - 1)["kind"])
+        new = lambda x, i: (i == 0) | x["apart"] | (x["kind"] == "heading") | (x["kind"] != F.get(found, i - 1)["kind"])
         return _slices(found, F.array_compact(F.transform(found, lambda x, i: F.when(new(x, i), i))))
 
-    def run(part: Column, k: Column) -> Column:
-        return F.struct((k + 1).alias("island"), F.get(part, F.lit(0))["kind"].alias("kind"), F.array_join(F.transform(part, lambda x: x["raw"]), "\n").alias("joined"))
+    def run(part: Column) -> Column:
+        return F.struct(F.get(part, F.lit(0))["kind"].alias("kind"), F.array_join(F.transform(part, lambda x: x["raw"]), "\n").alias("joined"))
 
-    return F.filter(F.transform(T.bound(lines, islands), run), lambda r: r["kind"] != "blank")
+    return F.transform(T.bound(F.transform(pieces, piece), islands), run)
 
 
 def runs(pages: DataFrame) -> DataFrame:
-    """doc_id, page, island, kind (heading, table, body), joined: the runs of all pages."""
+    """doc_id, page, kind (heading, table, body), joined: the runs of all pages."""
     return pages.select("doc_id", F.col("page_number").alias("page"), F.explode(page_runs(F.col("text"))).alias("r")).select("doc_id", "page", "r.*")
 
 
-def page_blocks(text: Column) -> Column:
-    """Array of (kind, text) of a page: runs cut at sentences into blocks of 700 characters; headings whole.  A page without text has none."""
-    parts = lambda r: F.when(r["kind"] == "heading", F.array(T.trim(r["joined"]))).otherwise(T.split_sentences(r["joined"], BLOCK_CHARACTERS))
-    chunks = F.flatten(F.transform(page_runs(text), lambda r: F.transform(parts(r), lambda c: F.struct(r["kind"].alias("kind"), T.rtrim(c).alias("text")))))
-    return F.coalesce(F.filter(chunks, lambda b: b["text"] != ""), F.array().cast("array<struct<kind:string,text:string>>"))
+def page_blocks(text: Column, page: Column) -> Column:
+    """Array of (page, kind, text) of a page: runs cut at sentences into blocks of 700 characters; headings whole.  A page without text has none."""
+
+    def cut(r: Column) -> Column:
+        block = lambda t: F.struct(page.alias("page"), r["kind"].alias("kind"), t.alias("text"))
+        long = F.filter(F.transform(T.split_sentences(r["joined"], BLOCK_CHARACTERS), lambda c: block(T.rtrim(c))), lambda b: b["text"] != "")
+        return F.when(r["kind"] == "heading", F.array(block(T.trim(r["joined"])))).when(F.char_length(r["joined"]) <= BLOCK_CHARACTERS, F.array(block(r["joined"]))).otherwise(long)
+
+    return F.coalesce(F.flatten(F.transform(page_runs(text), cut)), F.array().cast("array<struct<page:int,kind:string,text:string>>"))
 
 
 def documents(pages: DataFrame) -> DataFrame:
@@ -67,7 +82,7 @@ def documents(pages: DataFrame) -> DataFrame:
         F.count("*").alias("n_pages"), F.max("page_number").alias("last_page"), F.sum(F.char_length(F.coalesce("text", F.lit("")))).alias("source_characters"),
         F.collect_list(F.struct(F.col("page_number").alias("page"), "text")).alias("pages"),
     )
-    found = F.transform(F.array_sort("pages"), lambda p: F.transform(page_blocks(p["text"]), lambda b: F.struct(p["page"].cast("int").alias("page"), b["kind"].alias("kind"), b["text"].alias("text"))))
+    found = F.transform(F.array_sort("pages"), lambda p: page_blocks(p["text"], p["page"].cast("int")))
     return docs.select("doc_id", "n_pages", "last_page", "source_characters", F.flatten(found).alias("found"))
 
 
@@ -96,11 +111,13 @@ def scored(blocks: Column, last_page: Column) -> Column:
     """Array of (score, mandatory), one for each block."""
 
     def judged(b: Column, i: Column) -> Column:
-        t, size = b["text"], F.char_length(b["text"])
+        t = b["text"]
         heading, opening, closing = b["kind"] == "heading", i < 4, i + 3 >= F.size(blocks)
         one = lambda c, points: F.when(c, points).otherwise(0)
 
-        def of(n: Column) -> Column:
+        def of(found: Column) -> Column:
+            n = {k: found["cues"][k] for k in T.CUES} | {"date": found["date"]}
+            size = found["size"]
             has = lambda k: n[k] > 0
             score = (
                 n["date"] * 30 + n["date_role"] * 45 + n["party"] * 22 + n["type"] * 26 + n["subject"] * 24 + n["signature"] * 14
@@ -113,7 +130,7 @@ def scored(blocks: Column, last_page: Column) -> Column:
             )
             return F.struct(score.cast("int").alias("score"), F.coalesce(mandatory, F.lit(False)).alias("mandatory"))
 
-        return T.bound(F.struct(*(v.alias(k) for k, v in T.cue_counts(t).items()), T.date_signals(t).alias("date")), of)
+        return T.bound(F.struct(T.cue_counts(t).alias("cues"), T.date_signals(t).alias("date"), F.char_length(t).alias("size")), of)
 
     return F.transform(blocks, judged)
 
@@ -155,7 +172,7 @@ def date_lines(kept: Column) -> Column:
     """The first 14 different lines with a date of the kept blocks (array of BLOCK in order)."""
     lines = F.flatten(F.transform(kept, lambda b: F.split(b["text"], "\n")))
     parts = F.flatten(F.transform(lines, lambda x: F.when(F.char_length(x) > DATE_LINE_CHARACTERS, T.split_sentences(x, DATE_LINE_CHARACTERS)).otherwise(F.array(x))))
-    dated = F.filter(F.transform(parts, T.trim), lambda x: (x != "") & (T.date_signals(x) > 0))
+    dated = F.filter(F.transform(parts, T.trim), T.has_date)
     return F.slice(F.array_distinct(F.transform(dated, lambda x: F.left(x, F.lit(DATE_LINE_CHARACTERS)))), 1, DATE_LINES)
 
 

@@ -39,6 +39,23 @@ def test_dates_are_found_from_their_digits(spark, text, n):
     assert spark.createDataFrame([(text,)], "t string").select(T.date_signals(F.col("t"))).first()[0] == n
 
 
+def test_cues_are_found_in_one_pass(spark):
+    """Blocks aren't searched for one cue after the other, and cues that others begin with count as before."""
+    texts = ["", "Order No 7", "INVOICE NO 5, invoice date, invoice", "Waiver of corporation corp co. and company", "Termination Date: terminates on", "into: by: name: by and between", "ASSIGNMENT AND amendment date", "é Dated As Of lease/s/", *T._ALL_CUES, None]
+    df = spark.createDataFrame([(x,) for x in texts], "t string").select(T.cue_counts(F.col("t")).alias("got"), F.struct(*(T.cue_count(F.col("t"), cues).alias(k) for k, cues in T.CUES.items())).alias("each"), "t")
+    assert all(r["got"] == r["each"] for r in df.filter("t is not null").collect())
+    found = D.distill(spark.createDataFrame([(1, 1, "x")], PAGES))._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter([agreement," not in found and "filter([by and between," not in found
+
+
+def test_plain_lines_are_taken_many_at_a_time(spark):
+    """A page's lines aren't looked at one by one, but for those that may be headings."""
+    text = "TITLE\n" + "\n".join(f"| part {k} | {k} |" for k in range(500)) + "\n\n" + "\n".join(f"Line {k} says little.  " for k in range(500)) + " \n\n\t\nEND\n\n"
+    found = spark.createDataFrame([(1, 1, text)], PAGES)
+    assert [(r["kind"], r["joined"].count("\n")) for r in D.runs(found).collect()] == [("heading", 0), ("table", 499), ("body", 499), ("heading", 0)]
+    assert found.select(F.size(F.regexp_extract_all(F.regexp_replace("text", "[ \t]+\n", "\n"), F.lit(D._PIECES), F.lit(0)))).first()[0] <= 5
+
+
 def test_upper_case_is_alphabetic(spark):
     """Headings count capitals alone."""
     odd = spark.range(0x110000).filter("id < 55296 or id > 57343").select(F.decode(F.encode(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')"), "UTF-8"), "UTF-8").alias("c"))
