@@ -50,13 +50,22 @@ def _stem(date: Column, kind: Column, clause: Column) -> Column:
     return F.trim(F.concat_ws(" ", F.nullif(date, F.lit("")), kind, clause))
 
 
+def whole_stem(date: Column, kind: Column, parties: Column, relation: Column) -> Column:
+    """A name without its suffix and extension, and with all its parts, whatever its length."""
+    return _stem(date, kind, party_clause(parties, relation))
+
+
+def room_beside(tail: Column) -> Column:
+    return F.greatest(F.lit(MOST_CHARACTERS) - F.char_length(tail), F.lit(LEAST_STEM))
+
+
 # X12
 def fitted(date: Column, kind: Column, parties: Column, relation: Column, suffix: Column, ext: Column) -> Column:
     """The file name in 120 characters: parties go first, then the end of the rest."""
     tail = F.concat(suffix, F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext)))
-    room = F.greatest(F.lit(MOST_CHARACTERS) - F.char_length(tail), F.lit(LEAST_STEM))
+    room = room_beside(tail)
     one = F.slice(parties, 1, 1)
-    full = _stem(date, kind, party_clause(parties, relation))
+    full = whole_stem(date, kind, parties, relation)
     fewer = _stem(date, kind, party_clause(one, F.when(relation == "between", "with").otherwise(relation)))
     bare = _stem(date, kind, F.lit(None).cast("string"))
     cut = F.regexp_replace(F.left(bare, room), "[ .]+$", "")

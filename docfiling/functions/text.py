@@ -245,29 +245,41 @@ def ordinal(day: Column) -> Column:
 
 
 # D03
-def date_renderings(iso: Column) -> Column:
-    """The ways in which people write an ISO date, in lower case."""
+def date_parts(iso: Column) -> Column:
+    """y, m, d, mu and du (without leading noughts), nth and months (the month's names) of an ISO date, as a struct to be bound."""
     y, m, d = F.substring(iso, 1, 4), F.substring(iso, 6, 2), F.substring(iso, 9, 2)
-    mu, du = F.ltrim(m, F.lit("0")), F.ltrim(d, F.lit("0"))
-    nth = F.concat(du, ordinal(d.try_cast("int")))
     month = F.try_element_at(words_of(MONTHS), F.greatest(m.try_cast("int"), F.lit(1)))
-    spelt = F.array_distinct(F.filter(F.array(month, F.substring(month, 1, 3), F.when(F.char_length(month) > 4, F.substring(month, 1, 4))), lambda x: x.isNotNull()))
-    dotted = F.flatten(F.transform(spelt, lambda w: F.array(w, F.concat(w, F.lit(".")))))
-    j = F.concat
-    s = F.lit
-    by_name = F.flatten(
-        F.transform(
-            dotted,
-            lambda w: F.array(
-                j(w, s(" "), du, s(", "), y), j(w, s(" "), du, s(" "), y), j(w, s(" "), nth, s(", "), y), j(w, s("-"), du, s("-"), y), j(du, s(" "), w, s(" "), y), j(du, s("-"), w, s("-"), y),
-                j(nth, s(" day of "), w, s(", "), y), j(nth, s(" day of "), w, s(" "), y),
-            ),
-        )
+    spelt = lambda w: F.array_distinct(F.array_compact(F.array(w, F.substring(w, 1, 3), F.when(F.char_length(w) > 4, F.substring(w, 1, 4)))))
+    dotted = F.flatten(F.transform(bound(month, spelt), lambda w: F.array(w, F.concat(w, F.lit(".")))))
+    mu, du = F.ltrim(m, F.lit("0")), F.ltrim(d, F.lit("0"))
+    nth = F.concat(du, bound(d.try_cast("int"), ordinal))
+    return F.struct(y.alias("y"), m.alias("m"), d.alias("d"), mu.alias("mu"), du.alias("du"), nth.alias("nth"), dotted.alias("months"))
+
+
+def dates_by_name(p: Column, w: Column) -> Column:
+    """The renderings of a date's parts with the name w of its month."""
+    y, du, nth, j, s = p["y"], p["du"], p["nth"], F.concat, F.lit
+    return F.array(
+        j(w, s(" "), du, s(", "), y), j(w, s(" "), du, s(" "), y), j(w, s(" "), nth, s(", "), y), j(w, s("-"), du, s("-"), y), j(du, s(" "), w, s(" "), y), j(du, s("-"), w, s("-"), y),
+        j(nth, s(" day of "), w, s(", "), y), j(nth, s(" day of "), w, s(" "), y),
     )
-    by_number = F.array(
+
+
+def dates_by_number(iso: Column, p: Column) -> Column:
+    y, m, d, mu, du, j, s = p["y"], p["m"], p["d"], p["mu"], p["du"], F.concat, F.lit
+    return F.array(
         iso, j(y, s("/"), m, s("/"), d), j(m, s("/"), d, s("/"), y), j(mu, s("/"), du, s("/"), y), j(m, s("-"), d, s("-"), y), j(mu, s("-"), du, s("-"), y), j(du, s("/"), mu, s("/"), y)
     )
-    return F.concat(by_number, F.coalesce(by_name, F.array().cast("array<string>")))
+
+
+def date_renderings(iso: Column) -> Column:
+    """The ways in which people write an ISO date, in lower case."""
+
+    def of(p: Column) -> Column:
+        by_name = F.flatten(F.transform(p["months"], lambda w: dates_by_name(p, w)))
+        return F.concat(dates_by_number(iso, p), F.coalesce(by_name, F.array().cast("array<string>")))
+
+    return bound(date_parts(iso), of)
 
 
 # X01
@@ -304,7 +316,9 @@ def evidence_text(c: Column) -> Column:
 def evidence_texts(c: Column) -> Column:
     """evidence_text of each element of an array, which should be a column as it is used several times."""
     plain = is_ascii(F.array_join(c, ""))
-    return F.transform(F.coalesce(F.when(plain, F.transform(c, F.lower)), _folded_all(F.when(~plain, c))), _plain)
+    # ASCII has neither quotes nor dashes to be made plain, and single blanks stay as they are
+    single = lambda x: F.trim(F.regexp_replace(F.lower(x), r"[\t-\r][\t-\r ]*+| [\t-\r ]++", " "))
+    return F.when(plain, F.transform(c, single)).otherwise(F.transform(_folded_all(F.when(~plain, c)), _plain))
 
 
 # X15
@@ -345,5 +359,5 @@ def capped_sentence(c: Column) -> tuple[Column, Column]:
 
 # X17
 def is_usable_sentence(c: Column) -> Column:
-    t = trim(c)
-    return t.rlike(r"[.!?]\z") & n_tokens(t).between(6, MOST_WORDS) & t.rlike(r"\A\P{IsAlphabetic}*+(?=\p{IsAlphabetic})\p{IsUppercase}")
+    n = lambda t: bound(n_tokens(t), lambda k: k.between(6, MOST_WORDS))
+    return bound(trim(c), lambda t: t.rlike(r"[.!?]\z") & n(t) & t.rlike(r"\A\P{IsAlphabetic}*+(?=\p{IsAlphabetic})\p{IsUppercase}"))

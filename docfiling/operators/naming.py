@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..functions import text as T
 from ..staging import release, stage
 
 #: Suffixes have at most so many digits.
@@ -44,6 +45,30 @@ def _space(folder: Column, key: Column) -> Column:
     return F.struct(F.to_json(F.struct(folder.alias("f"), base.alias("b"), ext.alias("e"))).alias("space"), n.cast("long").alias("n"))
 
 
+def _widths() -> Column:
+    """The numbers of a family's first name and of its last suffix of each width."""
+    return F.array(*(F.lit(10**d - 1 if d else 1).cast("long") for d in range(DIGITS + 1)))
+
+
+def _spaces(families: DataFrame) -> DataFrame:
+    """family, first (the first name's space and n), wide, spaces of families (family, folder and the columns of parts).
+
+    A name that fits beside the widest suffix has the same space, wide, with all suffixes; for others wide is null, and spaces has
+    those of suffixes of each width, the first name's first.
+    """
+    tail = F.when(F.col("ext") == "", "").otherwise(F.concat(F.lit("."), F.col("ext")))
+    widest = f" ({10**DIGITS - 1})"
+    df = families.withColumns({"full": N.whole_stem(F.col("date"), F.col("kind"), F.col("people"), F.col("party_relation")), "tail": tail})
+    df = df.withColumn("fits", F.char_length("full") <= N.room_beside(F.concat(F.lit(widest), F.col("tail"))))
+    # what stands before the suffix, as it is in a key; a plain first name differs by the suffix alone
+    base = T.bound(F.lower(F.concat(F.col("full"), F.lit(widest), F.col("tail"))), lambda key: F.left(key, F.char_length(key) - F.char_length("tail") - len(widest)))
+    df = df.withColumn("wide", F.when(F.col("fits"), F.to_json(F.struct(F.col("folder").alias("f"), base.alias("b"), F.col("tail").alias("e")))))
+    plain = F.col("fits") & (F.col("tail") != "") & T.is_ascii(F.col("full")) & ~F.contains("full", F.lit(" ("))
+    of = lambda k: _space(F.col("folder"), N.name_key(name_with(k)))
+    first = F.when(plain, F.struct(F.col("wide").alias("space"), F.lit(1).cast("long").alias("n"))).otherwise(of(F.lit(1).cast("long")))
+    return df.select("family", first.alias("first"), "wide", F.when(F.col("wide").isNull(), F.transform(_widths(), of)).alias("spaces"))
+
+
 def running(df: DataFrame, key: str, order: list[Column], flag: Column, name: str) -> DataFrame:
     """df with the sum of flag over the key's rows up to each row, in order; df's order must be total but for rows that are alike.
 
@@ -153,10 +178,9 @@ def compose_names(validated: DataFrame, listing: DataFrame) -> DataFrame:
     df = parts(validated).select("doc_id", "folder", *_PARTS)
     df = stage(df.withColumn("family", F.to_json(F.struct("folder", *_PARTS))), "unnamed")
     # the spaces of a family's first name, and of suffixes of each width
-    widths = F.array(*(F.lit(10**d - 1 if d else 1).cast("long") for d in range(DIGITS + 1)))
-    families = df.select("family", "folder", *_PARTS).dropDuplicates(["family"])
-    families = stage(families.select("family", F.transform(widths, lambda k: _space(F.col("folder"), N.name_key(name_with(k)))).alias("spaces")), "families")
-    spaces = families.select("family", F.explode(F.array_distinct(F.transform("spaces", lambda s: s["space"]))).alias("space"))
+    families = stage(_spaces(df.select("family", "folder", *_PARTS).dropDuplicates(["family"])), "families")
+    each = F.when(F.col("spaces").isNull(), F.array("first.space", "wide")).otherwise(F.transform("spaces", lambda s: s["space"]))
+    spaces = families.select("family", F.explode(F.array_distinct(each)).alias("space"))
     shared = spaces.groupBy("space").agg(F.count("*").alias("families"), F.min("family").alias("family"))
     tangled = stage(spaces.join(shared.filter("families > 1").select("space"), "space").select("family").distinct(), "tangled")
     there = stage(listing.filter(F.col("name").isNotNull()).select(_space(F.col("folder"), N.name_key(F.col("name"))).alias("s"), "folder").select("s.*", "folder").distinct(), "there")
@@ -164,8 +188,13 @@ def compose_names(validated: DataFrame, listing: DataFrame) -> DataFrame:
 
     # families on their own: the taken suffixes of each
     free = families.join(tangled, "family", "left_anti")
-    asked = free.select("family", F.posexplode("spaces").alias("width", "s")).select("family", "width", "s.space", F.when(F.col("width") == 0, F.col("s.n")).alias("only"))
-    fits = F.when(F.col("width") == 0, F.col("n") == F.col("only")).otherwise((F.col("n") > 1) & (F.char_length(F.col("n").cast("string")) == F.col("width")))
+    # a space with the width of its suffixes: 0 for the first name, null for all widths
+    row = lambda width, space, only: F.struct(width.cast("int").alias("width"), space.alias("space"), only.cast("long").alias("only"))
+    none = F.lit(None)
+    by_width = F.transform("spaces", lambda s, width: row(width, s["space"], F.when(width == 0, s["n"])))
+    rows = F.when(F.col("spaces").isNull(), F.array(row(F.lit(0), F.col("first.space"), F.col("first.n")), row(none, F.col("wide"), none))).otherwise(by_width)
+    asked = free.select("family", F.explode(rows).alias("r")).select("family", "r.*")
+    fits = F.when(F.col("width") == 0, F.col("n") == F.col("only")).otherwise((F.col("n") > 1) & (F.col("width").isNull() | (F.char_length(F.col("n").cast("string")) == F.col("width"))))
     taken = asked.join(there, "space").filter(fits).select("family", F.when(F.col("width") == 0, 1).otherwise(F.col("n")).cast("long").alias("taken")).distinct()
     taken = running(taken, "family", [F.col("taken")], F.lit(1), "rank")
     alone = running(df.join(tangled, "family", "left_anti"), "family", [F.col("doc_id").isNull(), F.col("doc_id")], F.lit(1), "turn")
@@ -175,7 +204,8 @@ def compose_names(validated: DataFrame, listing: DataFrame) -> DataFrame:
     simple = both.filter("is_taken = 0").select("own", (F.col("place") + F.col("passed")).alias("k"))
 
     # the others, one by one
-    held = df.join(tangled, "family", "left_semi").join(families, "family").select("folder", own.alias("own"), "family", "spaces", F.lit(1).alias("turn"))
+    whole = F.concat(F.array("first"), F.transform(F.slice(_widths(), 2, DIGITS), lambda k: F.struct(F.col("wide").alias("space"), k.alias("n"))))
+    held = df.join(tangled, "family", "left_semi").join(families, "family").select("folder", own.alias("own"), "family", F.coalesce("spaces", whole).alias("spaces"), F.lit(1).alias("turn"))
     known = spaces.join(tangled, "family", "left_semi").select("space").distinct()
     before = there.join(known, "space", "left_semi").select("folder", F.lit(None).cast(docs.schema["own"].dataType).alias("own"), F.lit(None).cast("string").alias("family"), F.array(F.struct("space", "n")).alias("spaces"), F.lit(0).alias("turn"))
     dealt = held.unionByName(before).repartition("folder").sortWithinPartitions("folder", "turn", F.col("own.doc_id").asc_nulls_last(), "family")

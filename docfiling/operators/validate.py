@@ -30,22 +30,30 @@ def value_in_quote(segs: Column, quote: Column, value: Column) -> Column:
 def date_supported(segs: Column, iso: Column) -> Column:
     """Whether a rendering of the date stands in one segment."""
     month = F.substring(iso, 6, 2).try_cast("int")
-    return F.coalesce((F.octet_length(iso) == 10) & month.between(1, 12) & F.exists(T.date_renderings(iso), lambda r: F.exists(segs, lambda s: F.contains(s, r))), F.lit(False))
+    stands = lambda r: F.exists(segs, lambda s: F.contains(s, r))
+
+    def found(p: Column) -> Column:
+        # written out only until one is found, and with the month's name first
+        named = F.exists(p["months"], lambda w: F.exists(T.dates_by_name(p, w), stands))
+        return F.coalesce(named, F.lit(False)) | F.exists(T.dates_by_number(iso, p), stands)
+
+    return F.coalesce((F.octet_length(iso) == 10) & month.between(1, 12) & T.bound(T.date_parts(iso), found), F.lit(False))
 
 
 # J04
 def type_supported(segs: Column, kind: Column) -> Column:
     """Whether 0.6 of the significant words of a normalised type stand in segments; false if it has none."""
     words = F.filter(T.tokens(kind), lambda w: (F.octet_length(w) > 2) & ~w.isin(T.GENERIC_WORDS))
-    found = F.size(F.filter(words, lambda w: contained(segs, w)))
-    return (F.size(words) > 0) & (found.cast("float") >= F.size(words).cast("float") * F.lit(TYPE_SHARE).cast("float"))
+    found = lambda ws: F.size(F.filter(ws, lambda w: contained(segs, w)))
+    return T.bound(words, lambda ws: (F.size(ws) > 0) & (found(ws).cast("float") >= F.size(ws).cast("float") * F.lit(TYPE_SHARE).cast("float")))
 
 
 # J06
 def claims(sentence: Column) -> Column:
     """Array of (index, token) that claim something: digits, or a capital that isn't the first word's nor a generic word's."""
     edge = r"^[^\p{IsAlphabetic}\p{N}]+|(?<![^\p{IsAlphabetic}\p{N}])[^\p{IsAlphabetic}\p{N}]+$"
-    all_ = F.transform(T.tokens(sentence), lambda w, i: F.struct(i.alias("index"), F.regexp_replace(w, edge, "").alias("token")))
+    cut = lambda w: F.when(w.rlike(r"\A[A-Za-z0-9]+\z"), w).otherwise(F.regexp_replace(w, edge, ""))
+    all_ = F.transform(T.tokens(sentence), lambda w, i: F.struct(i.alias("index"), cut(w).alias("token")))
     capital = lambda x: (x["index"] > 0) & x["token"].rlike(r"\A\p{IsUppercase}") & ~T.ascii_lower(x["token"]).isin(T.GENERIC_WORDS)
     return F.filter(all_, lambda x: (F.char_length(x["token"]) >= 3) & (x["token"].rlike("[0-9]") | capital(x)))
 
@@ -63,29 +71,30 @@ def validate(proposals: DataFrame, digests: DataFrame, warnings: DataFrame | Non
     proposals: schemas.PROPOSALS.  digests: doc_id, segments.  warnings: doc_id, field_affecting; any true one adds
     PARSER_WARNING.  A proposal without a digest keeps nothing that needs support.
     """
-    n = T.evidence_text
     texts = proposals.withColumn("parties", F.coalesce("parties", F.array().cast("array<string>")))
     # what is used several times is a column of its own
     texts = texts.withColumn("first", T.first_sentence(F.coalesce("description", F.lit(""))))
     sentence, over = T.capped_sentence(F.col("first"))
     texts = texts.withColumns({"too_long": over, "said": sentence})
     texts = texts.withColumn("claimed", F.transform(claims(F.col("said")), lambda x: x["token"]))
-    # the words to be looked for, and their evidence forms
+    # the words to be looked for, and their evidence forms: those of a row's texts are made in one go
+    none = F.array().cast("array<string>")
     texts = texts.withColumn("asked", distinct_union(F.col("claimed"), F.transform("parties", T.trim)))
-    texts = texts.withColumn("normals", F.map_from_arrays("asked", T.evidence_texts(F.col("asked"))))
-    df = texts.join(normal_segments(digests), "doc_id", "left")
-    segs = F.coalesce("segs", F.array().cast("array<string>"))
+    df = texts.join(digests.select("doc_id", F.col("segments").alias("segs")), "doc_id", "left")
     kind = F.nullif(T.trim(F.col("document_type")), F.lit(""))
     date = F.nullif(T.trim(F.col("document_date")), F.lit(""))
-    df = df.withColumns({"kind": kind, "kind_normal": n(kind), "date": date, "segs": segs})
+    df = df.withColumns({"kind": kind, "date": date, "n_asked": F.size("asked")})
+    df = df.withColumn("all", F.concat(F.array("kind"), "asked", F.coalesce("segs", none))).withColumn("all", T.evidence_texts(F.col("all")))
+    asked, segs = F.slice("all", 2, F.col("n_asked")), F.slice("all", F.col("n_asked") + 2, F.size("all"))
+    df = df.withColumns({"kind_normal": F.get("all", F.lit(0)), "normals": F.map_from_arrays("asked", asked), "segs": segs})
     has_kind = F.col("kind").isNotNull()
     type_ok = ~has_kind | type_supported(F.col("segs"), F.col("kind_normal"))
     date_ok = F.col("date").isNull() | (T.is_iso_date(F.col("date")) & date_supported(F.col("segs"), F.col("date")))
     df = df.withColumns({"type_ok": type_ok, "date_ok": date_ok})
-    supported = lambda p: contained(F.col("segs"), F.element_at("normals", T.trim(p)))
-    df = df.withColumn("good", F.filter("parties", lambda p: (T.trim(p) != "") & supported(p)))
+    supported = lambda name: T.bound(F.element_at("normals", name), lambda v: contained(F.col("segs"), v))
+    df = df.withColumn("good", F.filter("parties", lambda p: T.bound(T.trim(p), lambda name: (name != "") & supported(name))))
     df = df.withColumn("kept", F.slice(F.array_distinct(F.transform("good", T.trim)), 1, MOST_PARTIES))
-    unsupported = F.exists("claimed", lambda token: ~contained(F.col("segs"), F.element_at("normals", token)))
+    unsupported = F.exists("claimed", lambda token: ~supported(token))
     relation = F.when(F.size("kept") == 0, "none").when((F.col("party_relation") == "between") & (F.size("kept") < 2), "with").otherwise(F.col("party_relation"))
     warned = F.lit(False)
     if warnings is not None:

@@ -18,7 +18,7 @@ from ..operators import intake as I
 from ..operators import lifecycle as L
 from ..operators import naming, pages as P, validate as V
 from ..sources import files as S
-from ..staging import shared_dir
+from ..staging import shared_dir, stage
 from ..streaming import stateful
 from . import jobs
 
@@ -675,7 +675,7 @@ def x21_prompts(t):
 @query
 def c04_replay(t):
     """Validation and naming of stored proposals, as U03 and C04 do."""
-    p = C.proposals(t)
+    p = stage(C.proposals(t), "proposals")
     places = p.select("doc_id", F.lit("in").alias("folder"), F.lit("pdf").alias("extension"))
     # every eighth name is there already
     people = F.when(p["party_relation"] == "none", F.concat(F.lit("- "), F.col("parties")[0])).when(p["party_relation"] == "between", F.concat(F.lit("with "), F.col("parties")[0])).otherwise(F.concat_ws(" ", "party_relation", F.col("parties")[0]))

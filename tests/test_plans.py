@@ -7,6 +7,8 @@ import pytest
 from docfiling import corpus
 from docfiling.functions import text as T
 from docfiling.operators import distill as D
+from docfiling.operators import naming
+from docfiling.operators import validate as V
 from docfiling.plans import queries
 from pyspark.sql import functions as F
 
@@ -111,6 +113,22 @@ def test_orders_are_dealt_into_parts_that_follow_their_number(spark, sf_dir, mon
     assert sum(each) > 1000 and max(each) < 250
 
 
+def test_texts_of_a_proposal_are_normalised_in_one_go(spark, sf_dir):
+    """Rows go to Python once, and a date's renderings are written out only until one is found."""
+    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    found = V.validate(corpus.proposals(t), D.distill(corpus.contracts(t)))._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count("ArrowEvalPython") == 1 and found.count("substring(date") <= 12
+
+
+def test_spaces_of_a_name_that_fits_are_made_once(spark):
+    rows = [("a", "in", "2024", "Deed", ["Alpha"], "from", "pdf"), ("b", "in", "", "x" * 110, [], "none", "pdf"), ("c", None, "", "Deed (2)", [], "none", "pdf")]
+    df = spark.createDataFrame(rows, "family string, folder string, date string, kind string, people array<string>, party_relation string, ext string")
+    found = {r["family"]: r for r in naming._spaces(df).collect()}
+    assert found["a"]["spaces"] is None and tuple(found["a"]["first"]) == (found["a"]["wide"], 1)
+    assert len(found["b"]["spaces"]) == 10 and found["b"]["wide"] is None
+    assert found["c"]["first"]["n"] == 2 and found["c"]["first"]["space"] != found["c"]["wide"]
+
+
 def test_replies_are_decoded_in_one_pass(spark, sf_dir):
     assert plan(queries.queries()["k02_decode"](spark, sf_dir)).count("FileScan") == 3
 
